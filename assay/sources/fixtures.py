@@ -74,7 +74,7 @@ from lineitem where l_linenumber % 2 = 1
 
 # ---- rule catalog -------------------------------------------------------
 FIXTURE_SQL["entity_sample_to_dq_rule"] = f"""
-select o_orderkey as id, o_custkey % 8 as dq_rule_id, o_custkey as entity_sample_id,
+select o_orderkey as id, o_custkey % 9 as dq_rule_id, o_custkey as entity_sample_id,
        case when o_orderkey % 7 = 0 then null else o_orderkey % 100 end as indicator_id,
        case when o_orderkey % 5 = 0 then null else o_custkey % 100 end as product_id,
        case when o_orderkey % 3 = 0 then null else o_orderkey % 2000 end as asset_id,
@@ -109,7 +109,8 @@ select * from (values
   (4, 'record not null', 'not_null'),
   (5, 'record regex', 'check_condition'),
   (6, 'deviation from average', 'check_avg'),
-  (7, 'draft rule', null)
+  (7, 'draft rule', null),
+  (8, 'nominal time', 'check_nominal_time')
 ) as t(id, name, rule_ref)
 """
 
