@@ -114,6 +114,14 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
 
 
+def float_text(x: Column) -> Column:
+    """Plain decimal text of a double with at least one fractional digit and
+    no exponent (``100224000.0``, ``0.5``), as Python prints such seconds."""
+    t = F.regexp_replace(x.cast("decimal(38,6)").cast("string"), "0+$", "")
+    return F.when(x.isNull(), F.lit(None)).otherwise(
+        F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t))
+
+
 def is_uuid(s: Column) -> Column:
     return s.rlike(UUID_PATTERN)
 

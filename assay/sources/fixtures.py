@@ -235,6 +235,6 @@ def register_fixtures(spark: SparkSession, sf_dir: str, names=FIXTURE_ORDER) ->
         fixture(spark, n).createOrReplaceTempView(n)
 
 
-def duckdb_with(*names: str) -> str:
+def duckdb_with(*names: str, recursive: bool = False) -> str:
     """A ``WITH`` prefix defining the named derived tables for a DuckDB oracle."""
-    return "with " + ",\n".join(f"{n} as ({fixture_sql(n, 'duckdb')})" for n in names) + "\n"
+    return ("with recursive " if recursive else "with ") + ",\n".join(f"{n} as ({fixture_sql(n, 'duckdb')})" for n in names) + "\n"
