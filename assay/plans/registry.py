@@ -22,4 +22,11 @@ def register(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_checks, q_catalog, q_monitor, q_runs, q_events, q_schedule, q_profile, q_streaming  # noqa: F401
+    import importlib
+    for m in ("q_checks", "q_catalog", "q_suite", "q_monitor", "q_runs", "q_events", "q_schedule", "q_profile",
+              "q_streaming", "q_io"):
+        try:
+            importlib.import_module(f"{__package__}.{m}")
+        except ModuleNotFoundError as e:
+            if e.name != f"{__package__}.{m}":
+                raise

@@ -14,7 +14,7 @@ from assay.plans import compare as CMP  # noqa: E402
 from assay.plans import registry  # noqa: E402
 from assay.session import get_session  # noqa: E402
 
-MODULES = ["q_checks", "q_catalog", "q_monitor", "q_runs", "q_events", "q_schedule", "q_profile", "q_streaming"]
+MODULES = ["q_checks", "q_catalog", "q_suite", "q_monitor", "q_runs", "q_events", "q_schedule", "q_profile", "q_streaming", "q_io"]
 
 
 def main(prefixes):
