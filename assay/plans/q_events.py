@@ -109,3 +109,6 @@ def ev_filter_regex(spark, sf):
 def ev_serialize(spark, sf):
     """The JSON text of each event (sorted keys, nulls dropped); rows-only check."""
     return _events(spark, sf)
+
+
+ORACLE_RUNS_COUNT = duckdb_with("run_log") + "select event_type, count(*) as n from run_log group by event_type"

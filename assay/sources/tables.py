@@ -63,9 +63,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
     return r.load()
 
 
-def read_json_documents(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Whole-file JSON documents (one object per file)."""
-    r = spark.read.option("multiLine", True)
+def read_json_documents(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+    """JSON documents: one object per file (``multi_line``), or JSON lines."""
+    r = spark.read.option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)
