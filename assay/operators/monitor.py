@@ -21,23 +21,32 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 
 
+def event_grain(run_log: DataFrame, assertions: DataFrame, materialize: bool = True):
+    """Assertions reduced once to ``(ol_id, state) -> smallest message`` and the
+    per-event worst state and smallest message joined to existing events.
+
+    Both results feed several branches (per run, per parent, START rows,
+    message candidates); they are checkpointed into the shared folder so the
+    assertion table is scanned and shuffled once."""
+    g = (assertions.groupBy("ol_id", "state").agg(F.min("msg").alias("state_msg")))
+    if materialize:
+        g = g.checkpoint(eager=True)
+    own = g.groupBy("ol_id").agg(F.min("state").alias("own_state"), F.min("state_msg").alias("own_msg"))
+    es = run_log.join(own, run_log["id"] == own["ol_id"], "left").drop("ol_id")
+    if materialize:
+        es = es.checkpoint(eager=True)
+    return g, es
+
+
 def event_states(run_log: DataFrame, assertions: DataFrame) -> DataFrame:
     """Per existing event: its own worst state and smallest message (assertions
     naming a missing event stay unmatched)."""
-    own = assertions.groupBy("ol_id").agg(F.min("state").alias("own_state"), F.min("msg").alias("own_msg"))
-    return run_log.join(own, run_log["id"] == own["ol_id"], "left").drop("ol_id")
+    return event_grain(run_log, assertions, materialize=False)[1]
 
 
-def monitor_runs(run_log: DataFrame, assertions: DataFrame, full_names: DataFrame | None = None) -> DataFrame:
-    """J1 without the dataset columns: one row per START event.
-
-    ``state``: worst of own assertions and the assertions of every event
-    whose parent is this run; ``state_local``: worst over the run's events;
-    labels put a FAIL first, then a missing COMPLETE, then the state;
-    ``assertion_msg``: smallest non-null message among own assertions in
-    that worst state and all assertions of child events.
-    """
-    es = event_states(run_log, assertions)
+def run_states(es: DataFrame) -> DataFrame:
+    """D8 + C11 + C12 from event states: per START event the worst state over
+    own and child assertions, the run-local worst state and the run flags."""
     per_run = es.groupBy("run_id").agg(
         F.min("own_state").alias("state_local"),
         F.bool_or(F.col("event_type") == "FAIL").alias("has_fail"),
@@ -46,13 +55,26 @@ def monitor_runs(run_log: DataFrame, assertions: DataFrame, full_names: DataFram
                   .groupBy("parent_run_id").agg(F.min("own_state").alias("child_state"),
                                                 F.min("own_msg").alias("child_msg")))
     starts = es.filter(F.col("event_type") == "START")
-    t = (starts.join(per_run, "run_id", "left")
-         .join(per_parent.withColumnRenamed("parent_run_id", "run_id"), "run_id", "left")
-         .withColumn("state", F.least("own_state", "child_state")))
+    return (starts.join(per_run, "run_id", "left")
+            .join(per_parent.withColumnRenamed("parent_run_id", "run_id"), "run_id", "left")
+            .withColumn("state", F.least("own_state", "child_state")))
+
+
+def monitor_runs(run_log: DataFrame, assertions: DataFrame, full_names: DataFrame | None = None,
+                 materialize: bool = True) -> DataFrame:
+    """J1 without the dataset columns: one row per START event.
+
+    ``state``: worst of own assertions and the assertions of every event
+    whose parent is this run; ``state_local``: worst over the run's events;
+    labels put a FAIL first, then a missing COMPLETE, then the state;
+    ``assertion_msg``: smallest non-null message among own assertions in
+    that worst state and all assertions of child events.
+    """
+    g, es = event_grain(run_log, assertions, materialize)
+    t = run_states(es)
     # own message candidates: assertions of this event in its worst state
-    by_state = (assertions.filter(F.col("msg").isNotNull())
-                .groupBy("ol_id", "state").agg(F.min("msg").alias("state_msg")))
-    bs =by_state.select(F.col("ol_id").alias("_bs_id"), F.col("state").alias("_bs_state"), "state_msg")
+    bs = g.filter(F.col("state_msg").isNotNull()).select(
+        F.col("ol_id").alias("_bs_id"), F.col("state").alias("_bs_state"), "state_msg")
     t = t.join(bs, (t["id"] == bs["_bs_id"]) & (t["state"] == bs["_bs_state"]), "left")
     t = t.withColumn("assertion_msg", F.least("state_msg", "child_msg"))
     cols = [X.run_label(F.col("has_fail"), F.col("has_complete"), F.col("state")).alias("state_name"),

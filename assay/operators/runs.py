@@ -37,19 +37,19 @@ def resolve_chains(nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     for _ in range(max_rounds):
         if cur.filter(~F.col("done")).limit(1).count() == 0:
             break
+        # only unresolved nodes take part in the join; a pointer shared by many
+        # nodes (a hot parent) meets one lookup row, and AQE splits that skew
         t = cur.select(F.col("node").alias("t_node"), F.col("ptr").alias("t_ptr"),
                        F.col("value").alias("t_value"), F.col("done").alias("t_done"))
-        j = cur.join(t, cur["ptr"] == t["t_node"], "left")
+        j = cur.filter(~F.col("done")).join(t, F.col("ptr") == t["t_node"], "left")
         missing = F.col("t_node").isNull()
-        nxt = j.select(
+        moved = j.select(
             "node",
-            F.when(F.col("done") | missing | F.col("t_done"), F.col("ptr")).otherwise(F.col("t_ptr")).alias("ptr"),
-            F.when(F.col("done"), F.col("value"))
-             .when(missing, F.lit(None))
-             .when(F.col("t_done"), F.col("t_value"))
+            F.when(missing | F.col("t_done"), F.col("ptr")).otherwise(F.col("t_ptr")).alias("ptr"),
+            F.when(missing, F.lit(None)).when(F.col("t_done"), F.col("t_value"))
              .otherwise(F.col("value")).alias("value"),
-            (F.col("done") | missing | F.col("t_done")).alias("done"))
-        cur = _cut(nxt)
+            (missing | F.col("t_done")).alias("done"))
+        cur = _cut(cur.filter(F.col("done")).unionByName(moved))
     return cur.select("node", F.when(F.col("done"), F.col("value")).alias("value"), "done")
 
 

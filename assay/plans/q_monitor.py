@@ -16,11 +16,15 @@ def _views(spark, sf, names=MON_FIXTURES):
     return {n: spark.table(n) for n in names}
 
 
-# The reference's correlated shape, kept as the oracle.
+# The reference's correlated shape, kept as the oracle (each OR of two subqueries
+# written as a UNION ALL inside the same correlated subquery; min over either is equal).
 _MON_T = """
 , t as (
-  select (select min(a.state) from assertions a
-          where a.ol_id = dq.id or a.ol_id in (select dq1.id from run_log dq1 where dq1.parent_run_id = dq.run_id)) as state,
+  select (select min(u.state) from (
+            select a.state from assertions a where a.ol_id = dq.id
+            union all
+            select a.state from assertions a where a.ol_id in (select dq1.id from run_log dq1 where dq1.parent_run_id = dq.run_id)
+          ) u) as state,
          (select min(a.state) from assertions a
           where a.ol_id in (select dq1.id from run_log dq1 where dq1.run_id = dq.run_id)) as state_local,
          dq.id, dq.run_id, dq.parent_run_id, dq.event_type, dq.event_time, dq.producer
@@ -38,9 +42,11 @@ def _label(state: str) -> str:
 
 _MON_SELECT = f"""
 select {_label('t.state')} as state_name, {_label('t.state_local')} as state_name_local,
-       (select min(a.msg) from assertions a
-        where (t.state = a.state and a.msg is not null and a.ol_id = t.id)
-           or (a.ol_id in (select dq1.id from run_log dq1 where dq1.parent_run_id = t.run_id))) as assertion_msg,
+       (select min(u.msg) from (
+          select a.msg from assertions a where t.state = a.state and a.msg is not null and a.ol_id = t.id
+          union all
+          select a.msg from assertions a where a.ol_id in (select dq1.id from run_log dq1 where dq1.parent_run_id = t.run_id)
+        ) u) as assertion_msg,
        t.state, t.state_local, t.id, t.run_id, t.parent_run_id, t.event_type, t.event_time, t.producer,
        n.full_name
 from t left join names n on n.run_id = t.run_id
@@ -79,19 +85,9 @@ from t"""
 @register("mon_state", _STATE_ORACLE)
 def mon_state(spark, sf):
     """D8 + C11 + C12: worst states and run flags, decorrelated."""
-    from pyspark.sql import functions as F
     v = _views(spark, sf, ("run_log", "assertions"))
-    es = M.event_states(v["run_log"], v["assertions"])
-    per_run = es.groupBy("run_id").agg(
-        F.min("own_state").alias("state_local"),
-        F.bool_or(F.col("event_type") == "FAIL").alias("has_fail"),
-        F.bool_or(F.col("event_type") == "COMPLETE").alias("has_complete"))
-    per_parent = (es.filter(F.col("parent_run_id").isNotNull())
-                  .groupBy(F.col("parent_run_id").alias("run_id")).agg(F.min("own_state").alias("child_state")))
-    st = es.filter(F.col("event_type") == "START")
-    return (st.join(per_run, "run_id", "left").join(per_parent, "run_id", "left")
-            .select("id", "run_id", F.least("own_state", "child_state").alias("state"), "state_local",
-                    "has_fail", "has_complete"))
+    _, es = M.event_grain(v["run_log"], v["assertions"])
+    return M.run_states(es).select("id", "run_id", "state", "state_local", "has_fail", "has_complete")
 
 
 @register("mon_label", duckdb_with("run_log", "assertions") + _MON_T + f"""
@@ -103,9 +99,11 @@ def mon_label(spark, sf):
 
 
 @register("mon_message", duckdb_with("run_log", "assertions") + _MON_T + """
-select t.id, (select min(a.msg) from assertions a
-              where (t.state = a.state and a.msg is not null and a.ol_id = t.id)
-                 or (a.ol_id in (select dq1.id from run_log dq1 where dq1.parent_run_id = t.run_id))) as assertion_msg
+select t.id, (select min(u.msg) from (
+          select a.msg from assertions a where t.state = a.state and a.msg is not null and a.ol_id = t.id
+          union all
+          select a.msg from assertions a where a.ol_id in (select dq1.id from run_log dq1 where dq1.parent_run_id = t.run_id)
+        ) u) as assertion_msg
 from t""")
 def mon_message(spark, sf):
     """Message of the worst state on the event, or any child message."""
