@@ -139,3 +139,15 @@ def mon_assertions(spark, sf):
     """Assertion monitor."""
     v = _views(spark, sf, ("assertions", "entity_sample_to_dq_rule", "dq_rule", "run_log"))
     return M.assertion_monitor(v["assertions"], v["entity_sample_to_dq_rule"], v["dq_rule"], v["run_log"])
+
+
+@register("mon_views_sql", MON_ORACLE + " where t.parent_run_id is null")
+def mon_views_sql(spark, sf):
+    """The views registered for Spark SQL; the draft view queried by name."""
+    from .q_catalog import CAT_FIXTURES
+    names = tuple(dict.fromkeys(MON_FIXTURES + CAT_FIXTURES))
+    v = _views(spark, sf, names)
+    full = RN.pipeline_names(v["run_log"], v["run_inputs"], v["run_outputs"], v["data_asset"], v["system"],
+                             v["entity"])
+    M.register_views(spark, v, full)
+    return spark.sql("select * from run_monitor_draft")

@@ -14,7 +14,8 @@ from ..operators import records as R
 from ..session import scratch_dir
 from ..sources.tables import read_table
 from ..streaming import checks as ST
-from . import q_checks, q_events, q_runs
+from . import q_catalog, q_checks, q_events, q_runs
+from ..sources.fixtures import duckdb_with
 from .registry import ORACLE, register
 
 
@@ -91,3 +92,41 @@ def stream_islands(spark, sf):
     msgs = q_checks._messages(spark, sf).select(F.lit(0).alias("source_partition"), "msg_key", "run_id")
     src = _stage(msgs, f"{base}/src")
     return _drain(ST.islands_stream(src), base).drop("source_partition")
+
+
+_TOPIC_SQL = "concat('topic_', lower(n.n_name))"
+
+
+@register("stream_rules", duckdb_with("messages", *q_catalog.CAT_FIXTURES) + q_catalog._PARAMS_CTE + """
+, kafka as (
+  select r.settings as rule_settings from entity_sample_to_dq_rule r
+  left join dq_rule dr on r.dq_rule_id = dr.id
+  left join indicator i on i.id = r.indicator_id
+  left join product p on p.id = r.product_id
+  where (r.disabled = false or r.disabled is null)
+    and (p.state = 'PUBLISHED' or p.state is null) and (i.state = 'PUBLISHED' or i.state is null)
+    and dr.rule_ref is not null and r.settings like '%Kafka%'),
+defs as (select distinct c.param_value as topic, json_extract_string(k.rule_settings, '$.fields') as fields
+         from kafka k join connector_params c
+           on c.connection_name = json_extract_string(k.rule_settings, '$.connection') and c.param_name = 'topic'),
+msgs as (select m.msg_key, m.value, """ + _TOPIC_SQL + """ as topic
+         from messages m join events e on e.event_id = m.msg_key join nation n on n.n_nationkey = e.user_id % 25
+         where json_valid(m.value))
+select m.topic, m.msg_key, f.column, json_exists(m.value, '$.' || f.column) as success,
+       case when json_exists(m.value, '$.' || f.column) then '2' else '0' end as state
+from msgs m join defs d on d.topic = m.topic,
+     (select unnest(string_split(d.fields, ';')) as column) f""")
+def stream_rules(spark, sf):
+    """All presence rules of the streaming catalog in one streaming query,
+    messages routed to their topic's definitions."""
+    from ..operators import catalog as K
+    cat = q_catalog._cat(spark, sf)
+    defs = ST.topic_definitions(K.rule_catalog(cat, "kafka"), K.connector_params(cat))
+    base = _run_dir(spark, "rules")
+    ev = read_table(spark, sf, "events").select("event_id", "user_id")
+    nation = read_table(spark, sf, "nation").select("n_nationkey", "n_name")
+    msgs = (q_checks._messages(spark, sf).join(ev, F.col("msg_key") == F.col("event_id"))
+            .join(nation, F.col("n_nationkey") == F.col("user_id") % 25)
+            .select("msg_key", "value", F.concat(F.lit("topic_"), F.lower("n_name")).alias("topic")))
+    src = _stage(msgs, f"{base}/src")
+    return _drain(ST.rules_presence_stream(src, defs), base)
