@@ -106,7 +106,8 @@ def iso_timestamp(ts: Column) -> Column:
 
 def parse_event_time(s: Column) -> Column:
     """ISO-8601 with ``T``; fraction optional (the reference required it)."""
-    return F.when(s.contains("T"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")))
+    parsed = F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"))
+    return F.when(s.contains("T"), parsed.cast("timestamp_ntz"))
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -53,10 +53,13 @@ def resolve_chains(nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     return cur.select("node", F.when(F.col("done"), F.col("value")).alias("value"), "done")
 
 
-def first_per_key(df: DataFrame, key: str, order: list) -> DataFrame:
-    """The first row per key under a stated order (``LIMIT 1`` made deterministic)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The row with the smallest ``order`` value per key (``LIMIT 1`` made
+    deterministic). An aggregate, not a window: partial aggregation before
+    the shuffle keeps a hot key from landing whole in one task."""
+    cols = [c for c in df.columns if c != key]
+    picked = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_first"))
+    return picked.select(key, *[F.col("_first")[c].alias(c) for c in cols])
 
 
 # ---- J2 / J3 / L2 -------------------------------------------------------------
@@ -69,7 +72,7 @@ def inherited_deadline(run_log: DataFrame) -> DataFrame:
     """
     comp = first_per_key(run_log.filter(F.col("event_type") == "COMPLETE")
                          .select("id", "run_id", "parent_run_id", "nominal_end_time"),
-                         "run_id", [F.col("id")])
+                         "run_id", "id")
     nodes = comp.select(
         F.col("run_id").alias("node"), F.col("parent_run_id").alias("ptr"),
         F.when(F.col("parent_run_id").isNull(), F.col("nominal_end_time")).alias("value"),

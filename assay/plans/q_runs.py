@@ -128,7 +128,7 @@ ISLAND_ORACLE = duckdb_with("messages") + """
 , f as (select msg_key, run_id,
                case when lag(run_id) over (order by msg_key) is distinct from run_id then 1 else 0 end as s
         from messages),
-i as (select *, sum(s) over (order by msg_key rows between unbounded preceding and current row) as island from f)
+i as (select *, cast(sum(s) over (order by msg_key rows between unbounded preceding and current row) as bigint) as island from f)
 """
 
 

@@ -181,7 +181,7 @@ select concat('topic_', lower(n_name)), n_nationkey, 5 from nation
 
 # ---- task queue ----------------------------------------------------------
 FIXTURE_SQL["dq_tasks"] = """
-select event_id as id, date_trunc('minute', ts) as time, user_id % 20 as rule_id,
+select event_id as id, cast(date_trunc('minute', ts) as {TS}) as time, user_id % 20 as rule_id,
        cast(event_id % 3 as int) as state
 from events
 """
