@@ -112,3 +112,10 @@ def deviation_assertions(parsed: DataFrame, averages: DataFrame, spec: list[tupl
 def averages_for(df: DataFrame, fields: list[str]) -> DataFrame:
     """D7 for several fields in one aggregate."""
     return df.agg(*[F.avg(F.col(quote_ident(f)).cast("double")).alias(f"avg_{f}") for f in fields])
+
+
+def regex_values(df: DataFrame, value_col: str, regex_col: str) -> Column:
+    """Ad-hoc ``{value, regex} -> res`` as a column: unanchored search of a
+    per-row pattern (Java dialect); a null value or pattern gives false."""
+    return F.coalesce(F.regexp_like(F.col(quote_ident(value_col)).cast("string"), F.col(quote_ident(regex_col))),
+                      F.lit(False))

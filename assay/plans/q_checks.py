@@ -261,3 +261,15 @@ from s group by 1
 """)
 def msg_avg_state_counts(spark, sf):
     return msg_avg_deviation(spark, sf).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("rec_regex_values", """
+select c_custkey as id, c_name as value, concat('#0*', cast(c_nationkey as varchar), '$') as regex,
+       coalesce(regexp_matches(c_name, concat('#0*', cast(c_nationkey as varchar), '$')), false) as res
+from customer""")
+def rec_regex_values(spark, sf):
+    """Value and pattern per row (the ad-hoc check of the reference API, as a batch)."""
+    c = read_table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("value"),
+        F.concat(F.lit("#0*"), F.col("c_nationkey").cast("string"), F.lit("$")).alias("regex"))
+    return c.withColumn("res", R.regex_values(c, "value", "regex"))

@@ -112,3 +112,19 @@ def ev_serialize(spark, sf):
 
 
 ORACLE_RUNS_COUNT = duckdb_with("run_log") + "select event_type, count(*) as n from run_log group by event_type"
+
+
+@register("ev_shred", duckdb_with("run_log", "run_inputs", "run_outputs", "assertions") + """
+select 'run_log' as table_name, count(*) as n from run_log
+union all select 'inputs', (select count(*) from run_inputs where ol_id in (select id from run_log))
+                           + (select count(distinct ol_id) from assertions where ol_id in (select id from run_log))
+union all select 'outputs', count(*) from run_outputs where ol_id in (select id from run_log)
+union all select 'assertions', count(*) from assertions where ol_id in (select id from run_log)""")
+def ev_shred(spark, sf):
+    """K8: rows of the four shredded tables (inputs include each event's assertion carrier)."""
+    s = EV.shred(EV.parse_events(_events(spark, sf)))
+    out = None
+    for name in ("run_log", "inputs", "outputs", "assertions"):
+        part = s[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out

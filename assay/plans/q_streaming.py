@@ -130,3 +130,15 @@ def stream_rules(spark, sf):
             .select("msg_key", "value", F.concat(F.lit("topic_"), F.lower("n_name")).alias("topic")))
     src = _stage(msgs, f"{base}/src")
     return _drain(ST.rules_presence_stream(src, defs), base)
+
+
+@register("stream_shred", ORACLE["ev_shred"])
+def stream_shred(spark, sf):
+    """The consumer's four tables, counted."""
+    base = _shred(spark, sf)
+    out = None
+    for name in ("run_log", "inputs", "outputs", "assertions"):
+        part = spark.read.parquet(f"{base}/{name}").agg(F.count(F.lit(1)).alias("n")) \
+            .select(F.lit(name).alias("table_name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
