@@ -66,16 +66,37 @@ def _day_matches(c: Column, d: Column) -> Column:
     return F.array_contains(c["months"], F.month(d)) & day
 
 
-def with_next_fire(df: DataFrame, cron: Column, after: Column, out: str) -> DataFrame:
+MAX_BROADCAST_CRONS = 10000
+
+
+def _compiled(df: DataFrame, max_distinct: int) -> DataFrame:
+    """Attach ``_cf`` (compiled fields) and ``_tod`` (sorted minutes of day).
+
+    Distinct expressions are compiled once and broadcast when a size check
+    proves there are at most ``max_distinct`` of them; beyond that each row
+    compiles its own text (no join, no skew on a popular expression)."""
+    distinct = df.select("_cron_text").distinct()
+    if distinct.limit(max_distinct + 1).count() <= max_distinct:
+        d = distinct.withColumn("_cf", cron_fields(F.col("_cron_text")))
+        d = d.withColumn("_tod", F.array_sort(F.flatten(F.transform(
+            F.col("_cf")["hours"], lambda h: F.transform(F.col("_cf")["minutes"], lambda mi: h * 60 + mi)))))
+        return df.join(F.broadcast(d), df["_cron_text"].eqNullSafe(d["_cron_text"]), "left").drop(d["_cron_text"])
+    df = df.withColumn("_cf", cron_fields(F.col("_cron_text")))
+    return df.withColumn("_tod", F.array_sort(F.flatten(F.transform(
+        F.col("_cf")["hours"], lambda h: F.transform(F.col("_cf")["minutes"], lambda mi: h * 60 + mi)))))
+
+
+def with_next_fire(df: DataFrame, cron: Column, after: Column, out: str,
+                   max_broadcast_crons: int = MAX_BROADCAST_CRONS) -> DataFrame:
     """Add ``out``: the first cron time strictly after ``after`` (minute
-    resolution, seconds zero). The cron text is compiled once per row into a
-    column; the day search looks at the next month first and only then at
-    the rest of the four-year span."""
-    df = df.withColumn("_cf", cron_fields(cron)).withColumn("_after", F.date_trunc("minute", after).cast("timestamp_ntz"))
+    resolution, seconds zero). Each cron text is compiled once into arrays;
+    the day search looks at the next month first and only then at the rest
+    of the four-year span."""
+    df = df.withColumn("_cron_text", cron).withColumn(
+        "_after", F.date_trunc("minute", after).cast("timestamp_ntz"))
+    df = _compiled(df, max_broadcast_crons)
     c = F.col("_cf")
     t = F.col("_after")
-    df = df.withColumn("_tod", F.array_sort(F.flatten(F.transform(
-        c["hours"], lambda h: F.transform(c["minutes"], lambda mi: h * 60 + mi)))))
     tod = F.col("_tod")
     d0 = F.to_date(t)
     m0 = F.hour(t) * 60 + F.minute(t)
@@ -84,13 +105,17 @@ def with_next_fire(df: DataFrame, cron: Column, after: Column, out: str) -> Data
         return F.try_element_at(F.filter(F.sequence(F.date_add(d0, lo), F.date_add(d0, hi)),
                                          lambda d: _day_matches(c, d)), F.lit(1))
     same_day = F.when(_day_matches(c, d0), F.try_element_at(F.filter(tod, lambda x: x > m0), F.lit(1)))
-    later = F.coalesce(first_day(1, 31), first_day(32, SEARCH_DAYS))
+    def day(k: int) -> Column:
+        d = F.date_add(d0, k)
+        return F.when(_day_matches(c, d), d)
+    # most expressions fire again within a day or two: test those dates before building ranges
+    later = F.coalesce(day(1), day(2), first_day(3, 31), first_day(32, SEARCH_DAYS))
     first_tod = F.try_element_at(tod, F.lit(1))
     at = lambda d, m: F.timestamp_add("MINUTE", m, d.cast("timestamp_ntz"))
-    nxt = (F.when(t.isNull() | ~c["well_formed"] | (F.size(tod) == 0), F.lit(None).cast("timestamp_ntz"))
+    nxt = (F.when(t.isNull() | c.isNull() | ~c["well_formed"] | (F.size(tod) == 0), F.lit(None).cast("timestamp_ntz"))
            .when(same_day.isNotNull(), at(d0, same_day))
            .otherwise(at(later, first_tod)))
-    return df.withColumn(out, nxt).drop("_cf", "_after", "_tod")
+    return df.withColumn(out, nxt).drop("_cf", "_after", "_tod", "_cron_text")
 
 
 def latest_task(tasks: DataFrame) -> DataFrame:
