@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import monitor as M
 from ..operators import runs as RN
 from ..sources.fixtures import duckdb_with, register_fixtures
@@ -151,3 +153,16 @@ def mon_views_sql(spark, sf):
                              v["entity"])
     M.register_views(spark, v, full)
     return spark.sql("select * from run_monitor_draft")
+
+
+@register("mon_state_from_events", _STATE_ORACLE.replace(
+    "select t.id, t.run_id,",
+    "select t.id, printf('00000000-0000-0000-0000-%012x', t.run_id) as run_id,", 1))
+def mon_state_from_events(spark, sf):
+    """Event lifecycle: events serialized, shredded, then monitored."""
+    from ..operators import events as EV
+    from . import q_events
+    s = EV.shred(EV.parse_events(q_events._events(spark, sf)))
+    asr = s["assertions"].filter(F.col("assertion").isNotNull())
+    _, es = M.event_grain(s["run_log"], asr)
+    return M.run_states(es).select("id", "run_id", "state", "state_local", "has_fail", "has_complete")

@@ -25,7 +25,7 @@ def _tasks_sql() -> str:
     return fixture_sql("dq_tasks", "duckdb")
 
 
-# brute-force oracle: every minute after the last task up to now, matched per cron literal
+# oracle: bounded candidate times per cron literal, matched field by field
 _CRON_MATCH = f"""case cron
   when '{CRON_LITERALS[0]}' then minute(m) % 5 = 0
   when '{CRON_LITERALS[1]}' then minute(m) = 0 and hour(m) = 3
@@ -33,16 +33,28 @@ _CRON_MATCH = f"""case cron
   when '{CRON_LITERALS[3]}' then minute(m) = 0 and hour(m) = 0 and dayofweek(m) = 1
   else false end"""
 
+def _cand_sql(src: str) -> str:
+    """Bounded candidate fire times after ``t`` for each (cron, t) row of ``src``:
+    the next five minutes for the every-5-minutes literal, else the fixed time
+    of day on each of the next 33 days (each literal fires within that span)."""
+    return f"""select s.*, unnest(generate_series(s.t + interval 1 minute, s.t + interval 5 minute, interval 1 minute)) as m
+         from {src} s where s.cron = '{CRON_LITERALS[0]}'
+         union all
+         select s.*, unnest(generate_series(date_trunc('day', s.t), date_trunc('day', s.t) + interval 32 day, interval 1 day))
+                + case s.cron when '{CRON_LITERALS[1]}' then interval 3 hour
+                              when '{CRON_LITERALS[2]}' then interval 390 minute else interval 0 minute end as m
+         from {src} s where s.cron <> '{CRON_LITERALS[0]}'"""
+
+
 _DUE_ORACLE = _cat_body("regular_for_schedule", tasks=True) + f"""
 , rules as (select distinct entity_sample_to_dq_rule_id as rule_id,
                    json_extract_string(rule_settings, '$.crontab') as cron
             from cat where json_extract_string(rule_settings, '$.crontab') is not null),
 last as (select rule_id, max(time) as t from dq_tasks group by rule_id),
-cand as (select r.rule_id, r.cron,
-                unnest(generate_series(l.t + interval 1 minute, timestamp '{FIXED_NOW}', interval 1 minute)) as m
-         from rules r join last l on l.rule_id = r.rule_id),
-fire as (select rule_id, min(m) as time from cand where {_CRON_MATCH} group by rule_id)
-select rule_id, time from fire
+rl as (select r.rule_id, r.cron, l.t from rules r join last l on l.rule_id = r.rule_id),
+cand as ({_cand_sql('rl')}),
+fire as (select rule_id, min(m) as time from cand where m > t and {_CRON_MATCH} group by rule_id)
+select rule_id, time from fire where time <= timestamp '{FIXED_NOW}'
 union all
 select rule_id, timestamp '{FIXED_NOW}' from rules where rule_id not in (select rule_id from last)
 """
@@ -69,15 +81,8 @@ def task_due_rows(spark, sf):
 _NEXT_ORACLE = duckdb_with("dq_tasks") + f"""
 , crons as (select unnest(['{CRON_LITERALS[0]}', '{CRON_LITERALS[1]}', '{CRON_LITERALS[2]}', '{CRON_LITERALS[3]}']) as cron),
 pts as (select distinct time as t from dq_tasks),
-cand as (select c.cron, p.t,
-                unnest(generate_series(p.t + interval 1 minute, p.t + interval 5 minute, interval 1 minute)) as m
-         from crons c, pts p where c.cron = '{CRON_LITERALS[0]}'
-         union all
-         select c.cron, p.t,
-                unnest(generate_series(date_trunc('day', p.t), date_trunc('day', p.t) + interval 32 day, interval 1 day))
-                + case c.cron when '{CRON_LITERALS[1]}' then interval 3 hour
-                              when '{CRON_LITERALS[2]}' then interval 390 minute else interval 0 minute end as m
-         from crons c, pts p where c.cron <> '{CRON_LITERALS[0]}')
+ct as (select c.cron, p.t from crons c, pts p),
+cand as ({_cand_sql('ct')})
 select cron, t, min(m) as next_time from cand where m > t and {_CRON_MATCH} group by cron, t
 """
 

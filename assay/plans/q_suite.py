@@ -63,9 +63,9 @@ _CHECKS = " union all ".join([
        from (select count(*) as n from lineitem)""",
 ])
 
-def _suite_oracle(tail: str) -> str:
-    # the regular catalog as a CTE, then bindings joined to the expected check rows
-    cat_sql = _oracle("regular")
+def _suite_oracle(tail: str, mode: str = "regular") -> str:
+    # the catalog of ``mode`` as a CTE, then bindings joined to the expected check rows
+    cat_sql = _oracle(mode)
     head, body = cat_sql.split("\nselect s.id as system_id", 1)
     return head + ", cat as (select s.id as system_id" + body + f"""),
 b as (select distinct entity_sample_to_dq_rule_id as rule_id, rule_ref, rule_settings from cat
@@ -124,3 +124,18 @@ def suite_alerts(spark, sf):
     """Mail alerts as rows: failed runs of rules with ``send_mail``."""
     res, cat = _suite(spark, sf)
     return S.alerts(S.dq_log(res, RUN_TIME), cat).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_failed_runs"))
+
+
+@register("task_check_assertions", _suite_oracle("""
+, tasks as (select distinct dq_tasks_id, entity_sample_to_dq_rule_id as rule_id from cat)
+select t.dq_tasks_id, r.rule_id, r.assertion, r."column", r.success, r.state, r.msg
+from tasks t join res r on r.rule_id = t.rule_id""", mode="for_schedule"))
+def task_check_assertions(spark, sf):
+    """Scheduled pass (L3 + K1): every pending task of a scheduled rule with the
+    assertions its rule produces (each definition evaluated once)."""
+    cat = _cat(spark, sf, ("dq_tasks",))
+    selected = K.rule_catalog(cat, "for_schedule", tasks=spark.table("dq_tasks"))
+    res = S.run_rules(spark, selected, lambda name: read_table(spark, sf, name))
+    tasks = selected.select("dq_tasks_id", F.col("entity_sample_to_dq_rule_id").alias("rule_id")).distinct()
+    return tasks.join(res, "rule_id", "inner").select("dq_tasks_id", "rule_id", "assertion", "column", "success",
+                                                      "state", "msg")

@@ -95,7 +95,7 @@ select o_orderkey as id, o_custkey % 9 as dq_rule_id, o_custkey as entity_sample
          when 4 then ''
          else null end as settings,
        o_orderkey % 2 = 0 as send_mail,
-       case o_custkey % 3 when 0 then true when 1 then false else null end as disabled
+       case cast(floor(o_orderkey / 7) as bigint) % 3 when 0 then true when 1 then false else null end as disabled
 from orders
 """
 
@@ -181,7 +181,7 @@ select concat('topic_', lower(n_name)), n_nationkey, 5 from nation
 
 # ---- task queue ----------------------------------------------------------
 FIXTURE_SQL["dq_tasks"] = """
-select event_id as id, cast(date_trunc('minute', ts) as {TS}) as time, user_id % 20 as rule_id,
+select event_id as id, cast(date_trunc('minute', ts) as {TS}) as time, user_id * 6 as rule_id,
        cast(event_id % 3 as int) as state
 from events
 """
