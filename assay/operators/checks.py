@@ -164,27 +164,35 @@ def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
             .filter(F.col("count") > 1))
 
 
-def uniqueness_check(df: DataFrame, columns: list[str], table: str = "") -> DataFrame:
-    """One assertion per column; the message names the smallest duplicated value
-    (text order) and its count; ``n_bad`` is the number of duplicated values."""
+def uniqueness_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per listed column: number of duplicated values and the smallest one with
+    its count; columns without duplicates get ``n_bad = 0``."""
     spark = df.sparkSession
     groups = duplicate_groups(df, columns)
     per_col = groups.groupBy("pos", "column").agg(
-        F.count(F.lit(1)).alias("n_bad"),
-        F.min(F.struct("value", "count")).alias("first"))
+        F.count(F.lit(1)).alias("n_bad"), F.min(F.struct("value", "count")).alias("first"))
     names = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("pos"), F.lit(bare_name(c)).alias("column")) for i, c in enumerate(columns)
     ])).alias("c")).select("c.*")
-    joined = names.join(F.broadcast(per_col), ["pos", "column"], "left")
-    ok = F.col("n_bad").isNull()
-    return joined.select(
+    # per_col has at most one row per listed column: a proven bound for the broadcast
+    j = names.join(F.broadcast(per_col), ["pos", "column"], "left")
+    return j.select("pos", "column", F.coalesce(F.col("n_bad"), F.lit(0)).cast("long").alias("n_bad"),
+                    F.col("first.value").alias("first_value"), F.col("first.count").alias("first_count"))
+
+
+def uniqueness_check(df: DataFrame, columns: list[str], table: str = "") -> DataFrame:
+    """One assertion per column; the message names the smallest duplicated value
+    (text order) and its count; ``n_bad`` is the number of duplicated values."""
+    m = uniqueness_metrics(df, columns)
+    ok = F.col("n_bad") == 0
+    return m.select(
         F.lit("check_uniqueness").alias("assertion"), "column",
         ok.alias("success"),
         F.when(ok, X.STATE_OK).otherwise(X.STATE_ERROR).alias("state"),
-        F.when(ok, F.lit("")).otherwise(X.template(X.MSG_DUPLICATE, value=F.col("first.value"),
-                                                   count=F.col("first.count"), column=F.col("column")))
+        F.when(ok, F.lit("")).otherwise(X.template(X.MSG_DUPLICATE, value=F.col("first_value"),
+                                                   count=F.col("first_count"), column=F.col("column")))
          .alias("msg"),
-        F.coalesce(F.col("n_bad"), F.lit(0)).cast("long").alias("n_bad"), "pos")
+        "n_bad", "pos")
 
 
 # ---- roll-up -------------------------------------------------------------------

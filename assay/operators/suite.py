@@ -85,13 +85,94 @@ def definitions(rules: DataFrame) -> list[Definition]:
     return [Definition(r["rule_ref"], r["rule_settings"]) for r in rows]
 
 
+BUILTIN_KINDS = {"check_uniqueness": "unique", "check_null_values": "nulls", "check_range": "range",
+                 "count_equal": "row_count"}
+
+_ITEMS_T = ("rule_ref string, rule_settings string, tbl string, kind string, column string, arg string, "
+            "pos int")
+
+
+def _items(d: Definition) -> list[tuple]:
+    """One check item per (definition, column): what to measure and where."""
+    s = d.s
+    kind = BUILTIN_KINDS[d.rule_ref]
+    if kind == "row_count":
+        return [(d.rule_ref, d.settings, s["path"], kind, "*", str(int(s["count"])), 0)]
+    cols = s["columns"].split(";")
+    if kind == "range":
+        return [(d.rule_ref, d.settings, s["table"], kind, C.bare_name(c), r.strip(), i)
+                for i, (c, r) in enumerate(zip(cols, s["ranges"].split(";")))]
+    return [(d.rule_ref, d.settings, s["table"], kind, C.bare_name(c), "", i) for i, c in enumerate(cols)]
+
+
+def _table_metrics(df: DataFrame, table: str, items: list[tuple]) -> DataFrame:
+    """All checks of all definitions on one table: one aggregate for the
+    count-style checks, one shuffle for every uniqueness column.
+    Rows: ``(tbl, kind, column, arg, n_bad, rows, first_value, first_count)``."""
+    nulls = sorted({i[4] for i in items if i[3] == "nulls"})
+    ranges = sorted({(i[4], i[5]) for i in items if i[3] == "range"})
+    counts = sorted({i[5] for i in items if i[3] == "row_count"})
+    uniq = sorted({i[4] for i in items if i[3] == "unique"})
+    parts = []
+    if nulls or ranges or counts:
+        m = C.fused_counts(df, C.TableChecks(table, nulls=nulls, ranges=ranges))
+        m = m.select("kind", "column", F.coalesce("range", F.lit("")).alias("arg"), "n_bad", "rows")
+        if counts:
+            rows = m.select("rows").limit(1) if (nulls or ranges) else None
+            base = rows if rows is not None else df.agg(F.count(F.lit(1)).alias("rows"))
+            m_counts = base.select(F.explode(F.array(*[F.lit(c) for c in counts])).alias("arg"), "rows") \
+                .select(F.lit("row_count").alias("kind"), F.lit("*").alias("column"), "arg",
+                        F.col("rows").alias("n_bad"), "rows")
+            m = m.unionByName(m_counts)
+        parts.append(m.select("*", F.lit(None).cast("string").alias("first_value"),
+                              F.lit(None).cast("long").alias("first_count")))
+    if uniq:
+        u = C.uniqueness_metrics(df, uniq)
+        parts.append(u.select(F.lit("unique").alias("kind"), "column", F.lit("").alias("arg"), "n_bad",
+                              F.lit(None).cast("long").alias("rows"), "first_value", "first_count"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("tbl", F.lit(table))
+
+
+def _assertion_from_metric() -> list:
+    """Assertion columns from a joined (item, metric) row, per kind."""
+    kind, n = F.col("kind"), F.col("n_bad")
+    ok = (F.when(kind == "row_count", F.col("rows") == F.col("arg").cast("long"))
+          .when(kind == "unique", n == 0)
+          .otherwise(n == 0))
+    msg = (F.when(kind == "row_count", F.when(ok, X.template(X.MSG_COUNT_EQ, path=F.col("tbl"), count=F.col("arg")))
+                  .otherwise(X.template(X.MSG_COUNT_NE, path=F.col("tbl"), count=F.col("arg"))))
+           .when(ok, F.lit(""))
+           .when(kind == "unique", X.template(X.MSG_DUPLICATE, value=F.col("first_value"),
+                                               count=F.col("first_count"), column=F.col("column")))
+           .when(kind == "nulls", X.template(X.MSG_NULLS, column=F.col("column"), count=n))
+           .otherwise(X.template(X.MSG_RANGE, column=F.col("column"), count=n, range=F.col("arg"))))
+    return [F.col("rule_ref").alias("assertion"), "column", ok.alias("success"),
+            F.when(ok, X.STATE_OK).otherwise(X.STATE_ERROR).alias("state"), msg.alias("msg"),
+            n.cast("long").alias("n_bad"), "pos"]
+
+
 def evaluate(spark: SparkSession, defs: list[Definition], resolve: Resolver) -> DataFrame:
-    """Evaluate each definition; one union of assertion rows keyed by definition."""
+    """Evaluate definitions fused per table: every built-in check on a table
+    shares one scan; results reach each definition through a join with the
+    (small) table of check items. Plug-in rules (M1) run one by one."""
+    builtin = [d for d in defs if d.rule_ref in BUILTIN_KINDS]
+    items = [i for d in builtin for i in _items(d)]
     parts = []
-    for d in sorted(defs, key=lambda x: (x.rule_ref, x.settings)):
+    if items:
+        tables = sorted({i[2] for i in items})
+        metrics = None
+        for t in tables:
+            m = _table_metrics(resolve(t), t, [i for i in items if i[2] == t])
+            metrics = m if metrics is None else metrics.unionByName(m)
+        it = spark.createDataFrame(items, _ITEMS_T)
+        joined = it.join(metrics, ["tbl", "kind", "column", "arg"], "inner")
+        parts.append(joined.select("rule_ref", "rule_settings", *_assertion_from_metric()))
+    for d in sorted((d for d in defs if d.rule_ref not in BUILTIN_KINDS), key=lambda x: (x.rule_ref, x.settings)):
         s = d.s
-        src = resolve(s.get("table") or s.get("path"))
-        out = RULE_BUILDERS[d.rule_ref](src, s)
+        out = RULE_BUILDERS[d.rule_ref](resolve(s.get("table") or s.get("path")), s)
         parts.append(out.select(F.lit(d.rule_ref).alias("rule_ref"), F.lit(d.settings).alias("rule_settings"),
                                 "assertion", "column", "success", "state", "msg", "n_bad", "pos"))
     if not parts:
@@ -105,9 +186,16 @@ def evaluate(spark: SparkSession, defs: list[Definition], resolve: Resolver) ->
 
 def run_rules(spark: SparkSession, rules: DataFrame, resolve: Resolver,
               id_col: str = "entity_sample_to_dq_rule_id") -> DataFrame:
-    """K1: assertions of every eligible rule (each binding once per pass)."""
+    """K1: assertions of every eligible rule (each binding once per pass).
+
+    The bindings are materialized once (checkpoint in the shared folder): the
+    definitions read on the driver and the final join both come from it, so
+    the catalog joins run a single time."""
     bindings = eligible(rules).select(F.col(id_col).alias("rule_id"), "rule_ref", "rule_settings").distinct()
-    results = evaluate(spark, definitions(rules), resolve)
+    bindings = bindings.checkpoint(eager=True)
+    defs = [Definition(r["rule_ref"], r["rule_settings"])
+            for r in bindings.select("rule_ref", "rule_settings").distinct().collect()]
+    results = evaluate(spark, defs, resolve)
     return bindings.join(results, ["rule_ref", "rule_settings"], "inner")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import register_tables
+from .tables import _current, _remember, register_tables
 
 # The cron literals used in rule settings.
 CRON_LITERALS = ("*/5 * * * *", "0 3 * * *", "30 6 1 * *", "0 0 * * 1")
@@ -232,7 +232,11 @@ def register_fixtures(spark: SparkSession, sf_dir: str, names=FIXTURE_ORDER) ->
     """Register driver tables and derived tables as temp views (lazy)."""
     register_tables(spark, sf_dir)
     for n in names:
+        src = f"fixture:{sf_dir.rstrip('/')}"
+        if _current(spark, n, src):
+            continue
         fixture(spark, n).createOrReplaceTempView(n)
+        _remember(spark, n, src)
 
 
 def duckdb_with(*names: str, recursive: bool = False) -> str:

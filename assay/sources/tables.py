@@ -15,10 +15,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_REGISTERED: dict[tuple[int, str], str] = {}
+
+
+def _current(spark: SparkSession, view: str, source: str) -> bool:
+    """True when ``view`` already names ``source`` in this session (and still exists)."""
+    return _REGISTERED.get((id(spark), view)) == source and spark.catalog.tableExists(view)
+
+
+def _remember(spark: SparkSession, view: str, source: str) -> None:
+    _REGISTERED[(id(spark), view)] = source
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
-    """Expose driver tables as temp views (lazy: nothing is read until used)."""
+    """Expose driver tables as temp views (lazy: nothing is read until used).
+    A view already registered for the same folder in this session is kept."""
     for n in names:
+        src = f"{sf_dir.rstrip('/')}/{n}.parquet"
+        if _current(spark, n, src):
+            continue
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+        _remember(spark, n, src)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
