@@ -183,53 +183,58 @@ def root_system_names(run_log: DataFrame, inputs: DataFrame, data_asset: DataFra
 
 # ---- E2: run boundaries ---------------------------------------------------------
 
-def run_islands(messages: DataFrame, order_col: str, group_col: str, bucket_rows: int = 1 << 20) -> DataFrame:
+def run_islands(messages: DataFrame, order_col: str, group_col: str, bucket_rows: int = 1 << 20,
+                partition_cols: tuple[str, ...] = ()) -> DataFrame:
     """A new check run starts whenever ``group_col`` differs from the previous
-    message's (by ``order_col``). Gaps and islands without a global sort into
-    one task: rows are cut into ranges of the order key (``bucket_rows`` wide),
-    ``lag`` runs inside each range, the last row of the previous non-empty
-    range fixes each range's first boundary, and island numbers are a prefix
-    sum over the (small) per-range boundary counts.
-
-    Returns one row per message with ``island`` (1-based) and ``is_start``.
+    message's (by ``order_col``), within each source partition
+    (``partition_cols``; order exists only there). Gaps and islands without a
+    global sort into one task: rows are cut into ranges of the order key
+    (``bucket_rows`` wide), ``lag`` runs inside each range, the last row of the
+    previous non-empty range fixes each range's first boundary, and island
+    numbers are a prefix sum over the (small) per-range boundary counts.
+
+    Returns one row per message with ``island`` (1-based per partition) and ``is_start``.
     """
+    pc = list(partition_cols)
     b = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("long")
     m = messages.withColumn("_b", b)
-    w = Window.partitionBy("_b").orderBy(order_col)
+    w = Window.partitionBy(*pc, "_b").orderBy(order_col)
     m = m.withColumn("_prev", F.lag(group_col).over(w)).withColumn("_rn", F.row_number().over(w))
-    tails = m.groupBy("_b").agg(F.max_by(F.col(group_col), F.col(order_col)).alias("_tail"),
-                                F.count(F.lit(1)).alias("_n"))
-    # previous non-empty range of each range: one row per range, ordered in one small window
-    wb = Window.orderBy("_b")
+    tails = m.groupBy(*pc, "_b").agg(F.max_by(F.col(group_col), F.col(order_col)).alias("_tail"))
+    # previous non-empty range: one row per (partition, range), a small window per partition
+    wb = Window.partitionBy(*pc).orderBy("_b")
     tails = tails.withColumn("_prev_tail", F.lag("_tail").over(wb))
-    m = m.join(tails.select("_b", "_prev_tail"), "_b", "left")
+    m = m.join(tails.select(*pc, "_b", "_prev_tail"), [*pc, "_b"], "left")
     prev = F.when(F.col("_rn") == 1, F.col("_prev_tail")).otherwise(F.col("_prev"))
     start = prev.isNull() | (prev != F.col(group_col))
     m = m.withColumn("is_start", start)
     m = m.withColumn("_local", F.sum(F.col("is_start").cast("long")).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    counts = m.groupBy("_b").agg(F.sum(F.col("is_start").cast("long")).alias("_k"))
+    counts = m.groupBy(*pc, "_b").agg(F.sum(F.col("is_start").cast("long")).alias("_k"))
     counts = counts.withColumn("_offset", F.coalesce(F.sum("_k").over(
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    m = m.join(counts.select("_b", "_offset"), "_b", "left")
+    m = m.join(counts.select(*pc, "_b", "_offset"), [*pc, "_b"], "left")
     return m.withColumn("island", F.col("_offset") + F.col("_local")) \
             .drop("_b", "_prev", "_rn", "_prev_tail", "_local", "_offset")
 
 
-def island_summary(islands: DataFrame, order_col: str, group_col: str) -> DataFrame:
-    return islands.groupBy("island").agg(
-        F.first(group_col).alias(group_col), F.min(order_col).alias("first_key"),
+def island_summary(islands: DataFrame, order_col: str, group_col: str,
+                   partition_cols: tuple[str, ...] = ()) -> DataFrame:
+    return islands.groupBy(*partition_cols, "island").agg(
+        F.min(group_col).alias(group_col), F.min(order_col).alias("first_key"),
         F.max(order_col).alias("last_key"), F.count(F.lit(1)).alias("n_messages"))
 
 
-def events_from_islands(islands: DataFrame, order_col: str, group_col: str) -> DataFrame:
+def events_from_islands(islands: DataFrame, order_col: str, group_col: str,
+                        partition_cols: tuple[str, ...] = ()) -> DataFrame:
     """I4 batch twin: START for the first message of a run, RUNNING for the
     rest, and one COMPLETE per run after its last message (end of input
     completes the last run). The COMPLETE carries no assertions."""
-    per = islands.select("island", F.col(group_col).alias("parent_run_id"), F.col(order_col).alias("msg_key"),
+    per = islands.select(*partition_cols, "island", F.col(group_col).alias("parent_run_id"),
+                         F.col(order_col).alias("msg_key"),
                          F.when(F.col("is_start"), "START").otherwise("RUNNING").alias("event_type"),
                          F.lit(0).alias("seq"))
-    ends = island_summary(islands, order_col, group_col).select(
-        "island", F.col(group_col).alias("parent_run_id"), F.col("last_key").alias("msg_key"),
+    ends = island_summary(islands, order_col, group_col, partition_cols).select(
+        *partition_cols, "island", F.col(group_col).alias("parent_run_id"), F.col("last_key").alias("msg_key"),
         F.lit("COMPLETE").alias("event_type"), F.lit(1).alias("seq"))
     return per.unionByName(ends)

@@ -13,6 +13,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -26,7 +27,9 @@ def get_session(master: str | None = None, app: str = "assay",
     """Build (or reuse) a session with the library defaults.
 
     On a cluster pass ``master=None`` and let the launcher decide; tests pass
-    ``local[N]``.
+    ``local[N]``. Size ``spark.sql.shuffle.partitions`` for the largest
+    shuffle (about its bytes / 128 MB) and let AQE coalesce the small ones;
+    AQE's skew-join splits partitions of hot keys at run time.
     """
     builder = SparkSession.builder.appName(app)
     if master:

@@ -269,3 +269,15 @@ def test_column_metrics_small(spark):
     assert m["x"]["null_count"] == 1 and m["x"]["sum"] == 4.0 and m["x"]["distinct_count"] == 2
     assert m["s"]["sum"] is None and m["s"]["count"] == 2
     assert not math.isnan(m["x"]["max"])
+
+
+def test_islands_per_source_partition(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(p, k, rnd.choice([0, 1, 1, 2])) for p in (0, 1) for k in rnd.sample(range(300), 150)]
+    df = spark.createDataFrame(rows, "p int, k long, g long")
+    got = sorted((r["p"], r["k"], r["island"]) for r in
+                 RN.run_islands(df, "k", "g", 16, partition_cols=("p",)).collect())
+    want = sorted((p, k, i) for p in (0, 1)
+                  for k, i in _brute_islands([(k, g) for q, k, g in rows if q == p]))
+    assert got == want
