@@ -151,9 +151,16 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def set_task_state(tasks: DataFrame, task_ids: DataFrame, state: int, id_col: str = "id") -> DataFrame:
-    """Tasks named in ``task_ids`` move to ``state`` (0 pending, 1 running, 2 done)."""
+    """Tasks named in ``task_ids`` move to ``state`` (0 pending, 1 running, 2 done).
+
+    Moving to running counts an attempt (``attempts``, added when missing), so
+    a task that keeps failing in state 1 is visible instead of retried silently."""
+    if state == 1 and "attempts" not in tasks.columns:
+        tasks = tasks.withColumn("attempts", F.lit(0))
     ids = task_ids.select(F.col(id_col).alias("id")).distinct()
     changed = tasks.join(ids, "id", "left_semi").withColumn("state", F.lit(state).cast(tasks.schema["state"].dataType))
+    if state == 1:
+        changed = changed.withColumn("attempts", F.coalesce(F.col("attempts"), F.lit(0)) + 1)
     return upsert(tasks, changed, ["id"])
 
 

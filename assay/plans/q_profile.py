@@ -63,3 +63,12 @@ def prof_schema(spark, sf):
               "documents", "labels"):
         rows += P.schema_rows(read_table(spark, sf, t), t)
     return spark.createDataFrame(rows, P.SCHEMA_ROWS_T)
+
+
+@register("prof_output_size")
+def prof_output_size(spark, sf):
+    """D10 size: bytes of each driver table from a metadata-only file listing; rows-only check."""
+    from ..sources.tables import list_files_by_mtime
+    files = list_files_by_mtime(spark, sf, "*.parquet")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("table_name"),
+                        F.col("length").alias("size_bytes"))

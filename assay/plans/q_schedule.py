@@ -130,3 +130,16 @@ def task_run_events(spark, sf):
     cat = _cat(spark, sf, ("dq_tasks",))
     selected = K.rule_catalog(cat, "for_schedule", tasks=spark.table("dq_tasks"))
     return SC.scheduled_run_events(selected, FIXED_NOW)
+
+
+@register("task_mark_running", _cat_body("for_schedule") + """
+select t.id, t.time, t.rule_id,
+       case when t.id in (select dq_tasks_id from cat) then 1 else t.state end as state,
+       case when t.id in (select dq_tasks_id from cat) then 1 else 0 end as attempts
+from dq_tasks t""")
+def task_mark_running(spark, sf):
+    """Tasks picked for a pass move to running and count an attempt."""
+    cat = _cat(spark, sf, ("dq_tasks",))
+    tasks = spark.table("dq_tasks")
+    selected = K.rule_catalog(cat, "for_schedule", tasks=tasks)
+    return SC.set_task_state(tasks, selected.select(F.col("dq_tasks_id").alias("id")), 1)
