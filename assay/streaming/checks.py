@@ -91,7 +91,7 @@ ISLAND_OUT = "island long, parent_run_id long, msg_key long, event_type string,
 ISLAND_STATE = "last_run long, last_key long, island long"
 
 
-def _islands(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _island_events(pdfs: Iterator[pd.DataFrame], state: GroupState) -> pd.DataFrame:
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("msg_key", kind="stable")
     if state.exists:
         last_run, last_key, island = state.get
@@ -115,16 +115,46 @@ def _islands(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
                          "msg_key": prev_keys[closes].astype("int64").values, "event_type": "COMPLETE", "seq": 1})
     if len(pdf):
         state.update((int(runs.iloc[-1]), int(keys.iloc[-1]), int(isl.iloc[-1])))
-    yield pd.concat([events, done], ignore_index=True)
+    return pd.concat([events, done], ignore_index=True)
+
+
+def _closed_run(state: GroupState) -> pd.DataFrame:
+    """Timer fired: the open run of this partition completes at its last message."""
+    last_run, last_key, island = state.get
+    state.remove()
+    return pd.DataFrame({"island": [island], "parent_run_id": [last_run], "msg_key": [last_key],
+                         "event_type": ["COMPLETE"], "seq": [1]})
+
+
+def _islands(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    yield _island_events(pdfs, state)
+
+
+def _islands_with_timeout(timeout_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield _closed_run(state)
+            return
+        out = _island_events(pdfs, state)
+        if state.exists:
+            state.setTimeoutDuration(timeout_ms)
+        yield out
+    return fn
 
 
-def islands_stream(messages: DataFrame, partition_col: str = "source_partition") -> DataFrame:
+def islands_stream(messages: DataFrame, partition_col: str = "source_partition",
+                   idle_timeout_ms: int | None = None) -> DataFrame:
     """I4: START on the first message of a run, RUNNING while the parent id
     stays, COMPLETE of the previous run when it changes; one state per source
-    partition. The last run of a partition stays open until the next change."""
-    return (messages.select(partition_col, "msg_key", "run_id")
-            .groupBy(partition_col)
-            .applyInPandasWithState(_islands, ISLAND_OUT, ISLAND_STATE, "append", GroupStateTimeout.NoTimeout))
+    partition. Without ``idle_timeout_ms`` the last run stays open until the
+    next change; with it a processing-time timer completes a run whose
+    partition has been idle that long."""
+    grouped = messages.select(partition_col, "msg_key", "run_id").groupBy(partition_col)
+    if idle_timeout_ms is None:
+        return grouped.applyInPandasWithState(_islands, ISLAND_OUT, ISLAND_STATE, "append",
+                                              GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(_islands_with_timeout(int(idle_timeout_ms)), ISLAND_OUT, ISLAND_STATE,
+                                          "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 # ---- I5 ------------------------------------------------------------------------------
