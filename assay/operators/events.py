@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 
 from ..functions import expressions as X
 
-# Schema locations written into events and facets.
-RUN_EVENT_SCHEMA_URL = "https://openlineage.io/spec/1-0-5/OpenLineage.json#/definitions/RunEvent"
-FACET_SCHEMA_BASE = "https://openlineage.io/spec/1-0-5/OpenLineage.json"
+# Schema references written into events and facets (definition fragments;
+# a deployment may prefix its spec location through ``SCHEMA_BASE``).
+SCHEMA_BASE = ""
+RUN_EVENT_SCHEMA_URL = SCHEMA_BASE + "#/definitions/RunEvent"
+FACET_SCHEMA_BASE = SCHEMA_BASE
 DQ_FACET_SCHEMA_URL = "#/definitions/DataQualityAssertionsDatasetFacet"
 PRODUCER = "assay"
 
