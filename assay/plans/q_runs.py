@@ -163,3 +163,28 @@ union all
 select island, min(run_id), max(msg_key), 'COMPLETE', 1 from i group by island""")
 def run_events_from_islands(spark, sf):
     return RN.events_from_islands(_islands(spark, sf), "msg_key", "run_id")
+
+
+@register("run_events_assertions", ISLAND_ORACLE + """
+, ev as (select island, run_id as parent_run_id, msg_key, case when s = 1 then 'START' else 'RUNNING' end as event_type
+         from i),
+ok as (select msg_key, value from messages where json_valid(value)),
+a as (select msg_key, count(*) filter (where not json_exists(value, '$.' || f)) as n_failed,
+             min(case when json_exists(value, '$.' || f) then '2' else '0' end) as state
+      from ok, (select unnest(['value', 'props', 'z']) as f) fl group by msg_key)
+select ev.island, ev.parent_run_id, ev.msg_key, ev.event_type, a.n_failed, a.state
+from ev left join a on a.msg_key = ev.msg_key""")
+def run_events_assertions(spark, sf):
+    """I1 + I4 + K5: each START / RUNNING event of the check run carries the
+    worst state and failure count of its message's presence assertions
+    (malformed messages carry none)."""
+    from ..operators import records as R
+    from . import q_checks
+    isl = _islands(spark, sf)
+    ev = RN.events_from_islands(isl, "msg_key", "run_id").filter(F.col("event_type") != "COMPLETE")
+    valid, _ = R.split_valid(q_checks._messages(spark, sf))
+    a = (R.presence_assertions(valid, q_checks.PRESENCE_FIELDS, key_col=F.col("_m")["key"].cast("long"),
+                               keep=("msg_key",))
+         .groupBy("msg_key").agg(F.count_if(~F.col("success")).alias("n_failed"), F.min("state").alias("state")))
+    return ev.join(a, "msg_key", "left").select("island", "parent_run_id", "msg_key", "event_type", "n_failed",
+                                               "state")
