@@ -70,7 +70,7 @@ MAX_BROADCAST_CRONS = 10000
 
 
 def _compiled(df: DataFrame, max_distinct: int) -> DataFrame:
-    """Attach ``_cf`` (compiled fields) and ``_tod`` (sorted minutes of day).
+    """Attach ``_cf`` (compiled fields of ``_cron_text``).
 
     Distinct expressions are compiled once and broadcast when a size check
     proves there are at most ``max_distinct`` of them; beyond that each row
@@ -78,12 +78,8 @@ def _compiled(df: DataFrame, max_distinct: int) -> DataFrame:
     distinct = df.select("_cron_text").distinct()
     if distinct.limit(max_distinct + 1).count() <= max_distinct:
         d = distinct.withColumn("_cf", cron_fields(F.col("_cron_text")))
-        d = d.withColumn("_tod", F.array_sort(F.flatten(F.transform(
-            F.col("_cf")["hours"], lambda h: F.transform(F.col("_cf")["minutes"], lambda mi: h * 60 + mi)))))
         return df.join(F.broadcast(d), df["_cron_text"].eqNullSafe(d["_cron_text"]), "left").drop(d["_cron_text"])
-    df = df.withColumn("_cf", cron_fields(F.col("_cron_text")))
-    return df.withColumn("_tod", F.array_sort(F.flatten(F.transform(
-        F.col("_cf")["hours"], lambda h: F.transform(F.col("_cf")["minutes"], lambda mi: h * 60 + mi)))))
+    return df.withColumn("_cf", cron_fields(F.col("_cron_text")))
 
 
 def with_next_fire(df: DataFrame, cron: Column, after: Column, out: str,
@@ -97,25 +93,32 @@ def with_next_fire(df: DataFrame, cron: Column, after: Column, out: str,
     df = _compiled(df, max_broadcast_crons)
     c = F.col("_cf")
     t = F.col("_after")
-    tod = F.col("_tod")
     d0 = F.to_date(t)
-    m0 = F.hour(t) * 60 + F.minute(t)
+    hrs, mins = c["hours"], c["minutes"]
+    first_min = F.try_element_at(mins, F.lit(1))
+    first_hour = F.try_element_at(hrs, F.lit(1))
 
     def first_day(lo: int, hi: int) -> Column:
         return F.try_element_at(F.filter(F.sequence(F.date_add(d0, lo), F.date_add(d0, hi)),
                                          lambda d: _day_matches(c, d)), F.lit(1))
-    same_day = F.when(_day_matches(c, d0), F.try_element_at(F.filter(tod, lambda x: x > m0), F.lit(1)))
+
     def day(k: int) -> Column:
         d = F.date_add(d0, k)
         return F.when(_day_matches(c, d), d)
+    # later the same day: next minute of this hour, else the next listed hour at its first minute
+    next_min = F.try_element_at(F.filter(mins, lambda x: x > F.minute(t)), F.lit(1))
+    next_hour = F.try_element_at(F.filter(hrs, lambda x: x > F.hour(t)), F.lit(1))
+    later_today = (F.when(F.array_contains(hrs, F.hour(t)) & next_min.isNotNull(), F.hour(t) * 60 + next_min)
+                   .when(next_hour.isNotNull(), next_hour * 60 + first_min))
+    same_day = F.when(_day_matches(c, d0), later_today)
     # most expressions fire again within a day or two: test those dates before building ranges
     later = F.coalesce(day(1), day(2), first_day(3, 31), first_day(32, SEARCH_DAYS))
-    first_tod = F.try_element_at(tod, F.lit(1))
     at = lambda d, m: F.timestamp_add("MINUTE", m, d.cast("timestamp_ntz"))
-    nxt = (F.when(t.isNull() | c.isNull() | ~c["well_formed"] | (F.size(tod) == 0), F.lit(None).cast("timestamp_ntz"))
+    empty = (F.size(hrs) == 0) | (F.size(mins) == 0)
+    nxt = (F.when(t.isNull() | c.isNull() | ~c["well_formed"] | empty, F.lit(None).cast("timestamp_ntz"))
            .when(same_day.isNotNull(), at(d0, same_day))
-           .otherwise(at(later, first_tod)))
-    return df.withColumn(out, nxt).drop("_cf", "_after", "_tod", "_cron_text")
+           .otherwise(at(later, first_hour * 60 + first_min)))
+    return df.withColumn(out, nxt).drop("_cf", "_after", "_cron_text")
 
 
 def latest_task(tasks: DataFrame) -> DataFrame:
