@@ -11,7 +11,7 @@ are left unresolved (null).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,9 +20,12 @@ from ..functions import expressions as X
 MAX_ROUNDS = 64
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialize a round in the shared checkpoint folder (eager, reliable)."""
-    return df.checkpoint(eager=True)
+def _cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """Materialize a round in the shared checkpoint folder (eager, reliable);
+    the same job counts the nodes still unresolved (an observed metric)."""
+    obs = Observation()
+    cut = df.observe(obs, F.count_if(~F.col("done")).alias("undone")).checkpoint(eager=True)
+    return cut, int(obs.get["undone"])
 
 
 def resolve_chains(nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -33,9 +36,9 @@ def resolve_chains(nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     result is null. Returns ``(node, value, done)``; nodes left undone after
     ``max_rounds`` (cycles) get a null value and ``done = false``.
     """
-    cur = _cut(nodes.select("node", "ptr", "value", "done"))
+    cur, undone = _cut(nodes.select("node", "ptr", "value", "done"))
     for _ in range(max_rounds):
-        if cur.filter(~F.col("done")).limit(1).count() == 0:
+        if undone == 0:
             break
         # only unresolved nodes take part in the join; a pointer shared by many
         # nodes (a hot parent) meets one lookup row, and AQE splits that skew
@@ -49,7 +52,7 @@ def resolve_chains(nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
             F.when(missing, F.lit(None)).when(F.col("t_done"), F.col("t_value"))
              .otherwise(F.col("value")).alias("value"),
             (missing | F.col("t_done")).alias("done"))
-        cur = _cut(cur.filter(F.col("done")).unionByName(moved))
+        cur, undone = _cut(cur.filter(F.col("done")).unionByName(moved))
     return cur.select("node", F.when(F.col("done"), F.col("value")).alias("value"), "done")
 
 
