@@ -232,3 +232,41 @@ def alerts(log: DataFrame, rules: DataFrame) -> DataFrame:
     """Mail alerts as data: failed runs of rules that ask for mail."""
     r = rules.select(F.col("entity_sample_to_dq_rule_id").cast("string").alias("rule_id"), "send_mail").distinct()
     return log.filter(F.col("status") == 0).join(r, "rule_id", "inner").filter(F.col("send_mail"))
+
+
+def record_rules(rules: DataFrame) -> DataFrame:
+    """B13 record mode: non-empty settings without ``table`` but with ``columns``,
+    for a record rule kind."""
+    from .records import RECORD_RULES
+    m = F.from_json(F.col("rule_settings"), "MAP<STRING,STRING>")
+    return rules.filter((F.length(F.coalesce(F.col("rule_settings"), F.lit(""))) > 0)
+                        & ~F.coalesce(F.map_contains_key(m, "table"), F.lit(False))
+                        & F.coalesce(F.map_contains_key(m, "columns"), F.lit(False))
+                        & F.col("rule_ref").isin(*RECORD_RULES))
+
+
+def run_record_rules(records: DataFrame, rules: DataFrame, id_col: str = "id",
+                     rule_id_col: str = "entity_sample_to_dq_rule_id") -> DataFrame:
+    """K2: every record-mode rule over every record: one assertion per
+    (rule, record, column), state 2 on success else 0, the message carrying
+    the record id. Each distinct definition is one projection of the records;
+    bindings join back by definition."""
+    from .records import record_assertions
+    bindings = record_rules(rules).select(F.col(rule_id_col).cast("string").alias("rule_id"),
+                                          "rule_ref", "rule_settings").distinct()
+    defs = [Definition(r["rule_ref"], r["rule_settings"])
+            for r in bindings.select("rule_ref", "rule_settings").distinct().collect()]
+    parts = []
+    for d in sorted(defs, key=lambda x: (x.rule_ref, x.settings)):
+        s = d.s
+        a = record_assertions(records, d.rule_ref, s["columns"].split(";"), s, id_col=id_col, keep=(id_col,))
+        parts.append(a.select(F.lit(d.rule_ref).alias("rule_ref"), F.lit(d.settings).alias("rule_settings"),
+                              F.col(id_col).alias("record_id"), "assertion", "column", "success", "state", "msg"))
+    if not parts:
+        return records.sparkSession.createDataFrame(
+            [], "rule_id string, record_id string, assertion string, column string, success boolean, "
+                "state string, msg string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return bindings.join(out, ["rule_ref", "rule_settings"], "inner").drop("rule_settings")

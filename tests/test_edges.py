@@ -281,3 +281,19 @@ def test_islands_per_source_partition(spark):
     want = sorted((p, k, i) for p in (0, 1)
                   for k, i in _brute_islands([(k, g) for q, k, g in rows if q == p]))
     assert got == want
+
+
+def test_record_rules_from_catalog(spark):
+    from assay.operators import suite as S
+    rules = spark.createDataFrame([
+        (1, "not_null", '{"columns":"a;b"}'),
+        (2, "check_condition", '{"columns":"b","regex":"^x"}'),
+        (3, "not_null", '{"table":"t","columns":"a"}'),      # table rule: skipped in record mode
+        (4, "check_uniqueness", '{"columns":"a"}'),          # not a record rule
+        (5, "not_null", ""),
+    ], "entity_sample_to_dq_rule_id long, rule_ref string, rule_settings string")
+    recs = spark.createDataFrame([(10, 1, "xy"), (11, None, "zz")], "id long, a int, b string")
+    got = sorted((r["rule_id"], r["record_id"], r["column"], r["success"])
+                 for r in S.run_record_rules(recs, rules).collect())
+    assert got == [("1", 10, "a", True), ("1", 10, "b", True), ("1", 11, "a", False), ("1", 11, "b", True),
+                   ("2", 10, "b", True), ("2", 11, "b", False)]
