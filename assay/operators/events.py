@@ -79,13 +79,17 @@ def build_events(run_log: DataFrame, inputs: DataFrame, outputs: DataFrame, asse
     a = (assertions.groupBy("ol_id").agg(F.array_sort(F.collect_list(F.struct(
         "assertion", "column", "msg", F.col("rule_id").cast("string").alias("rule_id"), "state", "success"
     ))).alias("assertions")))
+    empty_facets = F.struct(F.lit(None).cast(DATASET_T["facets"].dataType["dataQuality"].dataType)
+                            .alias("dataQuality"))  # renders as {} (null members are dropped)
     carrier = a.select("ol_id", F.struct(
         F.struct(F.struct(*_facet_base(DQ_FACET_SCHEMA_URL), "assertions").alias("dataQuality")).alias("facets"),
-        F.lit(CARRIER_NAME).alias("name"), F.lit(CARRIER_NAMESPACE).alias("namespace")).alias("ds"))
-    no_facets = F.lit(None).cast(DATASET_T["facets"].dataType)
-    ins = inputs.select("ol_id", F.struct(no_facets.alias("facets"), "name", F.col("ns").alias("namespace")).alias("ds"))
+        F.struct().alias("inputFacets"), F.lit(CARRIER_NAME).alias("name"),
+        F.lit(CARRIER_NAMESPACE).alias("namespace")).alias("ds"))
+    ins = inputs.select("ol_id", F.struct(empty_facets.alias("facets"), F.struct().alias("inputFacets"), "name",
+                                          F.col("ns").alias("namespace")).alias("ds"))
     ins = ins.unionByName(carrier).groupBy("ol_id").agg(F.array_sort(F.collect_list("ds")).alias("inputs"))
-    outs = (outputs.select("ol_id", F.struct(no_facets.alias("facets"), "name", F.col("ns").alias("namespace")).alias("ds"))
+    outs = (outputs.select("ol_id", F.struct(empty_facets.alias("facets"), "name", F.col("ns").alias("namespace"),
+                                             F.struct().alias("outputFacets")).alias("ds"))
             .groupBy("ol_id").agg(F.array_sort(F.collect_list("ds")).alias("outputs")))
     e = run_log.join(ins, run_log["id"] == ins["ol_id"], "left").drop("ol_id") \
                .join(outs, run_log["id"] == outs["ol_id"], "left").drop("ol_id")
