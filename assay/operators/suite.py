@@ -245,17 +245,13 @@ def record_rules(rules: DataFrame) -> DataFrame:
                         & F.col("rule_ref").isin(*RECORD_RULES))
 
 
-def run_record_rules(records: DataFrame, rules: DataFrame, id_col: str = "id",
-                     rule_id_col: str = "entity_sample_to_dq_rule_id") -> DataFrame:
-    """K2: every record-mode rule over every record: one assertion per
-    (rule, record, column), state 2 on success else 0, the message carrying
-    the record id. Each distinct definition is one projection of the records;
-    bindings join back by definition."""
+def evaluate_record_rules(records: DataFrame, rules: DataFrame, id_col: str = "id") -> DataFrame:
+    """K2 at definition grain: each distinct record-mode definition applied to
+    every record, one projection of the records per definition. Rows:
+    ``(rule_ref, rule_settings, record_id, assertion, column, success, state, msg)``."""
     from .records import record_assertions
-    bindings = record_rules(rules).select(F.col(rule_id_col).cast("string").alias("rule_id"),
-                                          "rule_ref", "rule_settings").distinct()
     defs = [Definition(r["rule_ref"], r["rule_settings"])
-            for r in bindings.select("rule_ref", "rule_settings").distinct().collect()]
+            for r in record_rules(rules).select("rule_ref", "rule_settings").distinct().collect()]
     parts = []
     for d in sorted(defs, key=lambda x: (x.rule_ref, x.settings)):
         s = d.s
@@ -264,9 +260,21 @@ def run_record_rules(records: DataFrame, rules: DataFrame, id_col: str = "id",
                               F.col(id_col).alias("record_id"), "assertion", "column", "success", "state", "msg"))
     if not parts:
         return records.sparkSession.createDataFrame(
-            [], "rule_id string, record_id string, assertion string, column string, success boolean, "
-                "state string, msg string")
+            [], "rule_ref string, rule_settings string, record_id string, assertion string, column string, "
+                "success boolean, state string, msg string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    return out
+
+
+def run_record_rules(records: DataFrame, rules: DataFrame, id_col: str = "id",
+                     rule_id_col: str = "entity_sample_to_dq_rule_id") -> DataFrame:
+    """K2 per binding: one assertion per (rule, record, column), state 2 on
+    success else 0, the message carrying the record id (the reference's
+    per-record run for an asset). Definitions are evaluated once; bindings
+    join back by definition, so use it on an asset's rules, not a whole catalog."""
+    bindings = record_rules(rules).select(F.col(rule_id_col).cast("string").alias("rule_id"),
+                                          "rule_ref", "rule_settings").distinct()
+    out = evaluate_record_rules(records, rules, id_col)
     return bindings.join(out, ["rule_ref", "rule_settings"], "inner").drop("rule_settings")

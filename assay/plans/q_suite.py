@@ -139,3 +139,32 @@ def task_check_assertions(spark, sf):
     tasks = selected.select("dq_tasks_id", F.col("entity_sample_to_dq_rule_id").alias("rule_id")).distinct()
     return tasks.join(res, "rule_id", "inner").select("dq_tasks_id", "rule_id", "assertion", "column", "success",
                                                       "state", "msg")
+
+
+_REC_DEFS_SQL = """
+, defs as (select distinct rule_ref, rule_settings from cat
+           where length(coalesce(rule_settings, '')) > 0
+             and json_extract_string(rule_settings, '$.table') is null
+             and json_extract_string(rule_settings, '$.columns') is not null
+             and rule_ref in ('not_null', 'check_condition')),
+cols as (select d.rule_ref, d.rule_settings, json_extract_string(d.rule_settings, '$.regex') as rx,
+                unnest(string_split(json_extract_string(d.rule_settings, '$.columns'), ';')) as col from defs d),
+cells as (select c.rule_ref, c.rule_settings, c.rx, c.col, k.c_custkey,
+                 case c.col when 'c_name' then k.c_name when 'c_mktsegment' then k.c_mktsegment end as v
+          from cols c, customer k)
+select rule_ref, c_custkey as record_id, rule_ref as assertion, col as "column",
+       case when rule_ref = 'not_null' then v is not null else coalesce(regexp_matches(v, rx), false) end as success,
+       case when (case when rule_ref = 'not_null' then v is not null
+                       else coalesce(regexp_matches(v, rx), false) end) then '2' else '0' end as state,
+       concat('Идентификатор записи ', cast(c_custkey as varchar)) as msg
+from cells"""
+
+
+@register("rec_rules_catalog", _suite_oracle("", mode="regular").split("\nb as (")[0].rstrip(",") + _REC_DEFS_SQL)
+def rec_rules_catalog(spark, sf):
+    """K2 + B13: every distinct record-mode definition of the regular catalog
+    applied to every customer record (definition grain; bindings are not
+    multiplied into the records)."""
+    cat = K.rule_catalog(_cat(spark, sf), "regular")
+    recs = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment")
+    return S.evaluate_record_rules(recs, cat).drop("rule_settings")

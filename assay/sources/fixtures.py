@@ -92,7 +92,8 @@ select o_orderkey as id, o_custkey % 9 as dq_rule_id, o_custkey as entity_sample
                    when 1 then '{CRON_LITERALS[2]}' when 2 then '{CRON_LITERALS[3]}'
                    else '{CRON_LITERALS[0]}' end,
               '","path":"lineitem","count":"60000"}}')
-         when 4 then ''
+         when 4 then case when cast(floor(o_orderkey / 6) as bigint) % 2 = 0 then ''
+                     else '{{"columns":"c_name;c_mktsegment","regex":"^Customer#0+[1-9]"}}' end
          else null end as settings,
        o_orderkey % 2 = 0 as send_mail,
        case cast(floor(o_orderkey / 7) as bigint) % 3 when 0 then true when 1 then false else null end as disabled
