@@ -50,13 +50,17 @@ def presence_stream(messages: DataFrame, fields: list[str], key_col: str = "msg_
 # ---- I2 --------------------------------------------------------------------------
 
 def deviation_batch_writer(table: DataFrame, spec: list[tuple[str, float, float]], out_path: str,
-                           key_col: str = "msg_key"):
-    """``foreachBatch`` body: the average is recomputed for each micro-batch
-    (one aggregate, a scalar subquery), then each message is compared with it.
+                           key_col: str = "msg_key", averages: DataFrame | None = None):
+    """``foreachBatch`` body: each message is compared with the table
+    average. By default the average is recomputed once per micro-batch (one
+    aggregate entering as a scalar subquery; the reference queried it per
+    message). For a very large table pass ``averages``: a maintained one-row
+    table with ``avg_<field>`` columns (e.g. refreshed by a scheduled job),
+    so a micro-batch reads one row instead of the table.
     Writes are keyed by batch id, so a replayed batch overwrites its own output."""
     def write(batch: DataFrame, batch_id: int) -> None:
         valid = batch.withColumn("_m", R.parse_message(F.col("value"))).filter(F.col("_m").isNotNull())
-        avgs = R.averages_for(table, [f for f, _, _ in spec])
+        avgs = averages if averages is not None else R.averages_for(table, [f for f, _, _ in spec])
         out = R.deviation_assertions(valid, avgs, spec, key_col=F.col("_m")["key"].cast("long"), keep=(key_col,))
         out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
             .parquet(f"{out_path}/batch_id={batch_id}")
