@@ -84,6 +84,40 @@ def inherited_deadline(run_log: DataFrame) -> DataFrame:
     return res.select(F.col("node").alias("run_id"), F.col("value").alias("based_end_time"))
 
 
+def deadlines_for(run_log: DataFrame, run_ids: DataFrame, max_depth: int = MAX_ROUNDS) -> DataFrame:
+    """J2 for selected runs only (``run_ids`` has a ``run_id`` column): walk up
+    from each requested run through the stored COMPLETE rows, one level per
+    round. Only the frontier of runs still walking is carried (checkpointed,
+    one job per round), and AQE broadcasts it when small, so a micro-batch
+    pays a few scans of the stored COMPLETE rows instead of a walk over all
+    runs. Returns ``(run_id, based_end_time)`` for the requested runs."""
+    comp = first_per_key(run_log.filter(F.col("event_type") == "COMPLETE")
+                         .select("id", "run_id", "parent_run_id", "nominal_end_time"), "run_id", "id")
+    comp = comp.select(F.col("run_id").alias("c_run"), F.col("parent_run_id").alias("c_parent"),
+                       F.col("nominal_end_time").alias("c_end"))
+    frontier = (run_ids.select(F.col("run_id").alias("origin")).filter(F.col("origin").isNotNull()).distinct()
+                .select("origin", F.col("origin").alias("cur"), F.lit(False).alias("done")))
+    frontier, walking = _cut(frontier)
+    finished = []
+    for _ in range(max_depth):
+        if walking == 0:
+            break
+        step = frontier.join(comp, frontier["cur"] == comp["c_run"], "left")
+        stop = F.col("c_run").isNull() | F.col("c_parent").isNull()
+        finished.append(step.filter(stop).select(
+            F.col("origin").alias("run_id"),
+            F.when(F.col("c_run").isNotNull(), F.col("c_end")).alias("based_end_time")))
+        frontier, walking = _cut(step.filter(~stop).select("origin", F.col("c_parent").alias("cur"),
+                                                            F.lit(False).alias("done")))
+    requested = run_ids.select(F.col("run_id")).filter(F.col("run_id").isNotNull()).distinct()
+    if not finished:
+        return requested.withColumn("based_end_time", F.lit(None).cast("timestamp_ntz"))
+    out = finished[0]
+    for f in finished[1:]:
+        out = out.unionByName(f)
+    return requested.join(out, "run_id", "left")
+
+
 def run_log_extended(run_log: DataFrame, deadlines: DataFrame | None = None) -> DataFrame:
     """Each event with the inherited deadline of its parent run."""
     d = deadlines if deadlines is not None else inherited_deadline(run_log)

@@ -73,7 +73,7 @@ def shred_batch_writer(base_path: str):
     """``foreachBatch`` body: parse, validate and shred events into the
     run log, inputs, outputs and assertions; rejected events go to the
     exception table (I7); COMPLETE events get a timeliness assertion from the
-    run log stored so far (as of arrival). Output folders are per batch id, so
+    run log stored so far (as of arrival), walking up only from this batch's parents. Output folders are per batch id, so
     replaying a batch replaces its rows instead of duplicating them."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -83,8 +83,9 @@ def shred_batch_writer(base_path: str):
             parts[name].write.mode("overwrite").parquet(f"{base_path}/{name}/batch_id={batch_id}")
         EV.rejected(parsed).write.mode("overwrite").parquet(f"{base_path}/exceptions/batch_id={batch_id}")
         stored = spark.read.parquet(f"{base_path}/run_log").drop("batch_id")
-        late = RN.timeliness_assertions(stored).join(
-            parts["run_log"].select(F.col("id").alias("ol_id")), "ol_id", "left_semi")
+        done = parts["run_log"].filter(F.col("event_type") == "COMPLETE")
+        parents = done.select(F.col("parent_run_id").alias("run_id"))
+        late = RN.timeliness_assertions(done, RN.deadlines_for(stored, parents))
         late.write.mode("overwrite").parquet(f"{base_path}/timeliness/batch_id={batch_id}")
     return write
 

@@ -45,6 +45,9 @@ def test_deadline_and_leaf_match_brute_force(spark, seed):
             run = c[2]
     got = {r["run_id"]: r["based_end_time"] for r in RN.inherited_deadline(log).collect()}
     assert got == {r: deadline(r) for r in complete}
+    asked = spark.createDataFrame([(r,) for r in list(parent)[::3]] + [(None,), (10_000,)], "run_id long")
+    part = {r["run_id"]: r["based_end_time"] for r in RN.deadlines_for(log, asked).collect()}
+    assert part == {**{r: deadline(r) for r in list(parent)[::3]}, 10_000: None}
 
     starts = {r[1]: r for r in rows if r[3] == "START"}
     children = {}
