@@ -85,3 +85,52 @@ def test_fused_checks_match_brute_force(spark, seed):
         vals = sorted(v for (c, v), n in want.items() if c == col and n > 1)
         assert summ[col][0] == len(vals)
         assert f'"{vals[0]}" ' in summ[col][1]
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_pipeline_names_match_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    n = 60
+    runs = []
+    for r in range(1, n + 1):
+        p = None if r <= 3 or rnd.random() < 0.1 else rnd.randint(max(1, r - 15), r - 1)
+        runs.append((r * 10, r, p, "START", T0, "DQ tool" if rnd.random() < 0.2 else "etl", None, None))
+    log = spark.createDataFrame(runs, "id long, run_id long, parent_run_id long, event_type string, "
+                                      "event_time timestamp_ntz, producer string, nominal_end_time timestamp_ntz, "
+                                      "nominal_start_time timestamp_ntz")
+    assets = {a: (rnd.choice([None, 1, 2, 3]), rnd.choice([None, 100 + a])) for a in range(1, 40)}
+    systems = {1: "S1", 2: "S2"}          # system 3 is missing
+    entities = {100 + a: f"E{a}" for a in range(1, 40) if a % 4}  # some entities missing
+    ins = [(r * 10, str(rnd.randint(1, 45)), "in") for r in range(1, n + 1) for _ in range(rnd.randint(0, 2))]
+    outs = [(r * 10, str(rnd.randint(1, 45)), "out") for r in range(1, n + 1) for _ in range(rnd.randint(0, 2))]
+    mk = lambda rows: spark.createDataFrame(rows, "ol_id long, ns string, name string")
+    da = spark.createDataFrame([(a, s, e) for a, (s, e) in assets.items()], "id long, system_id long, entity_id long")
+    sy = spark.createDataFrame(list(systems.items()), "id long, name string")
+    en = spark.createDataFrame(list(entities.items()), "id long, name string")
+    got = {r["run_id"]: r["full_name"] for r in RN.pipeline_names(log, mk(ins), mk(outs), da, sy, en).collect()}
+
+    def label(ns):
+        a = assets.get(int(ns))
+        if a is None or a[1] not in entities:
+            return None
+        return f"{entities[a[1]]} ({systems.get(a[0], '')})"
+    prod = {r[1]: r[5] for r in runs}
+    children = {}
+    for _, r, p, *_rest in runs:
+        if p is not None and prod[r] != "DQ tool":
+            children.setdefault(p, []).append(r)
+
+    def leaf(r):
+        while r in children:
+            r = min(children[r])
+        return r
+
+    def name(r):
+        first = min((lab for e, ns, _ in ins if e == r * 10 for lab in [label(ns)] if lab), default=None)
+        lf = leaf(r)
+        last = None
+        if prod[lf] != "DQ tool":
+            last = min((lab for e, ns, _ in outs if e == lf * 10 for lab in [label(ns)] if lab), default=None)
+        res = first or ""
+        return res if last is None else f"{res} - {last}"
+    assert got == {r: name(r) for r in range(1, n + 1)}
