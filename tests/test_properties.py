@@ -134,3 +134,36 @@ def test_pipeline_names_match_brute_force(spark, seed):
         res = first or ""
         return res if last is None else f"{res} - {last}"
     assert got == {r: name(r) for r in range(1, n + 1)}
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_monitor_states_match_brute_force(spark, seed):
+    from assay.operators import monitor as M
+    rnd = random.Random(seed)
+    events = []
+    for r in range(1, 50):
+        p = None if r <= 3 else rnd.randint(1, r - 1)
+        for k, et in enumerate(["START", "RUNNING", "COMPLETE", "FAIL"]):
+            if k == 0 or rnd.random() < 0.5:
+                events.append((r * 10 + k, r, p, et, T0, "etl", None, None))
+    ids = [e[0] for e in events]
+    asr = [(rnd.choice(ids + [99999]), rnd.choice(["0", "1", "2"]), rnd.choice([None, "a", "b", "c"]))
+           for _ in range(150)]
+    log = spark.createDataFrame(events, "id long, run_id long, parent_run_id long, event_type string, "
+                                        "event_time timestamp_ntz, producer string, nominal_end_time timestamp_ntz, "
+                                        "nominal_start_time timestamp_ntz")
+    a = spark.createDataFrame(asr, "ol_id long, state string, msg string")
+    got = {r["id"]: (r["state"], r["state_local"], r["assertion_msg"])
+           for r in M.monitor_runs(log, a, materialize=False).collect()}
+    by_id = {e[0]: e for e in events}
+    want = {}
+    for e in events:
+        if e[3] != "START":
+            continue
+        child_ids = {x[0] for x in events if x[2] == e[1]}
+        run_ids = {x[0] for x in events if x[1] == e[1]}
+        st = min((s for o, s, _ in asr if o == e[0] or o in child_ids), default=None)
+        loc = min((s for o, s, _ in asr if o in run_ids), default=None)
+        msgs = [m for o, s, m in asr if m is not None and ((o == e[0] and s == st) or o in child_ids)]
+        want[e[0]] = (st, loc, min(msgs, default=None))
+    assert by_id and got == want
