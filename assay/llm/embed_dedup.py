@@ -128,33 +128,35 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREE
             x = unit(np.array(part["v"].tolist(), float))
             forest[int(dim)] = [grow(x, sizes[dim], np.random.default_rng([SEED, t])) for t in range(trees)]
     model = classes.sparkSession.sparkContext.broadcast(forest)  # as large as the sample at most
-    fields = "label int, dim int, leaf long, id long, w long, tokens array<long>, v array<double>"
-    fields = fields.replace("label int", f"label {classes.schema['label'].dataType.simpleString()}")
+    label, given = (vectors.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    number = given if given in ("array<float>", "array<double>") else "array<double>"
+    fields = f"label {label}, dim int, leaf int, id long, w long, tokens array<int>, v {number}"
 
     def drop(batches):
-        for b in batches:
+        for b in (b.iloc[i:i + 512] for b in batches for i in range(0, len(b), 512)):
             for dim, part in b.groupby("dim"):
+                given = part["v"].to_numpy()
                 x = unit(np.array(part["v"].tolist(), float))
                 own: list[list[int]] = [[] for _ in range(len(part))]
                 for t, tree in enumerate(model.value.get(int(dim), [[None]])):
                     for leaf, at in leaves(tree, x):
                         for i in at.tolist():
-                            own[i].append(t << 32 | leaf)
+                            own[i].append(t << 24 | leaf)
                 copies = [len(o) for o in own]
                 at = np.repeat(np.arange(len(part)), copies)
                 yield pd.DataFrame({"label": part["label"].to_numpy()[at], "dim": dim, "leaf": [l for o in own for l in o],
                                     "id": part["id"].to_numpy()[at], "w": part["w"].to_numpy()[at],
-                                    "tokens": [np.array(own[i], np.int64) for i in at], "v": [x[i] for i in at]})
+                                    "tokens": [own[i] for i in at], "v": given[at]})
 
     def compare(key, part):
         part = part.sort_values("id")
-        x = np.array(part["v"].tolist(), float)
-        count, root = compared(x, part["w"].to_numpy(), list(part["tokens"]), int(key[2]), least)
+        x = unit(np.array(part["v"].tolist(), float))
+        count, root = compared(x, part["w"].to_numpy(), [np.asarray(t, np.int64) for t in part["tokens"]], int(key[2]), least)
         ids = part["id"].to_numpy()
         some = (count > 0) | (root != np.arange(len(ids)))
         return pd.DataFrame({"id": ids[some], "n": count[some], "root": ids[root[some]]})
 
-    met = common.materialize(classes.select("label", "dim", "id", "w", "v").mapInPandas(drop, fields)
+    met = common.materialize(classes.select("label", "dim", "id", "w", F.col("v").cast(number).alias("v")).mapInPandas(drop, fields)
                              .groupBy("label", "dim", "leaf").applyInPandas(compare, "id long, n long, root long"), "met")
     links = met.groupBy("id").agg(F.sum("n").alias("n"))
     parts = common.connected_components(met.select(F.col("id").alias("u"), F.col("root").alias("v")), "vectors")
