@@ -71,8 +71,8 @@ def sample_copies(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, most: int
 def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as it was taken."""
     rows = common.with_row_id(docs, "mixed")
-    taken = sample_copies(rows, seed, weights, most).filter("copies > 0").select("_rid", "copies")
-    return (rows.join(taken, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    taken = sample_copies(rows, seed, weights, most).filter("copies > 0").select("_rid", F.col("copies").alias("_copies"))
+    return (rows.join(taken, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
             .select(*docs.columns))
 
 
@@ -98,7 +98,7 @@ o as (
 f as (
   select *, (t - caps_before)::double / (w_all - w_before) as share from o),
 l as (
-  select min(share) filter (where share * w <= 3 * source_size) as share from f),
+  select arg_min(share, w_before) filter (where share * w <= 3 * source_size) as share from f),
 g as (
   select nul, name, source_size,
          case when l.share * w > 3 * source_size then (3 * source_size)::double else l.share * w end as target
