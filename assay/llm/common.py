@@ -101,5 +101,11 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
             .unionByName(roots.withColumn("root", F.col("node"))))
 
 
+def once(c: Column) -> Column:
+    """A boolean column that is not moved below the projection that makes it: filters on that projection's columns would
+    otherwise be rewritten in terms of the text, inside lambdas too, and work it out anew for each word."""
+    return c & (F.monotonically_increasing_id() >= 0)
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -134,7 +134,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = docs.select(*keep, text.alias("_text"), F.lower(text).alias("_low"))
     gate = common.any_of([F.contains("_low", F.lit(g)) for g in GATE]) | F.col("_low").rlike(GATE_RX)
     rows = rows.select(*keep, F.regexp_count("_text", F.lit(RAW_WORD)).cast("long").alias("n_words"),
-                       F.when(gate, norm).alias("_norm"))
+                       F.when(common.once(gate), norm).alias("_norm"))
     base = F.flatten(F.array(*[F.transform(
         F.when(F.contains("_norm", F.lit(f" {p} ")), places(F.col("_norm"), F.lit(p))).otherwise(F.array()),
         labelled(label)) for p, label in BASE]))

@@ -88,7 +88,8 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.when(F.size("_left") < F.size("_lines"), F.array_join("_left", "\n")).otherwise(F.col("_text")).alias("_clean"),
         F.when(F.size("_left") < F.size("_lines"), F.length(left)).otherwise(F.col("word_chars")).cast("long").alias("clean_chars"),
         (F.size("_lines") - F.size("_left")).cast("long").alias("n_lines_cut"), failed.alias("base_failed"))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("clean_chars") >= F.col("word_chars") * (1 - MAX_LOST)))
+    return rows.withColumn("kept", common.once(
+        ~F.col("base_failed") & (F.col("clean_chars") >= F.col("word_chars") * (1 - MAX_LOST))))
 
 
 def clean(docs: DataFrame) -> DataFrame:
