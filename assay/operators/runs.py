@@ -5,20 +5,21 @@ walk is pointer jumping over a (node -> pointer) DataFrame: each round joins
 the table with itself, so a chain of depth d resolves in about log2(d)
 rounds, each a distributed join. Lineage is cut with ``checkpoint()`` into
 the shared checkpoint folder every round, so a lost executor recomputes one
-round, not the whole walk. A round cap stops cycles; nodes still moving then
-are left unresolved (null).
+round, not the whole walk. There is no depth cap: every round resolves at
+least one node that does not lead into a cycle, so a round that resolves none
+means only cycles are left, and those nodes are null.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 
-MAX_ROUNDS = 64
-
 
 def _cut(df: DataFrame) -> tuple[DataFrame, int]:
     """Materialize a round in the shared checkpoint folder (eager, reliable);
@@ -28,18 +29,18 @@ def _cut(df: DataFrame) -> tuple[DataFrame, int]:
     return cut, int(obs.get["undone"])
 
 
-def resolve_chains(nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def resolve_chains(nodes: DataFrame) -> DataFrame:
     """Follow pointers to the end of each chain.
 
     ``nodes``: ``(node, ptr, value, done)``. A done node carries its final
     ``value``. An undone node points at ``ptr``; if ``ptr`` is not a node the
-    result is null. Returns ``(node, value, done)``; nodes left undone after
-    ``max_rounds`` (cycles) get a null value and ``done = false``.
+    result is null. Returns ``(node, value, done)``; nodes that lead into a cycle get a
+    null value and ``done = false``.
     """
     cur, undone = _cut(nodes.select("node", "ptr", "value", "done"))
-    for _ in range(max_rounds):
-        if undone == 0:
-            break
+    before = None
+    while undone and undone != before:
+        before = undone
         # only unresolved nodes take part in the join; a pointer shared by many
         # nodes (a hot parent) meets one lookup row, and AQE splits that skew
         t = cur.select(F.col("node").alias("t_node"), F.col("ptr").alias("t_ptr"),
@@ -84,38 +85,37 @@ def inherited_deadline(run_log: DataFrame) -> DataFrame:
     return res.select(F.col("node").alias("run_id"), F.col("value").alias("based_end_time"))
 
 
-def deadlines_for(run_log: DataFrame, run_ids: DataFrame, max_depth: int = MAX_ROUNDS) -> DataFrame:
+def deadlines_for(run_log: DataFrame, run_ids: DataFrame) -> DataFrame:
     """J2 for selected runs only (``run_ids`` has a ``run_id`` column): walk up
     from each requested run through the stored COMPLETE rows, one level per
-    round. Only the frontier of runs still walking is carried (checkpointed,
-    one job per round), and AQE broadcasts it when small, so a micro-batch
-    pays a few scans of the stored COMPLETE rows instead of a walk over all
-    runs. Returns ``(run_id, based_end_time)`` for the requested runs."""
+    round, however deep. The COMPLETE rows are reduced and written once per
+    call; each round is one job over them and the frontier of runs still
+    walking. A walk that enters a cycle ends with null: it is told by a marked
+    run that moves to the current one whenever the step count doubles.
+    Returns ``(run_id, based_end_time)`` for the requested runs."""
     comp = first_per_key(run_log.filter(F.col("event_type") == "COMPLETE")
                          .select("id", "run_id", "parent_run_id", "nominal_end_time"), "run_id", "id")
     comp = comp.select(F.col("run_id").alias("c_run"), F.col("parent_run_id").alias("c_parent"),
-                       F.col("nominal_end_time").alias("c_end"))
-    frontier = (run_ids.select(F.col("run_id").alias("origin")).filter(F.col("origin").isNotNull()).distinct()
-                .select("origin", F.col("origin").alias("cur"), F.lit(False).alias("done")))
-    frontier, walking = _cut(frontier)
-    finished = []
-    for _ in range(max_depth):
-        if walking == 0:
-            break
-        step = frontier.join(comp, frontier["cur"] == comp["c_run"], "left")
-        stop = F.col("c_run").isNull() | F.col("c_parent").isNull()
-        finished.append(step.filter(stop).select(
-            F.col("origin").alias("run_id"),
-            F.when(F.col("c_run").isNotNull(), F.col("c_end")).alias("based_end_time")))
-        frontier, walking = _cut(step.filter(~stop).select("origin", F.col("c_parent").alias("cur"),
-                                                            F.lit(False).alias("done")))
-    requested = run_ids.select(F.col("run_id")).filter(F.col("run_id").isNotNull()).distinct()
+                       F.col("nominal_end_time").alias("c_end")).checkpoint(eager=True)
+    requested = run_ids.select("run_id").filter(F.col("run_id").isNotNull()).distinct()
+    frontier, walking = _cut(requested.select(
+        F.col("run_id").alias("origin"), F.col("run_id").alias("cur"), F.col("run_id").alias("mark"),
+        F.lit(False).alias("done"), F.lit(None).cast("timestamp_ntz").alias("c_end")))
+    finished, steps, turn = [], 0, 1
+    while walking:
+        steps += 1
+        walk = frontier.filter(~F.col("done")).select("origin", "cur", "mark")
+        step = walk.join(comp, walk["cur"] == comp["c_run"], "left")
+        over = F.col("c_run").isNull() | F.col("c_parent").isNull() | (F.col("c_parent") == F.col("mark"))
+        mark = F.col("c_parent") if steps == turn else F.col("mark")
+        turn = 2 * turn if steps == turn else turn
+        frontier, walking = _cut(step.select(
+            "origin", F.col("c_parent").alias("cur"), mark.alias("mark"), over.alias("done"),
+            F.when(F.col("c_run").isNotNull() & F.col("c_parent").isNull(), F.col("c_end")).alias("c_end")))
+        finished.append(frontier.filter("done").select(F.col("origin").alias("run_id"), F.col("c_end").alias("based_end_time")))
     if not finished:
         return requested.withColumn("based_end_time", F.lit(None).cast("timestamp_ntz"))
-    out = finished[0]
-    for f in finished[1:]:
-        out = out.unionByName(f)
-    return requested.join(out, "run_id", "left")
+    return reduce(DataFrame.unionByName, finished)
 
 
 def run_log_extended(run_log: DataFrame, deadlines: DataFrame | None = None) -> DataFrame:

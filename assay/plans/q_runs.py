@@ -25,7 +25,7 @@ DEADLINE_CTES = """
 walk as (select run_id as origin, run_id as cur, parent_run_id as parent, net, 0 as depth from comp
          union all
          select w.origin, c.run_id, c.parent_run_id, c.net, w.depth + 1
-         from walk w join comp c on c.run_id = w.parent where w.depth < 64),
+         from walk w join comp c on c.run_id = w.parent),
 last_step as (select w.origin, w.parent, w.net from walk w
               join (select origin, max(depth) as d from walk group by origin) m
               on m.origin = w.origin and m.d = w.depth),
@@ -39,7 +39,7 @@ LEAF_CTES = """
 lwalk as (select run_id as origin, run_id as cur, 0 as depth
           from (select distinct run_id from run_log where event_type = 'START')
           union all
-          select w.origin, n.child, w.depth + 1 from lwalk w join nxt n on n.run_id = w.cur where w.depth < 64),
+          select w.origin, n.child, w.depth + 1 from lwalk w join nxt n on n.run_id = w.cur),
 leaf as (select w.origin as run_id, w.cur as leaf_run_id from lwalk w
          join (select origin, max(depth) as d from lwalk group by origin) m on m.origin = w.origin and m.d = w.depth)
 """
@@ -73,6 +73,37 @@ def run_deadline(spark, sf):
     return RN.inherited_deadline(v["run_log"])
 
 
+#: chains of 200 runs: each order's parent is the one before it, but for every 200th
+_DEEP = """with deep as (
+  select o_orderkey * 4 as id, o_orderkey as run_id,
+         case when o_orderkey % 200 = 0 then null else o_orderkey - 1 end as parent_run_id,
+         'COMPLETE' as event_type, o_orderdate as event_time,
+         case when o_orderkey % 200 = 0 then o_orderdate end as nominal_end_time
+  from orders)
+"""
+_DEEP_ORACLE = _DEEP + """
+select d.run_id, r.event_time as based_end_time from deep d
+left join deep r on r.run_id = d.run_id - d.run_id % 200"""
+
+
+def _deep(spark, sf):
+    register_fixtures(spark, sf, ("run_log",))
+    return spark.sql(_DEEP + "select * from deep")
+
+
+@register("run_deadline_deep", _DEEP_ORACLE)
+def run_deadline_deep(spark, sf):
+    """J2 over chains of 200 runs, by pointer jumping."""
+    return RN.inherited_deadline(_deep(spark, sf))
+
+
+@register("run_deadline_deep_for", _DEEP_ORACLE)
+def run_deadline_deep_for(spark, sf):
+    """J2 over chains of 200 runs as the streaming consumer walks them."""
+    log = _deep(spark, sf)
+    return RN.deadlines_for(log, log.select("run_id"))
+
+
 @register("run_extended", duckdb_with("run_log", recursive=True) + DEADLINE_CTES + """
 select d.based_end_time, r.* from run_log r left join deadline d on d.run_id = r.parent_run_id""")
 def run_extended(spark, sf):

@@ -133,7 +133,7 @@ def test_cycle_stops(spark):
                            (2, 2, 1, "COMPLETE", t, "etl", None, None)])
     nodes = log.select(F.col("run_id").alias("node"), F.col("parent_run_id").alias("ptr"),
                        F.lit(None).cast("timestamp_ntz").alias("value"), F.lit(False).alias("done"))
-    got = RN.resolve_chains(nodes, max_rounds=5).collect()
+    got = RN.resolve_chains(nodes).collect()
     assert all(r["value"] is None and not r["done"] for r in got)
 
 
