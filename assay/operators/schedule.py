@@ -3,9 +3,11 @@
 Cron expressions are compiled per row into Spark arrays (minutes, hours,
 days, months, weekdays) with higher-order functions, and the next fire time
 is found arithmetically: the first matching minute later the same day, else
-the first matching day in the following four years (every cron expression
-fires within that span) at its first matching minute. Nothing is exploded
-per minute and no cron library runs in Python.
+the first matching day at its first matching minute. Month and weekday names,
+``@hourly`` and its like and ``L`` (last day of the month) are understood.
+Texts that are no cron expression, or name a day that never comes, have no
+next fire and are listed by ``bad_crons``. Nothing is exploded per minute and
+no cron library runs in Python.
 """
 
 from __future__ import annotations
@@ -15,15 +17,30 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 
-SEARCH_DAYS = 1470  # > 4 years: covers Feb 29 expressions
+#: Any day that ever comes again does so within eight years and a day: Feb 29 skips at most one
+#: leap year (2096 to 2104), every other (month, day) comes yearly.
+SEARCH_DAYS = 8 * 366 + 1
+
+MACROS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0",
+          "@daily": "0 0 * * *", "@midnight": "0 0 * * *", "@hourly": "0 * * * *"}
+MONTHS = {n: i for i, n in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+WEEKDAYS = {n: i for i, n in enumerate("sun mon tue wed thu fri sat".split())}
 
 
 def _ival(s: Column) -> Column:
     return F.trim(s).try_cast("int")
 
 
+def _numbered(text: Column, names: dict[str, int]) -> Column:
+    """Names of months or weekdays turned to their numbers."""
+    for name, number in names.items():
+        text = F.regexp_replace(text, rf"\b{name}\b", str(number))
+    return text
+
+
 def _field_values(text: Column, lo: int, hi: int) -> Column:
-    """Values of one cron field: ``*``, ``a``, ``a-b``, ``*/n``, ``a-b/n``, ``a/n`` and lists."""
+    """Values of one cron field: ``*``, ``a``, ``a-b``, ``*/n``, ``a-b/n``, ``a/n`` and lists;
+    null if any part of the list is none of these or out of bounds."""
     def one(p: Column) -> Column:
         has_step = p.contains("/")
         base = F.split(p, "/").getItem(0)
@@ -34,24 +51,32 @@ def _field_values(text: Column, lo: int, hi: int) -> Column:
                  .otherwise(_ival(base)))
         end = (F.when(star, F.lit(hi)).when(rng, _ival(F.try_element_at(F.split(base, "-"), F.lit(2))))
                .when(has_step, F.lit(hi)).otherwise(_ival(base)))
-        ok = start.isNotNull() & end.isNotNull() & step.isNotNull() & (step > 0) & (start <= end)
+        ok = (start.isNotNull() & end.isNotNull() & step.isNotNull() & (step > 0) & (start <= end)
+              & (start >= lo) & (end <= hi))
         return F.when(ok, F.sequence(start, end, step))
-    vals = F.flatten(F.transform(F.split(F.trim(text), ","), one))
-    return F.array_sort(F.array_distinct(F.filter(vals, lambda v: (v >= lo) & (v <= hi))))
+    vals = F.flatten(F.transform(F.split(F.trim(text), ","), one))  # null if one part is
+    return F.array_sort(F.array_distinct(vals))
 
 
 def cron_fields(cron: Column) -> Column:
     """Compile a five-field cron text to a struct of value arrays."""
-    f = F.split(F.trim(cron), r"\s+")
+    text = F.lower(F.trim(cron))
+    for macro, fields in MACROS.items():
+        text = F.when(text == macro, F.lit(fields)).otherwise(text)
+    f = F.split(text, r"\s+")
 
     def part(i):
         return F.try_element_at(f, F.lit(i))
-    dow = _field_values(part(5), 0, 7)
+    dow = _field_values(_numbered(part(5), WEEKDAYS), 0, 7)
+    # L: the last day of the month, alone or among days
+    last = F.array_contains(F.split(part(3), ","), "l")
+    doms = F.array_join(F.filter(F.split(part(3), ","), lambda p: p != "l"), ",")
     return F.struct(
         _field_values(part(1), 0, 59).alias("minutes"),
         _field_values(part(2), 0, 23).alias("hours"),
-        _field_values(part(3), 1, 31).alias("doms"),
-        _field_values(part(4), 1, 12).alias("months"),
+        F.when(doms == "", F.array().cast("array<int>")).otherwise(_field_values(doms, 1, 31)).alias("doms"),
+        last.alias("last_dom"),
+        _field_values(_numbered(part(4), MONTHS), 1, 12).alias("months"),
         F.array_distinct(F.transform(dow, lambda d: d % 7)).alias("dows"),
         part(3).isin("*", "?").alias("dom_star"),
         part(5).isin("*", "?").alias("dow_star"),
@@ -59,38 +84,28 @@ def cron_fields(cron: Column) -> Column:
 
 
 def _day_matches(c: Column, d: Column) -> Column:
-    dom = F.array_contains(c["doms"], F.dayofmonth(d))
+    dom = F.array_contains(c["doms"], F.dayofmonth(d)) | (c["last_dom"] & (d == F.last_day(d)))
     dow = F.array_contains(c["dows"], F.dayofweek(d) - 1)
     # both day fields restricted: either may match (the common cron rule)
     day = F.when(c["dom_star"] | c["dow_star"], dom & dow).otherwise(dom | dow)
     return F.array_contains(c["months"], F.month(d)) & day
 
 
-MAX_BROADCAST_CRONS = 10000
-
-
-def _compiled(df: DataFrame, max_distinct: int) -> DataFrame:
-    """Attach ``_cf`` (compiled fields of ``_cron_text``).
+def _compiled(df: DataFrame) -> DataFrame:
+    """Attach ``_cf`` (compiled fields of ``_cron_text``): each distinct
+    expression is compiled once and joined back by its text."""
+    d = df.select("_cron_text").distinct().withColumn("_cf", cron_fields(F.col("_cron_text")))
+    return df.join(d, df["_cron_text"].eqNullSafe(d["_cron_text"]), "left").drop(d["_cron_text"])
 
-    Distinct expressions are compiled once and broadcast when a size check
-    proves there are at most ``max_distinct`` of them; beyond that each row
-    compiles its own text (no join, no skew on a popular expression)."""
-    distinct = df.select("_cron_text").distinct()
-    if distinct.limit(max_distinct + 1).count() <= max_distinct:
-        d = distinct.withColumn("_cf", cron_fields(F.col("_cron_text")))
-        return df.join(F.broadcast(d), df["_cron_text"].eqNullSafe(d["_cron_text"]), "left").drop(d["_cron_text"])
-    return df.withColumn("_cf", cron_fields(F.col("_cron_text")))
 
-
-def with_next_fire(df: DataFrame, cron: Column, after: Column, out: str,
-                   max_broadcast_crons: int = MAX_BROADCAST_CRONS) -> DataFrame:
+def with_next_fire(df: DataFrame, cron: Column, after: Column, out: str) -> DataFrame:
     """Add ``out``: the first cron time strictly after ``after`` (minute
     resolution, seconds zero). Each cron text is compiled once into arrays;
-    the day search looks at the next month first and only then at the rest
-    of the four-year span."""
+    the day search looks at the next month first, then at four years, and
+    only then at the rest of the eight that cover every day."""
     df = df.withColumn("_cron_text", cron).withColumn(
         "_after", F.date_trunc("minute", after).cast("timestamp_ntz"))
-    df = _compiled(df, max_broadcast_crons)
+    df = _compiled(df)
     c = F.col("_cf")
     t = F.col("_after")
     d0 = F.to_date(t)
@@ -112,15 +127,32 @@ def with_next_fire(df: DataFrame, cron: Column, after: Column, out: str,
                    .when(next_hour.isNotNull(), next_hour * 60 + first_min))
     same_day = F.when(_day_matches(c, d0), later_today)
     # most expressions fire again within a day or two: test those dates before building ranges
-    later = F.coalesce(day(1), day(2), first_day(3, 31), first_day(32, SEARCH_DAYS))
+    later = F.coalesce(day(1), day(2), first_day(3, 31), first_day(32, 1461), first_day(1462, SEARCH_DAYS))
     at = lambda d, m: F.timestamp_add("MINUTE", m, d.cast("timestamp_ntz"))
-    empty = (F.size(hrs) == 0) | (F.size(mins) == 0)
-    nxt = (F.when(t.isNull() | c.isNull() | ~c["well_formed"] | empty, F.lit(None).cast("timestamp_ntz"))
+    nxt = (F.when(t.isNull() | ~well_formed(c), F.lit(None).cast("timestamp_ntz"))
            .when(same_day.isNotNull(), at(d0, same_day))
            .otherwise(at(later, first_hour * 60 + first_min)))
     return df.withColumn(out, nxt).drop("_cf", "_after", "_cron_text")
 
 
+def well_formed(c: Column) -> Column:
+    """Whether the compiled fields are those of a cron expression."""
+    whole = c.isNotNull() & c["well_formed"]
+    for name in ("minutes", "hours", "doms", "months", "dows"):
+        whole = whole & c[name].isNotNull()
+    return F.coalesce(whole, F.lit(False))
+
+
+def bad_crons(rules: DataFrame, rule_col: str = "entity_sample_to_dq_rule_id", settings_col: str = "rule_settings") -> DataFrame:
+    """Scheduled rules that can never fire, as rejects: ``(rule_id, crontab, reason)``."""
+    r = rules.select(F.col(rule_col).alias("rule_id"), F.get_json_object(F.col(settings_col), "$.crontab").alias("crontab")) \
+        .filter(F.col("crontab").isNotNull()).distinct()
+    j = with_next_fire(r, F.col("crontab"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), "_next")
+    formed = well_formed(cron_fields(F.col("crontab")))
+    return j.filter(F.col("_next").isNull()).select(
+        "rule_id", "crontab", F.when(formed, "names a day that never comes").otherwise("not a cron expression").alias("reason"))
+
+
 def latest_task(tasks: DataFrame) -> DataFrame:
     """The newest task per rule (ties: larger id)."""
     return tasks.groupBy("rule_id").agg(F.max_by(F.struct("time", "id", "state"), F.struct("time", "id")).alias("t")) \
@@ -175,7 +207,7 @@ def scheduled_run_events(selected: DataFrame, now: str) -> DataFrame:
     now_c = F.to_timestamp_ntz(F.lit(now))
     base = selected.select(
         F.col("dq_tasks_id").alias("task_id"),
-        X.deterministic_id(F.lit("run"), F.col("dq_tasks_id")).alias("run_id"),
+        X.deterministic_uuid(F.lit("run"), F.col("dq_tasks_id")).alias("run_id"),
         now_c.alias("nominal_start_time"),
         F.timestamp_add("MINUTE", F.lit(1), now_c).alias("nominal_end_time"),
         F.coalesce(F.col("data_asset_id"), F.col("data_asset_id1")).cast("string").alias("input_ns")).distinct()

@@ -121,7 +121,9 @@ def task_upsert(spark, sf):
 
 @register("task_run_events", _cat_body("for_schedule") + f"""
 , base as (select distinct dq_tasks_id as task_id, coalesce(data_asset_id, data_asset_id1) as ns from cat)
-select task_id, sha256(concat_ws(':', 'run', cast(task_id as varchar))) as run_id, e.event_type,
+select task_id,
+       regexp_replace(substr(sha256(concat_ws(':', 'run', cast(task_id as varchar))), 1, 32),
+                      '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') as run_id, e.event_type,
        timestamp '{FIXED_NOW}' as nominal_start_time, timestamp '{FIXED_NOW}' + interval 1 minute as nominal_end_time,
        case when e.event_type = 'START' then cast(ns as varchar) end as input_ns
 from base, (select unnest(['START', 'COMPLETE']) as event_type) e""")
