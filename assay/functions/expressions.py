@@ -47,7 +47,9 @@ TIMELINESS_RULE_ID = "389df21d-5294-4cd5-ad61-63b62ee07b54"
 # Run event types.
 EVENT_TYPES = ("START", "RUNNING", "COMPLETE", "ABORT", "FAIL", "OTHER")
 
-UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+UUID_PARTS = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
+ZONE_PATTERN = r"(Z|[+-]\d{2}(?::?\d{2})?)$"
+EVENT_TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?$"
 
 
 def template(tpl: str, **parts) -> Column:
@@ -105,9 +107,15 @@ def iso_timestamp(ts: Column) -> Column:
 
 
 def parse_event_time(s: Column) -> Column:
-    """ISO-8601 with ``T``; fraction optional (the reference required it)."""
-    parsed = F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"))
-    return F.when(s.contains("T"), parsed.cast("timestamp_ntz"))
+    """ISO-8601 with ``T``; seconds, fraction (to nanoseconds, kept to
+    microseconds) and zone optional. Times with a zone are turned to UTC."""
+    iso = F.when(s.rlike(EVENT_TIME_PATTERN), s)
+    zoned = s.rlike(ZONE_PATTERN)
+    wall = F.regexp_replace(F.regexp_replace(iso, ZONE_PATTERN, ""), r"(\.\d{6})\d+$", "$1").try_cast("timestamp_ntz")
+    sign = F.when(F.regexp_extract(s, ZONE_PATTERN, 1).startswith("-"), -1).otherwise(1)
+    digits = F.rpad(F.regexp_replace(F.regexp_extract(s, ZONE_PATTERN, 1), r"[^0-9]", ""), 4, "0")
+    minutes = sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int"))
+    return F.when(zoned, F.timestamp_add("MINUTE", -minutes, wall)).otherwise(wall)
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -123,8 +131,20 @@ def float_text(x: Column) -> Column:
         F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t))
 
 
+def uuid_text(s: Column) -> Column:
+    """The canonical form of a UUID text (with or without dashes, braces and
+    ``urn:uuid:``, any case); null if it is none."""
+    plain = F.lower(F.regexp_replace(F.regexp_replace(s, "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", ""))
+    return F.when(plain.rlike("^[0-9a-f]{32}$"), F.regexp_replace(plain, UUID_PARTS, "$1-$2-$3-$4-$5"))
+
+
 def is_uuid(s: Column) -> Column:
-    return s.rlike(UUID_PATTERN)
+    return uuid_text(s).isNotNull()
+
+
+def deterministic_uuid(*parts: Column) -> Column:
+    """A stable run id in UUID form: the first 32 digits of the stable id."""
+    return F.regexp_replace(F.substring(deterministic_id(*parts), 1, 32), UUID_PARTS, "$1-$2-$3-$4-$5")
 
 
 def deterministic_id(*parts: Column) -> Column:

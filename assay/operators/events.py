@@ -170,7 +170,9 @@ def shred(parsed: DataFrame, offset_col: str = "offset") -> dict[str, DataFrame]
     run_log = ok.select(
         F.col(offset_col).alias("id"), X.parse_event_time(ev["eventTime"]).alias("event_time"),
         ev["eventType"].alias("event_type"), ev["producer"].alias("producer"),
-        ev["run"]["runId"].alias("run_id"), ev["run"]["facets"]["parent"]["run"]["runId"].alias("parent_run_id"),
+        X.uuid_text(ev["run"]["runId"]).alias("run_id"),
+        F.coalesce(X.uuid_text(ev["run"]["facets"]["parent"]["run"]["runId"]),
+                   ev["run"]["facets"]["parent"]["run"]["runId"]).alias("parent_run_id"),
         X.parse_event_time(ev["run"]["facets"]["nominalTime"]["nominalEndTime"]).alias("nominal_end_time"),
         X.parse_event_time(ev["run"]["facets"]["nominalTime"]["nominalStartTime"]).alias("nominal_start_time"))
 
