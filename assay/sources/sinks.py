@@ -2,8 +2,8 @@
 
 One entry point chooses the sink by kind, like the reference's transport
 factory, but every kind is a DataFrame writer: Kafka, text files, console and
-noop (also forced by ``ASSAY_EVENTS_DISABLED=true``). Unknown kinds fall back
-to the console.
+noop (also forced by ``ASSAY_EVENTS_DISABLED=true``). No kind means the
+console; an unknown one is an error. No sink drops events.
 """
 
 from __future__ import annotations
@@ -19,7 +19,14 @@ SINK_KINDS = ("kafka", "file", "console", "noop")
 def resolve_kind(kind: str | None) -> str:
     if os.environ.get("ASSAY_EVENTS_DISABLED", "").lower() == "true":
         return "noop"
-    return kind if kind in SINK_KINDS else "console"
+    if kind is not None and kind not in SINK_KINDS:
+        raise ValueError(f"unknown event sink {kind!r}; known: {', '.join(SINK_KINDS)}")
+    return kind or "console"
+
+
+def _print_rows(rows) -> None:
+    for r in rows:
+        print(r["value"], flush=True)
 
 
 def write_events(events: DataFrame, kind: str | None, **opts) -> None:
@@ -30,8 +37,8 @@ def write_events(events: DataFrame, kind: str | None, **opts) -> None:
          .option("kafka.bootstrap.servers", opts["servers"]).option("topic", opts["topic"]).save())
     elif k == "file":  # A16: JSON lines, appended
         events.select("value").write.mode(opts.get("mode", "append")).text(opts["path"])
-    elif k == "console":  # A17
-        events.select("value").show(opts.get("n", 20), truncate=False)
+    elif k == "console":  # A17: every event, on the output of the task that has it
+        events.select("value").foreachPartition(_print_rows)
     else:  # A18
         events.write.format("noop").mode("overwrite").save()
 
@@ -48,7 +55,8 @@ def write_events_stream(events: DataFrame, kind: str | None, checkpoint: str, **
         return events.select("value").writeStream.option("checkpointLocation", checkpoint) \
             .format("text").option("path", opts["path"]).start()
     if k == "console":
-        return w.format("console").option("truncate", "false").start()
+        return events.select("value").writeStream.option("checkpointLocation", checkpoint) \
+            .foreachBatch(lambda batch, _: batch.foreachPartition(_print_rows)).start()
     return w.format("noop").start()
 
 
