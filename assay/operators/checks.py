@@ -18,7 +18,13 @@ from ..functions import expressions as X
 
 ASSERTION_FIELDS = ("assertion", "column", "success", "state", "msg", "n_bad")
 
-_SUBQUERY = re.compile(r"\bselect\b|;", re.IGNORECASE)
+_LITERAL = (r"(?:[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?|(?:(?:date|timestamp)\s*)?'(?:[^']|'')*'|true|false|null)")
+_LIST = rf"\(\s*{_LITERAL}(?:\s*,\s*{_LITERAL})*\s*\)"
+#: What may follow the column: a list, or one comparison with literals.
+_IN_LIST = re.compile(rf"(not\s+)?(?:in\s*)?({_LIST})", re.IGNORECASE)
+_COMPARISON = re.compile(
+    rf"(?:(?:=|==|<>|!=|<=|>=|<|>|<=>)\s*{_LITERAL}|(?:not\s+)?in\s*{_LIST}|(?:not\s+)?between\s+{_LITERAL}\s+and\s+{_LITERAL}"
+    rf"|(?:not\s+)?r?like\s+'(?:[^']|'')*'|is\s+(?:not\s+)?null)", re.IGNORECASE)
 
 
 def quote_ident(name: str) -> str:
@@ -36,13 +42,14 @@ def bare_name(name: str) -> str:
 
 def range_predicate(column: str, rng: str) -> Column:
     """Text with ``(`` is an IN list, otherwise the text follows the column
-    (``> 5``, ``between 1 and 9``). Only an expression on that column is
-    accepted; subqueries are rejected."""
+    (``> 5``, ``between 1 and 9``). The text is parsed: only literals compared
+    with that column are accepted, no other column, operator or query."""
     r = rng.strip()
-    if _SUBQUERY.search(r):
-        raise ValueError(f"range must be a predicate, not a query: {rng!r}")
-    text = f"{quote_ident(column)} IN {r}" if "(" in r else f"{quote_ident(column)} {r}"
-    return F.expr(text)
+    if m := _IN_LIST.fullmatch(r):
+        return F.expr(f"{quote_ident(column)} {m[1] or ''}IN {m[2]}")
+    if not _COMPARISON.fullmatch(r):
+        raise ValueError(f"range must compare its column with literals: {rng!r}")
+    return F.expr(f"{quote_ident(column)} {r}")
 
 
 def violation(pred: Column) -> Column:

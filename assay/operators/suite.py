@@ -62,8 +62,10 @@ RULE_BUILDERS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
 
 
 def register_rule(name: str, builder: Callable[[DataFrame, dict], DataFrame]) -> None:
-    """M1: plug in a rule (builder returns assertion rows with ``pos``)."""
+    """M1: plug in a rule (builder returns assertion rows with ``pos``). Under a
+    built-in's name it takes the built-in's place."""
     RULE_BUILDERS[name] = builder
+    BUILTIN_KINDS.pop(name, None)
 
 
 def eligible(rules: DataFrame) -> DataFrame:
@@ -92,6 +94,10 @@ _ITEMS_T = ("rule_ref string, rule_settings string, tbl string, kind string, col
             "pos int")
 
 
+_RESULT_T = ("rule_ref string, rule_settings string, assertion string, column string, success boolean, "
+             "state string, msg string, n_bad long, pos int")
+
+
 def _items(d: Definition) -> list[tuple]:
     """One check item per (definition, column): what to measure and where."""
     s = d.s
@@ -154,30 +160,64 @@ def _assertion_from_metric() -> list:
             n.cast("long").alias("n_bad"), "pos"]
 
 
+def _readable(item: tuple, df: DataFrame) -> None:
+    """Raises if the item names an unknown column or a range that cannot be applied to it (analysis only, no job)."""
+    _, _, _, kind, column, arg, _ = item
+    if kind != "row_count":
+        df.select(C.quote_ident(column))
+    if kind == "range":
+        df.filter(C.range_predicate(column, arg))
+
+
+def _separate(defs: list[Definition], resolve: Resolver) -> tuple[list[tuple], dict[str, DataFrame], list[tuple]]:
+    """Items of the definitions that can be evaluated, their tables, and the failures of the others."""
+    items, tables, failed = [], {}, []
+    for d in defs:
+        try:
+            own = _items(d)
+            for i in own:
+                if i[2] not in tables:
+                    tables[i[2]] = resolve(i[2])
+                _readable(i, tables[i[2]])
+            items += own
+        except Exception as e:  # one broken rule must not stop the others: its error becomes its result
+            failed.append(_failure(d, e))
+    return items, tables, failed
+
+
+def _failure(d: Definition, e: Exception) -> tuple:
+    return (d.rule_ref, d.settings, d.rule_ref, None, False, "0", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", None, 0)
+
+
 def evaluate(spark: SparkSession, defs: list[Definition], resolve: Resolver) -> DataFrame:
     """Evaluate definitions fused per table: every built-in check on a table
     shares one scan; results reach each definition through a join with the
-    (small) table of check items. Plug-in rules (M1) run one by one."""
-    builtin = [d for d in defs if d.rule_ref in BUILTIN_KINDS]
-    items = [i for d in builtin for i in _items(d)]
+    (small) table of check items. Plug-in rules (M1) run one by one. A
+    definition that cannot be read (unknown table or column, bad range or
+    count) gives one failed assertion with the error as its message."""
+    items, frames, failed = _separate([d for d in defs if d.rule_ref in BUILTIN_KINDS], resolve)
     parts = []
     if items:
         tables = sorted({i[2] for i in items})
         metrics = None
         for t in tables:
-            m = _table_metrics(resolve(t), t, [i for i in items if i[2] == t])
+            m = _table_metrics(frames[t], t, [i for i in items if i[2] == t])
             metrics = m if metrics is None else metrics.unionByName(m)
         it = spark.createDataFrame(items, _ITEMS_T)
         joined = it.join(metrics, ["tbl", "kind", "column", "arg"], "inner")
         parts.append(joined.select("rule_ref", "rule_settings", *_assertion_from_metric()))
     for d in sorted((d for d in defs if d.rule_ref not in BUILTIN_KINDS), key=lambda x: (x.rule_ref, x.settings)):
-        s = d.s
-        out = RULE_BUILDERS[d.rule_ref](resolve(s.get("table") or s.get("path")), s)
-        parts.append(out.select(F.lit(d.rule_ref).alias("rule_ref"), F.lit(d.settings).alias("rule_settings"),
-                                "assertion", "column", "success", "state", "msg", "n_bad", "pos"))
+        try:
+            s = d.s
+            out = RULE_BUILDERS[d.rule_ref](resolve(s.get("table") or s.get("path")), s)
+            parts.append(out.select(F.lit(d.rule_ref).alias("rule_ref"), F.lit(d.settings).alias("rule_settings"),
+                                    "assertion", "column", "success", "state", "msg", "n_bad", "pos"))
+        except Exception as e:
+            failed.append(_failure(d, e))
+    if failed:
+        parts.append(spark.createDataFrame(failed, _RESULT_T))
     if not parts:
-        return spark.createDataFrame([], "rule_ref string, rule_settings string, assertion string, column string, "
-                                         "success boolean, state string, msg string, n_bad long, pos int")
+        return spark.createDataFrame([], _RESULT_T)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
