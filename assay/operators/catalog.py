@@ -63,15 +63,14 @@ def params_wide(params: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """C4: one row per connection with one column per parameter.
 
     The reference reads each parameter with a scalar subquery, which fails on
-    more than one row; ``assert_true`` keeps that contract.
+    more than one row; so does reading a column here whose parameter is there
+    twice (the check is part of the value, so it cannot be pruned away).
     """
     p = params.filter(F.col("param_name").isin(*names))
-    agg = [F.first(F.when(F.col("param_name") == n, F.col("param_value")), ignorenulls=True).alias(n)
+    agg = [F.when(F.count_if(F.col("param_name") == n) > 1, F.raise_error(F.lit(f"more than one {n} for a connection")).cast("string"))
+           .otherwise(F.first(F.when(F.col("param_name") == n, F.col("param_value")), ignorenulls=True)).alias(n)
            for n in names]
-    checks = [F.assert_true(F.count_if(F.col("param_name") == n) <= 1,
-                            f"more than one {n} for a connection").alias(f"_chk_{n}") for n in names]
-    wide = p.groupBy("system_connection_id").agg(*agg, *checks)
-    return wide.drop(*[f"_chk_{n}" for n in names])
+    return p.groupBy("system_connection_id").agg(*agg)
 
 
 def connection_param(params: DataFrame, connection: str | Column, name: str) -> DataFrame:

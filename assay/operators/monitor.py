@@ -122,7 +122,7 @@ def assertion_monitor(assertions: DataFrame, bindings: DataFrame, dq_rule: DataF
     j = (assertions.join(b, assertions["rule_id"] == b["_bid"], "left")
          .join(r, F.col("_rid") == F.col("_drid"), "left")
          .join(ol, assertions["ol_id"] == ol["_olid"], "left"))
-    return j.select(X.state_label(F.col("state")).alias("state_name"), "rule_name", "column", "msg",
+    return j.select("id", X.state_label(F.col("state")).alias("state_name"), "rule_name", "column", "msg",
                     "rule_id", "ol_id", "run_id", "assertion", "state")
 
 

@@ -105,7 +105,7 @@ _TOPIC_SQL = "concat('topic_', lower(n.n_name))"
   left join product p on p.id = r.product_id
   where (r.disabled = false or r.disabled is null)
     and (p.state = 'PUBLISHED' or p.state is null) and (i.state = 'PUBLISHED' or i.state is null)
-    and dr.rule_ref is not null and r.settings like '%Kafka%'),
+    and dr.rule_ref in ('not_null', 'check_not_null') and r.settings like '%Kafka%'),
 defs as (select distinct c.param_value as topic, json_extract_string(k.rule_settings, '$.fields') as fields
          from kafka k join connector_params c
            on c.connection_name = json_extract_string(k.rule_settings, '$.connection') and c.param_name = 'topic'),
@@ -132,6 +132,14 @@ def stream_rules(spark, sf):
     return _drain(ST.rules_presence_stream(src, defs), base)
 
 
+@register("stream_malformed", duckdb_with("messages") + "select msg_key, value as message, 'malformed' as type from messages where not json_valid(value)")
+def stream_malformed(spark, sf):
+    """I7 on a stream: unreadable messages become exception rows instead of vanishing."""
+    base = _run_dir(spark, "malformed")
+    src = _stage(q_checks._messages(spark, sf).select("msg_key", "value"), f"{base}/src")
+    return _drain(ST.malformed_stream(src), base)
+
+
 @register("stream_shred", ORACLE["ev_shred"])
 def stream_shred(spark, sf):
     """The consumer's four tables, counted."""

@@ -52,7 +52,8 @@ from orders where o_orderstatus = 'P' and o_custkey % 3 = 0
 
 # Assertions attached to run events (ol_id may name an event that does not exist).
 FIXTURE_SQL["assertions"] = """
-select case when l_linenumber % 2 = 0 then 'not_null' else 'check_range' end as assertion,
+select l_orderkey * 10 + l_linenumber as id,
+       case when l_linenumber % 2 = 0 then 'not_null' else 'check_range' end as assertion,
        l_returnflag as {column},
        l_discount < 0.085 as success,
        l_orderkey * 4 + l_linenumber % 3 as ol_id,

@@ -47,6 +47,12 @@ def presence_stream(messages: DataFrame, fields: list[str], key_col: str = "msg_
     return R.presence_assertions(parsed, fields, key_col=F.col("_m")["key"].cast("long"), keep=(key_col,))
 
 
+def malformed_stream(messages: DataFrame, key_col: str = "msg_key") -> DataFrame:
+    """The messages that no check of a stream can read, as exception rows."""
+    bad = messages.withColumn("_m", R.parse_message(F.col("value"))).filter(F.col("_m").isNull())
+    return bad.select(key_col, F.col("value").alias("message"), F.lit("malformed").alias("type"))
+
+
 # ---- I2 --------------------------------------------------------------------------
 
 def deviation_batch_writer(table: DataFrame, spec: list[tuple[str, float, float]], out_path: str,
@@ -164,9 +170,15 @@ def islands_stream(messages: DataFrame, partition_col: str = "source_partition",
 
 # ---- I5 ------------------------------------------------------------------------------
 
+#: Rule functions that check field presence on a stream.
+PRESENCE_RULES = ("not_null", "check_not_null")
+
+
 def topic_definitions(kafka_rules: DataFrame, params: DataFrame) -> DataFrame:
     """Distinct presence definitions per topic: the rule's connection names its
-    topic (A8); one row per (topic, field list)."""
+    topic (A8); one row per (topic, field list). Rules of other kinds (their
+    settings name other things) are left to their own streams."""
+    kafka_rules = kafka_rules.filter(F.col("rule_ref").isin(*PRESENCE_RULES))
     conn = F.get_json_object("rule_settings", "$.connection")
     topics = params.filter(F.col("param_name") == "topic").select(
         F.col("connection_name"), F.col("param_value").alias("topic"))
