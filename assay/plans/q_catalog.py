@@ -19,72 +19,91 @@ def _cat(spark, sf, extra=()):
     return K.Catalog.from_views(spark)
 
 
+# Oracles, step by step from the definitions in SURVEY 2.B and 2.C: which bindings are live, where each one's
+# query stands, what its connection is given, and last the rows each variant asks for.
 _PARAMS_CTE = """, connector_params as (
-  select sc.name as connection_name, cp.name as param_name, scp.param_value, scp.system_connection_id
-  from system_connection_param scp
-  left join connector_param cp on cp.id = scp.connector_param_id
-  left join system_connection sc on sc.id = scp.system_connection_id)
+  select (select any_value(name) from system_connection where id = v.system_connection_id) as connection_name,
+         (select any_value(name) from connector_param where id = v.connector_param_id) as param_name,
+         v.param_value, v.system_connection_id
+  from system_connection_param v)
 """
 
-_JDBC_SUBQ = """
-  (select param_value from connector_params c where c.system_connection_id = t.system_connection_id and c.param_name = 'jdbc_username') as username,
-  (select param_value from connector_params c where c.system_connection_id = t.system_connection_id and c.param_name = 'jdbc_password') as password,
-  (select replace(param_value, 'jdbc:postgresql://', '') from connector_params c where c.system_connection_id = t.system_connection_id and c.param_name = 'jdbc_url') as url,
+_LIVE_CTE = """, published as (
+  select 'product' as what, id from product where coalesce(state, 'PUBLISHED') = 'PUBLISHED'
+  union all select 'indicator', id from indicator where coalesce(state, 'PUBLISHED') = 'PUBLISHED'),
+retired as (
+  select 'product' as what, id from product where (what, id) not in (select what, id from published)
+  union all select 'indicator' as what, id from indicator where (what, id) not in (select what, id from published)),
+live as (
+  select b.id as binding, b.settings, b.send_mail, b.asset_id, b.product_id, b.indicator_id, b.entity_sample_id,
+         f.id as rule_id, f.name as rule_name, f.rule_ref
+  from dq_rule f join entity_sample_to_dq_rule b on b.dq_rule_id = f.id
+  where f.rule_ref is not null and b.disabled is distinct from true
+    and not exists (select 1 from retired x where x.what = 'product' and x.id = b.product_id)
+    and not exists (select 1 from retired x where x.what = 'indicator' and x.id = b.indicator_id)),
+samples as (
+  select smp.id as sample_id, smp.name as sample_name, qry.id as query_id, qry.name as query_name,
+         (select any_value(id) from entity where id = qry.entity_id) as entity_id,
+         (select any_value(name) from entity where id = qry.entity_id) as entity_name,
+         (select any_value(id) from system where id = qry.system_id) as system_id,
+         (select any_value(name) from system where id = qry.system_id) as system_name
+  from entity_sample smp left join entity_query qry on qry.id = smp.entity_query_id),
+placed as (select * from live left join samples on samples.sample_id = live.entity_sample_id)
 """
-_KAFKA_SUBQ = """
-  (select param_value from connector_params c where c.system_connection_id = t.system_connection_id and c.param_name = 'config') as config,
-  (select param_value from connector_params c where c.system_connection_id = t.system_connection_id and c.param_name = 'topic') as topic,
-"""
-_COMMON = """select s.id as system_id, s.name as system_name, dr.name as rule_name, dr.id as rule_id, dr.rule_ref,
-  r.settings as rule_settings, sc.connector_id, t.system_connection_id, eq.name as query_name,
-  r.id as entity_sample_to_dq_rule_id, e.name as entity_name,"""
-_JOINS = """from entity_sample_to_dq_rule r
-  left join dq_rule dr on r.dq_rule_id = dr.id
-  left join entity_sample es on r.entity_sample_id = es.id
-  left join entity_query eq on es.entity_query_id = eq.id
-  left join entity e on e.id = eq.entity_id
-  left join task t on t.query_id = eq.id
-  left join indicator i on i.id = r.indicator_id
-  left join product p on p.id = r.product_id
-"""
-_TAIL_JOINS = """  left join system_connection sc on sc.id = t.system_connection_id
-  left join system s on s.id = eq.system_id
+
+_GIVEN_CTE = """, given as (
+  select system_connection_id as conn,
+         max(param_value) filter (param_name = 'jdbc_username') as username,
+         max(param_value) filter (param_name = 'jdbc_password') as password,
+         max(replace(param_value, 'jdbc:postgresql://', '')) filter (param_name = 'jdbc_url') as url,
+         max(param_value) filter (param_name = 'config') as config,
+         max(param_value) filter (param_name = 'topic') as topic
+  from connector_params group by conn),
+spread as (
+  select placed.*, w.system_connection_id,
+         (select any_value(connector_id) from system_connection where id = w.system_connection_id) as connector_id,
+         given.* exclude (conn)
+  from placed left join task w on w.query_id = placed.query_id left join given on given.conn = w.system_connection_id)
 """
-_WHERE = """where (r.disabled = false or r.disabled is null)
-  and ((p.state = 'PUBLISHED' or p.state is null) and (i.state = 'PUBLISHED' or i.state is null))
-  and (dr.rule_ref is not null)"""
+
+_COLUMNS = ("system_id, system_name, rule_name, rule_id, rule_ref, settings as rule_settings, connector_id, system_connection_id, "
+            "query_name, binding as entity_sample_to_dq_rule_id, entity_name, send_mail")
+_JDBC, _KAFKA = ", username, password, url", ", config, topic"
+
+#: what each variant adds to the columns, and which rows of ``spread`` it takes
+_VARIANTS = {
+    "regular": (_JDBC + ", home.id as data_asset_id", "contains(settings, 'Kafka') = false"),
+    "regular_for_schedule": (_JDBC + ", home.id as data_asset_id", "contains(settings, 'crontab')"),
+    "for_product": (_JDBC, f"product_id = {PRODUCT_ID}"),
+    "for_asset": (_JDBC, f"asset_id in (select id from data_asset where id = {ASSET_ID} and coalesce(state, 'PUBLISHED') = 'PUBLISHED')"),
+    "kafka": (_KAFKA, "contains(settings, 'Kafka')"),
+    "check": (_KAFKA, "contains(rule_ref, 'check_nominal_time')"),
+}
+#: the published assets of the query's entity in its system
+_HOME = " left join (select id, system_id as at, entity_id as what from data_asset where state = 'PUBLISHED') home on home.at = system_id and home.what = entity_id"
+
+_SCHEDULED = f"""
+  select {_COLUMNS}{_JDBC}, own.id as data_asset_id, home.id as data_asset_id1, q.id as dq_tasks_id
+  from spread
+  join (select id, rule_id as for_binding from dq_tasks where state <> 2) q on q.for_binding = binding
+  left join (select id, state from data_asset) own on own.id = asset_id
+  left join (select id, state, system_id as at, entity_id as what from data_asset) home on home.at = system_id and home.what = entity_id
+  where contains(settings, 'crontab') and 'PUBLISHED' = all (select coalesce(x, 'PUBLISHED') from unnest([own.state, home.state]) u(x))"""
+
+
+def _catalog_steps(mode: str, tasks: bool = False) -> str:
+    """The oracle of a variant up to a CTE named ``cat``; ``tasks``: with the task queue as a CTE."""
+    names = [*CAT_FIXTURES, *(["dq_tasks"] if tasks or mode == "for_schedule" else [])]
+    if mode == "for_schedule":
+        body = _SCHEDULED
+    else:
+        extra, rows = _VARIANTS[mode]
+        body = f"select {_COLUMNS}{extra} from spread{_HOME if 'home' in extra else ''} where {rows}"
+    return duckdb_with(*names) + _PARAMS_CTE + _LIVE_CTE + _GIVEN_CTE + f", cat as ({body})\n"
 
 
 def _oracle(mode: str) -> str:
-    head = duckdb_with(*CAT_FIXTURES, *(("dq_tasks",) if mode == "for_schedule" else ())) + _PARAMS_CTE
-    params = _KAFKA_SUBQ if mode in ("kafka", "check") else _JDBC_SUBQ
-    if mode == "for_schedule":
-        return head + _COMMON + " da.id as data_asset_id, da1.id as data_asset_id1, dqt.id as dq_tasks_id," \
-            + params + " r.send_mail\n" + _JOINS + _TAIL_JOINS + """
-  left join data_asset da on da.id = r.asset_id
-  left join data_asset da1 on da1.system_id = s.id and da1.entity_id = e.id
-  join dq_tasks dqt on dqt.rule_id = r.id and dqt.state <> 2
-""" + _WHERE + """ and (da.state = 'PUBLISHED' or da.state is null) and (da1.state = 'PUBLISHED' or da1.state is null)
-  and r.settings like '%crontab%'"""
-    if mode in ("regular_for_schedule", "regular"):
-        filt = "r.settings like '%crontab%'" if mode == "regular_for_schedule" else "r.settings not like '%Kafka%'"
-        return head + _COMMON + " da.id as data_asset_id," + params + " r.send_mail\n" + _JOINS + _TAIL_JOINS \
-            + "  left join data_asset da on da.system_id = s.id and da.entity_id = e.id and da.state = 'PUBLISHED'\n" \
-            + _WHERE + f" and {filt}"
-    if mode == "for_product":
-        return head + _COMMON + params + " r.send_mail\n" + _JOINS + _TAIL_JOINS + _WHERE \
-            + f" and p.id = {PRODUCT_ID}"
-    if mode == "for_asset":
-        return head + _COMMON + params + " r.send_mail\n" + _JOINS \
-            + "  left join data_asset da on da.id = r.asset_id\n" + _TAIL_JOINS + _WHERE \
-            + f" and (da.state = 'PUBLISHED' or da.state is null) and da.id = {ASSET_ID}"
-    if mode == "kafka":
-        return head + _COMMON + params + " r.send_mail\n" + _JOINS + _TAIL_JOINS + _WHERE \
-            + " and r.settings like '%Kafka%'"
-    if mode == "check":
-        return head + _COMMON + params + " r.send_mail\n" + _JOINS + _TAIL_JOINS + _WHERE \
-            + " and dr.rule_ref like '%check_nominal_time%'"
-    raise ValueError(mode)
+    return _catalog_steps(mode) + "select * from cat"
 
 
 @register("cat_regular", _oracle("regular"))
@@ -145,16 +164,17 @@ def cat_conn_param(spark, sf):
         .select("id", "param_name", "param_value")
 
 
-@register("cat_tasks_view", duckdb_with(*CAT_FIXTURES) + """
-select r.id, s.id as system_id, s.name as system_name, dr.name as rule_name, dr.id as rule_id, dr.rule_ref,
-  r.settings as rule_settings, eq.name as query_name, r.id as entity_sample_to_dq_rule_id, e.name as entity_name,
-  p.name as product_name, i.name as indicator_name, da.name as data_asset_name, p.id as product_id,
-  i.id as indicator_id, da.id as data_asset_id, es.id as entity_sample_id, es.name as entity_sample_name,
-  case when r.settings like '%crontab%' then 1 else 0 end as is_crontab
-""" + _JOINS + """  left join system s on s.id = eq.system_id
-  left join data_asset da on r.asset_id = da.id
-where (r.disabled = false or r.disabled is null) and (p.state = 'PUBLISHED' or p.state is null)
-  and (i.state = 'PUBLISHED' or i.state is null) and (da.state = 'PUBLISHED' or da.state is null)
-  and dr.rule_ref is not null""")
+@register("cat_tasks_view", duckdb_with(*CAT_FIXTURES) + _LIVE_CTE + """
+select binding as id, placed.system_id, system_name, rule_name, rule_id, rule_ref, settings as rule_settings, query_name,
+       binding as entity_sample_to_dq_rule_id, entity_name, product.name as product_name, indicator.name as indicator_name,
+       own.name as data_asset_name, product.id as product_id, indicator.id as indicator_id, own.id as data_asset_id,
+       sample_id as entity_sample_id, sample_name as entity_sample_name,
+       coalesce(contains(settings, 'crontab'), false)::int as is_crontab
+from placed
+left join product on product.id = placed.product_id
+left join indicator on indicator.id = placed.indicator_id
+left join data_asset own on own.id = placed.asset_id
+left join task on task.query_id = placed.query_id
+where coalesce(own.state, 'PUBLISHED') = 'PUBLISHED'""")
 def cat_tasks_view(spark, sf):
     return K.rule_tasks_view(_cat(spark, sf))

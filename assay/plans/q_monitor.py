@@ -18,44 +18,53 @@ def _views(spark, sf, names=MON_FIXTURES):
     return {n: spark.table(n) for n in names}
 
 
-# The reference's correlated shape, kept as the oracle (each OR of two subqueries
-# written as a UNION ALL inside the same correlated subquery; min over either is equal).
-_MON_T = """
-, t as (
-  select (select min(u.state) from (
-            select a.state from assertions a where a.ol_id = dq.id
-            union all
-            select a.state from assertions a where a.ol_id in (select dq1.id from run_log dq1 where dq1.parent_run_id = dq.run_id)
-          ) u) as state,
-         (select min(a.state) from assertions a
-          where a.ol_id in (select dq1.id from run_log dq1 where dq1.run_id = dq.run_id)) as state_local,
-         dq.id, dq.run_id, dq.parent_run_id, dq.event_type, dq.event_time, dq.producer
-  from run_log dq where dq.event_type = 'START')
+# Oracles from the definitions D8, J6 and H13: what is said of an event reaches the event itself, the event's run, and the
+# parent of that run; the worst of what reaches a START event, or its run, is its state.
+_REACH = """
+, said as (
+  select l.id as event, l.run_id as run, l.parent_run_id as parent, a.state, a.msg
+  from run_log l join assertions a on a.ol_id = l.id),
+reach as (
+  select 'event' as level, event as key, state, msg from said
+  union all select 'run', run, state, null from said
+  union all select 'parent', parent, state, msg from said where parent is not null),
+worst as (select level, key, min(state) as state from reach group by level, key),
+message as (
+  select level, key, case when level = 'event' then state end as of_state, min(msg) as msg
+  from reach where msg is not null group by all),
+fate as (
+  select run_id as run, max((event_type = 'FAIL')::int) = 1 as failed, max((event_type = 'COMPLETE')::int) = 1 as ended
+  from run_log group by run_id),
+starting as (
+  select l.id, l.run_id, l.parent_run_id, l.event_type, l.event_time, l.producer, fate.failed, fate.ended,
+         list_min([e.state, p.state]) as state, r.state as state_local
+  from run_log l join fate on fate.run = l.run_id
+  left join worst e on e.level = 'event' and e.key = l.id
+  left join worst p on p.level = 'parent' and p.key = l.run_id
+  left join worst r on r.level = 'run' and r.key = l.run_id
+  where l.event_type = 'START'),
+t as (
+  select starting.*, list_min([e.msg, p.msg]) as assertion_msg
+  from starting
+  left join message e on e.level = 'event' and e.key = starting.id and e.of_state = starting.state
+  left join message p on p.level = 'parent' and p.key = starting.run_id)
 """
 
 
 def _label(state: str) -> str:
-    return f"""case when exists (select 1 from run_log ol1 where ol1.event_type = 'FAIL' and ol1.run_id = t.run_id)
-            then 'Ошибка выполнения'
-       when not exists (select 1 from run_log ol1 where ol1.event_type = 'COMPLETE' and ol1.run_id = t.run_id)
-            then 'Незавершен'
-       when {state} = '0' then 'Ошибка' when {state} = '1' then 'Предупреждение' else 'Успешно' end"""
+    words = "map {'0': 'Ошибка', '1': 'Предупреждение'}"  # fixed values; every other state is a success
+    return (f"if(t.failed, 'Ошибка выполнения', if(not t.ended, 'Незавершен', "
+            f"coalesce(element_at({words}, coalesce({state}, ''))[1], 'Успешно')))")
 
 
 _MON_SELECT = f"""
-select {_label('t.state')} as state_name, {_label('t.state_local')} as state_name_local,
-       (select min(u.msg) from (
-          select a.msg from assertions a where t.state = a.state and a.msg is not null and a.ol_id = t.id
-          union all
-          select a.msg from assertions a where a.ol_id in (select dq1.id from run_log dq1 where dq1.parent_run_id = t.run_id)
-        ) u) as assertion_msg,
-       t.state, t.state_local, t.id, t.run_id, t.parent_run_id, t.event_type, t.event_time, t.producer,
-       n.full_name
-from t left join names n on n.run_id = t.run_id
+select {_label('t.state')} as state_name, {_label('t.state_local')} as state_name_local, t.assertion_msg, t.state, t.state_local,
+       t.id, t.run_id, t.parent_run_id, t.event_type, t.event_time, t.producer, names.full_name
+from t left join names on names.run_id = t.run_id
 """
 
 MON_ORACLE = (duckdb_with("run_log", "assertions", "run_inputs", "run_outputs", "data_asset", "system", "entity",
-                          recursive=True) + NAME_CTES + _MON_T + _MON_SELECT)
+                          recursive=True) + NAME_CTES + _REACH + _MON_SELECT)
 
 
 def _monitor(spark, sf):
@@ -77,10 +86,8 @@ def mon_roots(spark, sf):
     return M.monitor_roots(_monitor(spark, sf))
 
 
-_STATE_ORACLE = duckdb_with("run_log", "assertions") + _MON_T + """
-select t.id, t.run_id, t.state, t.state_local,
-       exists (select 1 from run_log ol1 where ol1.event_type = 'FAIL' and ol1.run_id = t.run_id) as has_fail,
-       exists (select 1 from run_log ol1 where ol1.event_type = 'COMPLETE' and ol1.run_id = t.run_id) as has_complete
+_STATE_ORACLE = duckdb_with("run_log", "assertions") + _REACH + """
+select t.id, t.run_id, t.state, t.state_local, t.failed as has_fail, t.ended as has_complete
 from t"""
 
 
@@ -92,7 +99,7 @@ def mon_state(spark, sf):
     return M.run_states(es).select("id", "run_id", "state", "state_local", "has_fail", "has_complete")
 
 
-@register("mon_label", duckdb_with("run_log", "assertions") + _MON_T + f"""
+@register("mon_label", duckdb_with("run_log", "assertions") + _REACH + f"""
 select t.id, {_label('t.state')} as state_name, {_label('t.state_local')} as state_name_local from t""")
 def mon_label(spark, sf):
     """H13 labels only (no names), decorrelated."""
@@ -100,13 +107,7 @@ def mon_label(spark, sf):
     return M.monitor_runs(v["run_log"], v["assertions"]).select("id", "state_name", "state_name_local")
 
 
-@register("mon_message", duckdb_with("run_log", "assertions") + _MON_T + """
-select t.id, (select min(u.msg) from (
-          select a.msg from assertions a where t.state = a.state and a.msg is not null and a.ol_id = t.id
-          union all
-          select a.msg from assertions a where a.ol_id in (select dq1.id from run_log dq1 where dq1.parent_run_id = t.run_id)
-        ) u) as assertion_msg
-from t""")
+@register("mon_message", duckdb_with("run_log", "assertions") + _REACH + "select t.id, t.assertion_msg from t")
 def mon_message(spark, sf):
     """Message of the worst state on the event, or any child message."""
     v = _views(spark, sf, ("run_log", "assertions"))
@@ -131,12 +132,11 @@ def mon_datasets(spark, sf):
 
 
 @register("mon_assertions", duckdb_with("assertions", "entity_sample_to_dq_rule", "dq_rule", "run_log") + """
-select t.id, case when t.state = '0' then 'Ошибка' when t.state = '1' then 'Предупреждение' else 'Успешно' end as state_name,
-       dr.name as rule_name, t."column", t.msg, t.rule_id, t.ol_id, ol.run_id, t.assertion, t.state
-from assertions t
-left join entity_sample_to_dq_rule estdr on estdr.id = t.rule_id
-left join dq_rule dr on dr.id = estdr.dq_rule_id
-left join run_log ol on ol.id = t.ol_id""")
+, rule_of as (select b.id as binding, f.name from entity_sample_to_dq_rule b left join dq_rule f on b.dq_rule_id = f.id)
+select a.id, coalesce(element_at(map {'0': 'Ошибка', '1': 'Предупреждение'}, a.state)[1], 'Успешно') as state_name,
+       rule_of.name as rule_name, a."column", a.msg, a.rule_id, a.ol_id, a.assertion, a.state,
+       (select any_value(run_id) from run_log where id = a.ol_id) as run_id
+from assertions a left join rule_of on rule_of.binding = a.rule_id""")
 def mon_assertions(spark, sf):
     """Assertion monitor."""
     v = _views(spark, sf, ("assertions", "entity_sample_to_dq_rule", "dq_rule", "run_log"))

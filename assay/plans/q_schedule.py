@@ -7,22 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import catalog as K
 from ..operators import schedule as SC
 from ..sources.fixtures import CRON_LITERALS, FIXED_NOW, duckdb_with
-from .q_catalog import _cat, _oracle
+from .q_catalog import _cat, _catalog_steps
 from .registry import register
 
 
-def _cat_body(mode: str, tasks: bool = False) -> str:
-    """The catalog oracle of ``mode`` as a CTE named ``cat`` (fixtures included)."""
-    sql = _oracle(mode)
-    head, body = sql.split("\nselect s.id as system_id", 1)
-    if tasks and "dq_tasks as" not in head:
-        head = head.replace("with ", "with dq_tasks as (" + _tasks_sql() + "),\n", 1)
-    return head + ", cat as (select s.id as system_id" + body + ")\n"
-
-
-def _tasks_sql() -> str:
-    from ..sources.fixtures import fixture_sql
-    return fixture_sql("dq_tasks", "duckdb")
+_cat_body = _catalog_steps
 
 
 # oracle: bounded candidate times per cron literal, matched field by field
@@ -72,9 +61,13 @@ def task_due(spark, sf):
     return _due(spark, sf).select("rule_id", "time")
 
 
-@register("task_due_rows", None)
+_DUE_STEPS, _DUE_ROWS = _DUE_ORACLE.split("\nselect rule_id, time from fire", 1)
+
+
+@register("task_due_rows", _DUE_STEPS + ", due as (select rule_id, time from fire" + _DUE_ROWS + """)
+select sha256(concat_ws(':', cast(rule_id as varchar), cast(time as varchar))) as id, time, rule_id, 0 as state from due""")
 def task_due_rows(spark, sf):
-    """The task rows to append (deterministic ids); rows-only check."""
+    """The task rows to append, with deterministic ids."""
     return _due(spark, sf)
 
 

@@ -98,14 +98,9 @@ _TOPIC_SQL = "concat('topic_', lower(n.n_name))"
 
 
 @register("stream_rules", duckdb_with("messages", *q_catalog.CAT_FIXTURES) + q_catalog._PARAMS_CTE + """
-, kafka as (
-  select r.settings as rule_settings from entity_sample_to_dq_rule r
-  left join dq_rule dr on r.dq_rule_id = dr.id
-  left join indicator i on i.id = r.indicator_id
-  left join product p on p.id = r.product_id
-  where (r.disabled = false or r.disabled is null)
-    and (p.state = 'PUBLISHED' or p.state is null) and (i.state = 'PUBLISHED' or i.state is null)
-    and dr.rule_ref in ('not_null', 'check_not_null') and r.settings like '%Kafka%'),
+"""  + q_catalog._LIVE_CTE + """, kafka as (
+  select settings as rule_settings from live
+  where rule_ref in ('not_null', 'check_not_null') and contains(settings, 'Kafka')),
 defs as (select distinct c.param_value as topic, json_extract_string(k.rule_settings, '$.fields') as fields
          from kafka k join connector_params c
            on c.connection_name = json_extract_string(k.rule_settings, '$.connection') and c.param_name = 'topic'),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as K
 from ..operators import suite as S
 from ..sources.tables import read_table
-from .q_catalog import _cat, _oracle
+from .q_catalog import _cat, _catalog_steps
 from .registry import register
 
 RUN_TIME = "2024-02-01 00:00:00"
@@ -65,9 +65,7 @@ _CHECKS = " union all ".join([
 
 def _suite_oracle(tail: str, mode: str = "regular") -> str:
     # the catalog of ``mode`` as a CTE, then bindings joined to the expected check rows
-    cat_sql = _oracle(mode)
-    head, body = cat_sql.split("\nselect s.id as system_id", 1)
-    return head + ", cat as (select s.id as system_id" + body + f"""),
+    return _catalog_steps(mode) + f""",
 b as (select distinct entity_sample_to_dq_rule_id as rule_id, rule_ref, rule_settings from cat
       where length(coalesce(rule_settings, '')) > 0),
 k as ({_CHECKS}),
