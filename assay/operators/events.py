@@ -76,23 +76,25 @@ def build_events(run_log: DataFrame, inputs: DataFrame, outputs: DataFrame, asse
     dropped. Assertions of an event travel in the ``dataQuality`` facet of a
     carrier input dataset. Returns ``(offset, value)`` with offset = event id.
     """
-    a = (assertions.groupBy("ol_id").agg(F.array_sort(F.collect_list(F.struct(
-        "assertion", "column", "msg", F.col("rule_id").cast("string").alias("rule_id"), "state", "success"
-    ))).alias("assertions")))
     empty_facets = F.struct(F.lit(None).cast(DATASET_T["facets"].dataType["dataQuality"].dataType)
                             .alias("dataQuality"))  # renders as {} (null members are dropped)
-    carrier = a.select("ol_id", F.struct(
-        F.struct(F.struct(*_facet_base(DQ_FACET_SCHEMA_URL), "assertions").alias("dataQuality")).alias("facets"),
-        F.struct().alias("inputFacets"), F.lit(CARRIER_NAME).alias("name"),
-        F.lit(CARRIER_NAMESPACE).alias("namespace")).alias("ds"))
-    ins = inputs.select("ol_id", F.struct(empty_facets.alias("facets"), F.struct().alias("inputFacets"), "name",
-                                          F.col("ns").alias("namespace")).alias("ds"))
-    ins = ins.unionByName(carrier).groupBy("ol_id").agg(F.array_sort(F.collect_list("ds")).alias("inputs"))
-    outs = (outputs.select("ol_id", F.struct(empty_facets.alias("facets"), "name", F.col("ns").alias("namespace"),
-                                             F.struct().alias("outputFacets")).alias("ds"))
-            .groupBy("ol_id").agg(F.array_sort(F.collect_list("ds")).alias("outputs")))
-    e = run_log.join(ins, run_log["id"] == ins["ol_id"], "left").drop("ol_id") \
-               .join(outs, run_log["id"] == outs["ol_id"], "left").drop("ol_id")
+    # one row per part of an event, one grouping shuffle for all of them
+    parts = (inputs.select("ol_id", F.struct(empty_facets.alias("facets"), F.struct().alias("inputFacets"), "name",
+                                             F.col("ns").alias("namespace")).alias("_in"))
+             .unionByName(outputs.select("ol_id", F.struct(
+                 empty_facets.alias("facets"), "name", F.col("ns").alias("namespace"),
+                 F.struct().alias("outputFacets")).alias("_out")), allowMissingColumns=True)
+             .unionByName(assertions.select("ol_id", F.struct(
+                 "assertion", "column", "msg", F.col("rule_id").cast("string").alias("rule_id"), "state", "success")
+                 .alias("_said")), allowMissingColumns=True))
+    parts = parts.groupBy("ol_id").agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in ("_in", "_out", "_said")])
+    carrier = F.struct(
+        F.struct(F.struct(*_facet_base(DQ_FACET_SCHEMA_URL), F.col("_said").alias("assertions")).alias("dataQuality")).alias("facets"),
+        F.struct().alias("inputFacets"), F.lit(CARRIER_NAME).alias("name"), F.lit(CARRIER_NAMESPACE).alias("namespace"))
+    parts = parts.select(
+        "ol_id", F.when(F.size("_said") > 0, F.array_sort(F.concat("_in", F.array(carrier)))).otherwise(F.col("_in")).alias("inputs"),
+        F.col("_out").alias("outputs"))
+    e = run_log.join(parts, run_log["id"] == parts["ol_id"], "left").drop("ol_id")
     nominal = F.when(F.col("nominal_start_time").isNotNull(), F.struct(
         *_facet_base(FACET_SCHEMA_BASE + "#/definitions/NominalTimeRunFacet"),
         X.iso_timestamp(F.col("nominal_end_time")).alias("nominalEndTime"),

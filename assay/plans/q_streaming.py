@@ -80,18 +80,27 @@ def stream_timeliness(spark, sf):
     return spark.read.parquet(f"{_shred(spark, sf)}/timeliness").drop("batch_id")
 
 
-@register("stream_islands", q_runs.ISLAND_ORACLE + """
-, ev as (select island, run_id as parent_run_id, msg_key, case when s = 1 then 'START' else 'RUNNING' end as event_type,
-                0 as seq from i
-         union all
-         select island, min(run_id), max(msg_key), 'COMPLETE', 1 from i group by island)
-select * from ev where not (event_type = 'COMPLETE' and island = (select max(island) from i))""")
+SOURCE_PARTITIONS = 4
+
+
+@register("stream_islands", duckdb_with("messages") + f"""
+, f as (select msg_key % {SOURCE_PARTITIONS} as source_partition, msg_key, run_id,
+               run_id is distinct from lag(run_id) over (partition by msg_key % {SOURCE_PARTITIONS} order by msg_key) as fresh
+        from messages),
+i as (select *, cast(sum(fresh::int) over (partition by source_partition order by msg_key) as bigint) as island from f),
+runs as (select source_partition, island, min(run_id) as run_id, max(msg_key) as msg_key,
+                island = max(island) over (partition by source_partition) as open
+         from i group by source_partition, island)
+select island, run_id as parent_run_id, msg_key, if(fresh, 'START', 'RUNNING') as event_type, 0 as seq from i
+union all
+select island, run_id, msg_key, 'COMPLETE', 1 from runs where not open""")
 def stream_islands(spark, sf):
-    """I4: the run-boundary state machine over a file stream (the last run stays open)."""
+    """I4: the run-boundary state machine over a file stream, one state for each source partition (the last run of each stays open)."""
     base = _run_dir(spark, "islands")
-    msgs = q_checks._messages(spark, sf).select(F.lit(0).alias("source_partition"), "msg_key", "run_id")
+    msgs = q_checks._messages(spark, sf).select((F.col("msg_key") % SOURCE_PARTITIONS).cast("int").alias("source_partition"),
+                                                "msg_key", "run_id")
     src = _stage(msgs, f"{base}/src")
-    return _drain(ST.islands_stream(src), base).drop("source_partition")
+    return _drain(ST.islands_stream(src), base)
 
 
 _TOPIC_SQL = "concat('topic_', lower(n.n_name))"

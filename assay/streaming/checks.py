@@ -80,10 +80,16 @@ def shred_batch_writer(base_path: str):
     run log, inputs, outputs and assertions; rejected events go to the
     exception table (I7); COMPLETE events get a timeliness assertion from the
     run log stored so far (as of arrival), walking up only from this batch's parents. Output folders are per batch id, so
-    replaying a batch replaces its rows instead of duplicating them."""
+    replaying a batch replaces its rows instead of duplicating them. The batch is parsed once for all its outputs."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parsed = EV.parse_events(batch)
+        parsed = EV.parse_events(batch).persist()
+        try:
+            write_parsed(parsed, batch_id)
+        finally:
+            parsed.unpersist()
+
+    def write_parsed(parsed: DataFrame, batch_id: int) -> None:
+        spark = parsed.sparkSession
         parts = EV.shred(parsed)
         for name in ("run_log", "inputs", "outputs", "assertions"):
             parts[name].write.mode("overwrite").parquet(f"{base_path}/{name}/batch_id={batch_id}")
