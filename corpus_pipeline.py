@@ -51,7 +51,7 @@ STAGES = [
     ("packing", pack_stage),
 ]
 
-# XXH64 fingerprints, BPE ids and connected components are beyond SQL; tests hold run() against a brute-force version.
+# XXH64 fingerprints, BPE ids and connected components are beyond SQL; tests hold every stage against brute force over its own input.
 ORACLE_SQL = None
 
 
