@@ -4,9 +4,12 @@ Equal vectors of a label are one class, whose copies are counted and not compare
 trees are fitted on a sample of at most ``SAMPLE`` classes: at each level the vectors of
 a node are projected on a random direction and cut at the median; vectors in a band
 around the cut go to both sides (spill), so that pairs near a cut stay together. Trees
-grow until a leaf is expected to hold ``LEAF`` classes of the whole table; below the
-sample's reach a node keeps halving at the medians of the vectors it inherited. All
-classes are dropped down all trees and met by (label, leaf).
+grow until a leaf is expected to hold ``LEAF`` classes of the whole table, or the sample
+has too few vectors there to find a median. All classes are dropped down all trees. A
+leaf that holds more than ``CROWDED`` classes of a label is cut further over the whole
+table: each round projects its classes on a new random direction, takes the quantiles
+as an aggregate and joins them back, until no such leaf is left. So neither a leaf nor
+the broadcast forest grows with the table.
 
 In a leaf all pairs are compared by blocks of a matrix product, in double precision. A
 pair that shares several leaves counts in the first one only, which both sides can tell
@@ -16,11 +19,14 @@ those links unite the leaves.
 
 Defined results: null labels and vectors that are null, empty, zero or hold null or
 non-finite components link with nothing; vectors of different lengths do not link;
-repeated rows are copies of each other; an empty table gives no rows.
+repeated rows are copies of each other; a crowd of vectors that are all multiples of one
+another, which no direction can cut, stays one leaf; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +37,7 @@ from assay.llm import common
 SAMPLE = 20_000  # classes the trees are fitted on
 TREES = 8
 LEAF = 1_000  # classes expected in a leaf
+CROWDED = 4_000  # classes of a label in a leaf that is cut further
 SPILL = 0.1  # share of a node on either side of the cut that goes to both
 LEAST = 32  # sample vectors needed to find a median
 COSINE = 0.98
@@ -49,13 +56,12 @@ def grow(x: np.ndarray, total: float, rng) -> list:
     def node(pts: np.ndarray, size: float) -> int:
         at = len(nodes)
         nodes.append(None)
-        if size > LEAF and len(pts) > 1 and len(nodes) < 4 * SAMPLE // LEAST:
+        if size > LEAF and len(pts) >= 2 * LEAST:
             d = rng.standard_normal(x.shape[1])
             p = pts @ d
             low, high = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
             if low < high:
-                halves = [pts[p <= high], pts[p >= low]]
-                left, right = [node(h if len(h) >= LEAST else pts, size * (0.5 + SPILL)) for h in halves]
+                left, right = [node(h, size * (0.5 + SPILL)) for h in (pts[p <= high], pts[p >= low])]
                 nodes[at] = (d, low, high, left, right)
         return at
 
@@ -78,6 +84,46 @@ def leaves(tree: list, x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def thinned(placed: DataFrame, classes: DataFrame, most: int | None = None) -> DataFrame:
+    """``placed`` (label, dim, leaf, id) with each leaf of over ``most`` classes of a label cut until none is left.
+
+    A round moves only the rows of crowded leaves. Its cuts are quantiles over all of a leaf's rows, one per leaf and
+    joined by leaf; the driver sees one number a round.
+    """
+    most = CROWDED if most is None else most
+    leaf = ["label", "dim", "leaf"]
+
+    def project(batches):
+        for b in batches:
+            p = np.empty(len(b), np.float32)
+            for (code, dim), at in b.groupby(["leaf", "dim"]).indices.items():
+                d = np.random.default_rng([SEED, int(code) & (2**64 - 1)]).standard_normal(int(dim))
+                p[at] = unit(np.array(b["v"].iloc[at].tolist(), float)) @ d
+            yield b[[*leaf, "id"]].assign(p=p)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select(*leaf, "id").schema) + ", p float"
+    vectors = classes.select("id", "label", "dim", "v")
+    done, open_ = [], placed
+    while True:
+        crowds = common.materialize(open_.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).drop("n"), "crowds")
+        if not crowds.head(1):
+            return reduce(DataFrame.unionByName, [*done, open_])
+        done.append(open_.join(crowds, leaf, "left_anti"))
+        p = common.materialize(open_.join(crowds, leaf, "left_semi").join(vectors, ["label", "dim", "id"])
+                               .mapInPandas(project, fields), "projected")
+        cuts = p.groupBy(*leaf).agg(F.percentile_approx("p", [0.5 - SPILL, 0.5 + SPILL]).alias("q"),
+                                    (F.min("p") == F.max("p")).alias("whole"))
+        low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+        sides = (F.when(low < high, F.array(F.when(F.col("p") <= high, 0), F.when(F.col("p") >= low, 1)))
+                 .otherwise(F.array(F.when(F.col("p") < low, 0).when(F.col("p") > low, 1).otherwise(2))))
+        cut = common.materialize(p.join(cuts, leaf).withColumn("side", F.explode(F.when(F.col("whole"), F.array(F.lit(-1)))
+                                                                                .otherwise(F.array_compact(sides))))
+                                 .select("label", "dim", F.when(F.col("side") < 0, F.col("leaf")).otherwise(
+                                     F.xxhash64("leaf", "side")).alias("leaf"), "id", "whole"), "cut")
+        done.append(cut.filter("whole").drop("whole"))
+        open_ = cut.filter("not whole").drop("whole")
+
+
 def compared(x: np.ndarray, weight: np.ndarray, tokens: list[np.ndarray], here: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Copies linked to each vector by pairs that share no leaf before ``here``, and the row of the smallest connected one.
 
@@ -130,23 +176,20 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREE
     model = classes.sparkSession.sparkContext.broadcast(forest)  # as large as the sample at most
     label, given = (vectors.schema[c].dataType.simpleString() for c in ("label", "embedding"))
     number = given if given in ("array<float>", "array<double>") else "array<double>"
-    fields = f"label {label}, dim int, leaf int, id long, w long, tokens array<int>, v {number}"
 
     def drop(batches):
         for b in (b.iloc[i:i + 512] for b in batches for i in range(0, len(b), 512)):
             for dim, part in b.groupby("dim"):
-                given = part["v"].to_numpy()
                 x = unit(np.array(part["v"].tolist(), float))
-                own: list[list[int]] = [[] for _ in range(len(part))]
                 for t, tree in enumerate(model.value.get(int(dim), [[None]])):
                     for leaf, at in leaves(tree, x):
-                        for i in at.tolist():
-                            own[i].append(t << 24 | leaf)
-                copies = [len(o) for o in own]
-                at = np.repeat(np.arange(len(part)), copies)
-                yield pd.DataFrame({"label": part["label"].to_numpy()[at], "dim": dim, "leaf": [l for o in own for l in o],
-                                    "id": part["id"].to_numpy()[at], "w": part["w"].to_numpy()[at],
-                                    "tokens": [own[i] for i in at], "v": given[at]})
+                        yield pd.DataFrame({"label": part["label"].to_numpy()[at], "dim": dim, "leaf": t << 32 | leaf,
+                                            "id": part["id"].to_numpy()[at]})
+
+    narrow = classes.select("label", "dim", "id", "w", F.col("v").cast(number).alias("v"))
+    placed = thinned(common.materialize(narrow.mapInPandas(drop, f"label {label}, dim int, leaf long, id long"), "placed"), narrow)
+    tokens = placed.groupBy("id").agg(F.collect_set("leaf").alias("tokens"))  # the leaves of one vector
+    in_leaves = narrow.join(tokens, "id").withColumn("leaf", F.explode("tokens"))
 
     def compare(key, part):
         part = part.sort_values("id")
@@ -156,8 +199,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREE
         some = (count > 0) | (root != np.arange(len(ids)))
         return pd.DataFrame({"id": ids[some], "n": count[some], "root": ids[root[some]]})
 
-    met = common.materialize(classes.select("label", "dim", "id", "w", F.col("v").cast(number).alias("v")).mapInPandas(drop, fields)
-                             .groupBy("label", "dim", "leaf").applyInPandas(compare, "id long, n long, root long"), "met")
+    met = common.materialize(in_leaves.groupBy("label", "dim", "leaf").applyInPandas(compare, "id long, n long, root long"), "met")
     links = met.groupBy("id").agg(F.sum("n").alias("n"))
     parts = common.connected_components(met.select(F.col("id").alias("u"), F.col("root").alias("v")), "vectors")
     of_class = (classes.join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")

@@ -56,5 +56,37 @@ def test_recall_with_many_leaves(spark, monkeypatch):
     assert all(root[r.component_id] == root[i] for i, r in got.items())
 
 
+def test_crowded_leaves_are_cut(spark, monkeypatch):
+    """Beyond the sample's reach: every leaf ends at or under the limit, links stay found."""
+    monkeypatch.setattr(E, "CROWDED", 100)
+    data = rows(3, 1500)
+    data += [(3000 + k, [(k + 1.0) * x for x in data[0][1]], data[0][2]) for k in range(20)]
+    links, root = brute(data)
+    got = {r.vec_id: r for r in E.near_duplicates(spark.createDataFrame(data, SCHEMA), sample=8).collect()}
+    assert all(got[i].n_links <= links[i] for i in links)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(links.values())
+    assert all(root[r.component_id] == root[i] for i, r in got.items())
+
+
+def test_thinned_leaves(spark):
+    rng = np.random.default_rng(5)
+    vecs = [(i, 1, 8, [float(x) for x in rng.normal(size=8)]) for i in range(600)]
+    vecs += [(600 + i, 2, 8, [2.0 ** i] * 8) for i in range(80)]  # multiples of one vector: cannot be cut
+    classes = spark.createDataFrame(vecs, "id long, label int, dim int, v array<double>")
+    placed = classes.selectExpr("label", "dim", "0L as leaf", "id")
+    out = E.thinned(placed, classes, most=50).toPandas()
+    sizes = out.groupby(["label", "leaf"]).size()
+    assert sizes[1].max() <= 50 and sizes[2].tolist() == [80]
+    assert set(out["id"]) == set(range(680)) and not out.duplicated().any()
+
+
+def test_grow_is_bounded_by_the_sample():
+    x = E.unit(np.random.default_rng(0).normal(size=(4000, 8)))
+    small, large = (E.grow(x, total, np.random.default_rng(1)) for total in (1e7, 1e12))
+    assert len(small) == len(large) < 4000
+    deepest = max(len(at) for _, at in E.leaves(large, x))
+    assert deepest < 4 * E.LEAST  # no part of the tree is left uncut
+
+
 def test_empty(spark):
     assert E.op2(spark.createDataFrame([], SCHEMA)).collect() == []
