@@ -94,6 +94,15 @@ def test_mix_targets_and_copies(docs):
     assert mixed == +want
 
 
+def test_mix_of_one_row_repeated(docs):
+    """Identical rows are documents of their own and take their share together."""
+    got = mix.op1(docs([(5, "one two three", "en", "a")] * 300 + [(6, "four five six", "en", "b")] * 300)).collect()
+    assert len(got) == 600
+    for name in (5, 6):
+        mine = [r for r in got if r.doc_id == name]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3 and all(r.taken <= 9 for r in mine)
+
+
 def test_mix_against_sql(spark, tmp_path):
     from assay.plans.compare import duckdb_connection
     r = compare(mix.op1(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")), duckdb_connection("/root/testdata/sf0.001"), mix.OP1_SQL)
@@ -352,6 +361,19 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in lang_id.op7(docs([(1, "no language", None)])).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_and_of_distinct_rows(spark):
+    """Any sample size: a language's smallest hashes, each row once however often it is repeated."""
+    words = {"aa": "the quick river and the old stone", "bb": "zwölf graue wölfe laufen über eis"}
+    data = [(i, lang, f"{text} {i}") for i in range(200) for lang, text in words.items()] + [(7, "aa", "the same text again")] * 500
+    train = spark.createDataFrame(data, "doc_id long, lang string, text string")
+    idf = lang_id.idf_of(train)
+    for sample in (3, 10_000):
+        found = lang_id.centroids(train, idf, sample, clusters=2)
+        assert {r["lang"] for r in found} == {"aa", "bb"} and len(found) <= 4
+    got = lang_id.predict(train, train, ["lang"], sample=20).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+
+
 def test_counts_of_a_long_text_in_parts(monkeypatch):
     text = "abcdé " * 500
     whole = lang_id.counts(text)
