@@ -60,7 +60,7 @@ def sample_copies(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, most: int
         F.coalesce(F.regexp_count(F.col("text"), F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(*docs.columns).alias("_tie")), "sizes")
     targets = source_targets(rows, weights, most)
-    ranked = common.global_rank(rows, ["_null", "_name"], ["size", "doc_id", "_tie"], "ranked")
+    ranked = common.global_rank(rows, ["_null", "_name"], ["size", "doc_id", "_tie", "_rid"], "ranked")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset(F.when(F.col("_null"), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("_name"))), seed)
     crossed = F.floor((F.col("_rank") + 1) * each + u) - F.floor(F.col("_rank") * each + u)
