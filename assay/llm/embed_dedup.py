@@ -42,6 +42,7 @@ SPILL = 0.1  # share of a node on either side of the cut that goes to both
 LEAST = 32  # sample vectors needed to find a median
 COSINE = 0.98
 SEED = 42
+HELD = 1 << 19  # numbers of vectors dropped down the trees at a time
 BLOCK = 1_024  # rows of a leaf compared at a time
 
 
@@ -178,13 +179,14 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREE
     number = given if given in ("array<float>", "array<double>") else "array<double>"
 
     def drop(batches):
-        for b in (b.iloc[i:i + 512] for b in batches for i in range(0, len(b), 512)):
-            for dim, part in b.groupby("dim"):
-                x = unit(np.array(part["v"].tolist(), float))
-                for t, tree in enumerate(model.value.get(int(dim), [[None]])):
-                    for leaf, at in leaves(tree, x):
-                        yield pd.DataFrame({"label": part["label"].to_numpy()[at], "dim": dim, "leaf": t << 32 | leaf,
-                                            "id": part["id"].to_numpy()[at]})
+        for dim, part in (group for b in batches for group in b.groupby("dim")):
+            step = max(1, HELD // int(dim))
+            for b in (part.iloc[i:i + step] for i in range(0, len(part), step)):
+                x = unit(np.array(b["v"].tolist(), float))
+                met = [(t << 32 | leaf, at) for t, tree in enumerate(model.value.get(int(dim), [[None]])) for leaf, at in leaves(tree, x)]
+                at = np.concatenate([rows for _, rows in met])
+                yield pd.DataFrame({"label": b["label"].to_numpy()[at], "dim": dim, "id": b["id"].to_numpy()[at],
+                                    "leaf": np.repeat([leaf for leaf, _ in met], [len(rows) for _, rows in met])})
 
     narrow = classes.select("label", "dim", "id", "w", F.col("v").cast(number).alias("v"))
     placed = thinned(common.materialize(narrow.mapInPandas(drop, f"label {label}, dim int, leaf long, id long"), "placed"), narrow)
