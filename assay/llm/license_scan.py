@@ -2,8 +2,8 @@
 
 A text is reduced to its lower-case words between single spaces. The rules are regular
 expressions over such texts: hand-written names of each license, alone where they tell
-enough, and in the usual forms of a notice. A rule runs only if its keyword is in the
-text, and no rule runs on a text without any of the gate words. Detections are word
+enough, and in the usual forms of a notice. A rule runs only if the text has what all
+its matches contain: a keyword derived from each of its names and one from its form, and no rule runs on a text without any of the gate words. Detections are word
 intervals; one that lies inside another is dropped, of equal intervals the rule with
 the higher priority stays (the earlier one of equal priority). The base phrases are
 looked for beside the rules and always stay.
@@ -16,6 +16,8 @@ rows are scanned each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,85 +32,99 @@ BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2
 GATE = ["licen", "spdx", "public domain", "copyleft", "creative commons", "copyright"]
 GATE_RX = r"cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
-# label, keyword, names as regular expressions, SPDX words
+# label, whether a name tells enough alone, names as regular expressions, SPDX words
 LICENSES = [
-    ("mit", "mit", [r"mit", r"mit x11", r"expat"], r"mit"),
-    ("mit-0", "mit", [r"mit 0", r"mit no attribution"], r"mit 0"),
-    ("apache-2", "apache", [r"apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?", r"apache 2(?: 0)?"], r"apache 2 0"),
-    ("apache-1.1", "apache", [r"apache(?: software)?(?: license)?(?: version)? v?1 1"], r"apache 1 1"),
-    ("bsd-2-clause", "bsd", [r"bsd 2 clause", r"2 clause bsd", r"two clause bsd", r"simplified bsd", r"freebsd"], r"bsd 2 clause"),
-    ("bsd-3-clause", "bsd", [r"bsd 3 clause", r"3 clause bsd", r"three clause bsd", r"(?:new|revised|modified) bsd"], r"bsd 3 clause"),
-    ("bsd-4-clause", "bsd", [r"bsd 4 clause", r"4 clause bsd", r"original bsd"], r"bsd 4 clause"),
-    ("bsd-0-clause", "bsd", [r"0bsd", r"zero clause bsd", r"bsd zero clause"], r"0bsd"),
-    ("isc", "isc", [r"isc"], r"isc"),
-    ("zlib", "zlib", [r"zlib", r"zlib libpng"], r"zlib"),
-    ("boost-1.0", "boost", [r"boost(?: software)?(?: license)?(?: version)?(?: 1 0)?"], r"bsl 1 0"),
-    ("unlicense", "unlicense", [r"unlicense", r"the unlicense"], r"unlicense"),
-    ("wtfpl", "wtfpl", [r"wtfpl"], r"wtfpl"),
-    ("gpl-1", "general public", [r"gnu general public license(?: version)? v?1(?: 0)?"], r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "general public", [r"gnu general public license(?: gpl)?(?: as published by the free software foundation either)?(?: version)? v?2(?: 0)?"], r"gpl 2 0(?: only| or later)?"),
-    ("gpl-2", "gpl", [r"(?:gnu )?gpl ?v?2(?: 0)?", r"gplv2"], r"gpl 2 0"),
-    ("gpl-3", "general public", [r"gnu general public license(?: gpl)?(?: as published by the free software foundation either)?(?: version)? v?3(?: 0)?"], r"gpl 3 0(?: only| or later)?"),
-    ("gpl-3", "gpl", [r"(?:gnu )?gpl ?v?3(?: 0)?", r"gplv3"], r"gpl 3 0"),
-    ("lgpl-2", "lesser", [r"gnu (?:library|lesser) general public license(?: version)? v?2(?: 0)?"], r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", [r"gnu lesser general public license(?: version)? v?2 1"], r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl", [r"(?:gnu )?lgpl ?v?2 1", r"lgplv2 1"], r"lgpl 2 1"),
-    ("lgpl-3", "lesser", [r"gnu lesser general public license(?: version)? v?3(?: 0)?"], r"lgpl 3 0(?: only| or later)?"),
-    ("lgpl-3", "lgpl", [r"(?:gnu )?lgpl ?v?3(?: 0)?", r"lgplv3"], r"lgpl 3 0"),
-    ("agpl-3", "affero", [r"gnu affero general public license(?: version)? v?3(?: 0)?"], r"agpl 3 0(?: only| or later)?"),
-    ("agpl-3", "agpl", [r"(?:gnu )?agpl ?v?3(?: 0)?", r"agplv3"], r"agpl 3 0"),
-    ("gfdl", "free documentation", [r"gnu free documentation license(?: version)?(?: 1 [123])?"], r"gfdl 1 [123](?: only| or later)?"),
-    ("mpl-1.1", "mozilla", [r"mozilla public license(?: version)? v?1 1"], r"mpl 1 1"),
-    ("mpl-2", "mozilla", [r"mozilla public license(?: version)? v?2(?: 0)?"], r"mpl 2 0"),
-    ("epl-1", "eclipse", [r"eclipse public license(?: version)?(?: v)? ?1(?: 0)?"], r"epl 1 0"),
-    ("epl-2", "eclipse", [r"eclipse public license(?: version)?(?: v)? ?2(?: 0)?"], r"epl 2 0"),
-    ("cddl-1", "common development", [r"common development and distribution license(?: version)?(?: 1 0)?"], r"cddl 1 0"),
-    ("eupl-1.2", "european union", [r"european union public licen[cs]e(?: version)?(?: v)? ?1 2"], r"eupl 1 2"),
-    ("artistic-1", "artistic", [r"artistic license(?: version)? 1(?: 0)?"], r"artistic 1 0"),
-    ("artistic-2", "artistic", [r"artistic license(?: version)? 2(?: 0)?"], r"artistic 2 0"),
-    ("python-2", "python", [r"python software foundation license(?: version)?(?: 2)?", r"psf license(?: version)?(?: 2)?"], r"(?:psf|python) 2 0"),
-    ("openssl", "openssl", [r"openssl"], r"openssl"),
-    ("postgresql", "postgresql", [r"postgresql"], r"postgresql"),
-    ("ofl-1.1", "open font", [r"sil open font license(?: version)?(?: 1 1)?"], r"ofl 1 1"),
-    ("odbl", "open database", [r"open database license", r"odbl"], r"odbl 1 0"),
-    ("cc0", "cc0", [r"cc0(?: 1 0)?(?: universal)?", r"creative commons zero"], r"cc0 1 0"),
-    ("cc-by", "by", [r"cc by(?: [1234] 0)?", r"creative commons attribution(?: [1234] 0)?"], r"cc by [1234] 0"),
-    ("cc-by-sa", "by sa", [r"cc by sa(?: [1234] 0)?"], r"cc by sa [1234] 0"),
-    ("cc-by-sa", "share", [r"creative commons attribution share ?alike(?: [1234] 0)?"], r"cc by sa"),
-    ("cc-by-nc", "nc", [r"cc by nc(?: [1234] 0)?"], r"cc by nc [1234] 0"),
-    ("cc-by-nc", "noncommercial", [r"creative commons attribution noncommercial(?: [1234] 0)?"], r"cc by nc"),
-    ("cc-by-nc-sa", "nc sa", [r"cc by nc sa(?: [1234] 0)?"], r"cc by nc sa [1234] 0"),
-    ("cc-by-nd", "nd", [r"cc by nd(?: [1234] 0)?"], r"cc by nd [1234] 0"),
-    ("cc-by-nc-nd", "nc nd", [r"cc by nc nd(?: [1234] 0)?"], r"cc by nc nd [1234] 0"),
-    ("public-domain", "public domain", [r"(?:in|into|to) the public domain"], r"public domain"),
-    ("proprietary", "reserved", [r"all rights reserved"], r"licenseref proprietary"),
+    ("mit", False, [r"mit", r"mit x11", r"expat"], r"mit"),
+    ("mit-0", False, [r"mit 0", r"mit no attribution"], r"mit 0"),
+    ("apache-2", False, [r"apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?", r"apache 2(?: 0)?"], r"apache 2 0"),
+    ("apache-1.1", False, [r"apache(?: software)?(?: license)?(?: version)? v?1 1"], r"apache 1 1"),
+    ("bsd-2-clause", False, [r"bsd 2 clause", r"2 clause bsd", r"two clause bsd", r"simplified bsd", r"freebsd"], r"bsd 2 clause"),
+    ("bsd-3-clause", False, [r"bsd 3 clause", r"3 clause bsd", r"three clause bsd", r"(?:new|revised|modified) bsd"], r"bsd 3 clause"),
+    ("bsd-4-clause", False, [r"bsd 4 clause", r"4 clause bsd", r"original bsd"], r"bsd 4 clause"),
+    ("bsd-0-clause", False, [r"0bsd", r"zero clause bsd", r"bsd zero clause"], r"0bsd"),
+    ("isc", False, [r"isc"], r"isc"),
+    ("zlib", False, [r"zlib", r"zlib libpng"], r"zlib"),
+    ("boost-1.0", False, [r"boost(?: software)?(?: license)?(?: version)?(?: 1 0)?"], r"bsl 1 0"),
+    ("unlicense", True, [r"unlicense", r"the unlicense"], r"unlicense"),
+    ("wtfpl", True, [r"wtfpl"], r"wtfpl"),
+    ("gpl-1", True, [r"gnu general public license(?: version)? v?1(?: 0)?"], r"gpl 1 0(?: only| or later)?"),
+    ("gpl-2", True, [r"gnu general public license(?: gpl)?(?: as published by the free software foundation either)?(?: version)? v?2(?: 0)?"], r"gpl 2 0(?: only| or later)?"),
+    ("gpl-2", True, [r"(?:gnu )?gpl ?v?2(?: 0)?", r"gplv2"], r"gpl 2 0"),
+    ("gpl-3", True, [r"gnu general public license(?: gpl)?(?: as published by the free software foundation either)?(?: version)? v?3(?: 0)?"], r"gpl 3 0(?: only| or later)?"),
+    ("gpl-3", True, [r"(?:gnu )?gpl ?v?3(?: 0)?", r"gplv3"], r"gpl 3 0"),
+    ("lgpl-2", True, [r"gnu (?:library|lesser) general public license(?: version)? v?2(?: 0)?"], r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", True, [r"gnu lesser general public license(?: version)? v?2 1"], r"lgpl 2 1(?: only| or later)?"),
+    ("lgpl-2.1", True, [r"(?:gnu )?lgpl ?v?2 1", r"lgplv2 1"], r"lgpl 2 1"),
+    ("lgpl-3", True, [r"gnu lesser general public license(?: version)? v?3(?: 0)?"], r"lgpl 3 0(?: only| or later)?"),
+    ("lgpl-3", True, [r"(?:gnu )?lgpl ?v?3(?: 0)?", r"lgplv3"], r"lgpl 3 0"),
+    ("agpl-3", True, [r"gnu affero general public license(?: version)? v?3(?: 0)?"], r"agpl 3 0(?: only| or later)?"),
+    ("agpl-3", True, [r"(?:gnu )?agpl ?v?3(?: 0)?", r"agplv3"], r"agpl 3 0"),
+    ("gfdl", True, [r"gnu free documentation license(?: version)?(?: 1 [123])?"], r"gfdl 1 [123](?: only| or later)?"),
+    ("mpl-1.1", True, [r"mozilla public license(?: version)? v?1 1"], r"mpl 1 1"),
+    ("mpl-2", True, [r"mozilla public license(?: version)? v?2(?: 0)?"], r"mpl 2 0"),
+    ("epl-1", True, [r"eclipse public license(?: version)?(?: v)? ?1(?: 0)?"], r"epl 1 0"),
+    ("epl-2", True, [r"eclipse public license(?: version)?(?: v)? ?2(?: 0)?"], r"epl 2 0"),
+    ("cddl-1", True, [r"common development and distribution license(?: version)?(?: 1 0)?"], r"cddl 1 0"),
+    ("eupl-1.2", True, [r"european union public licen[cs]e(?: version)?(?: v)? ?1 2"], r"eupl 1 2"),
+    ("artistic-1", False, [r"artistic license(?: version)? 1(?: 0)?"], r"artistic 1 0"),
+    ("artistic-2", False, [r"artistic license(?: version)? 2(?: 0)?"], r"artistic 2 0"),
+    ("python-2", False, [r"python software foundation license(?: version)?(?: 2)?", r"psf license(?: version)?(?: 2)?"], r"(?:psf|python) 2 0"),
+    ("openssl", False, [r"openssl"], r"openssl"),
+    ("postgresql", False, [r"postgresql"], r"postgresql"),
+    ("ofl-1.1", True, [r"sil open font license(?: version)?(?: 1 1)?"], r"ofl 1 1"),
+    ("odbl", True, [r"open database license", r"odbl"], r"odbl 1 0"),
+    ("cc0", True, [r"cc0(?: 1 0)?(?: universal)?", r"creative commons zero"], r"cc0 1 0"),
+    ("cc-by", True, [r"cc by(?: [1234] 0)?", r"creative commons attribution(?: [1234] 0)?"], r"cc by [1234] 0"),
+    ("cc-by-sa", True, [r"cc by sa(?: [1234] 0)?"], r"cc by sa [1234] 0"),
+    ("cc-by-sa", True, [r"creative commons attribution share ?alike(?: [1234] 0)?"], r"cc by sa"),
+    ("cc-by-nc", True, [r"cc by nc(?: [1234] 0)?"], r"cc by nc [1234] 0"),
+    ("cc-by-nc", True, [r"creative commons attribution noncommercial(?: [1234] 0)?"], r"cc by nc"),
+    ("cc-by-nc-sa", True, [r"cc by nc sa(?: [1234] 0)?"], r"cc by nc sa [1234] 0"),
+    ("cc-by-nd", True, [r"cc by nd(?: [1234] 0)?"], r"cc by nd [1234] 0"),
+    ("cc-by-nc-nd", True, [r"cc by nc nd(?: [1234] 0)?"], r"cc by nc nd [1234] 0"),
+    ("public-domain", True, [r"(?:in|into|to) the public domain"], r"public domain"),
+    ("proprietary", False, [r"all rights reserved"], r"licenseref proprietary"),
 ]
-#: Forms of a notice around a name: regular expression, priority, confidence.
+#: Forms of a notice around a name: regular expression, priority, confidence, what every match contains besides the name.
 FORMS = [
-    (r"spdx license identifier {spdx}", 4, 1.0),
-    (r"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[cs]e)?", 3, 0.95),
-    (r"(?:under|subject to) (?:the )?terms of (?:the )?(?:{name})(?: licen[cs]e)?", 3, 0.9),
-    (r"licen[cs]e (?:is )?(?:the )?(?:{name})", 2, 0.8),
-    (r"(?:the )?(?:{name}) licen[cs]e", 2, 0.8),
-    (r"under (?:the |a )?(?:{name})", 1, 0.7),
+    (r"spdx license identifier {spdx}", 4, 1.0, ""),
+    (r"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[cs]e)?", 3, 0.95, " under "),
+    (r"(?:under|subject to) (?:the )?terms of (?:the )?(?:{name})(?: licen[cs]e)?", 3, 0.9, "terms of "),
+    (r"licen[cs]e (?:is )?(?:the )?(?:{name})", 2, 0.8, " licen"),
+    (r"(?:the )?(?:{name}) licen[cs]e", 2, 0.8, " licen"),
+    (r"under (?:the |a )?(?:{name})", 1, 0.7, " under "),
 ]
-BARE = (r"(?:{name})", 0, 0.6)
-SELF_TELLING = {"general public", "gpl", "lesser", "lgpl", "affero", "agpl", "mozilla", "eclipse", "unlicense", "wtfpl", "cc0",
-                "by", "by sa", "nc", "nc sa", "nd", "nc nd", "share", "noncommercial", "public domain", "open font", "odbl",
-                "open database", "free documentation", "common development", "european union"}
+BARE = (r"(?:{name})", 0, 0.6, "")
+
+
+def needed(rx: str) -> str:
+    """The longest literal that every match of ``rx`` among whole words contains; a space where a word must begin or end there.
+
+    ``rx`` holds literals, classes and groups without groups inside, each with or without ``?``.
+    """
+    s = re.sub(r"(\(\?: [^()|]*\)\?)+$", " ", f" {rx}") if rx else ""  # further words at the end, or none: a word ends before
+    s = s if s.endswith(" ") or not rx else f"{s} "
+    pieces = re.split(r"\([^()]*\)\??|\[[^]]*\]\??|.\?", s)
+    return max(pieces, key=lambda p: (len(p.strip()), len(p)))
+
+
+def fewest(keys: list[str]) -> list[str]:
+    """Without those that contain another: one of ``keys`` is in a text just if one of these is."""
+    return [k for k in dict.fromkeys(keys) if not any(o != k and o in k for o in keys)]
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, regular expression, label, priority, confidence) of every rule, in order. A keyword begins and, but for versions
-    written onto it, ends a word."""
+def rules() -> list[tuple[tuple[str, ...], str, str, int, float, str]]:
+    """(keywords, regular expression, label, priority, confidence, form's keyword) of every rule, in order. Every match of a rule
+    contains one of its keywords, one for each name, and the form's keyword."""
     out = []
-    for label, key, names, spdx in LICENSES:
-        name, keyword = "|".join(names), f" {key}" if key.endswith("gpl") else f" {key} "
+    for label, alone, names, spdx in LICENSES:
+        name, keys = "|".join(names), tuple(fewest([needed(n) for n in names]))
         if label == "proprietary":
-            out.append((keyword, name, label, 0, 0.5))
+            out.append((keys, name, label, 0, 0.5, ""))
             continue
-        for form, priority, sure in FORMS + [BARE] * (key in SELF_TELLING):
-            out.append((keyword, form.format(name=name, spdx=spdx), label, priority, sure))
+        for form, priority, sure, around in FORMS + [BARE] * alone:
+            rx = form.format(name=name, spdx=spdx)
+            out.append(((needed(rx),) if "{spdx}" in form else keys, rx, label, priority, sure, around))
     return out
 
 
@@ -138,10 +154,11 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     base = F.flatten(F.array(*[F.transform(
         F.when(F.contains("_norm", F.lit(f" {p} ")), places(F.col("_norm"), F.lit(p))).otherwise(F.array()),
         labelled(label)) for p, label in BASE]))
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(rx).alias("rx"), F.lit(label).alias("label"), F.lit(p).alias("p"),
+    table = F.array(*[F.struct(F.array(*[F.lit(k) for k in keys]).alias("k"), F.lit(form).alias("form"), F.lit(rx).alias("rx"), F.lit(label).alias("label"), F.lit(p).alias("p"),
                                F.lit(sure).alias("sure"), F.lit(i).alias("i"))
-                      for i, (k, rx, label, p, sure) in enumerate(rules())])
-    hits = F.flatten(F.transform(F.filter(table, lambda r: F.contains("_norm", r["k"])), lambda r: F.transform(
+                      for i, (keys, rx, label, p, sure, form) in enumerate(rules())])
+    hits = F.flatten(F.transform(F.filter(table, lambda r: F.contains("_norm", r["form"]) & F.exists(
+        r["k"], lambda k: F.contains("_norm", k))), lambda r: F.transform(
         places(F.col("_norm"), r["rx"]), lambda d: F.struct(
             d["s"].alias("s"), (-d["e"]).alias("e"), (-r["p"]).alias("p"), r["i"].alias("i"),
             r["label"].alias("label"), r["sure"].alias("sure")))))

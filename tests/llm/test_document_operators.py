@@ -323,6 +323,54 @@ def test_rules_are_hundreds_and_compile():
     assert len(rules) >= 200 and all(re.compile(rx) for _, rx, *_ in rules)
 
 
+def texts_of(rx):
+    """Every text a rule's regular expression matches, with groups of whole words left out or taken."""
+    import re._parser as parser
+
+    def grown(parsed):
+        out = [""]
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                parts = [chr(arg)]
+            elif op == "IN":
+                parts = [chr(c) for k, v in arg for c in (range(v[0], v[1] + 1) if str(k) == "RANGE" else [v])]
+            elif op == "BRANCH":
+                parts = [x for b in arg[1] for x in grown(b)]
+            elif op == "SUBPATTERN":
+                parts = grown(arg[3])
+            else:
+                assert op == "MAX_REPEAT" and arg[:2] == (0, 1)
+                parts = ["", *grown(arg[2])]
+            out = [a + b for a in out for b in parts]
+        return out
+    return grown(parser.parse(rx))
+
+
+def test_every_license_rule_passes_its_own_keywords():
+    for keys, rx, label, _, _, around in license_scan.rules():
+        assert keys and all(k.strip() for k in keys)
+        for text in texts_of(rx):
+            assert re.fullmatch(rx, text)
+            assert around in f" {text} " and any(k in f" {text} " for k in keys), (label, rx, text)
+
+
+def test_every_license_form_is_found(docs):
+    """A text of each name and SPDX form alone, in every form of notice, has the rule's label."""
+    want = {}
+    for label, alone, names, spdx in license_scan.LICENSES:
+        if label == "proprietary":
+            continue
+        for x in texts_of(spdx):
+            want["SPDX-License-Identifier: " + x.replace(" ", "-")] = label
+        for x in [t for n in names for t in texts_of(n)]:
+            for form in ["Dual license: {} License.", "License: {}", "This license is subject to the terms of the {}", "Licensed under {}"]:
+                want.setdefault(form.format(x), label)
+    got = license_scan.op6(docs([(i, t) for i, t in enumerate(want)])).collect()
+    texts = list(want)
+    assert [(texts[r.doc_id], want[texts[r.doc_id]], r.labels) for r in got if want[texts[r.doc_id]] not in r.labels.split(",")] == []
+
+
 # quality
 
 def brute_quality(text):
