@@ -3,7 +3,8 @@
 A text is reduced to its lower-case words between single spaces. The rules are regular
 expressions over such texts: hand-written names of each license, alone where they tell
 enough, and in the usual forms of a notice. A rule runs only if the text has what all
-its matches contain: a keyword derived from each of its names and one from its form, and no rule runs on a text without any of the gate words. Detections are word
+its matches contain, a keyword derived from its names and one from its form; the gate,
+which skips whole texts, is the union of these over all rules. Detections are word
 intervals; one that lies inside another is dropped, of equal intervals the rule with
 the higher priority stays (the earlier one of equal priority). The base phrases are
 looked for beside the rules and always stay.
@@ -28,9 +29,6 @@ from assay.llm.quality import bind
 NOT_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"  # the same words before A-Z are lower-cased
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-#: Any detection needs one of these in the lower-cased raw text.
-GATE = ["licen", "spdx", "public domain", "copyleft", "creative commons", "copyright"]
-GATE_RX = r"cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
 # label, whether a name tells enough alone, names as regular expressions, SPDX words
 LICENSES = [
@@ -128,6 +126,22 @@ def rules() -> list[tuple[tuple[str, ...], str, str, int, float, str]]:
     return out
 
 
+def gate(norm: Column) -> Column:
+    """False only for texts in which no rule and no base phrase can match: the rules' own keywords, each form's together."""
+    by_form: dict[str, list[str]] = {"": [f" {p} " for p, _ in BASE]}
+    for keys, *_, form in rules():
+        by_form.setdefault(form, []).extend(keys)
+    alone = fewest(by_form[""])
+    has = lambda keys: common.any_of([F.contains(norm, F.lit(k)) for k in keys])
+    # forms with the same keywords left are told together
+    left: dict[tuple[str, ...], list[str]] = {}
+    for form, keys in by_form.items():
+        more = tuple(k for k in fewest(keys) if not any(o in k for o in alone))
+        if form and more:
+            left.setdefault(more, []).append(form)
+    return has(alone) | common.any_of([has(forms) & has(keys) for keys, forms in left.items()])
+
+
 def places(norm: Column, rx: Column) -> Column:
     """Word intervals (s, e) of the places where ``rx`` matches whole words of ``norm``, leftmost, non-overlapping."""
     whole = F.concat(F.lit("(?<= )(?:"), rx, F.lit(")(?= )"))
@@ -147,10 +161,9 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, n_words, ``_base`` (intervals with label) and ``_kept`` (s, e, priority, label, sure of the detections that stay)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(common.lower_ascii(F.col("_text")), NOT_WORD, " ")), F.lit(" "))
-    rows = docs.select(*keep, text.alias("_text"), F.lower(text).alias("_low"))
-    gate = common.any_of([F.contains("_low", F.lit(g)) for g in GATE]) | F.col("_low").rlike(GATE_RX)
-    rows = rows.select(*keep, F.regexp_count("_text", F.lit(RAW_WORD)).cast("long").alias("n_words"),
-                       F.when(common.once(gate), norm).alias("_norm"))
+    rows = docs.select(*keep, text.alias("_text"))
+    rows = rows.select(*keep, F.regexp_count("_text", F.lit(RAW_WORD)).cast("long").alias("n_words"), norm.alias("_words"))
+    rows = rows.select(*keep, "n_words", F.when(common.once(gate(F.col("_words"))), F.col("_words")).alias("_norm"))
     base = F.flatten(F.array(*[F.transform(
         F.when(F.contains("_norm", F.lit(f" {p} ")), places(F.col("_norm"), F.lit(p))).otherwise(F.array()),
         labelled(label)) for p, label in BASE]))

@@ -371,6 +371,19 @@ def test_every_license_form_is_found(docs):
     assert [(texts[r.doc_id], want[texts[r.doc_id]], r.labels) for r in got if want[texts[r.doc_id]] not in r.labels.split(",")] == []
 
 
+@pytest.mark.parametrize("text,label", [
+    ("Released under the GPLv3.", "gpl-3"), ("under the terms of the AGPLv3", "agpl-3"), ("distributed under the WTFPL", "wtfpl"),
+    ("released under CC0 1.0", "cc0"), ("All rights reserved", "proprietary"), ("in the public\ndomain", "public-domain"),
+    ("creative\ncommons attribution 4.0", "cc-by"), ("distributed  under\nMIT", "mit"), ("cc\tby", "cc-by")])
+def test_license_gate_lets_every_rule_run(docs, text, label):
+    assert license_scan.op6(docs([(1, text)])).first().labels == label
+
+
+def test_license_gate_passes_every_text_of_a_rule(spark):
+    texts = [(f" {t} ",) for _, rx, *_ in license_scan.rules() for t in texts_of(rx)]
+    assert spark.createDataFrame(texts, "t string").filter(~license_scan.gate(F.col("t"))).collect() == []
+
+
 # quality
 
 def brute_quality(text):
