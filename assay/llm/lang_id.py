@@ -10,7 +10,8 @@ centroid than ``SLACK`` times the cosine of its farthest training member is mark
 
 Defined results: null texts and those without a letter are ``und`` with score 0; without
 any training document all are ``und``; ties go to the first language by name; null
-languages teach nothing; repeated rows are predicted each and enter the sample once; an
+languages teach nothing; repeated rows are predicted each, equal texts of a
+language enter the sample once; an
 empty table gives no rows.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FEATURES = 1 << 13
-SAMPLE = 300  # training documents of a language for its centroids, by hash of their id
+SAMPLE = 300  # training documents of a language for its centroids, by hash of their text
 CLUSTERS = 4
 ROUNDS = 8
 SLACK = 0.6
@@ -71,11 +72,11 @@ def idf_of(train: DataFrame) -> np.ndarray:
 
 def centroids(train: DataFrame, idf: np.ndarray, sample: int = SAMPLE, clusters: int = CLUSTERS) -> list:
     """(lang, cosine of the farthest member, centroid) rows, by language."""
-    # a language's hashes are uniform: those below a bound that about 4 * sample documents meet hold the smallest ones,
-    # so texts move for a few documents and no task sees a whole language
-    hashed = train.withColumn("_h", F.xxhash64("doc_id", "text"))
-    bound = F.lit(-(2.0 ** 63)) + F.lit(2.0 ** 64) * F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("_docs"))
-    sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs"))  # a row a language, of which the model holds more
+    # a language's distinct texts have uniform hashes: those below a bound that about 4 * sample of them meet hold the smallest
+    # ones, so texts move for a few documents and no task sees a whole language; copies, whatever their ids, count once
+    hashed = train.withColumn("_h", F.xxhash64("text"))
+    bound = F.lit(-(2.0 ** 63)) + F.lit(2.0 ** 64) * F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("_texts"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("_h", 0.05).alias("_texts"))  # a row a language, of which the model holds more
     near = (hashed.join(F.broadcast(sizes), "lang")
             .filter(F.col("_h").cast("double") <= bound).dropDuplicates(["lang", "_h"]))
     order = Window.partitionBy("lang").orderBy("_h")

@@ -435,6 +435,14 @@ def test_language_sample_is_bounded_and_of_distinct_rows(spark):
     assert all(r.lang == r.lang_pred for r in got)
 
 
+def test_language_sample_is_full_beside_repeated_texts(spark):
+    """Copies, of one id or of their own, neither thin out the sample nor fill it."""
+    fit = spark.createDataFrame([(i, "aa", f"text number {i}") for i in range(50)], "doc_id long, lang string, text string")
+    hot = spark.range(20_000).selectExpr("if(id < 10000, 7L, id) as doc_id", "'aa' as lang", "'the same text again' as text")
+    found = lang_id.centroids(fit.union(hot), lang_id.idf_of(fit), sample=60, clusters=51)
+    assert len(found) == 51  # each distinct text is the one member of a centroid
+
+
 def test_counts_of_a_long_text_in_parts(monkeypatch):
     text = "abcdé " * 500
     whole = lang_id.counts(text)
