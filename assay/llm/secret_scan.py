@@ -2,11 +2,13 @@
 
 Shapes (assign, access, hex) are leftmost, non-overlapping matches per kind; those that
 are too short are dropped. Beside them, candidates are maximal runs of a character
-class (hex digits; base64 letters). A window moves over each candidate; the sum of
+class (hex digits; base64 letters; lower-case or upper-case letters with digits), cut
+where an allow-listed word, plain sequence or repeat stands in them. A window moves over each candidate; the sum of
 c * log2(c) over its character counts is kept up to date by the one character that
 enters and the one that leaves. Windows at or above the class's threshold are joined
-into spans. Candidates on the allow-list (identifiers, examples, plain sequences) and
-spans inside a fixed-shape span are dropped.
+into spans. Candidates that are identifiers and spans inside a fixed-shape span are
+dropped. Only the sum is incremental: the counts of the two characters are taken from
+the window at each step.
 
 All is done in DataFrame expressions on the row itself: no shuffle, no Python.
 Positions are code points, ends exclusive.
@@ -28,14 +30,29 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LONG_HEX = r"[0-9a-f]{24,}"  # the runs of HEX that pass: a run is maximal, so its length alone decides
-# class, run of its characters, what a candidate must hold, window, bits a character
-CLASSES = [
-    ("entropy_hex", r"[0-9A-Fa-f]{24,}", r"^(?=.*[0-9])(?=.*[A-Fa-f])", 24, 2.9),
-    ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 20, 3.8),
+# class, its characters, what a candidate must hold, window, bits a character
+CHARS = [
+    ("entropy_hex", "0-9A-Fa-f", r"^(?=.*[0-9])(?=.*[A-Fa-f])", 24, 2.9),
+    ("entropy_base64", "A-Za-z0-9+/_=-", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 20, 3.8),
+    ("entropy_lower", "a-z0-9", r"^(?=.*[0-9])(?=.*[a-z])", 20, 3.5),  # base36
+    ("entropy_upper", "A-Z0-9", r"^(?=.*[0-9])(?=.*[A-Z])", 20, 3.5),  # base32
 ]
+WORDS = "(?i:example|sample|placeholder|changeme|dummy|x{6,}|01234567|abcdefgh)"
+#: Whole candidates that are identifiers, not secrets.
+ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def between(chars: str, least: int) -> str:
+    """Runs of at least ``least`` of ``chars`` between allow-listed words and repeats, which match alone and are too short or plain
+    to have windows: no window overlaps one."""
+    plain = rf"(?:{WORDS}|([{chars}])\1{{7,}})"
+    tempered = rf"(?:(?!{WORDS}|([{chars}])\2{{7,}})[{chars}])"
+    return rf"{plain}|(?=[{chars}]{{{least}}}){tempered}{{{least},}}"
+
+
+# class, run of its characters, what a candidate must hold, window, bits a character
+CLASSES = [(name, between(chars, window), needs, window, bits) for name, chars, needs, window, bits in CHARS]
 KINDS = ["assign", "access", "hex", *[c[0] for c in CLASSES]]
-ALLOWED = (r"(?i)example|sample|placeholder|changeme|dummy|x{6}|(.)\1{7}|01234567|abcdefgh|"
-           r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 MARK = "[SECRET]"
 SPAN = "struct<start:int,end:int,k:int>"
 
@@ -94,7 +111,10 @@ def hot_windows(chars: Column, at: Column, k: int, window: int, bits: float) ->
 
 def entropy_spans(text: Column) -> Column:
     def of(k: int, run: str, needs: str, window: int, bits: float) -> Column:
-        candidates = F.filter(found(text, run), lambda m: m["m"].rlike(needs) & ~m["m"].rlike(ALLOWED))
+        some = text.rlike(f"[{CHARS[k - 3][1]}]{{{window},}}")  # most texts have no run that is long enough
+        none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+        candidates = F.filter(F.when(some, found(text, run)).otherwise(none), lambda m: (F.length(m["m"]) >= window)
+                              & m["m"].rlike(needs) & ~m["m"].rlike(ALLOWED))
         return F.flatten(F.transform(candidates, lambda m: bind(
             F.split(m["m"], ""), lambda c: hot_windows(c, m["start"], k, window, bits))))
     return F.concat(*[of(k, *c[1:]) for k, c in enumerate(CLASSES, start=3)])

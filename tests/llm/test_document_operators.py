@@ -285,6 +285,15 @@ def test_secrets(docs):
         assert r.text == out and r.n_chars == len(out)
 
 
+@pytest.mark.parametrize("text,spans", [
+    ("key q7x2m9v4k8z1w6t3r5y0p2n7b4c9 end", "entropy_lower:4:32"), ("key JBSWY3DPEHPK3PXPMZXW6YTBOI2GK4TU end", "entropy_upper:4:36"),
+    ("sample/Zk9qX2vR7tLm3NpW8sYdB4hJ6gFc1aQeT5uK0xVi", "entropy_base64:6:47"),
+    ("Zk9qX2vR7tLm3NpW8sYdB4hJ/example", "entropy_base64:0:25"), ("Zk9qX2vR7EXAMPLE3NpW8sYdB4hJ", ""),
+    ("aaaaaaaaaaaZk9qX2vR7tLm3NpW8sYdB4hJ", "entropy_base64:11:35"), ("12345678-90ab-4cde-8f01-23456789abcd", "")])
+def test_secret_classes_and_allowed_windows(docs, text, spans):
+    assert secret_scan.op5(docs([(1, text)])).first().spans == spans
+
+
 # licenses
 
 def brute_license(text):
