@@ -5,7 +5,7 @@ import pytest
 
 from assay.plans import registry
 from assay.plans.compare import compare, diff_rows
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 registry.load_all()
 WITH_ORACLE = sorted(registry.ORACLE)

@@ -4,7 +4,7 @@ query, column pruning and one shuffle for the fused checks."""
 import pytest
 
 from assay.plans import registry
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 registry.load_all()
 BATCH = sorted(n for n in registry.QUERIES if not n.startswith(("stream_", "io_", "prof_output", "prof_schema")))

@@ -10,7 +10,7 @@ from assay.operators import runs as RN
 from assay.plans import q_events
 from assay.session import scratch_dir
 from assay.streaming import checks as ST
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_islands_state_across_batches(spark):
