@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import (common, embed_dedup, lang_id, license_scan, mix, pack, quality, secret_scan, simhash,
-                       suffix_dedup, token_count)
+from assay.llm import (common, embed_dedup, lang_id, license_scan, mix, pack, periodic, quality, search, secret_scan,
+                       simhash, suffix_dedup, token_count, url_filter)
 
 
-def _over(name: str, fn) -> Callable[[SparkSession, str], DataFrame]:
+def _over(names: str, fn) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         common.prepare(spark)
-        return fn(common.table(spark, sf_dir, name))
+        return fn(*[common.table(spark, sf_dir, name) for name in names.split()])
     return run
 
 
@@ -28,8 +28,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": _over("documents", suffix_dedup.op8),
     "op9_token_counts": _over("documents", token_count.op9),
     "op10_quality_rules": _over("documents", quality.op10),
+    "op11_periodic_runs": _over("documents", periodic.op11),
+    "op12_ranked_search": _over("documents benchmark", search.op12),
+    "op13_url_filter": _over("pages", url_filter.op13),
 }
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": mix.OP1_SQL,
+    "op12_ranked_search": search.OP12_SQL,
+    "op13_url_filter": url_filter.OP13_SQL,
 }
