@@ -41,6 +41,9 @@ MSG_AVG_FOUND = "Поле значительно отличается от ср
 MSG_AVG_OK = "Ошибок нет. Поля {fields} не отличаются от среднего."
 MSG_TIME_EXPIRED = "Превышено время выполнения на {seconds} секунд"
 
+#: Of a range check that met values it cannot be applied to.
+MSG_UNREADABLE = "{count} values of {column} cannot be compared with {range}"
+
 # Fixed value: rule id of the timeliness assertion.
 TIMELINESS_RULE_ID = "389df21d-5294-4cd5-ad61-63b62ee07b54"
 
@@ -150,8 +153,3 @@ def deterministic_uuid(*parts: Column) -> Column:
 def deterministic_id(*parts: Column) -> Column:
     """A stable id from the parts (replay gives the same id, no duplicates)."""
     return F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]), 256)
-
-
-def split_list(s: Column, sep: str = ";") -> Column:
-    """H1/H2: split a settings list."""
-    return F.split(s, re.escape(sep))

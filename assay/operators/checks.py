@@ -1,4 +1,4 @@
-"""Table-level checks compiled to fused aggregates.
+"""Table-level checks compiled to fused aggregates.
 
 Every check returns assertion rows
 ``(assertion, column, success, state, msg, n_bad)``; a caller adds ``rule_id``.
@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expressions as X
 
@@ -52,6 +53,56 @@ def range_predicate(column: str, rng: str) -> Column:
     return F.expr(f"{quote_ident(column)} {r}")
 
 
+_LITERAL_RX = re.compile(_LITERAL, re.IGNORECASE)
+
+
+def _literal_kind(text: str) -> str:
+    t = text.lower()
+    if t.startswith("timestamp"):
+        return "timestamp"
+    if t.startswith("date"):
+        return "date"
+    return "text" if t.startswith("'") else t if t == "null" else "boolean" if t in ("true", "false") else "number"
+
+
+def _common_type(column_type: T.DataType, kinds: set[str]) -> tuple[str | None, set[str]]:
+    """The type in which a column and literals of ``kinds`` are compared (None: as they are), and which sides must be read into it."""
+    if isinstance(column_type, T.StringType):
+        for kind, to in (("number", "double"), ("timestamp", "timestamp_ntz"), ("date", "date"), ("boolean", "boolean")):
+            if kind in kinds:
+                return to, {"column", "text"}
+    elif "text" in kinds:
+        if isinstance(column_type, T.NumericType):
+            return "double", {"text"}
+        if isinstance(column_type, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+            return column_type.simpleString(), {"text"}
+    return None, set()
+
+
+def guarded_range(column: str, rng: str, column_type: T.DataType) -> tuple[Column, Column | None]:
+    """B4 that cannot fail on a value: the predicate, null where a value or literal cannot be read as what it is compared
+    with, and whether that is so in a row (None if it never can be)."""
+    plain = range_predicate(column, rng)
+    r = rng.strip()
+    if re.search(r"\br?like\s", r, re.IGNORECASE):
+        return plain, None
+    literals = _LITERAL_RX.findall(r)
+    to, read = _common_type(column_type, {_literal_kind(x) for x in literals})
+    if to is None or not literals:
+        return plain, None
+    name = quote_ident(column)
+    subject = f"try_cast({name} as {to})" if "column" in read else name
+    typed = [f"try_cast({x} as {to})" if _literal_kind(x) == "text" else x for x in literals]
+    if m := _IN_LIST.fullmatch(r):
+        text = f"{subject} {m[1] or ''}IN ({', '.join(typed)})"
+    else:
+        left = iter(typed)
+        text = f"{subject} {_LITERAL_RX.sub(lambda _: next(left), r)}"
+    unread = [f"({name} is not null and {subject} is null)"] if "column" in read else []
+    unread += [f"{x} is null" for x, given in zip(typed, literals) if x != given]
+    return F.expr(text), F.expr(" or ".join(unread)) if unread else None
+
+
 def violation(pred: Column) -> Column:
     """A row violates when the predicate is false; null is not a violation."""
     return F.coalesce(~pred, F.lit(False))
@@ -63,14 +114,18 @@ class TableChecks:
     table: str
     nulls: list[str] = field(default_factory=list)
     ranges: list[tuple[str, str]] = field(default_factory=list)
-    row_count: int | None = None
+    row_counts: list[int] = field(default_factory=list)
 
-    def aggregates(self) -> list[Column]:
+    def aggregates(self, schema: T.StructType) -> list[Column]:
+        """Counts per check; a range check that may meet unreadable values counts those apart (``_err``)."""
+        types = {f.name.lower(): f.dataType for f in schema.fields}
         aggs = [F.count(F.lit(1)).alias("_rows")]
         for i, c in enumerate(self.nulls):
             aggs.append(F.count_if(F.col(quote_ident(c)).isNull()).alias(f"_null{i}"))
         for i, (c, r) in enumerate(self.ranges):
-            aggs.append(F.count_if(violation(range_predicate(c, r))).alias(f"_range{i}"))
+            pred, unread = guarded_range(c, r, types.get(bare_name(c).lower(), T.NullType()))
+            aggs.append(F.count_if(violation(pred)).alias(f"_range{i}"))
+            aggs.append((F.count_if(unread) if unread is not None else F.any_value(F.lit(0).cast("long"))).alias(f"_err{i}"))
         return aggs
 
 
@@ -81,26 +136,30 @@ def _rows(metrics: DataFrame, structs: list[Column]) -> DataFrame:
 def fused_counts(df: DataFrame, checks: TableChecks) -> DataFrame:
     """One scan, one ``agg``: null counts, range violations and the row count.
 
-    Returns per-column rows ``(kind, column, range, n_bad, rows)`` in the order
-    the checks were declared (``pos``).
+    Returns per-column rows ``(kind, column, range, n_bad, n_err, rows)`` in the order
+    the checks were declared (``pos``); ``n_err`` counts the values that a range cannot be
+    applied to.
     """
-    m = df.agg(*checks.aggregates())
+    m = df.agg(*checks.aggregates(df.schema))
+    none = F.lit(0).cast("long").alias("n_err")
     structs = []
     pos = 0
     for i, c in enumerate(checks.nulls):
         structs.append(F.struct(F.lit(pos).alias("pos"), F.lit("nulls").alias("kind"),
                                 F.lit(bare_name(c)).alias("column"), F.lit(None).cast("string").alias("range"),
-                                F.col(f"_null{i}").alias("n_bad"), F.col("_rows").alias("rows")))
+                                F.col(f"_null{i}").alias("n_bad"), none, F.col("_rows").alias("rows")))
         pos += 1
     for i, (c, r) in enumerate(checks.ranges):
         structs.append(F.struct(F.lit(pos).alias("pos"), F.lit("range").alias("kind"),
                                 F.lit(bare_name(c)).alias("column"), F.lit(r.strip()).alias("range"),
-                                F.col(f"_range{i}").alias("n_bad"), F.col("_rows").alias("rows")))
+                                F.col(f"_range{i}").alias("n_bad"), F.coalesce(f"_err{i}", F.lit(0)).alias("n_err"),
+                                F.col("_rows").alias("rows")))
         pos += 1
-    if checks.row_count is not None:
+    for n in checks.row_counts:
         structs.append(F.struct(F.lit(pos).alias("pos"), F.lit("row_count").alias("kind"),
-                                F.lit("*").alias("column"), F.lit(str(checks.row_count)).alias("range"),
-                                F.col("_rows").alias("n_bad"), F.col("_rows").alias("rows")))
+                                F.lit("*").alias("column"), F.lit(str(n)).alias("range"),
+                                F.col("_rows").alias("n_bad"), none, F.col("_rows").alias("rows")))
+        pos += 1
     return _rows(m, structs)
 
 
@@ -110,12 +169,13 @@ def range_check(df: DataFrame, columns: list[str], ranges: list[str], table: str
     """One assertion per (column, range) pair; pairs beyond the shorter list are ignored."""
     pairs = list(zip(columns, ranges))
     rows = fused_counts(df, TableChecks(table, ranges=pairs))
-    ok = F.col("n_bad") == 0
+    ok = (F.col("n_bad") == 0) & (F.col("n_err") == 0)
     return rows.select(
         F.lit("check_range").alias("assertion"), "column", "range",
         ok.alias("success"),
         F.when(ok, X.STATE_OK).otherwise(X.STATE_ERROR).alias("state"),
         F.when(ok, F.lit(""))
+         .when(F.col("n_err") > 0, X.template(X.MSG_UNREADABLE, column=F.col("column"), count=F.col("n_err"), range=F.col("range")))
          .otherwise(X.template(X.MSG_RANGE, column=F.col("column"), count=F.col("n_bad"), range=F.col("range")))
          .alias("msg"),
         "n_bad", "pos")
@@ -140,7 +200,7 @@ def null_check(df: DataFrame, columns: list[str], table: str = "") -> DataFrame:
 
 def row_count_check(df: DataFrame, expected: int, path: str) -> DataFrame:
     """Count compared as a number (the reference compared text)."""
-    rows = fused_counts(df, TableChecks(path, row_count=int(expected)))
+    rows = fused_counts(df, TableChecks(path, row_counts=[int(expected)]))
     ok = F.col("rows") == F.lit(int(expected))
     return rows.select(
         F.lit("count_equal").alias("assertion"), "column",
@@ -202,23 +262,6 @@ def uniqueness_check(df: DataFrame, columns: list[str], table: str = "") -> Data
         "n_bad", "pos")
 
 
-# ---- roll-up -------------------------------------------------------------------
-
-def rollup_message(assertions: DataFrame, keys: list[str], found_tpl: str, ok_tpl: str,
-                   table: str | Column, columns_text: str | Column) -> DataFrame:
-    """D12 + A9: per rule, concatenate the findings in column order into one
-    description; status 0 if any assertion failed, else 1."""
-    agg = assertions.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "msg"))),
-                                 lambda s: s["msg"]), "").alias("findings"),
-        F.bool_and("success").alias("all_ok"))
-    return agg.select(
-        *keys,
-        F.when(F.col("all_ok"), F.lit(1)).otherwise(F.lit(0)).alias("status"),
-        F.when(F.col("all_ok"), X.template(ok_tpl, columns=columns_text))
-         .otherwise(X.template(found_tpl, table=table, message=F.col("findings"))).alias("description"))
-
-
 # ---- column average (D7) -------------------------------------------------------
 
 def column_average(df: DataFrame, column: str) -> DataFrame:

@@ -1,17 +1,24 @@
 """Running catalog rules in batch.
 
-Rules are data; what must be compiled is only the set of distinct rule
-definitions ``(rule_ref, settings)``, which the driver reads (it is bounded
-by how many different checks exist, not by rows or bindings). Definitions
-over one table are fused: one aggregate for every count-style check, one
-shuffle for all uniqueness columns. Results join back to the bindings by
-definition, so a definition shared by many rules is evaluated once.
+Rules are data; what must be compiled is only the set of distinct checks: the
+rule kind with the settings that say what to check (not its schedule or its
+connection). The driver reads those, one row per different check, and their
+metrics, one row per checked column. Checks of one table are fused: one
+aggregate for every count-style check, one shuffle for all uniqueness columns.
+Results join back to the bindings by check, so a check shared by many rules
+is evaluated once.
+
+A check that fails becomes a failed assertion with its ``error``; the others go
+on. Three layers see to it: what cannot be analysed is left out of its table's
+aggregate; values that a range cannot be applied to are counted, not raised on;
+and a table whose job fails is checked again item by item.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,29 +43,12 @@ class Definition:
         return json.loads(self.settings)
 
 
-# M1: registry of table-level rule builders: name -> (df, settings) -> assertion rows
-def _uniqueness(df, s):
-    return C.uniqueness_check(df, s["columns"].split(";"), s["table"])
+# M1: plug-in rules, name -> (df, settings) -> assertion rows
+RULE_BUILDERS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
 
-
-def _nulls(df, s):
-    return C.null_check(df, s["columns"].split(";"), s["table"])
-
-
-def _range(df, s):
-    return C.range_check(df, s["columns"].split(";"), s["ranges"].split(";"), s["table"]).drop("range")
-
-
-def _count(df, s):
-    return C.row_count_check(df, int(s["count"]), s["path"])
-
-
-RULE_BUILDERS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
-    "check_uniqueness": _uniqueness,
-    "check_null_values": _nulls,
-    "check_range": _range,
-    "count_equal": _count,
-}
+#: Settings that say what a built-in rule checks.
+CHECK_KEYS = ("table", "columns", "ranges", "path", "count")
+TABLES_AT_ONCE = 4  # tables whose jobs the driver submits side by side
 
 
 def register_rule(name: str, builder: Callable[[DataFrame, dict], DataFrame]) -> None:
@@ -81,12 +71,6 @@ def eligible(rules: DataFrame) -> DataFrame:
                         & (table_ok | file_ok | extra))
 
 
-def definitions(rules: DataFrame) -> list[Definition]:
-    """Distinct definitions (read on the driver: one row per different check)."""
-    rows = eligible(rules).select("rule_ref", "rule_settings").distinct().collect()
-    return [Definition(r["rule_ref"], r["rule_settings"]) for r in rows]
-
-
 BUILTIN_KINDS = {"check_uniqueness": "unique", "check_null_values": "nulls", "check_range": "range",
                  "count_equal": "row_count"}
 
@@ -94,8 +78,11 @@ _ITEMS_T = ("rule_ref string, rule_settings string, tbl string, kind string, col
             "pos int")
 
 
+_METRICS_T = ("tbl string, kind string, column string, arg string, n_bad long, n_err long, rows long, "
+              "first_value string, first_count long, error string")
+
 _RESULT_T = ("rule_ref string, rule_settings string, assertion string, column string, success boolean, "
-             "state string, msg string, n_bad long, pos int")
+             "state string, msg string, n_bad long, error string, pos int")
 
 
 def _items(d: Definition) -> list[tuple]:
@@ -114,27 +101,19 @@ def _items(d: Definition) -> list[tuple]:
 def _table_metrics(df: DataFrame, table: str, items: list[tuple]) -> DataFrame:
     """All checks of all definitions on one table: one aggregate for the
     count-style checks, one shuffle for every uniqueness column.
-    Rows: ``(tbl, kind, column, arg, n_bad, rows, first_value, first_count)``."""
+    Rows: ``(tbl, kind, column, arg, n_bad, n_err, rows, first_value, first_count)``."""
     nulls = sorted({i[4] for i in items if i[3] == "nulls"})
     ranges = sorted({(i[4], i[5]) for i in items if i[3] == "range"})
     counts = sorted({i[5] for i in items if i[3] == "row_count"})
     uniq = sorted({i[4] for i in items if i[3] == "unique"})
     parts = []
     if nulls or ranges or counts:
-        m = C.fused_counts(df, C.TableChecks(table, nulls=nulls, ranges=ranges))
-        m = m.select("kind", "column", F.coalesce("range", F.lit("")).alias("arg"), "n_bad", "rows")
-        if counts:
-            rows = m.select("rows").limit(1) if (nulls or ranges) else None
-            base = rows if rows is not None else df.agg(F.count(F.lit(1)).alias("rows"))
-            m_counts = base.select(F.explode(F.array(*[F.lit(c) for c in counts])).alias("arg"), "rows") \
-                .select(F.lit("row_count").alias("kind"), F.lit("*").alias("column"), "arg",
-                        F.col("rows").alias("n_bad"), "rows")
-            m = m.unionByName(m_counts)
-        parts.append(m.select("*", F.lit(None).cast("string").alias("first_value"),
-                              F.lit(None).cast("long").alias("first_count")))
+        m = C.fused_counts(df, C.TableChecks(table, nulls=nulls, ranges=ranges, row_counts=[int(c) for c in counts]))
+        parts.append(m.select("kind", "column", F.coalesce("range", F.lit("")).alias("arg"), "n_bad", "n_err", "rows",
+                              F.lit(None).cast("string").alias("first_value"), F.lit(None).cast("long").alias("first_count")))
     if uniq:
         u = C.uniqueness_metrics(df, uniq)
-        parts.append(u.select(F.lit("unique").alias("kind"), "column", F.lit("").alias("arg"), "n_bad",
+        parts.append(u.select(F.lit("unique").alias("kind"), "column", F.lit("").alias("arg"), "n_bad", F.lit(0).cast("long").alias("n_err"),
                               F.lit(None).cast("long").alias("rows"), "first_value", "first_count"))
     out = parts[0]
     for p in parts[1:]:
@@ -145,10 +124,11 @@ def _table_metrics(df: DataFrame, table: str, items: list[tuple]) -> DataFrame:
 def _assertion_from_metric() -> list:
     """Assertion columns from a joined (item, metric) row, per kind."""
     kind, n = F.col("kind"), F.col("n_bad")
-    ok = (F.when(kind == "row_count", F.col("rows") == F.col("arg").cast("long"))
-          .when(kind == "unique", n == 0)
-          .otherwise(n == 0))
-    msg = (F.when(kind == "row_count", F.when(ok, X.template(X.MSG_COUNT_EQ, path=F.col("tbl"), count=F.col("arg")))
+    unread = F.col("error").isNull() & (F.col("n_err") > 0)
+    error = F.coalesce("error", F.when(unread, X.template(X.MSG_UNREADABLE, column=F.col("column"), count=F.col("n_err"),
+                                                          range=F.col("arg"))))
+    ok = error.isNull() & F.when(kind == "row_count", F.col("rows") == F.col("arg").cast("long")).otherwise(n == 0)
+    msg = (F.when(error.isNotNull(), error).when(kind == "row_count", F.when(ok, X.template(X.MSG_COUNT_EQ, path=F.col("tbl"), count=F.col("arg")))
                   .otherwise(X.template(X.MSG_COUNT_NE, path=F.col("tbl"), count=F.col("arg"))))
            .when(ok, F.lit(""))
            .when(kind == "unique", X.template(X.MSG_DUPLICATE, value=F.col("first_value"),
@@ -157,16 +137,18 @@ def _assertion_from_metric() -> list:
            .otherwise(X.template(X.MSG_RANGE, column=F.col("column"), count=n, range=F.col("arg"))))
     return [F.col("rule_ref").alias("assertion"), "column", ok.alias("success"),
             F.when(ok, X.STATE_OK).otherwise(X.STATE_ERROR).alias("state"), msg.alias("msg"),
-            n.cast("long").alias("n_bad"), "pos"]
+            n.cast("long").alias("n_bad"), error.alias("error"), "pos"]
 
 
 def _readable(item: tuple, df: DataFrame) -> None:
-    """Raises if the item names an unknown column or a range that cannot be applied to it (analysis only, no job)."""
+    """Raises if the item names an unknown column or a range that cannot be applied to it (analysis and literals only, no job)."""
     _, _, _, kind, column, arg, _ = item
     if kind != "row_count":
         df.select(C.quote_ident(column))
     if kind == "range":
         df.filter(C.range_predicate(column, arg))
+        if "like" in arg.lower():  # a pattern is a literal: compile it now
+            df.sparkSession.sql(f"select '' {arg}").collect()
 
 
 def _separate(defs: list[Definition], resolve: Resolver) -> tuple[list[tuple], dict[str, DataFrame], list[tuple]]:
@@ -185,33 +167,50 @@ def _separate(defs: list[Definition], resolve: Resolver) -> tuple[list[tuple], d
     return items, tables, failed
 
 
+def _error_text(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+
+
 def _failure(d: Definition, e: Exception) -> tuple:
-    return (d.rule_ref, d.settings, d.rule_ref, None, False, "0", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", None, 0)
+    return (d.rule_ref, d.settings, d.rule_ref, None, False, X.STATE_ERROR, _error_text(e), None, _error_text(e), 0)
+
+
+def _measured(df: DataFrame, table: str, items: list[tuple]) -> list[tuple]:
+    """Metric rows of a table's items, one each. If their common job fails, each item runs alone and the error is its own."""
+    names = [c.split()[0] for c in _METRICS_T.split(", ")][:-1]
+    try:
+        return [(*[r[n] for n in names], None) for r in _table_metrics(df, table, items).collect()]
+    except Exception as e:
+        alone = {i[3:6]: i for i in items}
+        if len(alone) == 1:
+            kind, column, arg = items[0][3:6]
+            return [(table, kind, column, arg, None, 0, None, None, None, _error_text(e))]
+        return [row for i in alone.values() for row in _measured(df, table, [i])]
 
 
 def evaluate(spark: SparkSession, defs: list[Definition], resolve: Resolver) -> DataFrame:
     """Evaluate definitions fused per table: every built-in check on a table
-    shares one scan; results reach each definition through a join with the
-    (small) table of check items. Plug-in rules (M1) run one by one. A
-    definition that cannot be read (unknown table or column, bad range or
-    count) gives one failed assertion with the error as its message."""
+    shares one scan, one job per table and a few tables side by side; results
+    reach each definition through a join with the table of check items. Plug-in
+    rules (M1) run one by one. A definition that cannot be read (unknown table
+    or column, bad range or count) or whose job fails gives a failed assertion
+    with the error as its message."""
     items, frames, failed = _separate([d for d in defs if d.rule_ref in BUILTIN_KINDS], resolve)
     parts = []
     if items:
         tables = sorted({i[2] for i in items})
-        metrics = None
-        for t in tables:
-            m = _table_metrics(frames[t], t, [i for i in items if i[2] == t])
-            metrics = m if metrics is None else metrics.unionByName(m)
+        with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+            metrics = [row for rows in pool.map(lambda t: _measured(frames[t], t, [i for i in items if i[2] == t]), tables) for row in rows]
         it = spark.createDataFrame(items, _ITEMS_T)
-        joined = it.join(metrics, ["tbl", "kind", "column", "arg"], "inner")
+        joined = it.join(spark.createDataFrame(metrics, _METRICS_T), ["tbl", "kind", "column", "arg"], "inner")
         parts.append(joined.select("rule_ref", "rule_settings", *_assertion_from_metric()))
     for d in sorted((d for d in defs if d.rule_ref not in BUILTIN_KINDS), key=lambda x: (x.rule_ref, x.settings)):
         try:
             s = d.s
             out = RULE_BUILDERS[d.rule_ref](resolve(s.get("table") or s.get("path")), s)
             parts.append(out.select(F.lit(d.rule_ref).alias("rule_ref"), F.lit(d.settings).alias("rule_settings"),
-                                    "assertion", "column", "success", "state", "msg", "n_bad", "pos"))
+                                    "assertion", "column", "success", "state", "msg", "n_bad",
+                                    F.lit(None).cast("string").alias("error"), "pos").checkpoint(eager=True))
         except Exception as e:
             failed.append(_failure(d, e))
     if failed:
@@ -229,14 +228,19 @@ def run_rules(spark: SparkSession, rules: DataFrame, resolve: Resolver,
     """K1: assertions of every eligible rule (each binding once per pass).
 
     The bindings are materialized once (checkpoint in the shared folder): the
-    definitions read on the driver and the final join both come from it, so
-    the catalog joins run a single time."""
-    bindings = eligible(rules).select(F.col(id_col).alias("rule_id"), "rule_ref", "rule_settings").distinct()
+    checks read on the driver and the final join both come from it, so
+    the catalog joins run a single time. Bindings that check the same thing on
+    different schedules share one check."""
+    m = F.from_json(F.col("rule_settings"), "MAP<STRING,STRING>")
+    what = F.to_json(F.struct(*[m[k].alias(k) for k in CHECK_KEYS]))
+    bindings = eligible(rules).select(
+        F.col(id_col).alias("rule_id"), "rule_ref", "rule_settings",
+        F.when(F.col("rule_ref").isin(*BUILTIN_KINDS), what).otherwise(F.col("rule_settings")).alias("check_settings")).distinct()
     bindings = bindings.checkpoint(eager=True)
-    defs = [Definition(r["rule_ref"], r["rule_settings"])
-            for r in bindings.select("rule_ref", "rule_settings").distinct().collect()]
-    results = evaluate(spark, defs, resolve)
-    return bindings.join(results, ["rule_ref", "rule_settings"], "inner")
+    defs = [Definition(r["rule_ref"], r["check_settings"])
+            for r in bindings.select("rule_ref", "check_settings").distinct().collect()]
+    results = evaluate(spark, defs, resolve).withColumnRenamed("rule_settings", "check_settings")
+    return bindings.join(results, ["rule_ref", "check_settings"], "inner").drop("check_settings")
 
 
 def dq_log(assertions: DataFrame, run_time: str, tenant: str | None = None) -> DataFrame:
@@ -286,26 +290,38 @@ def record_rules(rules: DataFrame) -> DataFrame:
 
 
 def evaluate_record_rules(records: DataFrame, rules: DataFrame, id_col: str = "id") -> DataFrame:
-    """K2 at definition grain: each distinct record-mode definition applied to
-    every record, one projection of the records per definition. Rows:
-    ``(rule_ref, rule_settings, record_id, assertion, column, success, state, msg)``."""
-    from .records import record_assertions
+    """K2 at definition grain: every distinct record-mode definition applied to
+    every record, all of them in one projection and one scan of the records. Rows:
+    ``(rule_ref, rule_settings, record_id, assertion, column, success, state, msg)``.
+    A definition that cannot be read (unknown column, bad pattern) gives one failed
+    row without a record."""
+    from .records import RECORD_RULES
+    spark = records.sparkSession
     defs = [Definition(r["rule_ref"], r["rule_settings"])
             for r in record_rules(rules).select("rule_ref", "rule_settings").distinct().collect()]
-    parts = []
+    cells, failed = [], []
     for d in sorted(defs, key=lambda x: (x.rule_ref, x.settings)):
-        s = d.s
-        a = record_assertions(records, d.rule_ref, s["columns"].split(";"), s, id_col=id_col, keep=(id_col,))
-        parts.append(a.select(F.lit(d.rule_ref).alias("rule_ref"), F.lit(d.settings).alias("rule_settings"),
-                              F.col(id_col).alias("record_id"), "assertion", "column", "success", "state", "msg"))
-    if not parts:
-        return records.sparkSession.createDataFrame(
-            [], "rule_ref string, rule_settings string, record_id string, assertion string, column string, "
-                "success boolean, state string, msg string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        try:
+            own = []
+            for c in d.s["columns"].split(";"):
+                ok = RECORD_RULES[d.rule_ref](c, d.s)
+                records.select(ok)
+                own.append(F.struct(F.lit(d.rule_ref).alias("rule_ref"), F.lit(d.settings).alias("rule_settings"),
+                                    F.lit(C.bare_name(c)).alias("column"), ok.alias("success")))
+            if d.s.get("regex") is not None:  # a pattern is a literal: compile it now
+                spark.sql("select '' rlike :p", {"p": d.s["regex"]}).collect()
+            cells += own
+        except Exception as e:
+            failed.append((d.rule_ref, d.settings, None, d.rule_ref, None, False, X.STATE_ERROR, _error_text(e)))
+    out = spark.createDataFrame(failed, f"rule_ref string, rule_settings string, record_id {records.schema[id_col].dataType.simpleString()}, "
+                                "assertion string, column string, success boolean, state string, msg string")
+    if not cells:
+        return out
+    applied = records.select(F.col(C.quote_ident(id_col)).alias("record_id"), F.explode(F.array(*cells)).alias("a")).select(
+        "a.rule_ref", "a.rule_settings", "record_id", F.col("a.rule_ref").alias("assertion"), "a.column", "a.success",
+        F.when(F.col("a.success"), X.STATE_OK).otherwise(X.STATE_ERROR).alias("state"),
+        X.template(X.MSG_RECORD_ID, id=F.col("record_id")).alias("msg"))
+    return applied.unionByName(out) if failed else applied
 
 
 def run_record_rules(records: DataFrame, rules: DataFrame, id_col: str = "id",

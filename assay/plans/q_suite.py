@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog as K
@@ -90,6 +93,34 @@ def suite_fused(spark, sf):
     return res.select("rule_id", "assertion", "column", "success", "state", "msg", "n_bad")
 
 
+#: Broken copies of the catalog's rules: a value that cannot be compared, an unknown column, a count that is no number.
+_BROKEN = (("check_range", "lineitem", 10**12, '{"table":"lineitem","columns":"l_returnflag;l_quantity","ranges":"> 5;between 1 and 40"}'),
+           ("check_null_values", "orders", 2 * 10**12, '{"table":"orders","columns":"o_nope;o_custkey"}'),
+           ("count_equal", "lineitem", 3 * 10**12, '{"path":"lineitem","count":"many"}'))
+
+
+@register("suite_isolated", _suite_oracle("""
+, sound as (select distinct b.rule_id, b.rule_ref from b join res using (rule_id, rule_ref, rule_settings)
+            where (b.rule_ref, coalesce(json_extract_string(b.rule_settings, '$.table'), json_extract_string(b.rule_settings, '$.path')))
+                  in (('check_range', 'lineitem'), ('check_null_values', 'orders'), ('count_equal', 'lineitem')))
+select rule_id, assertion, "column", success, state, n_bad, false as broken from res
+union all select s.rule_id + 1000000000000, 'check_range', 'l_returnflag', false, '0', 0, true from sound s where s.rule_ref = 'check_range'
+union all select s.rule_id + 1000000000000, 'check_range', 'l_quantity', k.success, k.state, k.n_bad, false
+          from sound s join k on k.assertion = 'check_range' and k."column" = 'l_quantity' where s.rule_ref = 'check_range'
+union all select s.rule_id + 2000000000000, 'check_null_values', null, false, '0', null, true from sound s where s.rule_ref = 'check_null_values'
+union all select s.rule_id + 3000000000000, 'count_equal', null, false, '0', null, true from sound s where s.rule_ref = 'count_equal'"""))
+def suite_isolated(spark, sf):
+    """K1 beside broken rules: those fail with their error, every other assertion stays as it is."""
+    rules = K.rule_catalog(_cat(spark, sf), "regular").select("entity_sample_to_dq_rule_id", "rule_ref", "rule_settings").distinct()
+    sound = S.eligible(rules).checkpoint(eager=True)
+    table = F.coalesce(F.get_json_object("rule_settings", "$.table"), F.get_json_object("rule_settings", "$.path"))
+    broken = [sound.filter((F.col("rule_ref") == kind) & (table == name)).select(
+        (F.col("entity_sample_to_dq_rule_id") + F.lit(shift)).alias("entity_sample_to_dq_rule_id"), "rule_ref",
+        F.lit(settings).alias("rule_settings")) for kind, name, shift, settings in _BROKEN]
+    res = S.run_rules(spark, reduce(DataFrame.unionByName, [sound, *broken]), lambda name: read_table(spark, sf, name))
+    return res.select("rule_id", "assertion", "column", "success", "state", "n_bad", F.col("error").isNotNull().alias("broken"))
+
+
 @register("suite_dq_log", _suite_oracle(f"""
 , agg as (select rule_id, rule_ref, rule_settings, bool_and(success) as ok,
                  string_agg(msg, '' order by pos) as findings

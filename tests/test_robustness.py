@@ -97,6 +97,60 @@ def test_broken_rules_do_not_stop_the_others(spark):
     assert [log[str(i)].status for i in range(1, 7)] == [0, 0, 0, 0, 0, 1]
 
 
+RANGE_TYPES = "n int, d double, s string, day date, b boolean"
+
+
+@pytest.mark.parametrize("column,text,bad,unread", [
+    ("s", "> 5", 1, 2), ("s", "between 1 and 9.5", 0, 2), ("s", "in (7, 'x')", 0, 4), ("s", "> 'a'", 2, 0), ("s", "> date '2024-01-01'", 0, 4),
+    ("n", "> 'abc'", 0, 4), ("n", "> '2'", 1, 0), ("n", "<> 3.5", 0, 0), ("day", "> '2024-01-01'", 1, 0), ("day", "> 'never'", 0, 4),
+    ("b", "= 'true'", 1, 0), ("s", "like '%x'", 2, 0), ("d", "is null", 2, 0)])
+def test_ranges_count_what_they_cannot_compare(spark, column, text, bad, unread):
+    rows = [(1, 1.5, "3", dt.date(2023, 1, 1), True), (3, None, "7.5", dt.date(2024, 2, 1), None), (5, 2.0, "yx", None, False), (None, None, "cx", None, None)]
+    df = spark.createDataFrame(rows, RANGE_TYPES)
+    row = C.fused_counts(df, C.TableChecks("t", ranges=[(column, text)])).first()
+    assert (row["n_bad"], row["n_err"]) == (bad, unread)
+
+
+def test_rules_that_fail_at_run_time_do_not_stop_the_others(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "7"), (2, None)], "a int, b string")
+    broken = df.select("a", F.raise_error(F.lit("no such block")).cast("int").alias("c"))
+    S.register_rule("check_odd", lambda t, s: t.filter("b / 2 > 0").select(
+        F.lit("check_odd").alias("assertion"), "b", *[F.lit(None).alias(c) for c in ("column", "success", "state", "msg", "n_bad", "pos")]))
+    try:
+        rules = spark.createDataFrame([
+            (1, "check_range", '{"table":"t","columns":"b;a","ranges":"> 5;< 2"}'), (2, "check_null_values", '{"table":"t","columns":"b"}'),
+            (3, "check_null_values", '{"table":"u","columns":"c"}'), (4, "check_null_values", '{"table":"u","columns":"a"}'),
+            (5, "check_odd", '{"table":"t"}'), (6, "check_range", """{"table":"t","columns":"b","ranges":"rlike '('"}"""),
+            (7, "check_uniqueness", '{"table":"t","columns":"a","crontab":"0 0 * * *"}'), (8, "check_uniqueness", '{"table":"t","columns":"a"}'),
+            (9, "count_equal", '{"path":"t","count":"3"}')],
+            "entity_sample_to_dq_rule_id long, rule_ref string, rule_settings string")
+        got = {}
+        for r in S.run_rules(spark, rules, lambda name: {"t": df, "u": broken}[name]).collect():
+            got.setdefault(r.rule_id, []).append(r)
+    finally:
+        S.RULE_BUILDERS.pop("check_odd")
+    assert set(got) == set(range(1, 10))
+    first = {r.column: r for r in got[1]}
+    assert first["b"].error == "1 values of b cannot be compared with > 5" and not first["b"].success
+    assert first["a"].error is None and first["a"].n_bad == 2
+    assert got[2][0].n_bad == 1 and got[4][0].success and got[9][0].success
+    assert "no such block" in got[3][0].error and not got[3][0].success
+    assert got[5][0].error and got[6][0].error
+    assert [r.n_bad for i in (7, 8) for r in got[i]] == [1, 1]
+
+
+def test_record_rules_share_one_projection_and_report_broken_ones(spark):
+    recs = spark.createDataFrame([(1, "x"), (2, None)], "id long, v string")
+    rules = spark.createDataFrame([
+        (1, "not_null", '{"columns":"v"}'), (2, "check_condition", '{"columns":"v","regex":"^x"}'), (3, "not_null", '{"columns":"nope"}'),
+        (4, "check_condition", '{"columns":"v","regex":"("}')], "entity_sample_to_dq_rule_id long, rule_ref string, rule_settings string")
+    out = S.evaluate_record_rules(recs, rules)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    got = sorted((r.rule_ref, r.record_id or 0, r.column or "", r.success) for r in out.collect())
+    assert got == [("check_condition", 0, "", False), ("check_condition", 1, "v", True), ("check_condition", 2, "v", False),
+                   ("not_null", 0, "", False), ("not_null", 1, "v", True), ("not_null", 2, "v", False)]
+
+
 def test_duplicate_parameter_raises(spark):
     p = spark.createDataFrame([(1, "url", "a"), (1, "url", "b"), (2, "url", "c")], "system_connection_id int, param_name string, param_value string")
     assert K.params_wide(p.filter("system_connection_id = 2"), ("url",)).first().url == "c"
