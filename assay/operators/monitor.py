@@ -129,21 +129,3 @@ def assertion_monitor(assertions: DataFrame, bindings: DataFrame, dq_rule: DataF
 def ordered_for_display(monitor: DataFrame) -> DataFrame:
     """the view's order (run, then event time), applied only at the output edge."""
     return monitor.orderBy("run_id", "event_time")
-
-
-def register_views(spark, t: dict[str, DataFrame], full_names: DataFrame | None = None) -> None:
-    """The reference's views as temp views over the derived DataFrames, so
-    they can be queried with Spark SQL: ``connector_params`` (C3),
-    ``dq_rule_tasks`` (C7), ``assertions_monitor`` (C8), ``run_log_extended``
-    (J3), ``run_monitor`` (J1) and ``run_monitor_draft`` (B19)."""
-    from . import catalog as K
-    from . import runs as RN
-    cat = K.Catalog({k: v for k, v in t.items() if k in K.CATALOG_TABLES})
-    K.connector_params(cat).createOrReplaceTempView("connector_params")
-    K.rule_tasks_view(cat).createOrReplaceTempView("dq_rule_tasks")
-    assertion_monitor(t["assertions"], t["entity_sample_to_dq_rule"], t["dq_rule"], t["run_log"]) \
-        .createOrReplaceTempView("assertions_monitor")
-    RN.run_log_extended(t["run_log"]).createOrReplaceTempView("run_log_extended")
-    mon = monitor_runs(t["run_log"], t["assertions"], full_names)
-    mon.createOrReplaceTempView("run_monitor")
-    monitor_roots(mon).createOrReplaceTempView("run_monitor_draft")

@@ -220,39 +220,88 @@ def root_system_names(run_log: DataFrame, inputs: DataFrame, data_asset: DataFra
 
 # ---- E2: run boundaries ---------------------------------------------------------
 
+SEAM_BITS = 12  # 4,096 ranges are combined at a time
+
+
+def _before(rows: DataFrame, pc: list[str], lo: int, hi: int, last: bool) -> DataFrame:
+    """Exclusive scan of ``_v`` over ranges ``_b`` (``lo`` to ``hi``) of each partition, as ``_before``: the value of the range
+    before (``last``) or the sum of all before. Ranges are scanned in blocks and blocks of blocks, so no task
+    sees all of them and no window lacks a partition key."""
+    w = Window.partitionBy(*pc, "_up").orderBy("_b")
+    here = F.lag("_v").over(w) if last else F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_up", F.shiftright("_b", SEAM_BITS))
+    scanned = rows.withColumn("_before", here)
+    if lo >> SEAM_BITS == hi >> SEAM_BITS:
+        return scanned.drop("_up")
+    blocks = rows.groupBy(*pc, F.col("_up").alias("_b")).agg((F.max_by("_v", "_b") if last else F.sum("_v")).alias("_v"))
+    above = _before(blocks, pc, lo >> SEAM_BITS, hi >> SEAM_BITS, last)
+    above = above.select(*pc, F.col("_b").alias("_up"), F.col("_before").alias("_above"))
+    both = F.coalesce("_before", "_above") if last else F.col("_before") + F.col("_above")
+    return scanned.join(above, [*pc, "_up"]).withColumn("_before", both).drop("_up", "_above")
+
+
+def run_boundaries(messages: DataFrame, order_col: str, run_col: str, bucket_rows: int = 1 << 20,
+                   partition_cols: tuple[str, ...] = ()) -> DataFrame:
+    """A new check run starts whenever ``run_col`` differs from the previous
+    message's (by ``order_col``) within its source partition (``partition_cols``;
+    order exists only there). A message without a run (malformed) belongs to none:
+    the one after it starts anew.
+
+    Gaps and islands without a sort into one task: messages are cut into ranges of
+    the order key (``bucket_rows`` wide) and written once with the message before
+    each in its range; each range is summed up as its first and last run and its
+    number of starts, a two-level scan over those rows gives what came before each
+    range, and one join brings it back.
+
+    Returns the messages with ``prev`` (run and key of the message before, null at the
+    start of a partition), ``is_start`` and ``island`` (1-based per partition)."""
+    pc = list(partition_cols)
+    keys = [*pc, "_b"]
+    me = F.struct(F.col(run_col).alias("run"), F.col(order_col).alias("key"))
+    w = Window.partitionBy(*keys).orderBy(order_col)
+
+    def starts(run, prev):
+        return run.isNotNull() & ~F.coalesce(prev["run"] == run, F.lit(False))
+
+    m = messages.withColumn("_b", F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("long"))
+    m = m.withColumn("_prev", F.lag(me).over(w)).checkpoint(eager=True)
+    ranges = m.groupBy(*keys).agg(
+        F.min_by(me, F.col(order_col)).alias("_first"), F.max_by(me, F.col(order_col)).alias("_v"),
+        F.count_if(F.col("_prev").isNotNull() & starts(F.col(run_col), F.col("_prev"))).alias("_inner")).checkpoint(eager=True)
+    ends = ranges.agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")).first()
+    if ends["lo"] is None:
+        return m.select(*messages.columns, F.col("_prev").alias("prev"), F.lit(False).alias("is_start"), F.lit(0).cast("long").alias("island"))
+    seams = _before(ranges, pc, ends["lo"], ends["hi"], last=True).withColumnRenamed("_before", "_tail")
+    counts = seams.select(*keys, "_tail", (F.col("_inner") + starts(F.col("_first.run"), F.col("_tail")).cast("long")).alias("_v"))
+    known = _before(counts, pc, ends["lo"], ends["hi"], last=False).select(*keys, "_tail", F.col("_before").alias("_offset"))
+    out = m.join(known, keys).withColumn("prev", F.coalesce("_prev", "_tail"))
+    out = out.withColumn("is_start", starts(F.col(run_col), F.col("prev")))
+    n = F.sum(F.col("is_start").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return out.withColumn("island", F.col("_offset") + n).select(*messages.columns, "prev", "is_start", "island")
+
+
 def run_islands(messages: DataFrame, order_col: str, group_col: str, bucket_rows: int = 1 << 20,
                 partition_cols: tuple[str, ...] = ()) -> DataFrame:
-    """A new check run starts whenever ``group_col`` differs from the previous
-    message's (by ``order_col``), within each source partition
-    (``partition_cols``; order exists only there). Gaps and islands without a
-    global sort into one task: rows are cut into ranges of the order key
-    (``bucket_rows`` wide), ``lag`` runs inside each range, the last row of the
-    previous non-empty range fixes each range's first boundary, and island
-    numbers are a prefix sum over the (small) per-range boundary counts.
-
-    Returns one row per message with ``island`` (1-based per partition) and ``is_start``.
-    """
-    pc = list(partition_cols)
-    b = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("long")
-    m = messages.withColumn("_b", b)
-    w = Window.partitionBy(*pc, "_b").orderBy(order_col)
-    m = m.withColumn("_prev", F.lag(group_col).over(w)).withColumn("_rn", F.row_number().over(w))
-    tails = m.groupBy(*pc, "_b").agg(F.max_by(F.col(group_col), F.col(order_col)).alias("_tail"))
-    # previous non-empty range: one row per (partition, range), a small window per partition
-    wb = Window.partitionBy(*pc).orderBy("_b")
-    tails = tails.withColumn("_prev_tail", F.lag("_tail").over(wb))
-    m = m.join(tails.select(*pc, "_b", "_prev_tail"), [*pc, "_b"], "left")
-    prev = F.when(F.col("_rn") == 1, F.col("_prev_tail")).otherwise(F.col("_prev"))
-    start = prev.isNull() | (prev != F.col(group_col))
-    m = m.withColumn("is_start", start)
-    m = m.withColumn("_local", F.sum(F.col("is_start").cast("long")).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    counts = m.groupBy(*pc, "_b").agg(F.sum(F.col("is_start").cast("long")).alias("_k"))
-    counts = counts.withColumn("_offset", F.coalesce(F.sum("_k").over(
-        wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    m = m.join(counts.select(*pc, "_b", "_offset"), [*pc, "_b"], "left")
-    return m.withColumn("island", F.col("_offset") + F.col("_local")) \
-            .drop("_b", "_prev", "_rn", "_prev_tail", "_local", "_offset")
+    """One row per message with ``island`` (1-based per partition) and ``is_start``."""
+    return run_boundaries(messages, order_col, group_col, bucket_rows, partition_cols).drop("prev")
+
+
+def boundary_events(messages: DataFrame, order_col: str, run_col: str, bucket_rows: int = 1 << 20,
+                    partition_cols: tuple[str, ...] = ()) -> DataFrame:
+    """I4, batch: START on the first message of a run, RUNNING while the run stays, COMPLETE of the run before when
+    another one follows, FAIL of the open run at a message that cannot be read, which ends it. What is open at the
+    end of a partition stays open. One projection over the boundaries."""
+    b = run_boundaries(messages, order_col, run_col, bucket_rows, partition_cols)
+    run, prev, island = F.col(run_col), F.col("prev"), F.col("island")
+
+    def event(island_, of, key, kind, seq):
+        return F.struct(island_.alias("island"), of.alias("parent_run_id"), key.alias("msg_key"), kind.alias("event_type"),
+                        F.lit(seq).alias("seq"))
+
+    here = F.when(run.isNotNull(), event(island, run, F.col(order_col), F.when(F.col("is_start"), "START").otherwise("RUNNING"), 0)) \
+            .when(prev["run"].isNotNull(), event(island, prev["run"], F.col(order_col), F.lit("FAIL"), 0))
+    over = F.when(F.col("is_start") & prev["run"].isNotNull(), event(island - 1, prev["run"], prev["key"], F.lit("COMPLETE"), 1))
+    return b.select(*partition_cols, F.explode(F.array_compact(F.array(here, over))).alias("e")).select(*partition_cols, "e.*")
 
 
 def island_summary(islands: DataFrame, order_col: str, group_col: str,

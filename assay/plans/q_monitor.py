@@ -8,7 +8,8 @@ from ..operators import monitor as M
 from ..operators import runs as RN
 from ..sources.fixtures import duckdb_with, register_fixtures
 from .q_runs import NAME_CTES
-from .registry import register
+from . import q_catalog, q_runs  # noqa: F401  (their oracles)
+from .registry import ORACLE, register
 
 MON_FIXTURES = ("run_log", "assertions", "run_inputs", "run_outputs", "data_asset", "system", "entity", "domain")
 
@@ -143,16 +144,49 @@ def mon_assertions(spark, sf):
     return M.assertion_monitor(v["assertions"], v["entity_sample_to_dq_rule"], v["dq_rule"], v["run_log"])
 
 
+def _view(spark, sf, name):
+    """One of the SQL views, queried by name."""
+    from ..operators import views as V
+    from .q_catalog import CAT_FIXTURES
+    register_fixtures(spark, sf, tuple(dict.fromkeys(MON_FIXTURES + CAT_FIXTURES)))
+    V.register_views(spark)
+    return spark.sql(f"select * from {name}")
+
+
 @register("mon_views_sql", MON_ORACLE + " where t.parent_run_id is null")
 def mon_views_sql(spark, sf):
-    """The views registered for Spark SQL; the draft view queried by name."""
-    from .q_catalog import CAT_FIXTURES
-    names = tuple(dict.fromkeys(MON_FIXTURES + CAT_FIXTURES))
-    v = _views(spark, sf, names)
-    full = RN.pipeline_names(v["run_log"], v["run_inputs"], v["run_outputs"], v["data_asset"], v["system"],
-                             v["entity"])
-    M.register_views(spark, v, full)
-    return spark.sql("select * from run_monitor_draft")
+    """J7 + B19: the draft view."""
+    return _view(spark, sf, "run_monitor_draft")
+
+
+@register("view_run_monitor", MON_ORACLE)
+def view_run_monitor(spark, sf):
+    """J7 + J1."""
+    return _view(spark, sf, "run_monitor")
+
+
+@register("view_assertions_monitor", ORACLE["mon_assertions"])
+def view_assertions_monitor(spark, sf):
+    """J7 + C8."""
+    return _view(spark, sf, "assertions_monitor")
+
+
+@register("view_run_log_extended", ORACLE["run_extended"])
+def view_run_log_extended(spark, sf):
+    """J7 + J3, by a recursive query."""
+    return _view(spark, sf, "run_log_extended")
+
+
+@register("view_connector_params", ORACLE["cat_params"])
+def view_connector_params(spark, sf):
+    """J7 + C3."""
+    return _view(spark, sf, "connector_params")
+
+
+@register("view_rule_tasks", ORACLE["cat_tasks_view"])
+def view_rule_tasks(spark, sf):
+    """J7 + C7."""
+    return _view(spark, sf, "dq_rule_tasks")
 
 
 @register("mon_state_from_events", _STATE_ORACLE.replace(

@@ -219,3 +219,30 @@ def run_events_assertions(spark, sf):
          .groupBy("msg_key").agg(F.count_if(~F.col("success")).alias("n_failed"), F.min("state").alias("state")))
     return ev.join(a, "msg_key", "left").select("island", "parent_run_id", "msg_key", "event_type", "n_failed",
                                                "state")
+
+
+#: Messages dealt over this many source partitions; a message that cannot be read names no run.
+SOURCE_PARTITIONS = 4
+
+BOUNDARY_ORACLE = duckdb_with("messages") + f"""
+, said as (select msg_key % {SOURCE_PARTITIONS} as source_partition, msg_key, if(json_valid(value), run_id, null) as run from messages),
+f as (select *, lag(run) over w as prev_run, lag(msg_key) over w as prev_key from said window w as (partition by source_partition order by msg_key)),
+b as (select *, run is not null and (prev_run is null or prev_run <> run) as fresh from f),
+i as (select *, cast(sum(fresh::int) over (partition by source_partition order by msg_key) as bigint) as island from b)
+select source_partition, island, run as parent_run_id, msg_key, if(fresh, 'START', 'RUNNING') as event_type, 0 as seq from i where run is not null
+union all select source_partition, island, prev_run, msg_key, 'FAIL', 0 from i where run is null and prev_run is not null
+union all select source_partition, island - 1, prev_run, prev_key, 'COMPLETE', 1 from i where fresh and prev_run is not null"""
+
+
+def partitioned_messages(spark, sf):
+    """(source_partition, msg_key, run_id): the run that each message names, null if it cannot be read."""
+    from ..operators import records as R
+    m = _views(spark, sf, ("messages",))["messages"]
+    return m.select((F.col("msg_key") % SOURCE_PARTITIONS).cast("int").alias("source_partition"), "msg_key",
+                    R.parse_message(F.col("value"))["run_id"].try_cast("long").alias("run_id"))
+
+
+@register("run_boundaries", BOUNDARY_ORACLE)
+def run_boundaries(spark, sf):
+    """I4 in batch, with runs ended by unreadable messages; 64-key ranges exercise the seams."""
+    return RN.boundary_events(partitioned_messages(spark, sf), "msg_key", "run_id", 64, ("source_partition",))

@@ -8,6 +8,7 @@ from ..operators import catalog as K
 from ..operators import schedule as SC
 from ..sources.fixtures import CRON_LITERALS, FIXED_NOW, duckdb_with
 from .q_catalog import _cat, _catalog_steps
+from .q_suite import _suite_oracle
 from .registry import register
 
 
@@ -138,3 +139,54 @@ def task_mark_running(spark, sf):
     tasks = spark.table("dq_tasks")
     selected = K.rule_catalog(cat, "for_schedule", tasks=tasks)
     return SC.set_task_state(tasks, selected.select(F.col("dq_tasks_id").alias("id")), 1)
+
+
+PASS_ID = "2024-02-01T00-00"
+
+
+def _pass(spark, sf):
+    """The scheduled pass, run, then run again as after a failure; the pass and the folder of its log."""
+    import uuid
+    from ..operators import passes as PS
+    from ..session import scratch_dir
+    from ..sources.tables import read_table
+    cat = _cat(spark, sf, ("dq_tasks",))
+    base = scratch_dir(spark, f"pass-{uuid.uuid4().hex}")
+    for _ in range(2):
+        done = PS.run_pass(spark, cat, spark.table("dq_tasks"), lambda name: read_table(spark, sf, name), base, PASS_ID, FIXED_NOW)
+    return done, PS.TransitionLog(f"{base}/transitions")
+
+
+_PASS_SQL = _suite_oracle(f"""
+, picked as (select dq_tasks_id as task_id, entity_sample_to_dq_rule_id as rule_id, min(cast(coalesce(data_asset_id, data_asset_id1) as varchar)) as ns
+             from cat group by all),
+runs as (select distinct task_id, ns, regexp_replace(substr(sha256(concat_ws(':', 'run', '{PASS_ID}', cast(task_id as varchar))), 1, 32),
+                                                     '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') as run_id
+         from picked join res using (rule_id))
+""", mode="for_schedule")
+
+
+@register("task_pass", _PASS_SQL + f"""
+select r.run_id, 'START' as event_type, timestamp '{FIXED_NOW}' as event_time, timestamp '{FIXED_NOW}' + interval 1 minute as nominal_end_time,
+       r.ns, s.assertion, s."column", s.success, s.state, s.msg, cast(p.rule_id as varchar) as rule_id
+from runs r join picked p using (task_id) join res s on s.rule_id = p.rule_id
+union all
+select run_id, 'COMPLETE', timestamp '{FIXED_NOW}', timestamp '{FIXED_NOW}' + interval 1 minute, null, null, null, null, null, null, null from runs""")
+def task_pass(spark, sf):
+    """K6: the JSON events of a scheduled pass, shredded back: each START with the assertions of its task, each COMPLETE without."""
+    from ..operators import events as EV
+    done, _ = _pass(spark, sf)
+    s = EV.shred(EV.parse_events(done.events))
+    ns = s["inputs"].select("ol_id", "ns")
+    said = s["assertions"].select("ol_id", "assertion", "column", "success", "state", "msg", "rule_id")
+    return (s["run_log"].select(F.col("id").alias("ol_id"), "run_id", "event_type", "event_time", "nominal_end_time")
+            .join(ns, "ol_id", "left").join(said, "ol_id", "left").drop("ol_id"))
+
+
+@register("task_pass_states", _PASS_SQL + """
+select t.id, t.time, t.rule_id, case when t.id in (select task_id from runs) then 2 when t.id in (select task_id from picked) then 1 else t.state end as state
+from dq_tasks t""")
+def task_pass_states(spark, sf):
+    """The queue after the pass: finished tasks are done, those whose rule could not be run stay running."""
+    _, log = _pass(spark, sf)
+    return log.states(spark.table("dq_tasks"))

@@ -14,6 +14,9 @@ from ..operators import records as R
 from ..session import scratch_dir
 from ..sources.tables import read_table
 from ..streaming import checks as ST
+from ..streaming import rules as SR
+from ..streaming.averages import AverageStore
+from ..streaming.boundaries import boundaries_stream
 from . import q_catalog, q_checks, q_events, q_runs
 from ..sources.fixtures import duckdb_with
 from .registry import ORACLE, register
@@ -51,16 +54,52 @@ def stream_presence(spark, sf):
     return _drain(ST.presence_stream(src, q_checks.PRESENCE_FIELDS), base)
 
 
+def _waves(df: DataFrame, wave, n: int, base: str, run, prepare=lambda k: None) -> None:
+    """Let the rows of each wave arrive after the ones before: ``prepare(k)``, write them to the source, ``run`` the query over what is new."""
+    numbered = df.withColumn("_wave", wave).persist()
+    try:
+        for k in range(n):
+            prepare(k)
+            numbered.filter(F.col("_wave") == k).drop("_wave").write.mode("append").parquet(f"{base}/src")
+            run(df.sparkSession.readStream.schema(df.schema).parquet(f"{base}/src"))
+    finally:
+        numbered.unpersist()
+
+
 @register("stream_avg", ORACLE["msg_avg_deviation"])
 def stream_avg(spark, sf):
-    """Deviation from the table average, refreshed per micro-batch."""
+    """Deviation from the maintained average of the table."""
     base = _run_dir(spark, "avg")
     src = _stage(q_checks._messages(spark, sf), f"{base}/src")
     spec = R.parse_thresholds(q_checks.AVG_SPEC)
-    _drain_batches(src, base, ST.deviation_batch_writer(read_table(spark, sf, "events"), spec, f"{base}/out"))
+    store = AverageStore(f"{base}/averages", [f for f, _, _ in spec])
+    store.add(read_table(spark, sf, "events"), 0)
+    _drain_batches(src, base, ST.deviation_batch_writer(store, spec, f"{base}/out"))
     return spark.read.parquet(f"{base}/out").drop("batch_id").withColumn("pct", F.round("pct", 6))
 
 
+WAVES = 4
+
+
+@register("stream_avg_growing", duckdb_with("messages") + f"""
+, a as (select k, (select avg(value) from events where event_id % {WAVES} <= k) as av from (select unnest(range({WAVES})) as k)),
+s as (select msg_key, k, try_cast(json_extract_string(value, '$.value') as double) as v, av from messages join a on k = msg_key % {WAVES}
+      where json_valid(value)),
+p as (select *, 100 * abs(av - v) / abs(av) as pct from s)
+select msg_key, k as batch_id, v as value, round(pct, 6) as pct,
+       case when pct is null then null when pct > 90 then '0' when pct > 50 then '1' else '2' end as state from p""")
+def stream_avg_growing(spark, sf):
+    """I2 + D7: the table grows between micro-batches; each batch is judged by the averages of the version it meets."""
+    base = _run_dir(spark, "avg-growing")
+    spec = R.parse_thresholds(q_checks.AVG_SPEC)
+    store = AverageStore(f"{base}/averages", [f for f, _, _ in spec])
+    events = read_table(spark, sf, "events").select("event_id", "value")
+    writer = ST.deviation_batch_writer(store, spec, f"{base}/out")
+    _waves(q_checks._messages(spark, sf), F.col("msg_key") % WAVES, WAVES, base, lambda src: _drain_batches(src, base, writer),
+           lambda k: store.add(events.filter(F.col("event_id") % WAVES == k), k))
+    return spark.read.parquet(f"{base}/out").select("msg_key", F.col("batch_id").cast("long"), "value", F.round("pct", 6).alias("pct"), "state")
+
+
 def _shred(spark, sf) -> str:
     base = _run_dir(spark, "shred")
     src = _stage(q_events._events(spark, sf), f"{base}/src")
@@ -80,60 +119,111 @@ def stream_timeliness(spark, sf):
     return spark.read.parquet(f"{_shred(spark, sf)}/timeliness").drop("batch_id")
 
 
-SOURCE_PARTITIONS = 4
-
-
-@register("stream_islands", duckdb_with("messages") + f"""
-, f as (select msg_key % {SOURCE_PARTITIONS} as source_partition, msg_key, run_id,
-               run_id is distinct from lag(run_id) over (partition by msg_key % {SOURCE_PARTITIONS} order by msg_key) as fresh
-        from messages),
-i as (select *, cast(sum(fresh::int) over (partition by source_partition order by msg_key) as bigint) as island from f),
-runs as (select source_partition, island, min(run_id) as run_id, max(msg_key) as msg_key,
-                island = max(island) over (partition by source_partition) as open
-         from i group by source_partition, island)
-select island, run_id as parent_run_id, msg_key, if(fresh, 'START', 'RUNNING') as event_type, 0 as seq from i
-union all
-select island, run_id, msg_key, 'COMPLETE', 1 from runs where not open""")
+@register("stream_timeliness_arrival", duckdb_with("run_log", recursive=True) + f"""
+, comp as (select k, run_id, arg_min(parent_run_id, id) as parent_run_id, arg_min(nominal_end_time, id) as net
+           from run_log, (select unnest(range({WAVES})) as k) where event_type = 'COMPLETE' and run_id % {WAVES} <= k group by k, run_id),
+walk as (select k, run_id as origin, parent_run_id as parent, net, 0 as depth from comp
+         union all
+         select w.k, w.origin, c.parent_run_id, c.net, w.depth + 1 from walk w join comp c on c.k = w.k and c.run_id = w.parent),
+deadline as (select k, origin as run_id, if(arg_max(coalesce(parent, -1), depth) = -1, arg_max(net, depth), null) as based_end_time
+             from walk group by k, origin)
+select k as batch_id, r.id as ol_id, not (d.based_end_time < r.event_time) as success,
+       if(d.based_end_time < r.event_time, '0', '2') as state
+from run_log r join deadline d on d.run_id = r.parent_run_id and d.k = r.run_id % {WAVES}
+where r.event_type = 'COMPLETE' and d.based_end_time is not null""")
+def stream_timeliness_arrival(spark, sf):
+    """I8 as of arrival: events come in waves that take parents and children in any order; each batch is judged by the index as it
+    is after that batch."""
+    base = _run_dir(spark, "arrival")
+    writer = ST.shred_batch_writer(f"{base}/tables")
+    _waves(q_events._events(spark, sf), F.floor(F.col("offset") / 4) % WAVES, WAVES, base, lambda src: _drain_batches(src, base, writer))
+    return spark.read.parquet(f"{base}/tables/timeliness").select(F.col("batch_id").cast("long"), "ol_id", "success", "state")
+
+
+@register("stream_islands", q_runs.BOUNDARY_ORACLE)
 def stream_islands(spark, sf):
-    """I4: the run-boundary state machine over a file stream, one state for each source partition (the last run of each stays open)."""
+    """I4: the run-boundary state machine over several micro-batches, one state for each source partition, whose messages arrive in
+    order (the last run of each stays open)."""
     base = _run_dir(spark, "islands")
-    msgs = q_checks._messages(spark, sf).select((F.col("msg_key") % SOURCE_PARTITIONS).cast("int").alias("source_partition"),
-                                                "msg_key", "run_id")
-    src = _stage(msgs, f"{base}/src")
-    return _drain(ST.islands_stream(src), base)
+    msgs = q_runs.partitioned_messages(spark, sf)
+    size = msgs.agg(F.max("msg_key") + 1).first()[0] or 1
+    ordered = msgs.repartition(q_runs.SOURCE_PARTITIONS, "source_partition").sortWithinPartitions("source_partition", "msg_key")
+    out = []
+    _waves(ordered, F.floor(F.col("msg_key") * WAVES / F.lit(size)), WAVES, base,
+           lambda src: out.append(_drain(boundaries_stream(src), base)))
+    return out[-1]
 
 
 _TOPIC_SQL = "concat('topic_', lower(n.n_name))"
 
-
-@register("stream_rules", duckdb_with("messages", *q_catalog.CAT_FIXTURES) + q_catalog._PARAMS_CTE + """
-"""  + q_catalog._LIVE_CTE + """, kafka as (
-  select settings as rule_settings from live
-  where rule_ref in ('not_null', 'check_not_null') and contains(settings, 'Kafka')),
-defs as (select distinct c.param_value as topic, json_extract_string(k.rule_settings, '$.fields') as fields
-         from kafka k join connector_params c
-           on c.connection_name = json_extract_string(k.rule_settings, '$.connection') and c.param_name = 'topic'),
+#: Rules of even ids exist from the start, the others when the second half of the messages arrives.
+_RULES_SQL = duckdb_with("messages", *q_catalog.CAT_FIXTURES) + q_catalog._PARAMS_CTE + q_catalog._LIVE_CTE + """, stream_rules as (
+  select distinct l.binding as rule_id, l.rule_ref as kind, json_extract_string(l.settings, '$.fields') as fields, c.param_value as topic
+  from live l join connector_params c on c.connection_name = json_extract_string(l.settings, '$.connection') and c.param_name = 'topic'
+  where l.rule_ref in ('check_not_null', 'check_avg') and contains(l.settings, 'Kafka')),
 msgs as (select m.msg_key, m.value, """ + _TOPIC_SQL + """ as topic
          from messages m join events e on e.event_id = m.msg_key join nation n on n.n_nationkey = e.user_id % 25
-         where json_valid(m.value))
-select m.topic, m.msg_key, f.column, json_exists(m.value, '$.' || f.column) as success,
-       case when json_exists(m.value, '$.' || f.column) then '2' else '0' end as state
-from msgs m join defs d on d.topic = m.topic,
-     (select unnest(string_split(d.fields, ';')) as column) f""")
-def stream_rules(spark, sf):
-    """All presence rules of the streaming catalog in one streaming query,
-    messages routed to their topic's definitions."""
+         where json_valid(m.value)),
+met as (select m.*, r.rule_id, r.kind, r.fields from msgs m join stream_rules r on r.topic = m.topic and (r.rule_id % 2 = 0 or m.msg_key % 2 = 1)),
+field as (select *, unnest(string_split(fields, ';')) as spec from met),
+cell as (select *, split_part(spec, '|', 1) as col, try_cast(split_part(spec, '|', 2) as double) as w, try_cast(split_part(spec, '|', 3) as double) as e,
+                json_exists(value, '$.' || split_part(spec, '|', 1)) as here,
+                try_cast(json_extract_string(value, '$.' || split_part(spec, '|', 1)) as double) as v from field),
+av as (select avg(value) as av from events),
+dev as (select cell.*, if(kind = 'check_avg' and col = 'value', 100 * abs(av - v) / abs(av), null) as pct from cell, av),
+found as (
+  select topic, msg_key, rule_id, fields, kind, if(kind = 'check_avg', 'check_avg', 'not_null') as assertion, col as "column",
+         case when kind = 'check_not_null' then if(here, '2', '0') when pct is null or w is null or e is null then null
+              when pct > e then '0' when pct > w then '1' else '2' end as state,
+         case when kind = 'check_avg' then concat('Поле ', col, ' значительно отличается от среднего (',
+                   coalesce(cast(cast(round_even(pct, 0) as bigint) as varchar), ''), '%, key - ', cast(msg_key as varchar), ')')
+              when not here then concat('Поле ', col, ' не заполнено(key - ', cast(msg_key as varchar), ')') end as msg,
+         if(kind = 'check_avg', v, null) as value, round(pct, 6) as pct, list_position(string_split(fields, ';'), spec) as place
+  from dev)
+"""
+
+
+def _rules(spark, sf) -> str:
+    """The streaming rules over two halves of the messages, a part of the rules added in between; the folder of the results."""
     from ..operators import catalog as K
-    cat = q_catalog._cat(spark, sf)
-    defs = ST.topic_definitions(K.rule_catalog(cat, "kafka"), K.connector_params(cat))
     base = _run_dir(spark, "rules")
+    cat = q_catalog._cat(spark, sf)
+    rules = SR.stream_rules(K.rule_catalog(cat, "kafka"), K.connector_params(cat)).checkpoint(eager=True)
     ev = read_table(spark, sf, "events").select("event_id", "user_id")
     nation = read_table(spark, sf, "nation").select("n_nationkey", "n_name")
     msgs = (q_checks._messages(spark, sf).join(ev, F.col("msg_key") == F.col("event_id"))
             .join(nation, F.col("n_nationkey") == F.col("user_id") % 25)
             .select("msg_key", "value", F.concat(F.lit("topic_"), F.lower("n_name")).alias("topic")))
-    src = _stage(msgs, f"{base}/src")
-    return _drain(ST.rules_presence_stream(src, defs), base)
+    store = AverageStore(f"{base}/averages", ["value"])
+    store.add(read_table(spark, sf, "events"), 0)
+    writer = SR.rules_batch_writer(lambda s: s.read.schema(rules.schema).parquet(f"{base}/rules"), store.current, f"{base}/out",
+                                   F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    _waves(msgs, F.col("msg_key") % 2, 2, base, lambda src: _drain_batches(src, base, writer),
+           lambda k: rules.filter(F.col("rule_id") % 2 == k).write.mode("append").parquet(f"{base}/rules"))
+    return f"{base}/out"
+
+
+@register("stream_rules", _RULES_SQL + """
+select topic, msg_key, rule_id, assertion, "column", state = '2' as success, state, msg, value, pct from found""")
+def stream_rules(spark, sf):
+    """All rules of both streaming kinds in one streaming query, rule ids in every row."""
+    out = spark.read.parquet(f"{_rules(spark, sf)}/assertions").drop("batch_id")
+    return out.withColumn("pct", F.round("pct", 6))
+
+
+@register("stream_rules_log", _RULES_SQL + """
+select timestamp '2024-02-01 00:00:00' as date, if(bool_or(coalesce(state = '0', false)), 0, 1) as status,
+       case when assertion = 'not_null' and bool_or(coalesce(state = '0', false))
+            then concat('Не заполнены обязательные поля: ', string_agg(' ' || msg, '' order by place) filter (where state = '0'))
+            when assertion = 'not_null' then concat('Ошибок нет. Поля ', fields, ' не пустые.')
+            when bool_or(coalesce(state = '0', false))
+            then concat('Поле значительно отличается от среднего: ', string_agg(' ' || msg, '' order by place) filter (where state = '0'))
+            else concat('Ошибок нет. Поля ', fields, ' не отличаются от среднего.') end as description,
+       cast(rule_id as varchar) as rule_id, cast(null as varchar) as tenant, msg_key
+from found group by rule_id, topic, msg_key, assertion, fields""")
+def stream_rules_log(spark, sf):
+    """One log row per streaming rule and message."""
+    return spark.read.parquet(f"{_rules(spark, sf)}/log").drop("batch_id")
 
 
 @register("stream_malformed", duckdb_with("messages") + "select msg_key, value as message, 'malformed' as type from messages where not json_valid(value)")

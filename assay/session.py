@@ -94,3 +94,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under ``path`` that a finished write left (they hold ``_SUCCESS``), through the
+    file system of the path, whichever it is."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.getName() for p in found if fs.exists(done(p, "_SUCCESS")))

@@ -75,7 +75,7 @@ from lineitem where l_linenumber % 2 = 1
 
 # ---- rule catalog -------------------------------------------------------
 FIXTURE_SQL["entity_sample_to_dq_rule"] = f"""
-select o_orderkey as id, o_custkey % 9 as dq_rule_id, o_custkey as entity_sample_id,
+select o_orderkey as id, o_custkey % 10 as dq_rule_id, o_custkey as entity_sample_id,
        case when o_orderkey % 7 = 0 then null else o_orderkey % 100 end as indicator_id,
        case when o_orderkey % 5 = 0 then null else o_custkey % 100 end as product_id,
        case when o_orderkey % 3 = 0 then null else o_orderkey % 2000 end as asset_id,
@@ -86,7 +86,7 @@ select o_orderkey as id, o_custkey % 9 as dq_rule_id, o_custkey as entity_sample
                    else '{CRON_LITERALS[3]}' end,
               '","table":"orders","columns":"o_orderkey;o_custkey"}}')
          when 1 then concat('{{"connection":"conn NATION_', cast(o_custkey % 25 as string),
-              '","source":"Kafka","fields":"k;z"}}')
+              '","source":"Kafka","fields":"', case when o_custkey % 10 = 6 then 'value|50|90' else 'value;z' end, '"}}')
          when 2 then '{{"table":"lineitem","columns":"l_returnflag;l_quantity","ranges":"(''A'',''N'');between 1 and 40"}}'
          when 3 then concat('{{"crontab":"',
               case cast(floor(o_orderkey / 6) as bigint) % 4 when 0 then '{CRON_LITERALS[1]}'
@@ -112,7 +112,8 @@ select * from (values
   (5, 'record regex', 'check_condition'),
   (6, 'deviation from average', 'check_avg'),
   (7, 'draft rule', null),
-  (8, 'nominal time', 'check_nominal_time')
+  (8, 'nominal time', 'check_nominal_time'),
+  (9, 'stream field presence', 'check_not_null')
 ) as t(id, name, rule_ref)
 """
 

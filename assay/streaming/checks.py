@@ -2,13 +2,11 @@
 consumer (I1-I8, A3, A4, A11).
 
 * field presence (I1) is stateless: parse, explode assertions, append;
-* deviation from an average (I2) refreshes the table average once per
-  micro-batch inside ``foreachBatch`` (the reference queried it per message);
+* deviation from an average (I2) reads the maintained averages once per
+  micro-batch inside ``foreachBatch`` (the reference queried the table per message);
 * the event consumer (I3, I8) shreds each micro-batch into four tables and
-  derives timeliness from the run log stored so far;
-* run boundaries (I4) are a per-source-partition state machine
-  (``applyInPandasWithState``): the state is the current parent run id and
-  run sequence, so order only has to hold within one source partition.
+  derives timeliness from the index of deadlines that it keeps;
+* run boundaries (I4) are in ``boundaries``, the streaming rules (I5) in ``rules``.
 
 Offsets and progress live in the checkpoint location (I6), which replaces the
 consumer group of the reference; restarts resume from it.
@@ -16,16 +14,14 @@ consumer group of the reference; restarts resume from it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import events as EV
 from ..operators import records as R
 from ..operators import runs as RN
+from .averages import AverageStore
+from .deadlines import DeadlineIndex
 
 
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str, starting: str = "earliest",
@@ -55,19 +51,14 @@ def malformed_stream(messages: DataFrame, key_col: str = "msg_key") -> DataFrame
 
 # ---- I2 --------------------------------------------------------------------------
 
-def deviation_batch_writer(table: DataFrame, spec: list[tuple[str, float, float]], out_path: str,
-                           key_col: str = "msg_key", averages: DataFrame | None = None):
-    """``foreachBatch`` body: each message is compared with the table
-    average. By default the average is recomputed once per micro-batch (one
-    aggregate entering as a scalar subquery; the reference queried it per
-    message). For a very large table pass ``averages``: a maintained one-row
-    table with ``avg_<field>`` columns (e.g. refreshed by a scheduled job),
-    so a micro-batch reads one row instead of the table.
-    Writes are keyed by batch id, so a replayed batch overwrites its own output."""
+def deviation_batch_writer(averages: AverageStore, spec: list[tuple[str, float, float]], out_path: str,
+                           key_col: str = "msg_key"):
+    """``foreachBatch`` body: each message is compared with the newest
+    averages of the store, one row a field (the reference queried the table per
+    message). Writes are keyed by batch id, so a replayed batch overwrites its own output."""
     def write(batch: DataFrame, batch_id: int) -> None:
         valid = batch.withColumn("_m", R.parse_message(F.col("value"))).filter(F.col("_m").isNotNull())
-        avgs = averages if averages is not None else R.averages_for(table, [f for f, _, _ in spec])
-        out = R.deviation_assertions(valid, avgs, spec, key_col=F.col("_m")["key"].cast("long"), keep=(key_col,))
+        out = R.deviation_assertions(valid, averages.wide(batch.sparkSession), spec, key_col=F.col("_m")["key"].cast("long"), keep=(key_col,))
         out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
             .parquet(f"{out_path}/batch_id={batch_id}")
     return write
@@ -78,9 +69,11 @@ def deviation_batch_writer(table: DataFrame, spec: list[tuple[str, float, float]
 def shred_batch_writer(base_path: str):
     """``foreachBatch`` body: parse, validate and shred events into the
     run log, inputs, outputs and assertions; rejected events go to the
-    exception table (I7); COMPLETE events get a timeliness assertion from the
-    run log stored so far (as of arrival), walking up only from this batch's parents. Output folders are per batch id, so
+    exception table (I7); COMPLETE events get a timeliness assertion as of
+    arrival, from the index of deadlines that this batch updates. Output folders are per batch id, so
     replaying a batch replaces its rows instead of duplicating them. The batch is parsed once for all its outputs."""
+    index = DeadlineIndex(f"{base_path}/deadlines")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = EV.parse_events(batch).persist()
         try:
@@ -94,112 +87,8 @@ def shred_batch_writer(base_path: str):
         for name in ("run_log", "inputs", "outputs", "assertions"):
             parts[name].write.mode("overwrite").parquet(f"{base_path}/{name}/batch_id={batch_id}")
         EV.rejected(parsed).write.mode("overwrite").parquet(f"{base_path}/exceptions/batch_id={batch_id}")
-        stored = spark.read.parquet(f"{base_path}/run_log").drop("batch_id")
-        done = parts["run_log"].filter(F.col("event_type") == "COMPLETE")
-        parents = done.select(F.col("parent_run_id").alias("run_id"))
-        late = RN.timeliness_assertions(done, RN.deadlines_for(stored, parents))
+        stored = spark.read.schema(parts["run_log"].schema).parquet(f"{base_path}/run_log/batch_id={batch_id}")  # this batch's rows
+        done = stored.filter(F.col("event_type") == "COMPLETE")
+        late = RN.timeliness_assertions(done, index.update(done, batch_id))
         late.write.mode("overwrite").parquet(f"{base_path}/timeliness/batch_id={batch_id}")
     return write
-
-
-# ---- I4 ------------------------------------------------------------------------------
-
-ISLAND_OUT = "island long, parent_run_id long, msg_key long, event_type string, seq int"
-ISLAND_STATE = "last_run long, last_key long, island long"
-
-
-def _island_events(pdfs: Iterator[pd.DataFrame], state: GroupState) -> pd.DataFrame:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("msg_key", kind="stable")
-    if state.exists:
-        last_run, last_key, island = state.get
-    else:
-        last_run, last_key, island = None, None, 0
-    runs = pdf["run_id"].astype("int64")
-    keys = pdf["msg_key"].astype("int64")
-    prev = runs.shift(1)
-    if last_run is not None and len(prev):
-        prev.iloc[0] = last_run
-    start = prev.isna() | (prev != runs)
-    isl = island + start.astype("int64").cumsum()
-    events = pd.DataFrame({"island": isl.values, "parent_run_id": runs.values, "msg_key": keys.values,
-                           "event_type": start.map({True: "START", False: "RUNNING"}).values, "seq": 0})
-    # a run ends when the next message names another parent: COMPLETE at its last message
-    prev_keys = keys.shift(1)
-    if last_key is not None and len(prev_keys):
-        prev_keys.iloc[0] = last_key
-    closes = start & prev.notna()
-    done = pd.DataFrame({"island": (isl[closes] - 1).values, "parent_run_id": prev[closes].astype("int64").values,
-                         "msg_key": prev_keys[closes].astype("int64").values, "event_type": "COMPLETE", "seq": 1})
-    if len(pdf):
-        state.update((int(runs.iloc[-1]), int(keys.iloc[-1]), int(isl.iloc[-1])))
-    return pd.concat([events, done], ignore_index=True)
-
-
-def _closed_run(state: GroupState) -> pd.DataFrame:
-    """Timer fired: the open run of this partition completes at its last message."""
-    last_run, last_key, island = state.get
-    state.remove()
-    return pd.DataFrame({"island": [island], "parent_run_id": [last_run], "msg_key": [last_key],
-                         "event_type": ["COMPLETE"], "seq": [1]})
-
-
-def _islands(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    yield _island_events(pdfs, state)
-
-
-def _islands_with_timeout(timeout_ms: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            yield _closed_run(state)
-            return
-        out = _island_events(pdfs, state)
-        if state.exists:
-            state.setTimeoutDuration(timeout_ms)
-        yield out
-    return fn
-
-
-def islands_stream(messages: DataFrame, partition_col: str = "source_partition",
-                   idle_timeout_ms: int | None = None) -> DataFrame:
-    """I4: START on the first message of a run, RUNNING while the parent id
-    stays, COMPLETE of the previous run when it changes; one state per source
-    partition. Without ``idle_timeout_ms`` the last run stays open until the
-    next change; with it a processing-time timer completes a run whose
-    partition has been idle that long."""
-    grouped = messages.select(partition_col, "msg_key", "run_id").groupBy(partition_col)
-    if idle_timeout_ms is None:
-        return grouped.applyInPandasWithState(_islands, ISLAND_OUT, ISLAND_STATE, "append",
-                                              GroupStateTimeout.NoTimeout)
-    return grouped.applyInPandasWithState(_islands_with_timeout(int(idle_timeout_ms)), ISLAND_OUT, ISLAND_STATE,
-                                          "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-# ---- I5 ------------------------------------------------------------------------------
-
-#: Rule functions that check field presence on a stream.
-PRESENCE_RULES = ("not_null", "check_not_null")
-
-
-def topic_definitions(kafka_rules: DataFrame, params: DataFrame) -> DataFrame:
-    """Distinct presence definitions per topic: the rule's connection names its
-    topic (A8); one row per (topic, field list). Rules of other kinds (their
-    settings name other things) are left to their own streams."""
-    kafka_rules = kafka_rules.filter(F.col("rule_ref").isin(*PRESENCE_RULES))
-    conn = F.get_json_object("rule_settings", "$.connection")
-    topics = params.filter(F.col("param_name") == "topic").select(
-        F.col("connection_name"), F.col("param_value").alias("topic"))
-    r = kafka_rules.select(conn.alias("connection_name"),
-                           F.get_json_object("rule_settings", "$.fields").alias("fields"))
-    return r.join(topics, "connection_name", "inner").select("topic", "fields").distinct()
-
-
-def rules_presence_stream(messages: DataFrame, definitions: DataFrame, key_col: str = "msg_key") -> DataFrame:
-    """Every streaming presence rule in one query. The reference ran a
-    consumer thread per rule; here each message meets only the distinct
-    definitions of its own topic (a stream-static equi-join on ``topic``)."""
-    parsed = messages.withColumn("_m", R.parse_message(F.col("value"))).filter(F.col("_m").isNotNull())
-    j = parsed.join(definitions, "topic", "inner")
-    x = j.select("topic", key_col, "_m", F.explode(F.split("fields", ";")).alias("column"))
-    ok = F.map_contains_key("_m", F.col("column"))
-    return x.select("topic", key_col, "column", ok.alias("success"),
-                    F.when(ok, "2").otherwise("0").alias("state"))

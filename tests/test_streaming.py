@@ -1,63 +1,101 @@
-"""Batch = stream for the run-boundary state machine across several
-micro-batches, and replay safety of the event consumer."""
+"""Streams against their batch twins over several micro-batches, and replay safety."""
 
+import datetime as dt
+import random
 import time
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from assay.operators import runs as RN
 from assay.plans import q_events
 from assay.session import scratch_dir
+from assay.streaming import boundaries as SB
 from assay.streaming import checks as ST
+from assay.streaming import rules as SR
+from assay.streaming.averages import AverageStore
+from assay.streaming.deadlines import DeadlineIndex
 from paths import SF_SMALL
 
+MESSAGES = "source_partition int, msg_key long, run_id long"
 
-def test_islands_state_across_batches(spark):
-    base = scratch_dir(spark, f"t-islands-{uuid.uuid4().hex}")
-    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select(
-        F.lit(0).alias("source_partition"), F.col("event_id").alias("msg_key"), (F.col("user_id") % 3).alias("run_id"))
-    bounds = [0, 200, 450, 700, 1000]
-    for i in range(4):  # files written in key order, one micro-batch each
-        ev.filter((F.col("msg_key") >= bounds[i]) & (F.col("msg_key") < bounds[i + 1])) \
-          .coalesce(1).write.mode("append").parquet(f"{base}/src")
-        time.sleep(1.1)
-    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
-    q = (ST.islands_stream(src).writeStream.format("parquet").option("path", f"{base}/out")
+
+def folder(spark, name):
+    return scratch_dir(spark, f"t-{name}-{uuid.uuid4().hex}")
+
+
+def drain(spark, base, schema):
+    src = spark.readStream.schema(schema).parquet(f"{base}/src")
+    q = (SB.boundaries_stream(src).writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(f"{base}/out")
-           .select("island", "parent_run_id", "msg_key", "event_type").collect()}
-    isl = RN.run_islands(ev.select("msg_key", "run_id"), "msg_key", "run_id", 64)
-    want = {tuple(r) for r in RN.events_from_islands(isl, "msg_key", "run_id")
-            .select("island", "parent_run_id", "msg_key", "event_type").collect()}
-    last = max(i for i, *_ in want)
-    want = {w for w in want if not (w[3] == "COMPLETE" and w[0] == last)}
-    assert got == want
 
 
-def test_event_consumer_replay_does_not_duplicate(spark):
-    base = scratch_dir(spark, f"t-shred-{uuid.uuid4().hex}")
-    events = q_events._events(spark, SF_SMALL)
-    writer = ST.shred_batch_writer(f"{base}/tables")
-    writer(events, 0)
-    writer(events, 0)  # the same micro-batch again after a failure
-    n = spark.read.parquet(f"{base}/tables/run_log").count()
-    assert n == events.count()
+def brute_boundaries(rows):
+    """Events of one partition's (key, run) messages, one by one."""
+    out, run, last, island = [], None, None, 0
+    for key, r in sorted(rows):
+        if r is None:
+            if run is not None:
+                out.append((island, run, key, "FAIL", 0))
+        elif r == run:
+            out.append((island, run, key, "RUNNING", 0))
+        else:
+            if run is not None:
+                out.append((island, run, last, "COMPLETE", 1))
+            island += 1
+            out.append((island, r, key, "START", 0))
+        run, last = r, key
+    return out
+
 
+def test_boundaries_in_batch_and_over_micro_batches(spark):
+    rnd = random.Random(4)
+    rows = [(p, k, rnd.choice([1, 1, 1, 2, 2, 3, None])) for p in range(3) for k in sorted(rnd.sample(range(5000), 150))]
+    rows += [(7, k, None) for k in range(5)]  # a partition without a readable message
+    want = sorted((p, *e) for p in (0, 1, 2, 7) for e in brute_boundaries([(k, r) for q, k, r in rows if q == p]))
+    df = spark.createDataFrame(rows, MESSAGES)
+    for bucket in (1, 16, 1 << 20):  # from a range for each key, in three levels of blocks, to one range for all
+        got = RN.boundary_events(df, "msg_key", "run_id", bucket, ("source_partition",))
+        assert sorted(tuple(r) for r in got.collect()) == want
+    base = folder(spark, "boundaries")
+    for lo, hi in ((0, 900), (900, 901), (901, 3000), (3000, 5000)):
+        df.filter((F.col("msg_key") >= lo) & (F.col("msg_key") < hi)).coalesce(1).sortWithinPartitions("msg_key") \
+          .write.mode("append").parquet(f"{base}/src")
+        drain(spark, base, df.schema)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").collect()) == want
 
-def test_islands_idle_timeout_completes_last_run(spark):
-    base = scratch_dir(spark, f"t-islands-timeout-{uuid.uuid4().hex}")
-    rows = [(0, k, g) for k, g in [(1, 5), (2, 5), (3, 7), (4, 7)]]
-    src_df = spark.createDataFrame(rows, "source_partition int, msg_key long, run_id long")
+
+def test_boundaries_without_partitions_and_of_nothing(spark):
+    empty = spark.createDataFrame([], MESSAGES)
+    assert RN.boundary_events(empty, "msg_key", "run_id").collect() == []
+    plan = RN.run_islands(spark.createDataFrame([(0, k, k % 2) for k in range(50)], MESSAGES), "msg_key", "run_id", 4) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_stream_refuses_messages_out_of_order(spark):
+    base = folder(spark, "disorder")
+    df = spark.createDataFrame([(0, 5, 1), (0, 6, 1)], MESSAGES)
+    df.coalesce(1).write.parquet(f"{base}/src")
+    drain(spark, base, df.schema)
+    spark.createDataFrame([(0, 4, 1)], MESSAGES).coalesce(1).write.mode("append").parquet(f"{base}/src")
+    with pytest.raises(Exception, match="arrived after"):
+        drain(spark, base, df.schema)
+
+
+def test_idle_timer_completes_last_run(spark):
+    base = folder(spark, "idle")
+    src_df = spark.createDataFrame([(0, 1, 5), (0, 2, 5), (0, 3, 7), (0, 4, 7)], MESSAGES).coalesce(1)
     src_df.write.parquet(f"{base}/src")
     src = spark.readStream.schema(src_df.schema).parquet(f"{base}/src")
     name = f"islands_{uuid.uuid4().hex[:8]}"
-    q = (ST.islands_stream(src, idle_timeout_ms=1000).writeStream.format("memory").queryName(name)
+    q = (SB.boundaries_stream(src, idle_timeout_ms=1000).writeStream.format("memory").queryName(name)
          .option("checkpointLocation", f"{base}/ck").outputMode("append").trigger(processingTime="500 milliseconds")
          .start())
     try:
-        deadline = time.time() + 60  # a timer keeps scheduling batches: poll the sink instead of draining
+        deadline = time.time() + 90  # a timer keeps scheduling batches: poll the sink instead of draining
         while time.time() < deadline:
             done = spark.sql(f"select * from {name} where event_type = 'COMPLETE'").collect()
             if len(done) == 2:
@@ -67,3 +105,114 @@ def test_islands_idle_timeout_completes_last_run(spark):
         q.stop()
     got = sorted((r["island"], r["msg_key"]) for r in done)
     assert got == [(1, 2), (2, 4)]  # the change completes run 1, the timer completes run 2
+
+
+def test_event_consumer_replay_does_not_duplicate(spark):
+    base = folder(spark, "shred")
+    events = q_events._events(spark, SF_SMALL)
+    writer = ST.shred_batch_writer(f"{base}/tables")
+    writer(events, 0)
+    late = spark.read.parquet(f"{base}/tables/timeliness").count()
+    writer(events, 0)  # the same micro-batch again after a failure
+    n = spark.read.parquet(f"{base}/tables/run_log").count()
+    assert n == events.count()
+    assert spark.read.parquet(f"{base}/tables/timeliness").count() == late > 0
+
+
+DONE = "id long, run_id long, parent_run_id long, nominal_end_time timestamp_ntz"
+
+
+def test_deadline_index_over_batches_in_any_order(spark):
+    rnd = random.Random(9)
+    day = dt.datetime(2024, 1, 1)
+    parent = {r: (None if r < 3 else rnd.randrange(r) if rnd.random() < 0.9 else 500 + r) for r in range(60)}
+    parent |= {100: 101, 101: 102, 102: 100, 103: 100}  # a cycle and a run that leads into it
+    end = {r: day + dt.timedelta(days=r) if r != 1 else None for r in parent}
+    runs = list(parent)
+    rnd.shuffle(runs)
+    index = DeadlineIndex(folder(spark, "index"), "long", buckets=3)
+    batches = [runs[:5], [], runs[5:30], runs[30:31], runs[31:]]
+
+    def walk(run, known):
+        seen = set()
+        while run in known and run not in seen:
+            if parent[run] is None:
+                return end[run]
+            seen.add(run)
+            run = parent[run]
+        return None
+
+    known = set()
+    for b, new in enumerate(batches):
+        known |= set(new)
+        rows = spark.createDataFrame([(r, r, parent[r], end[r]) for r in new], DONE)
+        asked = {parent[r] for r in new} - {None}
+        index.update(rows, b)
+        got = {r["run_id"]: r["based_end_time"] for r in index.update(rows, b).collect()}  # the same batch twice
+        assert got == {p: walk(p, known) for p in asked}
+
+
+def test_deadline_index_reads_no_run_log(spark):
+    base = folder(spark, "index-plan")
+    index = DeadlineIndex(f"{base}/deadlines", "long")
+    spark.createDataFrame([(1, 1, None, dt.datetime(2024, 1, 1))], DONE).write.parquet(f"{base}/run_log")
+    index.update(spark.createDataFrame([(1, 1, None, dt.datetime(2024, 1, 1))], DONE), 0).collect()
+    out = index.update(spark.createDataFrame([(2, 2, 1, None), (3, 3, 2, None)], DONE), 1)
+    assert {r["run_id"]: r["based_end_time"] for r in out.collect()} == {1: dt.datetime(2024, 1, 1), 2: dt.datetime(2024, 1, 1)}
+    scan = index._read(spark, "resolved", 1, spark.createDataFrame([(1,)], "run_id long"), "run_id")._jdf.queryExecution().executedPlan().toString()
+    assert "run_log" not in scan and "PartitionFilters: [" in scan and "bucket" in scan
+
+
+def test_averages_grow_by_deltas_and_need_no_table(spark):
+    store = AverageStore(folder(spark, "averages"), ["a", "b"])
+    assert store.current(spark).collect() == []
+    part = lambda *rows: spark.createDataFrame(rows, "a double, b string")
+    store.add(part((1.0, "2"), (None, "x")), 0)
+    store.add(part((4.0, "4")), 1)
+    store.add(part((4.0, "4")), 1)  # a retry replaces the version
+    assert {r["field"]: r["avg"] for r in store.current(spark).collect()} == {"a": 2.5, "b": 3.0}
+    row = store.wide(spark)
+    assert row.collect()[0].asDict() == {"avg_a": 2.5, "avg_b": 3.0}
+    assert store.wide(spark)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+RULES = "topic string, rule_id long, kind string, fields string"
+
+
+def test_stream_rules_by_kind_with_ids_and_log(spark):
+    rules = spark.createDataFrame([
+        ("t", 1, "check_not_null", "v;z"), ("t", 2, "check_not_null", "z;v"), ("t", 3, "check_avg", "v|50|90"), ("t", 4, "check_avg", "v|x|90"),
+        ("t", 5, "check_avg", "none|1|2"), ("u", 6, "check_not_null", "v")], RULES)
+    msgs = spark.createDataFrame([(1, "t", '{"key": 1, "v": 10}'), (2, "t", '{"key": 2, "z": 1}'), (3, "t", "{"), (4, "w", '{"key": 4}')],
+                                 "msg_key long, topic string, value string")
+    averages = spark.createDataFrame([("v", 100.0)], "field string, avg double")
+    compiled = SR.compiled(rules)
+    assert {r["topic"]: len(r["checks"]) for r in compiled.collect()} == {"t": 5, "u": 1}  # shared checks once
+    out = SR.apply_rules(msgs, compiled, averages)
+    got = {(r["msg_key"], r["rule_id"], r["column"]): (r["assertion"], r["state"]) for r in out.collect()}
+    assert got == {
+        (1, 1, "v"): ("not_null", "2"), (1, 1, "z"): ("not_null", "0"), (1, 2, "v"): ("not_null", "2"), (1, 2, "z"): ("not_null", "0"),
+        (2, 1, "v"): ("not_null", "0"), (2, 1, "z"): ("not_null", "2"), (2, 2, "v"): ("not_null", "0"), (2, 2, "z"): ("not_null", "2"),
+        (1, 3, "v"): ("check_avg", "1"), (2, 3, "v"): ("check_avg", None), (1, 4, "v"): ("check_avg", None), (2, 4, "v"): ("check_avg", None),
+        (1, 5, "none"): ("check_avg", None), (2, 5, "none"): ("check_avg", None)}
+    log = {(r["rule_id"], r["msg_key"]): (r["status"], r["description"]) for r in SR.stream_log(out, F.lit("2024-01-01").cast("timestamp_ntz")).collect()}
+    assert log["1", 1] == (0, "Не заполнены обязательные поля:  Поле z не заполнено(key - 1)")
+    assert log["3", 1] == (1, "Ошибок нет. Поля v|50|90 не отличаются от среднего.")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") >= 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_rules_are_read_anew_for_each_batch(spark):
+    base = folder(spark, "rules")
+    msgs = spark.createDataFrame([(1, "t", '{"key": 1}'), (2, "t", "broken")], "msg_key long, topic string, value string")
+    rules = {"now": [("t", 1, "check_not_null", "a")]}
+    averages = lambda s: s.createDataFrame([], "field string, avg double")
+    writer = SR.rules_batch_writer(lambda s: s.createDataFrame(rules["now"], RULES), averages, base)
+    writer(msgs, 0)
+    rules["now"].append(("t", 2, "check_not_null", "key"))
+    writer(msgs, 1)
+    writer(msgs, 1)
+    got = sorted((r["batch_id"], r["rule_id"], r["success"]) for r in spark.read.parquet(f"{base}/assertions").collect())
+    assert got == [(0, 1, False), (1, 1, False), (1, 2, True)]
+    assert sorted((r["batch_id"], r["status"]) for r in spark.read.parquet(f"{base}/log").collect()) == [(0, 0), (1, 0), (1, 1)]
+    assert [r["msg_key"] for r in spark.read.parquet(f"{base}/exceptions").collect()] == [2, 2]
