@@ -37,8 +37,8 @@ def test_passes_continue_and_retries_change_nothing(spark):
     assert rows(again.events) == events and rows(log.states(tasks)) == states
 
     state = {r["id"]: r["state"] for r in log.states(tasks).collect()}
-    picked = {r["task_id"] for r in first.selected.collect()}
-    done = {r["task_id"] for r in first.finished.collect()}
+    picked = {r["task_id"] for r in again.selected.collect()}
+    done = {r["task_id"] for r in again.finished.collect()}
     assert done and done < picked
     assert all(state[t] == (2 if t in done else 1) for t in picked)
     second = PS.run_pass(spark, cat, tasks, tables["ok"], base, "2024-02-01T00-01", "2024-02-01 00:01:00")
