@@ -17,8 +17,9 @@ from paths import SF_SMALL
 
 
 def test_passes_continue_and_retries_change_nothing(spark):
-    cat = _cat(spark, SF_SMALL, ("dq_tasks",))
-    tasks = spark.table("dq_tasks")
+    cat = _cat(spark, SF_SMALL)
+    tasks = spark.table("entity_sample_to_dq_rule").select(  # one pending task for each binding
+        "id", F.lit("2024-01-31 23:59:00").cast("timestamp_ntz").alias("time"), F.col("id").alias("rule_id"), F.lit(0).alias("state"))
     base = scratch_dir(spark, f"t-pass-{uuid.uuid4().hex}")
     tables = {"ok": lambda name: read_table(spark, SF_SMALL, name)}
 
