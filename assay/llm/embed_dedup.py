@@ -1,26 +1,30 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Equal vectors of a label are one class, whose copies are counted and not compared. The
-trees are fitted on a sample of at most ``SAMPLE`` classes: at each level the vectors of
-a node are projected on a random direction and cut at the median; vectors in a band
-around the cut go to both sides (spill), so that pairs near a cut stay together. Trees
-grow until a leaf is expected to hold ``LEAF`` classes of the whole table, or the sample
-has too few vectors there to find a median. All classes are dropped down all trees. A
-leaf that holds more than ``CROWDED`` classes of a label is cut further over the whole
-table: each round projects its classes on a new random direction, takes the quantiles
-as an aggregate and joins them back, until no such leaf is left. So neither a leaf nor
-the broadcast forest grows with the table.
+Vectors of a label that point in one direction (equal ones, and positive multiples to
+twelve decimals) are one class, whose members are counted and not compared. The trees are
+fitted on a sample of at most ``SAMPLE`` classes: at each level the vectors of a node are
+projected on a random direction and cut at the median; vectors in a band around the cut
+go to both sides (spill), so that pairs near a cut stay together. Trees grow until a leaf
+is expected to hold ``LEAF`` classes of the whole table, the sample has too few vectors
+there to find a median, or the node is dense: most pairs in it link, and any cut would
+part them. All classes are dropped down all trees. A leaf that holds more than ``CROWDED``
+classes of a label is cut further over the whole table, unless it is dense: each round
+projects its classes on a new random direction, takes the quantiles as an aggregate and
+joins them back. So the broadcast forest does not grow with the table, and no cluster
+narrower than the link distance is cut.
 
 In a leaf all pairs are compared by blocks of a matrix product, in double precision. A
-pair that shares several leaves counts in the first one only, which both sides can tell
-from the leaves each carries. So a leaf sends one count for each vector and a link to
-the smallest vector it is connected with there, never pairs; connected components of
-those links unite the leaves.
+leaf that stays crowded is dealt into blocks of ``CROWDED`` classes and compared block
+against block, a task for each two blocks, so no task takes a whole leaf; a crowded leaf
+whose classes all share an earlier one is left to that one. A pair that shares several leaves
+counts in the first one only, which both sides can tell from the leaves each carries. A
+task sends one count for each vector and a link to the smallest vector it is connected
+with there, never pairs; connected components of those links unite them.
 
 Defined results: null labels and vectors that are null, empty, zero or hold null or
 non-finite components link with nothing; vectors of different lengths do not link;
-repeated rows are copies of each other; a crowd of vectors that are all multiples of one
-another, which no direction can cut, stays one leaf; an empty table gives no rows.
+repeated rows are copies of each other; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -31,13 +35,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assay.llm import common
 
 SAMPLE = 20_000  # classes the trees are fitted on
 TREES = 8
 LEAF = 1_000  # classes expected in a leaf
-CROWDED = 4_000  # classes of a label in a leaf that is cut further
+CROWDED = 4_000  # classes of a label in a leaf that is cut further, or in a block of one that is not
+DENSE = 0.5  # share of linked pairs from which a node is not cut
+LOOKED_AT = 256  # classes of a node whose pairs tell
+DECIMALS = 12  # of the components of a direction
 SPILL = 0.1  # share of a node on either side of the cut that goes to both
 LEAST = 32  # sample vectors needed to find a median
 COSINE = 0.98
@@ -50,14 +58,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def grow(x: np.ndarray, total: float, rng) -> list:
+def dense(x: np.ndarray, least: float) -> bool:
+    """Whether most pairs among the first of some unit vectors link."""
+    x = x[:LOOKED_AT]
+    n = len(x)
+    return n > 1 and (x @ x.T >= least).sum() - n >= DENSE * n * (n - 1)
+
+
+def grow(x: np.ndarray, total: float, rng, least: float = COSINE) -> list:
     """A tree: nodes (direction, low, high, left, right), leaves None; node 0 is the root."""
     nodes: list = []
 
     def node(pts: np.ndarray, size: float) -> int:
         at = len(nodes)
         nodes.append(None)
-        if size > LEAF and len(pts) >= 2 * LEAST:
+        if size > LEAF and len(pts) >= 2 * LEAST and not dense(pts, least):
             d = rng.standard_normal(x.shape[1])
             p = pts @ d
             low, high = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
@@ -85,8 +100,9 @@ def leaves(tree: list, x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def thinned(placed: DataFrame, classes: DataFrame, most: int | None = None) -> DataFrame:
-    """``placed`` (label, dim, leaf, id) with each leaf of over ``most`` classes of a label cut until none is left.
+def thinned(placed: DataFrame, classes: DataFrame, most: int | None = None, least: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """``placed`` (label, dim, leaf, id) with each leaf of over ``most`` classes of a label cut, and the leaves that stay crowded (label,
+    dim, leaf, n) because they are dense or their vectors lie in one point.
 
     A round moves only the rows of crowded leaves. Its cuts are quantiles over all of a leaf's rows, one per leaf and
     joined by leaf; the driver sees one number a round.
@@ -94,6 +110,9 @@ def thinned(placed: DataFrame, classes: DataFrame, most: int | None = None) -> D
     most = CROWDED if most is None else most
     leaf = ["label", "dim", "leaf"]
 
+    def narrow(key, part):
+        return pd.DataFrame([[*key, dense(unit(np.array(part["v"].tolist(), float)), least)]], columns=[*leaf, "dense"])
+
     def project(batches):
         for b in batches:
             p = np.empty(len(b), np.float32)
@@ -102,59 +121,86 @@ def thinned(placed: DataFrame, classes: DataFrame, most: int | None = None) -> D
                 p[at] = unit(np.array(b["v"].iloc[at].tolist(), float)) @ d
             yield b[[*leaf, "id"]].assign(p=p)
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select(*leaf, "id").schema) + ", p float"
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select(*leaf, "id").schema)
+    by_leaf = kinds.rsplit(",", 1)[0]
     vectors = classes.select("id", "label", "dim", "v")
-    done, open_ = [], placed
+    done, kept, open_ = [], [], placed
     while True:
-        crowds = common.materialize(open_.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).drop("n"), "crowds")
+        crowds = common.materialize(open_.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "crowds")
         if not crowds.head(1):
-            return reduce(DataFrame.unionByName, [*done, open_])
-        done.append(open_.join(crowds, leaf, "left_anti"))
-        p = common.materialize(open_.join(crowds, leaf, "left_semi").join(vectors, ["label", "dim", "id"])
-                               .mapInPandas(project, fields), "projected")
+            crowded = reduce(DataFrame.unionByName, kept) if kept else placed.select(*leaf, F.lit(0).cast("long").alias("n")).filter("false")
+            return reduce(DataFrame.unionByName, [*done, open_]), crowded
+        few = Window.partitionBy(*leaf).orderBy(F.xxhash64("id"), "id")
+        seen = (open_.join(crowds.drop("n"), leaf, "left_semi").withColumn("_k", F.row_number().over(few)).filter(F.col("_k") <= LOOKED_AT)
+                .join(vectors, ["label", "dim", "id"]).groupBy(*leaf).applyInPandas(narrow, by_leaf + ", dense boolean"))
+        crowds = common.materialize(crowds.join(seen, leaf), "told")
+        stay = crowds.filter("dense").drop("dense")
+        cutting = crowds.filter("not dense").select(*leaf)
+        kept.append(stay)
+        done += [open_.join(crowds.select(*leaf), leaf, "left_anti"), open_.join(stay.select(*leaf), leaf, "left_semi")]
+        p = common.materialize(open_.join(cutting, leaf, "left_semi").join(vectors, ["label", "dim", "id"])
+                               .mapInPandas(project, kinds + ", p float"), "projected")
         cuts = p.groupBy(*leaf).agg(F.percentile_approx("p", [0.5 - SPILL, 0.5 + SPILL]).alias("q"),
-                                    (F.min("p") == F.max("p")).alias("whole"))
+                                    (F.min("p") == F.max("p")).alias("whole"), F.count(F.lit(1)).alias("n"))
         low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
         sides = (F.when(low < high, F.array(F.when(F.col("p") <= high, 0), F.when(F.col("p") >= low, 1)))
                  .otherwise(F.array(F.when(F.col("p") < low, 0).when(F.col("p") > low, 1).otherwise(2))))
-        cut = common.materialize(p.join(cuts, leaf).withColumn("side", F.explode(F.when(F.col("whole"), F.array(F.lit(-1)))
-                                                                                .otherwise(F.array_compact(sides))))
+        cuts = common.materialize(cuts, "cuts")
+        kept.append(cuts.filter("whole").select(*leaf, "n"))
+        cut = common.materialize(p.join(cuts.drop("n"), leaf).withColumn("side", F.explode(F.when(F.col("whole"), F.array(F.lit(-1)))
+                                                                                          .otherwise(F.array_compact(sides))))
                                  .select("label", "dim", F.when(F.col("side") < 0, F.col("leaf")).otherwise(
                                      F.xxhash64("leaf", "side")).alias("leaf"), "id", "whole"), "cut")
         done.append(cut.filter("whole").drop("whole"))
         open_ = cut.filter("not whole").drop("whole")
 
 
+def connected(near: np.ndarray, whole: bool = True) -> np.ndarray:
+    """The smallest row each row is connected with, for links between rows (``whole``: rows by rows), or between some rows and later
+    ones (the first by the later rows, numbered on). Every row is followed once."""
+    a, b = near.shape
+    n = a if whole else a + b
+    root, open_ = np.arange(n), np.ones(n, bool)
+    some = near.any(1) | near.any(0) if whole else np.concatenate([near.any(1), near.any(0)])
+    for start in np.flatnonzero(some):
+        if not open_[start]:
+            continue
+        front = np.array([start])
+        open_[start] = False
+        while len(front):
+            root[front] = start
+            if whole:
+                hit = near[front].any(0)
+            else:
+                hit = np.concatenate([near[:, front[front >= a] - a].any(1), near[front[front < a]].any(0)])
+            front = np.flatnonzero(hit & open_)
+            open_[front] = False
+    return root
+
+
+def links(x: np.ndarray, tokens: list[np.ndarray], y: np.ndarray, others: list[np.ndarray], here: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` by rows of ``y``: linked; and linked without a leaf before ``here`` in common."""
+    before = [t[t < here] for t in tokens + others]
+    shared, codes = np.unique(np.concatenate(before), return_inverse=True) if before else (np.array([]), np.array([], int))
+    one_hot = np.zeros((len(before), len(shared)), np.float32)
+    one_hot[np.repeat(np.arange(len(before)), [len(t) for t in before]), codes] = 1
+    mine, theirs = one_hot[:len(x)], one_hot[len(x):]
+    near, new = np.empty((len(x), len(y)), bool), np.empty((len(x), len(y)), bool)
+    for a in range(0, len(x), BLOCK):
+        near[a:a + BLOCK] = x[a:a + BLOCK] @ y.T >= least
+        new[a:a + BLOCK] = near[a:a + BLOCK] & ~(mine[a:a + BLOCK] @ theirs.T > 0)
+    return near, new
+
+
 def compared(x: np.ndarray, weight: np.ndarray, tokens: list[np.ndarray], here: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Copies linked to each vector by pairs that share no leaf before ``here``, and the row of the smallest connected one.
+    """Members linked to each vector by pairs that share no leaf before ``here``, and the row of the smallest connected one.
 
-    Rows are in order of their ids. Memory is a block of rows times the leaf.
+    Rows are in order of their ids.
     """
-    n = len(x)
-    earlier = [t[t < here] for t in tokens]
-    shared, codes = np.unique(np.concatenate(earlier), return_inverse=True) if n else (np.array([]), np.array([]))
-    one_hot = np.zeros((n, len(shared)), np.float32)
-    one_hot[np.repeat(np.arange(n), [len(t) for t in earlier]), codes] = 1
-    count, root = np.zeros(n, np.int64), np.arange(n)
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a in range(0, n, BLOCK):
-        near = x[a:a + BLOCK] @ x.T >= least
-        near[np.arange(len(near)), np.arange(a, a + len(near))] = False
-        count[a:a + BLOCK] += (near & ~(one_hot[a:a + BLOCK] @ one_hot.T > 0)) @ weight
-        for i, row in enumerate(near, a):
-            if len(others := np.flatnonzero(row)):
-                # every neighbour's tree, and this one's, under the smallest of their roots
-                tops = {top(j) for j in [i, *others.tolist()]}
-                smallest = min(tops)
-                for t in tops:
-                    root[t] = smallest
-    return count, np.array([top(i) for i in range(n)], np.int64)
+    near, new = links(x, tokens, x, tokens, here, least)
+    np.fill_diagonal(near, False)
+    np.fill_diagonal(new, False)
+    return new @ weight, connected(near)
 
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
@@ -164,16 +210,23 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREE
     valid = F.coalesce(F.col("label").isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda e: e != 0)
                        & F.col("vec_id").isNotNull(), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long"), "label", v.alias("v"), valid.alias("_ok"))
+    # by the largest component first, so that no square overflows or vanishes
+    top = F.array_max(F.transform("v", F.abs))
+    scaled = F.transform("v", lambda e: F.try_divide(e, F.col("_top")))
+    norm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda acc, e: acc + e * e))
+    aimed = rows.withColumn("_top", top).withColumn("_s", scaled).withColumn("_n", norm).withColumn(
+        "d", F.transform("_s", lambda e: F.rint(F.try_divide(e, F.col("_n")) * 10.0**DECIMALS) + 0.0)).select("vec_id", "label", "v", "d", "_ok")
     classes = common.materialize(
-        rows.filter("_ok").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"))
+        aimed.filter("_ok").groupBy("label", "d").agg(F.min_by("v", "vec_id").alias("v"), F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"))
         .withColumn("dim", F.size("v")), "vectors")
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(16).collect()}
     drawn = classes.select("dim", "v", F.xxhash64("id", F.lit(SEED)).alias("h"), "id").orderBy("h", "id").limit(sample).toPandas()
+    dims = sorted({int(d) for d in drawn["dim"]})  # those of the sample; vectors of others begin in one leaf
+    sizes = {r["dim"]: r["n"] for r in classes.join(classes.sparkSession.createDataFrame([(d,) for d in dims], "dim int"), "dim", "left_semi")
+             .groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()} if dims else {}
     forest = {}
     for dim, part in drawn.groupby("dim"):
-        if dim in sizes:
-            x = unit(np.array(part["v"].tolist(), float))
-            forest[int(dim)] = [grow(x, sizes[dim], np.random.default_rng([SEED, t])) for t in range(trees)]
+        x = unit(np.array(part["v"].tolist(), float))
+        forest[int(dim)] = [grow(x, sizes[dim], np.random.default_rng([SEED, t]), least) for t in range(trees)]
     model = classes.sparkSession.sparkContext.broadcast(forest)  # as large as the sample at most
     label, given = (vectors.schema[c].dataType.simpleString() for c in ("label", "embedding"))
     number = given if given in ("array<float>", "array<double>") else "array<double>"
@@ -189,27 +242,56 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREE
                                     "leaf": np.repeat([leaf for leaf, _ in met], [len(rows) for _, rows in met])})
 
     narrow = classes.select("label", "dim", "id", "w", F.col("v").cast(number).alias("v"))
-    placed = thinned(common.materialize(narrow.mapInPandas(drop, f"label {label}, dim int, leaf long, id long"), "placed"), narrow)
+    leaf = ["label", "dim", "leaf"]
+    placed, crowded = thinned(common.materialize(narrow.mapInPandas(drop, f"label {label}, dim int, leaf long, id long"), "placed"), narrow, least=least)
+    placed, crowded = common.materialize(placed, "leaves"), common.materialize(crowded, "crowded")
     tokens = placed.groupBy("id").agg(F.collect_set("leaf").alias("tokens"))  # the leaves of one vector
-    in_leaves = narrow.join(tokens, "id").withColumn("leaf", F.explode("tokens"))
+    known = common.materialize(narrow.join(tokens, "id"), "known")
+    # crowded leaves whose classes all stand in one earlier crowded leaf: every pair counts there
+    members = common.materialize(placed.join(crowded, leaf), "members")
+    earlier = members.select("id", F.col("leaf").alias("_before"))
+    covered = (members.join(earlier, "id").filter(F.col("_before") < F.col("leaf")).groupBy(*leaf, "n", "_before")
+               .agg(F.count(F.lit(1)).alias("k")).filter("k = n").select(*leaf).distinct())
+    members = members.join(covered, leaf, "left_anti")
+
+    def numbers(part):
+        return unit(np.array(part["v"].tolist(), float)), part["w"].to_numpy(), [np.asarray(t, np.int64) for t in part["tokens"]]
 
     def compare(key, part):
         part = part.sort_values("id")
-        x = unit(np.array(part["v"].tolist(), float))
-        count, root = compared(x, part["w"].to_numpy(), [np.asarray(t, np.int64) for t in part["tokens"]], int(key[2]), least)
+        count, root = compared(*numbers(part), int(key[2]), least)
         ids = part["id"].to_numpy()
         some = (count > 0) | (root != np.arange(len(ids)))
         return pd.DataFrame({"id": ids[some], "n": count[some], "root": ids[root[some]]})
 
-    met = common.materialize(in_leaves.groupBy("label", "dim", "leaf").applyInPandas(compare, "id long, n long, root long"), "met")
-    links = met.groupBy("id").agg(F.sum("n").alias("n"))
-    parts = common.connected_components(met.select(F.col("id").alias("u"), F.col("root").alias("v")), "vectors")
-    of_class = (classes.join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-                .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"),
+    def compare_blocks(key, part):
+        part = part.sort_values(["block", "id"])
+        one, two = part[part["block"] == key[3]], part[part["block"] != key[3]]
+        if key[3] == key[4]:
+            return compare(key, part)
+        (x, w, t), (y, v, u) = numbers(one), numbers(two)
+        near, new = links(x, t, y, u, int(key[2]), least)
+        count, root = np.concatenate([new @ v, w @ new]), connected(near, whole=False)
+        ids = part["id"].to_numpy()
+        small = pd.Series(ids).groupby(root).transform("min").to_numpy()
+        some = (count > 0) | (small != ids)
+        return pd.DataFrame({"id": ids[some], "n": count[some], "root": small[some]})
+
+    met = "id long, n long, root long"
+    alone = known.withColumn("leaf", F.explode("tokens")).join(crowded.select(*leaf), leaf, "left_anti").groupBy(*leaf).applyInPandas(compare, met)
+    blocks = F.ceil(F.col("n") / CROWDED).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("n", "other")
+    pairs = dealt.join(known.drop("label", "dim"), "id").groupBy(*leaf, "low", "high").applyInPandas(compare_blocks, met)
+    found = common.materialize(alone.unionByName(pairs), "met")
+    linked = found.groupBy("id").agg(F.sum("n").alias("n"))
+    parts = common.connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), "vectors")
+    of_class = (classes.join(linked, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+                .select("label", "d", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"),
                         F.coalesce("root", "id").alias("component_id")))
-    good = rows.filter("_ok").join(of_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
-    alone = rows.filter("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    good = aimed.filter("_ok").join(of_class, ["label", "d"]).select("vec_id", "n_links", "component_id")
+    single = rows.filter("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return good.unionByName(single).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2(vectors: DataFrame) -> DataFrame:

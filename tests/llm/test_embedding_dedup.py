@@ -74,12 +74,72 @@ def test_thinned_leaves(spark):
     vecs += [(600 + i, 2, 8, [2.0 ** i] * 8) for i in range(80)]  # multiples of one vector: cannot be cut
     classes = spark.createDataFrame(vecs, "id long, label int, dim int, v array<double>")
     placed = classes.selectExpr("label", "dim", "0L as leaf", "id")
-    out = E.thinned(placed, classes, most=50).toPandas()
+    out, crowded = E.thinned(placed, classes, most=50)
+    out = out.toPandas()
     sizes = out.groupby(["label", "leaf"]).size()
     assert sizes[1].max() <= 50 and sizes[2].tolist() == [80]
+    assert [(r["label"], r["n"]) for r in crowded.collect()] == [(2, 80)]
     assert set(out["id"]) == set(range(680)) and not out.duplicated().any()
 
 
+def cluster(seed, n, dim=24, noise=.02, label=0, at=0):
+    """Vectors around one direction, nearly all pairs of which link."""
+    rng = np.random.default_rng(seed)
+    center = E.unit(rng.normal(size=(1, dim)))[0]
+    return [(at + i, [float(np.float32(x)) for x in center + rng.normal(0, noise, dim)], label) for i in range(n)]
+
+
+def fast(data):
+    """Link counts of all pairs by one matrix product for each label."""
+    out = {}
+    for g in {g for *_, g in data}:
+        own = [(i, v) for i, v, h in data if h == g]
+        x = E.unit(np.array([v for _, v in own], float))
+        for (i, _), n in zip(own, (x @ x.T >= E.COSINE).sum(1) - 1):
+            out[i] = int(n)
+    return out
+
+
+def test_clusters_many_times_the_limit(spark, monkeypatch):
+    """One dense cluster of ten times what a task takes, beside spread vectors and a looser cluster: no link of the dense one is lost."""
+    monkeypatch.setattr(E, "LEAF", 100)
+    monkeypatch.setattr(E, "CROWDED", 200)
+    data = cluster(1, 2000) + rows(6, 600, 24)[:600]
+    data = [(i, v, g) for i, (_, v, g) in enumerate(data)] + cluster(2, 800, noise=.03, at=5000, label=7)
+    want = fast(data)
+    for sample in (20_000, 300):  # told dense by the trees' sample, and by the rounds beyond it
+        got = {r.vec_id: r for r in E.near_duplicates(spark.createDataFrame(data, SCHEMA), sample=sample).collect()}
+        assert all(got[i].n_links <= want[i] for i in want)
+        assert sum(got[i].n_links for i in range(2000)) >= 0.99 * sum(want[i] for i in range(2000))
+        assert sum(r.n_links for r in got.values()) >= 0.9 * sum(want.values())
+        assert len({got[i].component_id for i in range(2000)}) == 1
+
+
+def test_multiples_are_one_class_and_keep_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(E, "LEAF", 100)
+    monkeypatch.setattr(E, "CROWDED", 200)
+    near = cluster(3, 60, noise=.01)
+    crowd = [(100 + k, [(1 + k / 7) * x for x in near[0][1]], 0) for k in range(900)] + [(2000 + k, [2.0 ** -k * x for x in near[0][1]], 0) for k in range(60)]
+    data = near + crowd
+    want = fast(data)
+    got = {r.vec_id: r.n_links for r in E.near_duplicates(spark.createDataFrame(data, SCHEMA.replace("float", "double"))).collect()}
+    assert got == want
+
+
+def test_connected_rows():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40):
+        half = np.triu(rng.random((n, n)) < 1.2 / n, 1)
+        for near, whole in ((half | half.T, True), (half, False)):
+            a, b = near.shape
+            pairs = [(i, j if whole else a + j) for i, j in zip(*np.nonzero(near))]
+            root = list(range(a if whole else a + b))
+            for _ in root:
+                for i, j in pairs:
+                    root[i] = root[j] = min(root[i], root[j])
+            assert E.connected(near, whole).tolist() == root
+
+
 def test_grow_is_bounded_by_the_sample():
     x = E.unit(np.random.default_rng(0).normal(size=(4000, 8)))
     small, large = (E.grow(x, total, np.random.default_rng(1)) for total in (1e7, 1e12))
