@@ -109,3 +109,28 @@ def once(c: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def running(values: Column, zero: Column, combine, chunk: int = 256) -> Column:
+    """For each element of an array what ``combine`` makes of those before it (``zero`` for the first), in linear time: arrays
+    grow to ``chunk`` elements at most, the chunks' own results are combined the same way."""
+    def over(items: Column) -> Column:
+        begin = F.struct(zero.alias("at"), F.filter(F.array(zero), lambda _: F.lit(False)).alias("out"))
+        return F.aggregate(items, begin, lambda a, x: F.struct(combine(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    none = F.filter(F.array(zero), lambda _: F.lit(False))
+
+    def chunks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda j: over(F.slice(v, j * chunk + 1, chunk)))
+
+    def whole(parts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, _starts(parts, zero, combine), lambda p, start: F.transform(p["out"], lambda x: combine(start, x))))
+
+    one = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  computed once
+    return one(values, lambda v: F.when(F.size(v) > 0, one(chunks(v), whole)).otherwise(none))
+
+
+def _starts(parts: Column, zero: Column, combine) -> Column:
+    begin = F.struct(zero.alias("at"), F.filter(F.array(zero), lambda _: F.lit(False)).alias("out"))
+    return F.aggregate(parts, begin, lambda a, p: F.struct(combine(a["at"], p["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+                       lambda a: a["out"])

@@ -149,15 +149,14 @@ def places(norm: Column, rx: Column) -> Column:
     """Word intervals (s, e) of the places where ``rx`` matches whole words of ``norm``, leftmost, non-overlapping."""
     whole = F.concat(F.lit("(?<= )(?:"), rx, F.lit(")(?= )"))
     words = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))  # noqa: E731  spaces
-    none = F.array().cast("array<struct<s:int,e:int>>")
 
-    def positions(b: Column) -> Column:
-        start = F.struct((words(F.get(b, F.lit(0))) - 1).alias("at"), F.lit(1).alias("i"), none.alias("out"))
-        return F.aggregate(F.regexp_extract_all(norm, whole, F.lit(0)), start, lambda a, m: F.struct(
-            (a["at"] + words(m) + words(F.get(b, a["i"]))).alias("at"), (a["i"] + 1).alias("i"),
-            F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), (a["at"] + words(m) + 1).alias("e")))).alias("out")),
-            lambda a: a["out"])
-    return bind(F.split(norm, whole, -1), positions)
+    def positions(b: Column, w: Column) -> Column:
+        at = common.running(F.transform(w, lambda m, i: words(m) + words(F.get(b, i + 1))), F.lit(0), lambda x, y: x + y)
+        first = words(F.get(b, F.lit(0))) - 1
+        return F.transform(F.arrays_zip(w.alias("w"), at.alias("at")), lambda m: F.struct(
+            (first + m["at"]).alias("s"), (first + m["at"] + words(m["w"]) + 1).alias("e")))
+
+    return bind(F.split(norm, whole, -1), lambda b: bind(F.regexp_extract_all(norm, whole, F.lit(0)), lambda w: positions(b, w)))
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -182,9 +181,11 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
             d["s"].alias("s"), (-d["e"]).alias("e"), (-r["p"]).alias("p"), r["i"].alias("i"),
             r["label"].alias("label"), r["sure"].alias("sure")))))
     # by start, then the longest, the highest priority, the earliest rule: one that ends no later than any before lies inside it
-    begin = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<s:int,e:int,p:int,i:int,label:string,sure:double>>").alias("out"))
-    stay = F.aggregate(F.sort_array(hits), begin, lambda a, d: F.when(-d["e"] <= a["end"], a).otherwise(
-        F.struct((-d["e"]).alias("end"), F.concat(a["out"], F.array(d)).alias("out"))), lambda a: a["out"])
+    def outermost(all_: Column) -> Column:
+        reach = common.running(F.transform(all_, lambda d: -d["e"]), F.lit(-1), F.greatest)
+        return F.transform(F.filter(F.arrays_zip(all_.alias("d"), reach.alias("r")), lambda m: -m["d"]["e"] > m["r"]), lambda m: m["d"])
+
+    stay = bind(F.sort_array(hits), outermost)
     return rows.select(*keep, "n_words", F.when(F.col("_norm").isNotNull(), base).alias("_base"),
                        F.when(F.col("_norm").isNotNull(), stay).alias("_kept"))
 

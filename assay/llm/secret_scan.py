@@ -3,27 +3,30 @@
 Shapes (assign, access, hex) are leftmost, non-overlapping matches per kind; those that
 are too short are dropped. Beside them, candidates are maximal runs of a character
 class (hex digits; base64 letters; lower-case or upper-case letters with digits), cut
-where an allow-listed word, plain sequence or repeat stands in them. A window moves over each candidate; the sum of
-c * log2(c) over its character counts is kept up to date by the one character that
-enters and the one that leaves. Windows at or above the class's threshold are joined
+where an allow-listed word, plain sequence or repeat stands in them. A window moves over each candidate; its counts of
+characters, and the sum of c * log2(c) over them, are kept up to date by the one character
+that enters and the one that leaves. Windows at or above the class's threshold are joined
 into spans. Candidates that are identifiers and spans inside a fixed-shape span are
-dropped. Only the sum is incremental: the counts of the two characters are taken from
-the window at each step.
+dropped.
 
 All is done in DataFrame expressions on the row itself: no shuffle, no Python.
-Positions are code points, ends exclusive.
+Positions are code points, ends exclusive; they are sums over what lies between matches,
+in linear time however many matches a text has.
 
-Defined results: a null or empty text has no spans; repeated rows are scanned each;
-an empty table gives no rows.
+Defined results: a null or empty text has no spans; repeated rows are scanned each; texts
+of any length are scanned whole; an empty table gives no rows; other columns are not read
+(``redact`` keeps them, whatever they are named).
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm import common
 from assay.llm.quality import bind
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -54,6 +57,7 @@ def between(chars: str, least: int) -> str:
 CLASSES = [(name, between(chars, window), needs, window, bits) for name, chars, needs, window, bits in CHARS]
 KINDS = ["assign", "access", "hex", *[c[0] for c in CLASSES]]
 MARK = "[SECRET]"
+CUT = 256  # spans replaced in a part of a text
 SPAN = "struct<start:int,end:int,k:int>"
 
 
@@ -61,17 +65,17 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches in order: start, end and the text of ``group``. What lies between them gives the positions."""
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
 
-    def positions(b: Column) -> Column:
-        start = F.struct(F.length(F.get(b, F.lit(0))).alias("at"), F.lit(0).alias("i"), none.alias("out"))
-        return F.aggregate(F.arrays_zip(whole.alias("w"), part.alias("p")), start, lambda a, m: F.struct(
-            (a["at"] + F.length(m["w"]) + F.length(F.get(b, a["i"] + 1))).alias("at"), (a["i"] + 1).alias("i"),
-            F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(m["w"])).alias("end"), m["p"].alias("m")))).alias("out")),
-            lambda a: a["out"])
+    def positions(b: Column, w: Column) -> Column:
+        steps = F.transform(w, lambda m, i: F.length(m) + F.length(F.get(b, i + 1)))
+        first = F.length(F.get(b, F.lit(0)))
+        at = common.running(steps, F.lit(0), lambda x, y: x + y)
+        rows = F.arrays_zip(w.alias("w"), (part if group else w).alias("p"), at.alias("at"))
+        return F.transform(rows, lambda m: F.struct((first + m["at"]).alias("start"), (first + m["at"] + F.length(m["w"])).alias("end"), m["p"].alias("m")))
 
-    return F.when(text.rlike(pattern), bind(between, positions)).otherwise(none)
+    return F.when(text.rlike(pattern), bind(between, lambda b: bind(whole, lambda w: positions(b, w)))).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -84,29 +88,37 @@ def base_spans(text: Column) -> Column:
         of(2, found(text, LONG_HEX), lambda m: F.lit(True)).cast(f"array<{SPAN}>"))).cast(f"array<{SPAN}>")
 
 
-def hot_windows(chars: Column, at: Column, k: int, window: int, bits: float) -> Column:
-    """Spans of windows over ``chars`` with at least ``bits`` of entropy a character; ``at``: position of the first."""
+def hot_windows(chars: Column, at: Column, k: int, alphabet: int, window: int, bits: float) -> Column:
+    """Spans of windows with at least ``bits`` of entropy a character over ``chars``, places in an alphabet of that size; ``at``:
+    position of the first. The state holds the counts of all characters in the window, changed by the one that enters and
+    the one that leaves, and the sum of c * log2(c) over them."""
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 3)])
     most = F.lit(window * (math.log2(window) - bits) + 1e-9)  # entropy >= bits just if the sum is no more than this
 
-    def times(i_from: Column, i_to: Column, x: Column) -> Column:
-        return F.size(F.filter(F.slice(chars, i_from + 1, i_to - i_from), lambda c: c == x))
-
     def step(a: Column, i: Column) -> Column:
-        first = F.greatest(i - window, F.lit(0))
-        n_in = times(first, i, F.get(chars, i))
+        full = i >= window
+        x, y = F.get(chars, i), F.when(full, F.get(chars, i - window)).otherwise(-1)
+        n_in = F.get(a["n"], x)
+        n_out = F.get(a["n"], F.greatest(y, F.lit(0))) + F.when(x == y, 1).otherwise(0)
         grown = a["s"] + F.get(table, n_in + 1) - F.get(table, n_in)
-        n_out = times(first, i + 1, F.get(chars, first))
-        s = F.when(i >= window, grown - F.get(table, n_out) + F.get(table, n_out - 1)).otherwise(grown)
+        s = F.when(full, grown - F.get(table, n_out) + F.get(table, n_out - 1)).otherwise(grown)
+        n = F.when(x == y, a["n"]).otherwise(F.transform(a["n"], lambda c, j: c + F.when(j == x, 1).when(j == y, -1).otherwise(0)))
         hot = lambda s: (i >= window - 1) & (s <= most)
-        joined = (F.size(a["out"]) > 0) & (F.element_at(a["out"], -1)["end"] >= at + i + 1 - window)
-        start = F.when(joined, F.element_at(a["out"], -1)["start"]).otherwise(at + i + 1 - window)
-        kept = F.when(joined, F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1)).otherwise(a["out"])
-        return bind(s, lambda v: F.struct(v.alias("s"), F.when(hot(v), F.concat(kept, F.array(
-            F.struct(start.alias("start"), (at + i + 1).alias("end"), F.lit(k).alias("k"))))).otherwise(a["out"]).alias("out")))
+        # spans that overlap are joined: only the last one is open, the others lie behind it
+        joined = a["last"].isNotNull() & (a["last"]["end"] >= at + i + 1 - window)
+        mine = F.struct(F.when(joined, a["last"]["start"]).otherwise(at + i + 1 - window).alias("start"), (at + i + 1).alias("end"), F.lit(k).alias("k"))
+        return bind(s, lambda v: F.struct(v.alias("s"), n.alias("n"), F.when(hot(v), mine).otherwise(a["last"]).alias("last"),
+                                          F.when(hot(v) & ~joined & a["last"].isNotNull(), F.concat(a["out"], F.array(a["last"]))).otherwise(a["out"]).alias("out")))
+
+    none = F.array().cast(f"array<{SPAN}>")
+    begin = F.struct(F.lit(0.0).alias("s"), F.array_repeat(F.lit(0), alphabet).alias("n"), F.lit(None).cast(SPAN).alias("last"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), begin, step,
+                       lambda a: F.when(a["last"].isNull(), none).otherwise(F.concat(a["out"], F.array(a["last"]))))
+
 
-    begin = F.struct(F.lit(0.0).alias("s"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), begin, step, lambda a: a["out"])
+def alphabet_of(chars: str) -> str:
+    """The characters of a class written with ranges."""
+    return "".join("".join(map(chr, range(ord(m[0]), ord(m[2]) + 1))) if len(m) == 3 else m for m in re.findall(r".-(?=.).|.", chars))
 
 
 def entropy_spans(text: Column) -> Column:
@@ -115,8 +127,10 @@ def entropy_spans(text: Column) -> Column:
         none = F.array().cast("array<struct<start:int,end:int,m:string>>")
         candidates = F.filter(F.when(some, found(text, run)).otherwise(none), lambda m: (F.length(m["m"]) >= window)
                               & m["m"].rlike(needs) & ~m["m"].rlike(ALLOWED))
+        letters = alphabet_of(CHARS[k - 3][1])
         return F.flatten(F.transform(candidates, lambda m: bind(
-            F.split(m["m"], ""), lambda c: hot_windows(c, m["start"], k, window, bits))))
+            F.transform(F.split(m["m"], ""), lambda c: F.instr(F.lit(letters), c) - 1),
+            lambda c: hot_windows(c, m["start"], k, len(letters), window, bits))))
     return F.concat(*[of(k, *c[1:]) for k, c in enumerate(CLASSES, start=3)])
 
 
@@ -124,7 +138,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_text``, ``_base`` and ``_all``: arrays of (start, end, kind's number), in order."""
     rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = rows.withColumn("_base", base_spans(F.col("_text"))).withColumn("_more", entropy_spans(F.col("_text")))
-    more = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
+    # all spans by start, fixed shapes first: an entropy span lies in one of those just if one that began by then reaches its end
+    both = F.sort_array(F.concat(*[F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(flag).alias("flag"), s["end"].alias("end"),
+                                                                     s["k"].alias("k"))) for c, flag in (("_base", 0), ("_more", 1))]))
+
+    def outside(all_: Column) -> Column:
+        reach = common.running(F.transform(all_, lambda s: F.when(s["flag"] == 0, s["end"]).otherwise(-1)), F.lit(-1), F.greatest)
+        kept = F.filter(F.arrays_zip(all_.alias("s"), reach.alias("r")), lambda m: (m["s"]["flag"] == 1) & (m["r"] < m["s"]["end"]))
+        return F.transform(kept, lambda m: F.struct(m["s"]["start"].alias("start"), m["s"]["end"].alias("end"), m["s"]["k"].alias("k")))
+
+    more = F.when(F.size("_more") > 0, bind(both, outside)).otherwise(F.array().cast(f"array<{SPAN}>"))
     ordered = F.transform(F.sort_array(F.transform(F.concat("_base", more), lambda s: F.struct(
         s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k")))
@@ -143,15 +166,26 @@ def written(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret (overlapping spans joined) replaced by a mark in text; n_chars follows where changed."""
     rows = scan(docs)
-    merged = F.aggregate("_all", F.array().cast(f"array<{SPAN}>"), lambda a, s: F.when(
-        (F.size(a) > 0) & (F.element_at(a, -1)["end"] >= s["start"]),
-        F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(
-            F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"), s["k"].alias("k")))))
-        .otherwise(F.concat(a, F.array(s))))
-    pieces = bind(merged, lambda m: F.concat(
-        F.transform(m, lambda s, i: F.substr("_text", F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1,
-                                             s["start"] - F.coalesce(F.get(m, i - 1)["end"], F.lit(0)))),
-        F.array(F.substr("_text", F.element_at(m, -1)["end"] + 1, F.length("_text")))))
+    span = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.lit(0).alias("k"))
+
+    def joined(reach: Column) -> Column:
+        """Spans that begin behind all before them, each to where those before the next one end."""
+        heads = F.filter(F.arrays_zip(F.col("_all").alias("s"), reach.alias("r")), lambda m: m["s"]["start"] > m["r"])
+        last = F.array_max(F.transform("_all", lambda s: s["end"]))
+        return bind(heads, lambda h: F.transform(h, lambda m, i: span(m["s"]["start"], F.coalesce(F.get(h, i + 1)["r"], last))))
+
+    merged = bind(common.running(F.transform("_all", lambda s: s["end"]), F.lit(-1), F.greatest), joined)
+    # the text is cut once for each CUT spans, and those parts again: no span goes through the whole text
+    def cut(m: Column) -> Column:
+        def of_block(j: Column) -> Column:
+            begin = F.coalesce(F.get(m, j * CUT - 1)["end"], F.lit(0))
+            return bind(F.slice(m, j * CUT + 1, CUT), lambda own: bind(
+                F.substr("_text", begin + 1, F.element_at(own, -1)["end"] - begin), lambda part: F.transform(own, lambda s, i: F.substr(
+                    part, F.coalesce(F.get(own, i - 1)["end"], begin) - begin + 1, s["start"] - F.coalesce(F.get(own, i - 1)["end"], begin)))))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CUT).cast("int")), of_block)
+        return F.concat(F.flatten(blocks), F.array(F.substr("_text", F.element_at(m, -1)["end"] + 1, F.length("_text"))))
+
+    pieces = bind(merged, cut)
     rows = rows.withColumn("_new", F.when(F.size("_all") > 0, F.array_join(pieces, MARK)))
     out = []
     for c in docs.columns:

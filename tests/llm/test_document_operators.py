@@ -457,3 +457,32 @@ def test_counts_of_a_long_text_in_parts(monkeypatch):
     whole = lang_id.counts(text)
     monkeypatch.setattr(lang_id, "BYTES", 100)
     assert (lang_id.counts(text) == whole).all()
+
+
+def test_many_matches_in_one_text_take_linear_time(spark, docs):
+    """2,048 and 8,192 matches in a text: results right, and time far from sixteen times as long."""
+    import time
+    for op, one, n_of in ((secret_scan.op5, lambda i: hashlib.md5(str(i).encode()).hexdigest(), "n_hex"),
+                          (secret_scan.redact, lambda i: hashlib.md5(str(i).encode()).hexdigest(), None),
+                          (license_scan.op6, lambda i: "under the mit license x", "n_base")):
+        took = []
+        for n in (64, 2048, 8192):  # the first compiles
+            frame = docs([(1, " ".join(map(one, range(n))))])
+            t = time.time()
+            row = op(frame).collect()[0]
+            took.append(time.time() - t)
+            if n_of:
+                assert row[n_of] == n
+            else:
+                assert row["text"] == " ".join([secret_scan.MARK] * n)
+        assert took[2] < 8 * took[1] + 2
+
+
+def test_running_combines_what_came_before(spark):
+    from assay.llm import common
+    for n in (0, 1, 255, 256, 257, 1000):
+        row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda i: i * 7 % 13).alias("v")) \
+            .select(F.slice("v", 1, n).alias("v")).select("v", common.running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"),
+                                                           common.running(F.col("v"), F.lit(-1), F.greatest).alias("m")).first()
+        assert row["s"] == [sum(row["v"][:i]) for i in range(n)]
+        assert row["m"] == [max([-1, *row["v"][:i]]) for i in range(n)]
