@@ -29,12 +29,14 @@ not read.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from assay.llm import common
@@ -58,6 +60,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@F.pandas_udf(T.BinaryType())
+def direction(vectors: pd.Series) -> pd.Series:
+    """SHA-256 of a vector's components over its norm, to ``DECIMALS``; by the largest first, so that no square overflows or vanishes."""
+    def of(v) -> bytes | None:
+        if v is None:
+            return None
+        x = np.asarray(v, float)
+        x = x / np.abs(x).max()
+        return hashlib.sha256((np.rint(x / np.linalg.norm(x) * 10.0**DECIMALS) + 0.0).tobytes()).digest()
+    return vectors.map(of, na_action="ignore")
+
+
 def dense(x: np.ndarray, least: float) -> bool:
     """Whether most pairs among the first of some unit vectors link."""
     x = x[:LOOKED_AT]
@@ -210,12 +224,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREE
     valid = F.coalesce(F.col("label").isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda e: e != 0)
                        & F.col("vec_id").isNotNull(), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long"), "label", v.alias("v"), valid.alias("_ok"))
-    # by the largest component first, so that no square overflows or vanishes
-    top = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda e: F.try_divide(e, F.col("_top")))
-    norm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda acc, e: acc + e * e))
-    aimed = rows.withColumn("_top", top).withColumn("_s", scaled).withColumn("_n", norm).withColumn(
-        "d", F.transform("_s", lambda e: F.rint(F.try_divide(e, F.col("_n")) * 10.0**DECIMALS) + 0.0)).select("vec_id", "label", "v", "d", "_ok")
+    aimed = common.materialize(rows.withColumn("d", F.when(F.col("_ok"), direction(F.when(F.col("_ok"), F.col("v"))))), "directions")
     classes = common.materialize(
         aimed.filter("_ok").groupBy("label", "d").agg(F.min_by("v", "vec_id").alias("v"), F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"))
         .withColumn("dim", F.size("v")), "vectors")
@@ -290,7 +299,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREE
                 .select("label", "d", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"),
                         F.coalesce("root", "id").alias("component_id")))
     good = aimed.filter("_ok").join(of_class, ["label", "d"]).select("vec_id", "n_links", "component_id")
-    single = rows.filter("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    single = aimed.filter("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(single).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
