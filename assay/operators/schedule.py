@@ -185,6 +185,30 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(source.select(*keys), keys, "left_anti").unionByName(source.select(*target.columns))
 
 
+def upsert_partitions(path: str, source: DataFrame, keys: list[str], part: str) -> None:
+    """A12 in place for a Parquet table partitioned by ``part``: only partitions that ``source`` has rows for are
+    read and written anew (dynamic partition overwrite); the files of all others stay as they are.
+
+    ``part`` must follow from the key, so that no key changes its partition. The driver reads the distinct values
+    of ``part`` in ``source``, at most one for each partition folder of the result, which it lists in any case;
+    they become a partition filter of the scan. A job that fails leaves the table as it was; a retry gives the
+    same rows. Null is a partition of its own; an empty ``source`` changes nothing."""
+    spark = source.sparkSession
+    source = source.persist()  # read for its partitions, its keys and its rows
+    try:
+        touched = [r[0] for r in source.select(part).distinct().collect()]
+        if not touched:
+            return
+        target = spark.read.parquet(path)
+        mine = F.col(part).isin([v for v in touched if v is not None])
+        if None in touched:
+            mine = F.coalesce(mine, F.lit(True))
+        rows = upsert(target.filter(mine), source, keys)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    finally:
+        source.unpersist()
+
+
 def set_task_state(tasks: DataFrame, task_ids: DataFrame, state: int, id_col: str = "id") -> DataFrame:
     """Tasks named in ``task_ids`` move to ``state`` (0 pending, 1 running, 2 done).
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..session import scratch_dir
 from ..sources.tables import read_table
 from .registry import register
 
@@ -32,6 +35,30 @@ def prof_quantiles(spark, sf):
     return P.column_quantiles(read_table(spark, sf, "lineitem"), PROFILE_COLUMNS[:4])
 
 
+def _sketch_sql(col: str, numeric: bool) -> str:
+    num = f"cast({col} as double)" if numeric else "cast(null as double)"
+    return (f"select '{col}' as \"column\", count(*) filter (where {col} is null) as null_count, count({col}) as count, "
+            f"round(sum({num}), 2) as sum, min({num}) as min, max({num}) as max, "
+            f"{f'count({col})' if numeric else 'null'} as n_sketched, true as distinct_close, "
+            f"{'true' if numeric else 'cast(null as boolean)'} as ranks_close from lineitem")
+
+
+@register("prof_sketches", " union all ".join(_sketch_sql(c, c != "l_returnflag") for c in PROFILE_COLUMNS))
+def prof_sketches(spark, sf):
+    """D9 from stored state: sketches of each ship month, written, read back and merged; the distinct counts are held
+    to 6% (about four standard errors) of the exact ones and the quantiles to 2% of their ranks in the whole table."""
+    li = read_table(spark, sf, "lineitem")
+    path = scratch_dir(spark, f"column-sketches-{uuid.uuid4().hex}")
+    P.column_sketches(li.withColumn("month", F.date_trunc("month", "l_shipdate")), PROFILE_COLUMNS, ["month"]).write.parquet(path)
+    merged = P.sketch_metrics(P.merge_sketches(spark.read.parquet(path)))
+    exact = P.column_metrics(li, PROFILE_COLUMNS).select("column", F.col("distinct_count").alias("_exact"))
+    errors = P.rank_errors(li, merged, [c for c in PROFILE_COLUMNS if c != "l_returnflag"])
+    return merged.join(exact, "column").join(errors, "column", "left").select(
+        "column", "null_count", "count", F.round("sum", 2).alias("sum"), "min", "max", "n_sketched",
+        (F.abs(F.col("distinct_count") - F.col("_exact")) <= F.greatest(F.lit(1.0), 0.06 * F.col("_exact"))).alias("distinct_close"),
+        (F.col("rank_error") <= 0.02).alias("ranks_close"))
+
+
 @register("prof_output_stats", """
 select 'orders' as table_name, count(*) as row_count from orders
 union all select 'lineitem', count(*) from lineitem

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalog as K
 from ..operators import schedule as SC
+from ..session import scratch_dir
 from ..sources.fixtures import CRON_LITERALS, FIXED_NOW, duckdb_with
 from .q_catalog import _cat, _catalog_steps
 from .q_suite import _suite_oracle
@@ -113,6 +116,27 @@ def task_upsert(spark, sf):
     return SC.set_task_state(tasks, selected.select(F.col("dq_tasks_id").alias("id")), 2)
 
 
+@register("task_upsert_partitions", _cat_body("for_schedule") + """
+, done as (select distinct dq_tasks_id as id from cat),
+parts as (select distinct rule_id // 600 as part from dq_tasks where id in (select id from done))
+select id, time, rule_id, case when id in (select id from done) then 2 else state end as state,
+       rule_id // 600 in (select part from parts) as rewritten
+from dq_tasks""")
+def task_upsert_partitions(spark, sf):
+    """A12 in place: the queue partitioned by ranges of rules; only ranges with a task that ran get new files."""
+    cat = _cat(spark, sf, ("dq_tasks",))
+    path = scratch_dir(spark, f"task-queue-{uuid.uuid4().hex}")
+    tasks = spark.table("dq_tasks").withColumn("part", F.floor(F.col("rule_id") / 600).cast("long"))
+    tasks.repartition("part").write.partitionBy("part").parquet(path)
+    files = scratch_dir(spark, f"task-queue-files-{uuid.uuid4().hex}")
+    spark.read.parquet(path).select(F.col("_metadata.file_name").alias("_file")).distinct().write.parquet(files)
+    ran = K.rule_catalog(cat, "for_schedule", tasks=spark.table("dq_tasks")).select(F.col("dq_tasks_id").alias("id")).distinct()
+    SC.upsert_partitions(path, tasks.join(ran, "id", "left_semi").withColumn("state", F.lit(2)), ["id"], "part")
+    after = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_name"))
+    return after.join(spark.read.parquet(files).withColumn("_old", F.lit(True)), "_file", "left").select(
+        "id", "time", "rule_id", "state", F.col("_old").isNull().alias("rewritten"))
+
+
 @register("task_run_events", _cat_body("for_schedule") + f"""
 , base as (select distinct dq_tasks_id as task_id, coalesce(data_asset_id, data_asset_id1) as ns from cat)
 select task_id,
