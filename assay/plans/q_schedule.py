@@ -118,15 +118,15 @@ def task_upsert(spark, sf):
 
 @register("task_upsert_partitions", _cat_body("for_schedule") + """
 , done as (select distinct dq_tasks_id as id from cat),
-parts as (select distinct rule_id // 600 as part from dq_tasks where id in (select id from done))
+parts as (select distinct rule_id % 256 as part from dq_tasks where id in (select id from done))
 select id, time, rule_id, case when id in (select id from done) then 2 else state end as state,
-       rule_id // 600 in (select part from parts) as rewritten
+       rule_id % 256 in (select part from parts) as rewritten
 from dq_tasks""")
 def task_upsert_partitions(spark, sf):
-    """A12 in place: the queue partitioned by ranges of rules; only ranges with a task that ran get new files."""
+    """A12 in place: the queue in 256 buckets of rules; only buckets with a task that ran get new files."""
     cat = _cat(spark, sf, ("dq_tasks",))
     path = scratch_dir(spark, f"task-queue-{uuid.uuid4().hex}")
-    tasks = spark.table("dq_tasks").withColumn("part", F.floor(F.col("rule_id") / 600).cast("long"))
+    tasks = spark.table("dq_tasks").withColumn("part", F.col("rule_id") % 256)
     tasks.repartition("part").write.partitionBy("part").parquet(path)
     files = scratch_dir(spark, f"task-queue-files-{uuid.uuid4().hex}")
     spark.read.parquet(path).select(F.col("_metadata.file_name").alias("_file")).distinct().write.parquet(files)
