@@ -2,12 +2,14 @@
 
 A text is reduced to its lower-case words between single spaces. The rules are regular
 expressions over such texts: hand-written names of each license, alone where they tell
-enough, and in the usual forms of a notice. A rule runs only if the text has what all
-its matches contain, a keyword derived from its names and one from its form; the gate,
+enough, and in the usual forms of a notice; sentences of the licenses' own texts; their
+addresses; the further operands of SPDX expressions. A rule runs only if the text has what
+all its matches contain, a keyword derived from its names and one from its form; the gate,
 which skips whole texts, is the union of these over all rules. Detections are word
 intervals; one that lies inside another is dropped, of equal intervals the rule with
-the higher priority stays (the earlier one of equal priority). The base phrases are
-looked for beside the rules and always stay.
+the higher priority stays (the earlier one of equal priority). A notice that says "not" has
+rules of its own without a label, so it only suppresses what it contains. The base phrases
+are looked for beside the rules and always stay.
 
 All is done in DataFrame expressions on the row itself: no shuffle, no Python.
 
@@ -17,6 +19,7 @@ rows are scanned each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -47,16 +50,16 @@ LICENSES = [
     ("wtfpl", True, [r"wtfpl"], r"wtfpl"),
     ("gpl-1", True, [r"gnu general public license(?: version)? v?1(?: 0)?"], r"gpl 1 0(?: only| or later)?"),
     ("gpl-2", True, [r"gnu general public license(?: gpl)?(?: as published by the free software foundation either)?(?: version)? v?2(?: 0)?"], r"gpl 2 0(?: only| or later)?"),
-    ("gpl-2", True, [r"(?:gnu )?gpl ?v?2(?: 0)?", r"gplv2"], r"gpl 2 0"),
+    ("gpl-2", True, [r"(?:gnu )?gpl ?v?2(?: 0)?", r"gplv2", r"(?:gnu )?gpl version 2(?: 0)?(?: or later)?"], r"gpl 2 0"),
     ("gpl-3", True, [r"gnu general public license(?: gpl)?(?: as published by the free software foundation either)?(?: version)? v?3(?: 0)?"], r"gpl 3 0(?: only| or later)?"),
-    ("gpl-3", True, [r"(?:gnu )?gpl ?v?3(?: 0)?", r"gplv3"], r"gpl 3 0"),
+    ("gpl-3", True, [r"(?:gnu )?gpl ?v?3(?: 0)?", r"gplv3", r"(?:gnu )?gpl version 3(?: 0)?(?: or later)?"], r"gpl 3 0"),
     ("lgpl-2", True, [r"gnu (?:library|lesser) general public license(?: version)? v?2(?: 0)?"], r"lgpl 2 0(?: only| or later)?"),
     ("lgpl-2.1", True, [r"gnu lesser general public license(?: version)? v?2 1"], r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-2.1", True, [r"(?:gnu )?lgpl ?v?2 1", r"lgplv2 1"], r"lgpl 2 1"),
+    ("lgpl-2.1", True, [r"(?:gnu )?lgpl ?v?2 1", r"lgplv2 1", r"(?:gnu )?lgpl version 2 1(?: or later)?"], r"lgpl 2 1"),
     ("lgpl-3", True, [r"gnu lesser general public license(?: version)? v?3(?: 0)?"], r"lgpl 3 0(?: only| or later)?"),
-    ("lgpl-3", True, [r"(?:gnu )?lgpl ?v?3(?: 0)?", r"lgplv3"], r"lgpl 3 0"),
+    ("lgpl-3", True, [r"(?:gnu )?lgpl ?v?3(?: 0)?", r"lgplv3", r"(?:gnu )?lgpl version 3(?: 0)?(?: or later)?"], r"lgpl 3 0"),
     ("agpl-3", True, [r"gnu affero general public license(?: version)? v?3(?: 0)?"], r"agpl 3 0(?: only| or later)?"),
-    ("agpl-3", True, [r"(?:gnu )?agpl ?v?3(?: 0)?", r"agplv3"], r"agpl 3 0"),
+    ("agpl-3", True, [r"(?:gnu )?agpl ?v?3(?: 0)?", r"agplv3", r"(?:gnu )?agpl version 3(?: 0)?(?: or later)?"], r"agpl 3 0"),
     ("gfdl", True, [r"gnu free documentation license(?: version)?(?: 1 [123])?"], r"gfdl 1 [123](?: only| or later)?"),
     ("mpl-1.1", True, [r"mozilla public license(?: version)? v?1 1"], r"mpl 1 1"),
     ("mpl-2", True, [r"mozilla public license(?: version)? v?2(?: 0)?"], r"mpl 2 0"),
@@ -76,16 +79,80 @@ LICENSES = [
     ("cc-by-sa", True, [r"cc by sa(?: [1234] 0)?"], r"cc by sa [1234] 0"),
     ("cc-by-sa", True, [r"creative commons attribution share ?alike(?: [1234] 0)?"], r"cc by sa"),
     ("cc-by-nc", True, [r"cc by nc(?: [1234] 0)?"], r"cc by nc [1234] 0"),
-    ("cc-by-nc", True, [r"creative commons attribution noncommercial(?: [1234] 0)?"], r"cc by nc"),
+    ("cc-by-nc", True, [r"creative commons attribution non ?commercial(?: [1234] 0)?"], r"cc by nc"),
     ("cc-by-nc-sa", True, [r"cc by nc sa(?: [1234] 0)?"], r"cc by nc sa [1234] 0"),
+    ("cc-by-nc-sa", True, [r"(?:creative commons )?attribution non ?commercial share ?alike(?: [1234] 0)?"], r"cc by nc sa"),
     ("cc-by-nd", True, [r"cc by nd(?: [1234] 0)?"], r"cc by nd [1234] 0"),
+    ("cc-by-nd", True, [r"(?:creative commons )?attribution no ?deriv(?:atives|ative|s)(?: works)?(?: [1234] 0)?"], r"cc by nd"),
     ("cc-by-nc-nd", True, [r"cc by nc nd(?: [1234] 0)?"], r"cc by nc nd [1234] 0"),
+    ("cc-by-nc-nd", True, [r"(?:creative commons )?attribution non ?commercial no ?deriv(?:atives|ative|s)(?: works)?(?: [1234] 0)?"], r"cc by nc nd"),
+    ("sspl-1", True, [r"server side public license(?: version)?(?: v1)?(?: 1)?", r"sspl"], r"sspl 1 0"),
+    ("busl-1.1", True, [r"business source license(?: version)?(?: 1 1)?"], r"busl 1 1"),
+    ("elastic-2", False, [r"elastic license(?: version)? v?2(?: 0)?"], r"elastic 2 0"),
+    ("ms-pl", True, [r"microsoft public license"], r"ms pl"),
+    ("ms-rl", True, [r"microsoft reciprocal license"], r"ms rl"),
     ("public-domain", True, [r"(?:in|into|to) the public domain"], r"public domain"),
     ("proprietary", False, [r"all rights reserved"], r"licenseref proprietary"),
 ]
+DENIED = 5  # the priority of forms that deny a license: their detections have no label
+#: Sentences of the licenses themselves, or of the notices that they ask for.
+TEXTS = [
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("boost-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("bsd-0-clause", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", r"nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", r"do what the fuck you want to public license"),
+    ("gpl-2", r"under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-2", r"under the terms of version 2 of the gnu general public license"),
+    ("gpl-3", r"under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-3", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl-2.1", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("mpl-2", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2", r"under the terms of the eclipse public license v 2 0"),
+    ("epl-1", r"under the terms of the eclipse public license v 1 0"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+]
+#: Addresses as words; the path of a Creative Commons license names it.
+ADDRESSES = [
+    ("apache-2", r"apache org licenses license 2 0"),
+    ("apache-1.1", r"apache org licenses license 1 1"),
+    ("gpl-2", r"gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3", r"gnu org licenses gpl 3 0"),
+    ("lgpl-2.1", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3", r"gnu org licenses lgpl 3 0"),
+    ("agpl-3", r"gnu org licenses agpl 3 0"),
+    ("gfdl", r"gnu org licenses (?:old licenses )?fdl 1 [123]"),
+    ("cc-by", r"creativecommons org licenses by(?: [1234] 0)?"),
+    ("cc-by-sa", r"creativecommons org licenses by sa(?: [1234] 0)?"),
+    ("cc-by-nc", r"creativecommons org licenses by nc(?: [1234] 0)?"),
+    ("cc-by-nd", r"creativecommons org licenses by nd(?: [1234] 0)?"),
+    ("cc-by-nc-sa", r"creativecommons org licenses by nc sa(?: [1234] 0)?"),
+    ("cc-by-nc-nd", r"creativecommons org licenses by nc nd(?: [1234] 0)?"),
+    ("cc0", r"creativecommons org publicdomain zero(?: 1 0)?"),
+    ("public-domain", r"creativecommons org publicdomain mark(?: 1 0)?"),
+    ("mpl-2", r"mozilla org (?:en us )?mpl 2 0"),
+    ("epl-2", r"eclipse org legal epl (?:v20|2 0)"),
+    ("epl-1", r"eclipse org legal epl v10"),
+    ("boost-1.0", r"boost org license 1 0"),
+    ("ofl-1.1", r"scripts sil org ofl"),
+    ("elastic-2", r"elastic co licensing elastic license"),
+    ("sspl-1", r"mongodb com licensing server side public license"),
+    ("busl-1.1", r"mariadb com bsl11"),
+]
 #: Forms of a notice around a name: regular expression, priority, confidence, what every match contains besides the name.
 FORMS = [
     (r"spdx license identifier {spdx}", 4, 1.0, ""),
+    (r"spdx {spdx}", 4, 0.9, " spdx "),
+    (r"(?:opensource|spdx|choosealicense) (?:org|com) licenses? {spdx}", 4, 0.95, " licen"),
+    (r"(?:not|never|no longer) (?:be )?(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[cs]e)?", DENIED, 0.0, " under "),
     (r"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[cs]e)?", 3, 0.95, " under "),
     (r"(?:under|subject to) (?:the )?terms of (?:the )?(?:{name})(?: licen[cs]e)?", 3, 0.9, "terms of "),
     (r"licen[cs]e (?:is )?(?:the )?(?:{name})", 2, 0.8, " licen"),
@@ -122,10 +189,29 @@ def rules() -> list[tuple[tuple[str, ...], str, str, int, float, str]]:
             continue
         for form, priority, sure, around in FORMS + [BARE] * alone:
             rx = form.format(name=name, spdx=spdx)
-            out.append(((needed(rx),) if "{spdx}" in form else keys, rx, label, priority, sure, around))
+            own = keys if "{name}" in form else (needed(spdx if around else rx),)
+            out.append((own, rx, "" if priority == DENIED else label, priority, sure, around))
+    for label, rx in TEXTS:
+        out.append(((needed(rx),), rx, label, 4, 0.95, ""))
+    for label, rx in ADDRESSES:
+        out.append(((needed(rx),), rx, label, 4, 0.9, ""))
     return out
 
 
+def lead() -> str:
+    """What stands before a further operand of an SPDX expression: where it is told to be one, and the operands before it."""
+    atom = "|".join(dict.fromkeys(spdx for *_, spdx in LICENSES))
+    return rf"(?:spdx license identifier|spdx|licen[cs]e) (?:(?:{atom}) (?:with (?:[0-9a-z]+ ){{1,6}}?)?(?:or|and) ){{1,8}}"
+
+
+def operands() -> list[tuple[tuple[str, ...], str, str, int, float]]:
+    """(keywords, regular expression, label, priority, confidence) of the further operands of SPDX expressions; to follow ``lead()``.
+
+    The first operand of each has a rule in ``rules()``, whose keywords hold the gate open."""
+    found = {spdx: label for label, _, _, spdx in LICENSES if label != "proprietary"}
+    return [((needed(spdx),), spdx, label, 4, 1.0) for spdx, label in found.items()]
+
+
 def gate(norm: Column) -> Column:
     """False only for texts in which no rule and no base phrase can match: the rules' own keywords, each form's together.
 
@@ -145,8 +231,18 @@ def gate(norm: Column) -> Column:
     return has(alone) | common.any_of([has(forms) & has(keys) for keys, forms in left.items()])
 
 
-def places(norm: Column, rx: Column) -> Column:
-    """Word intervals (s, e) of the places where ``rx`` matches whole words of ``norm``, leftmost, non-overlapping."""
+RULE = "rx:string,label:string,p:int,sure:double,i:int"
+
+
+def constant(value: list, kind: str) -> Column:
+    """A table of rules as one literal: the optimizer folds it, and the driver does not build thousands of expressions."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def places(norm: Column, rx: Column, before: str | None = None) -> Column:
+    """Word intervals (s, e) of the places where ``rx`` matches whole words of ``norm``, leftmost, non-overlapping.
+
+    With ``before``, the words of a match that this expression takes from its start on are not part of the interval."""
     whole = F.concat(F.lit("(?<= )(?:"), rx, F.lit(")(?= )"))
     words = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))  # noqa: E731  spaces
 
@@ -154,7 +250,8 @@ def places(norm: Column, rx: Column) -> Column:
         at = common.running(F.transform(w, lambda m, i: words(m) + words(F.get(b, i + 1))), F.lit(0), lambda x, y: x + y)
         first = words(F.get(b, F.lit(0))) - 1
         return F.transform(F.arrays_zip(w.alias("w"), at.alias("at")), lambda m: F.struct(
-            (first + m["at"]).alias("s"), (first + m["at"] + words(m["w"]) + 1).alias("e")))
+            (first + m["at"] + (0 if before is None else words(F.regexp_extract(m["w"], before, 0)))).alias("s"),
+            (first + m["at"] + words(m["w"]) + 1).alias("e")))
 
     return bind(F.split(norm, whole, -1), lambda b: bind(F.regexp_extract_all(norm, whole, F.lit(0)), lambda w: positions(b, w)))
 
@@ -169,17 +266,25 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     base = F.flatten(F.array(*[F.transform(
         F.when(F.contains("_norm", F.lit(f" {p} ")), places(F.col("_norm"), F.lit(p))).otherwise(F.array()),
         labelled(label)) for p, label in BASE]))
-    groups: dict[tuple[str, ...], list[Column]] = {}  # rules by their keywords, which are looked for once
-    for i, (keys, rx, label, p, sure, form) in enumerate(rules()):
-        groups.setdefault(keys, []).append(F.struct(
-            F.lit(form).alias("form"), F.lit(rx).alias("rx"), F.lit(label).alias("label"), F.lit(p).alias("p"),
-            F.lit(sure).alias("sure"), F.lit(i).alias("i")))
-    table = F.array(*[F.struct(F.array(*[F.lit(k) for k in keys]).alias("k"), F.array(*of).alias("rules")) for keys, of in groups.items()])
+    known = rules()
+    groups: dict[tuple[str, ...], list[dict]] = {}  # rules by their keywords, which are looked for once
+    for i, (keys, rx, label, p, sure, form) in enumerate(known):
+        groups.setdefault(keys, []).append({"form": form, "rx": rx, "label": label, "p": p, "sure": sure, "i": i})
+    table = constant([{"k": keys, "rules": of} for keys, of in groups.items()], f"array<struct<k:array<string>,rules:array<struct<form:string,{RULE}>>>>")
     near = F.flatten(F.transform(F.filter(table, lambda g: F.exists(g["k"], lambda k: F.contains("_norm", k))), lambda g: g["rules"]))
     hits = F.flatten(F.transform(F.filter(near, lambda r: F.contains("_norm", r["form"])), lambda r: F.transform(
         places(F.col("_norm"), r["rx"]), lambda d: F.struct(
             d["s"].alias("s"), (-d["e"]).alias("e"), (-r["p"]).alias("p"), r["i"].alias("i"),
             r["label"].alias("label"), r["sure"].alias("sure")))))
+    # further operands of SPDX expressions: only where one joins two licenses
+    more = constant([{"k": keys, "rx": rx, "label": label, "p": p, "sure": sure, "i": len(known) + i}
+                     for i, (keys, rx, label, p, sure) in enumerate(operands())], f"array<struct<k:array<string>,{RULE}>>")
+    joined = F.regexp_like("_norm", F.lit(f" {lead()}"))
+    also = F.flatten(F.transform(F.filter(more, lambda r: F.exists(r["k"], lambda k: F.contains("_norm", k))), lambda r: F.transform(
+        places(F.col("_norm"), F.concat(F.lit(lead()), F.lit("(?:"), r["rx"], F.lit(")")), "^" + lead()), lambda d: F.struct(
+            d["s"].alias("s"), (-d["e"]).alias("e"), (-r["p"]).alias("p"), r["i"].alias("i"),
+            r["label"].alias("label"), r["sure"].alias("sure")))))
+    hits = F.concat(hits, F.when(joined, also).otherwise(F.array().cast("array<struct<s:int,e:int,p:int,i:int,label:string,sure:double>>")))
     # by start, then the longest, the highest priority, the earliest rule: one that ends no later than any before lies inside it
     def outermost(all_: Column) -> Column:
         reach = common.running(F.transform(all_, lambda d: -d["e"]), F.lit(-1), F.greatest)
@@ -197,7 +302,7 @@ def labelled(label: str):
 def op6(docs: DataFrame) -> DataFrame:
     rows = scan(docs.select("doc_id", "text"), ["doc_id"])
     base_labels = F.coalesce(F.array_distinct(F.transform("_base", lambda b: b["label"])), F.array().cast("array<string>"))
-    found = F.coalesce(F.transform("_kept", lambda d: d["label"]), F.array().cast("array<string>"))
+    found = F.coalesce(F.filter(F.transform("_kept", lambda d: d["label"]), lambda x: x != ""), F.array().cast("array<string>"))
     starts = F.transform("_base", lambda b: b["s"])
     sure = F.coalesce(F.array_max(F.transform("_kept", lambda d: d["sure"])), F.lit(0.0))
     return rows.select(

@@ -388,6 +388,63 @@ def test_license_gate_lets_every_rule_run(docs, text, label):
     assert license_scan.op6(docs([(1, text)])).first().labels == label
 
 
+def brute_detections(text):
+    """Labels and score from all rules on every text, without gate, keywords or order: a detection goes if another one holds it."""
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    norm = f" {' '.join(ws)} "
+    at = lambda p: norm[:p].count(" ") - 1
+    found = [(at(m.start()), at(m.end()) + 1, p, -i, label, sure) for i, (_, rx, label, p, sure, _) in enumerate(license_scan.rules())
+             for m in re.finditer(f"(?<= )(?:{rx})(?= )", norm)]
+    lead, n = license_scan.lead(), len(license_scan.rules())
+    for i, (_, rx, label, p, sure) in enumerate(license_scan.operands()):
+        for m in re.finditer(f"(?<= )(?:{lead}(?:{rx}))(?= )", norm):
+            found.append((at(m.start() + re.match(lead, m[0]).end()), at(m.end()) + 1, p, -n - i, label, sure))
+    kept = [d for d in found if not any(o[0] <= d[0] and o[1] >= d[1] and (o[:2] != d[:2] or o[2:4] > d[2:4]) for o in found)]
+    base = [label for p, label in license_scan.BASE if f" {p} " in norm]
+    labels = sorted({d[4] for d in kept if d[4]} | set(base))
+    return ",".join(labels), max([d[5] for d in kept] + [0.9] * bool(base), default=0.0)
+
+
+LICENSE_PROBES = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the", "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "isc"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions "
+     "are met: 1. x 3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this "
+     "software", "bsd,bsd-3-clause"),
+    ("see http://www.apache.org/licenses/LICENSE-2.0", "apache-2"), ("https://opensource.org/licenses/MIT", "mit"),
+    ("https://opensource.org/license/bsd-3-clause", "bsd-3-clause"), ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"),
+    ("https://www.gnu.org/licenses/old-licenses/gpl-2.0.html", "gpl-2"), ("http://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
+    ("GNU AGPL version 3", "agpl-3"), ("GPL version 2 or later", "gpl-2"), ("Server Side Public License, version 1", "sspl-1"),
+    ("Business Source License 1.1", "busl-1.1"), ("under the Elastic License 2.0", "elastic-2"),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa"),
+    ("Creative Commons Attribution-NoDerivatives 4.0", "cc-by-nd"), ("Attribution-NonCommercial-NoDerivs 3.0", "cc-by-nc-nd"),
+    ("Creative Commons Attribution 4.0 International", "cc-by"),
+    ("SPDX: (MIT OR Apache-2.0)", "apache-2,mit"), ("SPDX-License-Identifier: (MIT AND Zlib) OR BSD-3-Clause", "bsd-3-clause,mit,zlib"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR ISC", "gpl-2,isc"),
+    ('license = "MIT OR Apache-2.0"', "apache-2,mit"), ("SPDX-License-Identifier: MIT // no isc files", "mit"),
+    ("this is not licensed under the Apache License 2.0", ""), ("never released under the terms of the GPLv3 license", ""),
+    ("not licensed under the GPLv3 but licensed under the ISC license", "isc"),
+    ("this program is free: under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 "
+     "of the License, or (at your option) any later version", "gpl-3"), ("it is known and not licensed", "")]
+
+
+@pytest.mark.parametrize("part", [0, 1])
+def test_license_texts_addresses_expressions_and_denials(docs, part):
+    probes = LICENSE_PROBES[part::2]
+    got = {r.doc_id: r.labels for r in license_scan.op6(docs([(i, t) for i, (t, _) in enumerate(probes)])).collect()}
+    assert [(t, want, got[i]) for i, (t, want) in enumerate(probes) if got[i] != want] == []
+
+
+def test_license_labels_and_score_against_brute_force(docs):
+    rnd = random.Random(18)
+    said = NOTICES + [t for t, _ in LICENSE_PROBES] + WORDS + ["or", "and", "not", "MIT", "ISC", "GPL-2.0-or-later", "license", "spdx", "under the"]
+    rows = [(i, rnd.choice([" ", "\n", ". "]).join(rnd.choice(said) for _ in range(rnd.randint(0, 14)))) for i in range(150)]
+    got = license_scan.op6(docs(rows)).collect()
+    text = dict(rows)
+    assert [(text[r.doc_id], brute_detections(text[r.doc_id]), (r.labels, r.score)) for r in got
+            if (r.labels, r.score) != brute_detections(text[r.doc_id])] == []
+
+
 def test_license_gate_passes_every_text_of_a_rule(spark):
     texts = [(f" {t} ",) for _, rx, *_ in license_scan.rules() for t in texts_of(rx)]
     assert spark.createDataFrame(texts, "t string").filter(~license_scan.gate(F.col("t"))).collect() == []
