@@ -305,3 +305,30 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, trees: int = TREE
 
 def op2(vectors: DataFrame) -> DataFrame:
     return near_duplicates(vectors.select("vec_id", "embedding", "label"))
+
+
+# All pairs of a label: DuckDB SQL for tables of a small scale; an index that misses a link differs from it.
+OP2_SQL = f"""
+with recursive given as (
+  select vec_id, label, case when len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                             then cast(embedding as double[]) end as v
+  from embeddings
+),
+good as (
+  select vec_id, label, v from given
+  where vec_id is not null and label is not null and len(v) > 0
+    and len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links as (
+  select a.vec_id as u, b.vec_id as w from good a join good b on a.label = b.label and a.vec_id <> b.vec_id
+  where case when len(a.v) = len(b.v) then list_cosine_similarity(a.v, b.v) >= {COSINE} else false end
+),
+reach as (
+  select u, w from links
+  union
+  select r.u, l.w from reach r join links l on l.u = r.w
+)
+select g.vec_id, coalesce(n.n, 0) as n_links, least(g.vec_id, coalesce(m.m, g.vec_id)) as component_id,
+       g.vec_id = least(g.vec_id, coalesce(m.m, g.vec_id)) as kept
+from given g left join (select u, count(*) as n from links group by u) n on n.u = g.vec_id
+left join (select u, min(w) as m from reach group by u) m on m.u = g.vec_id"""

@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": mix.OP1_SQL,
+    "op2_embedding_dedup": embed_dedup.OP2_SQL,
     "op12_ranked_search": search.OP12_SQL,
     "op13_url_filter": url_filter.OP13_SQL,
 }

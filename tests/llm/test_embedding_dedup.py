@@ -150,3 +150,15 @@ def test_grow_is_bounded_by_the_sample():
 
 def test_empty(spark):
     assert E.op2(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sql_tells_the_same_links(spark):
+    import duckdb
+    data = rows()
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[], label integer)")
+    con.executemany("insert into embeddings values (?, ?, ?)", data)
+    want = sorted(con.sql(E.OP2_SQL).fetchall())
+    got = E.op2(spark.createDataFrame(data, SCHEMA))
+    assert sum(r[1] for r in want) > 20
+    assert sorted(tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()) == want
