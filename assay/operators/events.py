@@ -76,24 +76,26 @@ def build_events(run_log: DataFrame, inputs: DataFrame, outputs: DataFrame, asse
     dropped. Assertions of an event travel in the ``dataQuality`` facet of a
     carrier input dataset. Returns ``(offset, value)`` with offset = event id.
     """
-    empty_facets = F.struct(F.lit(None).cast(DATASET_T["facets"].dataType["dataQuality"].dataType)
-                            .alias("dataQuality"))  # renders as {} (null members are dropped)
-    # one row per part of an event, one grouping shuffle for all of them
-    parts = (inputs.select("ol_id", F.struct(empty_facets.alias("facets"), F.struct().alias("inputFacets"), "name",
-                                             F.col("ns").alias("namespace")).alias("_in"))
-             .unionByName(outputs.select("ol_id", F.struct(
-                 empty_facets.alias("facets"), "name", F.col("ns").alias("namespace"),
-                 F.struct().alias("outputFacets")).alias("_out")), allowMissingColumns=True)
+    # one row per part of an event, plain columns, one shuffle for all of them; dealt out before the grouping, so that the
+    # readers of the tables neither sort nor spill what they read
+    parts = (inputs.select("ol_id", F.struct("name", "ns").alias("_in"))
+             .unionByName(outputs.select("ol_id", F.struct("name", "ns").alias("_out")), allowMissingColumns=True)
              .unionByName(assertions.select("ol_id", F.struct(
                  "assertion", "column", "msg", F.col("rule_id").cast("string").alias("rule_id"), "state", "success")
                  .alias("_said")), allowMissingColumns=True))
-    parts = parts.groupBy("ol_id").agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in ("_in", "_out", "_said")])
+    parts = (parts.filter(F.col("ol_id").isNotNull()).repartition("ol_id").groupBy("ol_id")
+             .agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in ("_in", "_out", "_said")]))
+    empty_facets = F.struct(F.lit(None).cast(DATASET_T["facets"].dataType["dataQuality"].dataType)
+                            .alias("dataQuality"))  # renders as {} (null members are dropped)
+    ins = F.transform("_in", lambda d: F.struct(empty_facets.alias("facets"), F.struct().alias("inputFacets"), d["name"].alias("name"),
+                                                d["ns"].alias("namespace")))
+    outs = F.transform("_out", lambda d: F.struct(empty_facets.alias("facets"), d["name"].alias("name"), d["ns"].alias("namespace"),
+                                                  F.struct().alias("outputFacets")))
     carrier = F.struct(
         F.struct(F.struct(*_facet_base(DQ_FACET_SCHEMA_URL), F.col("_said").alias("assertions")).alias("dataQuality")).alias("facets"),
         F.struct().alias("inputFacets"), F.lit(CARRIER_NAME).alias("name"), F.lit(CARRIER_NAMESPACE).alias("namespace"))
-    parts = parts.select(
-        "ol_id", F.when(F.size("_said") > 0, F.array_sort(F.concat("_in", F.array(carrier)))).otherwise(F.col("_in")).alias("inputs"),
-        F.col("_out").alias("outputs"))
+    parts = parts.select(  # the carrier is the last input
+        "ol_id", F.concat(ins, F.when(F.size("_said") > 0, F.array(carrier)).otherwise(F.array())).alias("inputs"), outs.alias("outputs"))
     e = run_log.join(parts, run_log["id"] == parts["ol_id"], "left").drop("ol_id")
     nominal = F.when(F.col("nominal_start_time").isNotNull(), F.struct(
         *_facet_base(FACET_SCHEMA_BASE + "#/definitions/NominalTimeRunFacet"),
@@ -121,9 +123,10 @@ PARSE_T = T.StructType(EVENT_T.fields + [T.StructField("_corrupt_record", T.Stri
 
 
 def parse_events(events: DataFrame, value_col: str = "value") -> DataFrame:
-    """Typed parse; malformed text is kept in ``ev._corrupt_record``."""
-    return events.withColumn("ev", F.from_json(F.col(value_col), PARSE_T,
-                                               {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    """Typed parse; malformed text is kept in ``ev._corrupt_record``. The parse is a row of its own (an explode of one
+    element), so that filters on ``ev`` stay above it and every event is parsed once, however often ``ev`` is used."""
+    ev = F.from_json(F.col(value_col), PARSE_T, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return events.withColumn("ev", F.explode(F.array(ev)))
 
 
 def validity_reason(ev: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import events as EV
+from ..session import scratch_dir
 from ..sources.fixtures import duckdb_with, register_fixtures
 from .registry import register
 
@@ -27,6 +30,14 @@ def _events(spark, sf):
     return EV.build_events(t["run_log"], t["run_inputs"], t["run_outputs"], t["assertions"], _job_name())
 
 
+def _parsed(spark, sf):
+    """The parsed events, written once for queries that take several shredded tables of them."""
+    path = scratch_dir(spark, f"events-parsed-{uuid.uuid4().hex}")
+    parsed = EV.parse_events(_events(spark, sf)).drop("value")
+    parsed.write.parquet(path)
+    return spark.read.schema(parsed.schema).parquet(path)
+
+
 def _uuid_sql(x: str) -> str:
     return f"case when {x} is null then null else printf('00000000-0000-0000-0000-%012x', {x}) end"
 
@@ -45,7 +56,7 @@ select 'input' as side, i.ol_id, i.name, i.ns from run_inputs i where i.ol_id in
 union all
 select 'output', o.ol_id, o.name, o.ns from run_outputs o where o.ol_id in (select id from run_log)""")
 def ev_roundtrip_datasets(spark, sf):
-    s = EV.shred(EV.parse_events(_events(spark, sf)))
+    s = EV.shred(_parsed(spark, sf))
     ins = s["inputs"].filter(~((F.col("ns") == EV.CARRIER_NAMESPACE) & (F.col("name") == EV.CARRIER_NAME)))
     return (ins.select(F.lit("input").alias("side"), "ol_id", "name", "ns")
             .unionByName(s["outputs"].select(F.lit("output").alias("side"), "ol_id", "name", "ns")))
@@ -122,7 +133,7 @@ union all select 'outputs', count(*) from run_outputs where ol_id in (select id
 union all select 'assertions', count(*) from assertions where ol_id in (select id from run_log)""")
 def ev_shred(spark, sf):
     """K8: rows of the four shredded tables (inputs include each event's assertion carrier)."""
-    s = EV.shred(EV.parse_events(_events(spark, sf)))
+    s = EV.shred(_parsed(spark, sf))
     out = None
     for name in ("run_log", "inputs", "outputs", "assertions"):
         part = s[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")

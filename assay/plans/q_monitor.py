@@ -196,7 +196,7 @@ def mon_state_from_events(spark, sf):
     """Event lifecycle: events serialized, shredded, then monitored."""
     from ..operators import events as EV
     from . import q_events
-    s = EV.shred(EV.parse_events(q_events._events(spark, sf)))
+    s = EV.shred(q_events._parsed(spark, sf))
     asr = s["assertions"].filter(F.col("assertion").isNotNull())
     _, es = M.event_grain(s["run_log"], asr)
     return M.run_states(es).select("id", "run_id", "state", "state_local", "has_fail", "has_complete")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -297,3 +298,30 @@ def test_record_rules_from_catalog(spark):
                  for r in S.run_record_rules(recs, rules).collect())
     assert got == [("1", 10, "a", True), ("1", 10, "b", True), ("1", 11, "a", False), ("1", 11, "b", True),
                    ("2", 10, "b", True), ("2", 11, "b", False)]
+
+
+def test_events_are_parsed_once(spark):
+    """However often ``ev`` is used, and its times and ids fit code that the JVM compiles."""
+    rows = [(1, '{"eventTime":"2024-01-01T00:00:00.123456789+05:30","eventType":"START","run":{"runId":"' + "0" * 32 + '"},"inputs":[{"name":"a"}]}'),
+            (2, None), (3, "{")]
+    p = EV.parse_events(spark.createDataFrame(rows, "offset long, value string"))
+    s = EV.shred(p)
+    assert [(r["id"], str(r["event_time"]), r["run_id"]) for r in s["run_log"].collect()] == [
+        (1, "2023-12-31 18:30:00.123456", "00000000-0000-0000-0000-000000000000")]
+    assert sorted((r["offset"], r["type"]) for r in EV.rejected(p).collect()) == [(2, "malformed"), (3, "malformed")]
+    for part in (*s.values(), EV.rejected(p)):
+        qe = part._jdf.queryExecution()
+        assert qe.optimizedPlan().toString().count("from_json(") == 1
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(qe.executedPlan()))]
+        assert sizes and max(sizes) < 8000
+
+
+def test_an_event_without_an_id_gets_no_parts(spark):
+    log = spark.createDataFrame([(None, 1), (4, 2)], "id long, run_id long").selectExpr(
+        "*", "cast(null as long) parent_run_id", "timestamp_ntz'2024-01-01' event_time", "'START' event_type", "'etl' producer",
+        "cast(null as timestamp_ntz) nominal_start_time", "cast(null as timestamp_ntz) nominal_end_time")
+    sets = spark.createDataFrame([("b", "2", 4), ("a", "1", 4), ("c", "3", None)], "name string, ns string, ol_id long")
+    said = spark.createDataFrame([("x", "c", None, 1, "2", True, 4)], "assertion string, column string, msg string, rule_id long, state string, success boolean, ol_id long")
+    got = {r["id"]: (r["ins"], r["outs"]) for r in EV.parse_events(EV.build_events(log, sets, sets, said, F.lit("j"))).select(
+        F.col("offset").alias("id"), F.col("ev.inputs.name").alias("ins"), F.col("ev.outputs.name").alias("outs")).collect()}
+    assert got == {None: ([], []), 4: (["a", "b", EV.CARRIER_NAME], ["a", "b"])}
