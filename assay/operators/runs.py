@@ -12,8 +12,6 @@ means only cycles are left, and those nodes are null.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -86,36 +84,12 @@ def inherited_deadline(run_log: DataFrame) -> DataFrame:
 
 
 def deadlines_for(run_log: DataFrame, run_ids: DataFrame) -> DataFrame:
-    """J2 for selected runs only (``run_ids`` has a ``run_id`` column): walk up
-    from each requested run through the stored COMPLETE rows, one level per
-    round, however deep. The COMPLETE rows are reduced and written once per
-    call; each round is one job over them and the frontier of runs still
-    walking. A walk that enters a cycle ends with null: it is told by a marked
-    run that moves to the current one whenever the step count doubles.
+    """J2 for selected runs only (``run_ids`` has a ``run_id`` column): the walk up from each requested run through the stored
+    COMPLETE rows, by pointer jumping over those rows, so that a chain of depth d takes about log2(d) rounds. A walk that
+    enters a cycle, and a run without a COMPLETE row, ends with null.
     Returns ``(run_id, based_end_time)`` for the requested runs."""
-    comp = first_per_key(run_log.filter(F.col("event_type") == "COMPLETE")
-                         .select("id", "run_id", "parent_run_id", "nominal_end_time"), "run_id", "id")
-    comp = comp.select(F.col("run_id").alias("c_run"), F.col("parent_run_id").alias("c_parent"),
-                       F.col("nominal_end_time").alias("c_end")).checkpoint(eager=True)
     requested = run_ids.select("run_id").filter(F.col("run_id").isNotNull()).distinct()
-    frontier, walking = _cut(requested.select(
-        F.col("run_id").alias("origin"), F.col("run_id").alias("cur"), F.col("run_id").alias("mark"),
-        F.lit(False).alias("done"), F.lit(None).cast("timestamp_ntz").alias("c_end")))
-    finished, steps, turn = [], 0, 1
-    while walking:
-        steps += 1
-        walk = frontier.filter(~F.col("done")).select("origin", "cur", "mark")
-        step = walk.join(comp, walk["cur"] == comp["c_run"], "left")
-        over = F.col("c_run").isNull() | F.col("c_parent").isNull() | (F.col("c_parent") == F.col("mark"))
-        mark = F.col("c_parent") if steps == turn else F.col("mark")
-        turn = 2 * turn if steps == turn else turn
-        frontier, walking = _cut(step.select(
-            "origin", F.col("c_parent").alias("cur"), mark.alias("mark"), over.alias("done"),
-            F.when(F.col("c_run").isNotNull() & F.col("c_parent").isNull(), F.col("c_end")).alias("c_end")))
-        finished.append(frontier.filter("done").select(F.col("origin").alias("run_id"), F.col("c_end").alias("based_end_time")))
-    if not finished:
-        return requested.withColumn("based_end_time", F.lit(None).cast("timestamp_ntz"))
-    return reduce(DataFrame.unionByName, finished)
+    return requested.join(inherited_deadline(run_log), "run_id", "left")
 
 
 def run_log_extended(run_log: DataFrame, deadlines: DataFrame | None = None) -> DataFrame:

@@ -166,3 +166,15 @@ def test_walk_deeper_than_64_and_cycles(spark):
     batch = {r.run_id: r.based_end_time for r in RN.inherited_deadline(log).collect()}
     asked = {r.run_id: r.based_end_time for r in RN.deadlines_for(log, log.select("run_id")).collect()}
     assert batch == asked and batch[69] is not None and batch[1000] is None and batch[2000] is None
+
+
+def test_selected_walks_take_few_rounds(spark, monkeypatch):
+    """A chain of 200 runs is walked in about log2(200) rounds, each a job over the log, not in 200."""
+    rows = [(i, i, None if i == 0 else i - 1, "COMPLETE", "2024-01-01 00:00:00" if i == 0 else None) for i in range(200)]
+    log = spark.createDataFrame(rows, "id long, run_id long, parent_run_id long, event_type string, nominal_end_time string") \
+        .withColumn("nominal_end_time", F.col("nominal_end_time").cast("timestamp_ntz"))
+    rounds, cut = [], RN._cut
+    monkeypatch.setattr(RN, "_cut", lambda df: rounds.append(1) or cut(df))
+    asked = spark.createDataFrame([(0,), (199,), (199,), (777,), (None,)], "run_id long")
+    got = {r.run_id: r.based_end_time for r in RN.deadlines_for(log, asked).collect()}
+    assert got.keys() == {0, 199, 777} and got[199] == got[0] is not None and got[777] is None and len(rounds) < 12
