@@ -216,3 +216,19 @@ def test_rules_are_read_anew_for_each_batch(spark):
     assert got == [(0, 1, False), (1, 1, False), (1, 2, True)]
     assert sorted((r["batch_id"], r["status"]) for r in spark.read.parquet(f"{base}/log").collect()) == [(0, 0), (1, 0), (1, 1)]
     assert [r["msg_key"] for r in spark.read.parquet(f"{base}/exceptions").collect()] == [2, 2]
+
+
+def test_log_of_judged_checks_is_that_of_the_spread_assertions(spark):
+    """Rules that ask for the same fields are grouped once, whatever their number; keys may repeat."""
+    rules = spark.createDataFrame(
+        [("t", i, "check_not_null", "v;z") for i in range(50)] + [("t", 50, "check_not_null", "z;v"), ("t", 51, "check_avg", "v|5|9"),
+         ("t", 52, "check_avg", "v|5|9;v|50|90"), ("u", 1, "check_not_null", "v;v")], RULES)
+    msgs = spark.createDataFrame([(1, "t", '{"key": 1, "v": 10}'), (1, "t", '{"key": 1, "z": 1}'), (2, "t", '{"key": 2, "v": 99}'),
+                                  (3, "u", '{"key": 3}')], "msg_key long, topic string, value string")
+    averages = spark.createDataFrame([("v", 100.0)], "field string, avg double")
+    comp, when = SR.compiled(rules).checkpoint(), F.lit("2024-01-01").cast("timestamp_ntz")
+    plain = SR.stream_log(SR.apply_rules(msgs, comp, averages), when)
+    shared = SR.stream_log(SR.judged(msgs, comp, averages), when, rules=SR.asked(rules))
+    assert sorted(map(str, shared.collect())) == sorted(map(str, plain.collect()))
+    grouped = SR.judged(msgs, comp, averages).withColumn("fields", F.explode("asks"))
+    assert grouped.count() == 22 < plain.count()  # whatever the number of rules that ask for the same
