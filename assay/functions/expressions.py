@@ -53,6 +53,9 @@ EVENT_TYPES = ("START", "RUNNING", "COMPLETE", "ABORT", "FAIL", "OTHER")
 
 UUID_PARTS = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
 ZONE_PATTERN = r"(Z|[+-]\d{2}(?::?\d{2})?)$"
+# The forms that the library itself writes; they need no further work.
+PLAIN_UUID = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
+PLAIN_EVENT_TIME = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?\z"
 EVENT_TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?$"
 
 
@@ -118,7 +121,7 @@ def iso_timestamp(ts: Column) -> Column:
 
 def parse_event_time(s: Column) -> Column:
     """ISO-8601 with ``T``; seconds, fraction (to nanoseconds, kept to
-    microseconds) and zone optional. Times with a zone are turned to UTC."""
+    microseconds) and zone optional. Times with a zone are turned to UTC. A plain time is only cast."""
     def parse(t: Column) -> Column:
         zone = F.regexp_extract(t, ZONE_PATTERN, 1)  # empty without a zone
         wall = F.substring(F.regexp_replace(t, ZONE_PATTERN, ""), 1, 26)
@@ -126,7 +129,7 @@ def parse_event_time(s: Column) -> Column:
         minutes = hhmm - 40 * (hhmm / F.lit(100)).cast("int")
         return F.when(t.rlike(EVENT_TIME_PATTERN), F.timestamp_add("MINUTE", -minutes, wall.try_cast("timestamp_ntz")))
 
-    return _bound(s, parse)
+    return F.when(s.rlike(PLAIN_EVENT_TIME), s.try_cast("timestamp_ntz")).otherwise(_bound(s, parse))
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -144,9 +147,10 @@ def float_text(x: Column) -> Column:
 
 def uuid_text(s: Column) -> Column:
     """The canonical form of a UUID text (with or without dashes, braces and
-    ``urn:uuid:``, any case); null if it is none."""
+    ``urn:uuid:``, any case); null if it is none. A text in that form is taken as it is."""
     plain = F.lower(F.regexp_replace(F.regexp_replace(s, "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", ""))
-    return _bound(plain, lambda p: F.when(p.rlike("^[0-9a-f]{32}$"), F.regexp_replace(p, UUID_PARTS, "$1-$2-$3-$4-$5")))
+    other = _bound(plain, lambda p: F.when(p.rlike("^[0-9a-f]{32}$"), F.regexp_replace(p, UUID_PARTS, "$1-$2-$3-$4-$5")))
+    return F.when(s.rlike(PLAIN_UUID), s).otherwise(other)
 
 
 def is_uuid(s: Column) -> Column:

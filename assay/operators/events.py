@@ -138,6 +138,11 @@ def validity_reason(ev: Column) -> Column:
             .when(X.parse_event_time(ev["eventTime"]).isNull(), "bad eventTime"))
 
 
+def _reason(parsed: DataFrame) -> Column:
+    """The validity of parsed events: their column ``reason`` where it was stored with them."""
+    return F.col("reason") if "reason" in parsed.columns else validity_reason(F.col("ev"))
+
+
 def exact_filter(match: str) -> Column:
     """Keep events whose job name is not ``match``."""
     return ~F.coalesce(F.col("ev.job.name") == match, F.lit(False))
@@ -170,7 +175,7 @@ def apply_filters(parsed: DataFrame, confs: list[dict]) -> DataFrame:
 
 def shred(parsed: DataFrame, offset_col: str = "offset") -> dict[str, DataFrame]:
     """K8: the run log, inputs, outputs and assertions of valid events."""
-    ok = parsed.filter(validity_reason(F.col("ev")).isNull())
+    ok = parsed.filter(_reason(parsed).isNull())
     ev = F.col("ev")
     run_log = ok.select(
         F.col(offset_col).alias("id"), X.parse_event_time(ev["eventTime"]).alias("event_time"),
@@ -201,7 +206,7 @@ def shred(parsed: DataFrame, offset_col: str = "offset") -> dict[str, DataFrame]
 
 def rejected(parsed: DataFrame, value_col: str = "value", offset_col: str = "offset") -> DataFrame:
     """Invalid events as exception-log rows (message, type)."""
-    r = validity_reason(F.col("ev"))
+    r = _reason(parsed)
     return parsed.filter(r.isNotNull()).select(F.col(offset_col).alias("offset"),
                                                F.col(value_col).alias("message"), r.alias("type"))
 

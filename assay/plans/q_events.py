@@ -31,9 +31,9 @@ def _events(spark, sf):
 
 
 def _parsed(spark, sf):
-    """The parsed events, written once for queries that take several shredded tables of them."""
+    """The parsed events and their validity, written once for queries that take several shredded tables of them."""
     path = scratch_dir(spark, f"events-parsed-{uuid.uuid4().hex}")
-    parsed = EV.parse_events(_events(spark, sf)).drop("value")
+    parsed = EV.parse_events(_events(spark, sf)).drop("value").withColumn("reason", EV.validity_reason(F.col("ev")))
     parsed.write.parquet(path)
     return spark.read.schema(parsed.schema).parquet(path)
 

@@ -72,11 +72,11 @@ def shred_batch_writer(base_path: str):
     exception table (I7); COMPLETE events get a timeliness assertion as of
     arrival, from the index of deadlines that this batch updates. Output folders are per batch id, so
     replaying a batch replaces its rows instead of duplicating them. The batch is parsed once for all its outputs: the parsed
-    events of the newest batch lie under ``parsed``, of which each output reads the columns it needs."""
+    events of the newest batch and their validity lie under ``parsed``, of which each output reads the columns it needs."""
     index = DeadlineIndex(f"{base_path}/deadlines")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        events = EV.parse_events(batch)
+        events = EV.parse_events(batch).withColumn("reason", EV.validity_reason(F.col("ev")))
         events.write.mode("overwrite").parquet(f"{base_path}/parsed")
         write_parsed(batch.sparkSession.read.schema(events.schema).parquet(f"{base_path}/parsed"), batch_id)
 
