@@ -23,7 +23,7 @@ def io_files_by_mtime(spark, sf):
 def io_sink_text(spark, sf):
     """A16 + A19: events appended as JSON lines, read back and counted per type."""
     path = scratch_dir(spark, f"events-text-{uuid.uuid4().hex}")
-    SK.write_events(q_events._events(spark, sf), "file", path=path)
+    SK.write_events(q_events._events(spark, sf), "file", path=path, compression="gzip")
     back = spark.read.text(path)
     return back.select(F.get_json_object("value", "$.eventType").alias("event_type")) \
                .groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -34,7 +34,7 @@ def io_json_documents(spark, sf):
     """The written events read back by the JSON reader with the event schema."""
     from ..operators.events import EVENT_T
     path = scratch_dir(spark, f"events-json-{uuid.uuid4().hex}")
-    SK.write_events(q_events._events(spark, sf), "file", path=path)
+    SK.write_events(q_events._events(spark, sf), "file", path=path, compression="gzip")
     docs = TB.read_json_documents(spark, path, schema=EVENT_T, multi_line=False)
     return docs.groupBy(F.col("eventType").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
 

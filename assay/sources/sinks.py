@@ -35,8 +35,8 @@ def write_events(events: DataFrame, kind: str | None, **opts) -> None:
     if k == "kafka":  # A15 (needs the Kafka connector)
         (events.select(F.col("offset").cast("string").alias("key"), "value").write.format("kafka")
          .option("kafka.bootstrap.servers", opts["servers"]).option("topic", opts["topic"]).save())
-    elif k == "file":  # A16: JSON lines, appended
-        events.select("value").write.mode(opts.get("mode", "append")).text(opts["path"])
+    elif k == "file":  # A16: JSON lines, appended; ``compression`` names a codec that readers of text and JSON know
+        events.select("value").write.mode(opts.get("mode", "append")).text(opts["path"], compression=opts.get("compression"))
     elif k == "console":  # A17: every event, on the output of the task that has it
         events.select("value").foreachPartition(_print_rows)
     else:  # A18

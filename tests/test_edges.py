@@ -339,3 +339,11 @@ def test_stored_validity_is_not_worked_out_again(spark, tmp_path):
     for a, b in ((EV.shred(parsed)["inputs"], EV.shred(stored)["inputs"]), (EV.rejected(parsed), EV.rejected(stored))):
         assert sorted(a.collect()) == sorted(b.collect())
         assert "rlike" not in b._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_written_events_may_be_compressed(spark, tmp_path):
+    from assay.sources import sinks as SK
+    events = spark.createDataFrame([(1, '{"a":1}'), (2, '{"a":2}')], "offset long, value string")
+    SK.write_events(events, "file", path=f"{tmp_path}/z", compression="gzip")
+    assert list((tmp_path / "z").glob("part-*.txt.gz")) and not list((tmp_path / "z").glob("part-*.txt"))
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/z").collect()) == ['{"a":1}', '{"a":2}']
