@@ -232,3 +232,17 @@ def test_log_of_judged_checks_is_that_of_the_spread_assertions(spark):
     assert sorted(map(str, shared.collect())) == sorted(map(str, plain.collect()))
     grouped = SR.judged(msgs, comp, averages).withColumn("fields", F.explode("asks"))
     assert grouped.count() == 22 < plain.count()  # whatever the number of rules that ask for the same
+
+
+def test_waves_are_not_kept_in_memory(spark, tmp_path):
+    """Rows dealt into waves lie in files; nothing is held by the session while a wave is taken."""
+    from assay.plans import q_streaming
+    empty, seen = [], []
+
+    def run(src):
+        empty.append(spark._jsparkSession.sharedState().cacheManager().isEmpty())
+        seen.append(spark.read.schema(src.schema).parquet(f"{tmp_path}/src").count())
+
+    spark.catalog.clearCache()
+    q_streaming._waves(spark.range(10), F.col("id") % 3, 3, str(tmp_path), run)
+    assert empty == [True] * 3 and seen == [4, 7, 10]
