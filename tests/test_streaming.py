@@ -5,6 +5,7 @@ import random
 import time
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,48 @@ def test_boundaries_in_batch_and_over_micro_batches(spark):
     assert sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").collect()) == want
 
 
+def test_boundary_events_leave_by_blocks(spark):
+    """The events of a block leave before the next block is asked for, so a task holds one of them; large ids stay exact."""
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    asked = []
+
+    def blocks():
+        for i in range(5):
+            asked.append(i)
+            yield pd.DataFrame({"msg_key": range(100 * i, 100 * i + 100), "has_key": True, "run_id": [(1 << 60) + i] * 100, "has_run": True})
+
+    machine = SB.RunBoundaries(None)
+    machine.open = Value()
+    events = iter(machine.handleInputRows(("0", False), blocks(), None))
+    assert len(next(events)) == 100 and asked == [0]
+    rest = list(events)
+    assert [len(x) for x in rest] == [101] * 4  # COMPLETE of the run before, too
+    assert rest[-1]["parent_run_id"].tolist()[:2] == [(1 << 60) + 3, (1 << 60) + 4]
+    assert machine.open.get() == ((1 << 60) + 4, 499, 5)
+
+
+def test_boundaries_of_a_null_partition(spark):
+    rows = [(p, k, r) for p in (None, 1) for k, r in ((0, 5), (1, 5), (2, None), (3, (1 << 60) + 1))]
+    base = folder(spark, "null-partition")
+    df = spark.createDataFrame(rows, MESSAGES).coalesce(1)
+    df.write.parquet(f"{base}/src")
+    drain(spark, base, df.schema)
+    got = [tuple(r) for r in spark.read.parquet(f"{base}/out").collect()]
+    want = brute_boundaries([(k, r) for p, k, r in rows if p == 1])
+    assert sorted(x[1:] for x in got if x[0] is None) == sorted(x[1:] for x in got if x[0] == 1) == want
+
+
 def test_boundaries_without_partitions_and_of_nothing(spark):
     empty = spark.createDataFrame([], MESSAGES)
     assert RN.boundary_events(empty, "msg_key", "run_id").collect() == []
