@@ -289,3 +289,28 @@ def test_waves_are_not_kept_in_memory(spark, tmp_path):
     spark.catalog.clearCache()
     q_streaming._waves(spark.range(10), F.col("id") % 3, 3, str(tmp_path), run)
     assert empty == [True] * 3 and seen == [4, 7, 10]
+
+
+def test_consumer_reads_its_parsed_batch_by_splits(spark, monkeypatch):
+    """The parsed batch lies in files, of which a task reads a bounded split, and is not kept by partitions."""
+    base, seen = folder(spark, "consumer-splits"), []
+    shred = ST.EV.shred
+    monkeypatch.setattr(ST.EV, "shred", lambda parsed: seen.append(parsed) or shred(parsed))
+    event = '{"eventTime":"2024-01-0%dT00:00:00.5","eventType":"COMPLETE","run":{"facets":%s,"runId":"00000000-0000-0000-0000-%012x"}}'
+    parent = '{"parent":{"run":{"runId":"00000000-0000-0000-0000-000000000001"}}}'
+    root = '{"nominalTime":{"nominalEndTime":"2024-01-05T00:00:00","nominalStartTime":"2024-01-01T00:00:00"}}'
+    rows = [(k, event % (1 + k % 9, parent if k > 1 else root, k)) for k in range(1, 400)] + [(400, "{")]
+    batch = spark.createDataFrame(rows, "offset long, value string").repartition(2)
+    spark.catalog.clearCache()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        ST.shred_batch_writer(base)(batch, 0)
+        level = seen[0].storageLevel
+        assert not level.useMemory and not level.useDisk and seen[0].inputFiles()
+        assert seen[0].rdd.getNumPartitions() > 2  # more than the batch has
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    late = {r["ol_id"]: r["success"] for r in spark.read.parquet(f"{base}/timeliness").collect()}
+    assert late == {k: 1 + k % 9 < 5 for k in range(2, 400)}
+    assert [r["offset"] for r in spark.read.parquet(f"{base}/exceptions").collect()] == [400]
