@@ -314,3 +314,25 @@ def test_consumer_reads_its_parsed_batch_by_splits(spark, monkeypatch):
     late = {r["ol_id"]: r["success"] for r in spark.read.parquet(f"{base}/timeliness").collect()}
     assert late == {k: 1 + k % 9 < 5 for k in range(2, 400)}
     assert [r["offset"] for r in spark.read.parquet(f"{base}/exceptions").collect()] == [400]
+
+
+def test_rules_are_stored_before_they_are_spread(spark):
+    """What the stream stores grows with the messages and with the rules; reading it gives the rows of every rule of the batch."""
+    msgs = spark.createDataFrame([(1, "t", '{"key": 1, "v": 10}'), (1, "t", '{"key": 1, "z": 1}'), (2, "t", "{"), (3, "u", '{"key": 3}'),
+                                  (None, "t", '{"v": 99}'), (4, None, '{"key": 4}')], "msg_key long, topic string, value string")
+    averages = lambda s: s.createDataFrame([("v", 100.0)], "field string, avg double")
+    kinds = [("t", 1, "check_not_null", "v;z"), ("t", 2, "check_avg", "v|5|9"), ("u", 3, "check_not_null", "v;v"), ("u", None, "check_avg", "v|x|9")]
+    when, stored = F.lit("2024-01-01").cast("timestamp_ntz"), {}
+    for n in (1, 40):
+        rules = kinds + [(t, 1000 * i + r, k, f) for i in range(1, n) for t, r, k, f in kinds if r]
+        now = {0: rules, 1: [("t", 9, "check_not_null", "v")]}  # each batch is spread over the rules that it met
+        plain, packed = folder(spark, f"rules-plain-{n}"), folder(spark, f"rules-packed-{n}")
+        for base, spread_out in ((plain, True), (packed, False)):
+            for b in now:
+                SR.rules_batch_writer(lambda s: s.createDataFrame(now[b], RULES), averages, base, when, spread_out=spread_out)(msgs, b)
+        for name, got in (("assertions", SR.read_assertions(spark, packed)), ("log", SR.read_log(spark, packed))):
+            want = spark.read.parquet(f"{plain}/{name}").select(*got.columns)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+        assert spark.read.parquet(f"{packed}/exceptions").count() == 2
+        stored[n] = [spark.read.parquet(f"{packed}/{x}").count() for x in ("judged", "judged_rules", "said", "said_rules")]
+    assert stored[1] == stored[40]
