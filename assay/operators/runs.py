@@ -27,15 +27,15 @@ def _cut(df: DataFrame) -> tuple[DataFrame, int]:
     return cut, int(obs.get["undone"])
 
 
-def resolve_chains(nodes: DataFrame) -> DataFrame:
+def resolve_chains(nodes: DataFrame, cut=_cut) -> DataFrame:
     """Follow pointers to the end of each chain.
 
     ``nodes``: ``(node, ptr, value, done)``. A done node carries its final
     ``value``. An undone node points at ``ptr``; if ``ptr`` is not a node the
     result is null. Returns ``(node, value, done)``; nodes that lead into a cycle get a
-    null value and ``done = false``.
+    null value and ``done = false``. ``cut`` materializes a round and counts its unresolved nodes.
     """
-    cur, undone = _cut(nodes.select("node", "ptr", "value", "done"))
+    cur, undone = cut(nodes.select("node", "ptr", "value", "done"))
     before = None
     while undone and undone != before:
         before = undone
@@ -51,7 +51,7 @@ def resolve_chains(nodes: DataFrame) -> DataFrame:
             F.when(missing, F.lit(None)).when(F.col("t_done"), F.col("t_value"))
              .otherwise(F.col("value")).alias("value"),
             (missing | F.col("t_done")).alias("done"))
-        cur, undone = _cut(cur.filter(F.col("done")).unionByName(moved))
+        cur, undone = cut(cur.filter(F.col("done")).unionByName(moved))
     return cur.select("node", F.when(F.col("done"), F.col("value")).alias("value"), "done")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import events as EV
 from ..operators import records as R
 from ..operators import runs as RN
+from ..session import STORED, remove_folder, shuffles_removed
 from .averages import AverageStore
 from .deadlines import DeadlineIndex
 
@@ -71,23 +72,30 @@ def shred_batch_writer(base_path: str):
     run log, inputs, outputs and assertions; rejected events go to the
     exception table (I7); COMPLETE events get a timeliness assertion as of
     arrival, from the index of deadlines that this batch updates. Output folders are per batch id, so
-    replaying a batch replaces its rows instead of duplicating them. The batch is parsed once for all its outputs: the parsed
-    events of the newest batch and their validity lie under ``parsed``, of which each output reads the columns it needs."""
+    replaying a batch replaces its rows instead of duplicating them. The batch is parsed once for all its outputs: its parsed
+    events and their validity lie under ``parsed`` while the tables are written, of which each output reads the columns it needs;
+    the text stays only beside events that are rejected."""
     index = DeadlineIndex(f"{base_path}/deadlines")
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, path = batch.sparkSession, f"{base_path}/parsed"
         events = EV.parse_events(batch).withColumn("reason", EV.validity_reason(F.col("ev")))
-        events.write.mode("overwrite").parquet(f"{base_path}/parsed")
-        write_parsed(batch.sparkSession.read.schema(events.schema).parquet(f"{base_path}/parsed"), batch_id)
-
-    def write_parsed(parsed: DataFrame, batch_id: int) -> None:
-        spark = parsed.sparkSession
-        parts = EV.shred(parsed)
-        for name in ("run_log", "inputs", "outputs", "assertions"):
-            parts[name].write.mode("overwrite").parquet(f"{base_path}/{name}/batch_id={batch_id}")
-        EV.rejected(parsed).write.mode("overwrite").parquet(f"{base_path}/exceptions/batch_id={batch_id}")
-        stored = spark.read.schema(parts["run_log"].schema).parquet(f"{base_path}/run_log/batch_id={batch_id}")  # this batch's rows
-        done = stored.filter(F.col("event_type") == "COMPLETE")
-        late = RN.timeliness_assertions(done, index.update(done, batch_id))
-        late.write.mode("overwrite").parquet(f"{base_path}/timeliness/batch_id={batch_id}")
+        events = events.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value")))
+        with shuffles_removed(spark):
+            events.write.options(**STORED).mode("overwrite").parquet(path)
+            write_tables(spark.read.schema(events.schema).parquet(path), batch_id)
+            remove_folder(spark, path)
+            write_timeliness(spark, batch_id)
+
+    def store(rows: DataFrame, name: str, batch_id: int) -> None:
+        rows.write.options(**STORED).mode("overwrite").parquet(f"{base_path}/{name}/batch_id={batch_id}")
+
+    def write_tables(parsed: DataFrame, batch_id: int) -> None:
+        for name, rows in (EV.shred(parsed) | {"exceptions": EV.rejected(parsed)}).items():
+            store(rows, name, batch_id)
+
+    def write_timeliness(spark: SparkSession, batch_id: int) -> None:
+        done = spark.read.parquet(f"{base_path}/run_log/batch_id={batch_id}").filter(F.col("event_type") == "COMPLETE")  # this batch's rows
+        store(RN.timeliness_assertions(done, index.update(done, batch_id)), "timeliness", batch_id)
+        index.release(spark)
     return write

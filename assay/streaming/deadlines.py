@@ -15,16 +15,18 @@ A batch looks up the parents of its new runs and the runs that wait for them, re
 buckets its keys fall into, resolves the chains among those rows by pointer jumping, and
 appends the outcome under its batch id. Nothing reads the stored run log. Tables of later
 batch ids are not looked at, so a batch that is replayed finds what it found before and
-replaces what it wrote.
+replaces what it wrote. What a batch needs meanwhile lies in files under ``work``, each removed once it is not needed any more.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import runs as RN
-from ..session import complete_folders
+from ..session import STORED, WorkTables, complete_folders, remove_folder
 
 BUCKETS = 16  # of each table; more for larger logs, so that a batch reads a smaller part
 TABLES = {"resolved": ("run_id", "run_id {id}, deadline timestamp_ntz"), "pending": ("run_id", "run_id {id}, awaits {id}"),
@@ -55,22 +57,24 @@ class DeadlineIndex:
 
     def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
         key = TABLES[name][0]
-        (rows.withColumn("bucket", self._bucket(F.col(key))).repartition("bucket").write.partitionBy("bucket").mode("overwrite")
+        (rows.withColumn("bucket", self._bucket(F.col(key))).repartition("bucket").write.options(**STORED).partitionBy("bucket").mode("overwrite")
          .parquet(f"{self.path}/{name}/batch_id={batch_id}"))
 
     def update(self, done: DataFrame, batch_id: int) -> DataFrame:
         """Take in the COMPLETE rows of a batch (id, run_id, parent_run_id, nominal_end_time); returns (run_id, based_end_time) of
-        the parents they name, as known with this batch."""
+        the parents they name, as known with this batch, to be read before ``release`` and before the next batch."""
         spark = done.sparkSession
-        first = RN.first_per_key(done.select("id", "run_id", "parent_run_id", "nominal_end_time"), "run_id", "id").checkpoint(eager=True)
+        work = WorkTables(spark, f"{self.path}/work")
+        first = work.keep(RN.first_per_key(done.select("id", "run_id", "parent_run_id", "nominal_end_time"), "run_id", "id"), "first")
         parents = done.select(F.col("parent_run_id").alias("run_id")).filter(F.col("run_id").isNotNull()).distinct()
-        asked = first.select("run_id").union(parents).distinct().checkpoint(eager=True)
-        resolved = self._read(spark, "resolved", batch_id, asked, "run_id").select("run_id", "deadline").checkpoint(eager=True)
-        pending = (self._read(spark, "pending", batch_id, asked, "run_id").groupBy("run_id")
-                   .agg(F.max_by("awaits", "batch_id").alias("awaits")).checkpoint(eager=True))
+        asked = work.keep(first.select("run_id").union(parents).distinct(), "asked")
+        resolved = work.keep(self._read(spark, "resolved", batch_id, asked, "run_id").select("run_id", "deadline"), "resolved")
+        pending = work.keep(self._read(spark, "pending", batch_id, asked, "run_id").groupBy("run_id")
+                            .agg(F.max_by("awaits", "batch_id").alias("awaits")), "pending")
         # a run is new once: later COMPLETE rows of it change nothing
-        new = (first.join(resolved, "run_id", "left_anti").join(pending, "run_id", "left_anti")
-               .select("run_id", "parent_run_id", "nominal_end_time").checkpoint(eager=True))
+        new = work.keep(first.join(resolved, "run_id", "left_anti").join(pending, "run_id", "left_anti")
+                        .select("run_id", "parent_run_id", "nominal_end_time"), "new")
+        work.drop("first", "asked")
         woken = self._read(spark, "waiting", batch_id, new, "run_id").select("run_id", F.col("awaits").alias("ptr"))
 
         # chains among the new and the woken: a pointer ends at a new run, or at what is known of the outside
@@ -90,10 +94,23 @@ class DeadlineIndex:
             (F.col("parent_run_id").isNull() | F.coalesce("_known", F.lit(False)) | F.col("_to").isNull()).alias("done"))
         nodes = nodes.unionByName(woken.select(F.col("run_id").alias("node"), "ptr", F.lit(None).cast(nodes.schema["value"].dataType).alias("value"),
                                                F.lit(False).alias("done")))
-        ends = RN.resolve_chains(nodes).select(F.col("node").alias("run_id"), "value.deadline", "value.awaits").checkpoint(eager=True)
+        rounds = count()
+
+        def cut(df: DataFrame) -> tuple[DataFrame, int]:
+            k = next(rounds)
+            kept = work.keep(df, f"round_{k}")
+            work.drop(f"round_{k - 1}")
+            return kept, kept.filter(~F.col("done")).count()
+
+        ends = work.keep(RN.resolve_chains(nodes, cut).select(F.col("node").alias("run_id"), "value.deadline", "value.awaits"), "ends")
+        work.drop(f"round_{next(rounds) - 1}", "new", "pending")
         still = ends.filter(F.col("awaits").isNotNull())
         self._write(ends.filter(F.col("awaits").isNull()).select("run_id", "deadline"), "resolved", batch_id)
         self._write(still.select("run_id", "awaits"), "pending", batch_id)
         self._write(still.select("awaits", "run_id"), "waiting", batch_id)
         now = ends.filter(F.col("awaits").isNull()).select("run_id", "deadline").unionByName(resolved.join(ends, "run_id", "left_anti"))
         return parents.join(now, "run_id", "left").select("run_id", F.col("deadline").alias("based_end_time"))
+
+    def release(self, spark: SparkSession) -> None:
+        """Remove what the newest batch kept for the rows that ``update`` returned."""
+        remove_folder(spark, f"{self.path}/work")

@@ -336,3 +336,28 @@ def test_rules_are_stored_before_they_are_spread(spark):
         assert spark.read.parquet(f"{packed}/exceptions").count() == 2
         stored[n] = [spark.read.parquet(f"{packed}/{x}").count() for x in ("judged", "judged_rules", "said", "said_rules")]
     assert stored[1] == stored[40]
+
+
+def test_consumer_leaves_no_intermediate_files(spark, monkeypatch):
+    """Parsed events, work tables of the index and shuffles leave the disk with the batch that needs them; texts and ids are stored with zstd."""
+    import glob
+    base, root = folder(spark, "consumer-disk"), spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    event = '{"eventTime":"2024-01-05T00:00:00.5","eventType":"COMPLETE","run":{"facets":%s,"runId":"00000000-0000-0000-0000-%012x"}}'
+    parent = '{"parent":{"run":{"runId":"00000000-0000-0000-0000-%012x"}}}'
+    root_run = '{"nominalTime":{"nominalEndTime":"2024-01-03T00:00:00","nominalStartTime":"2024-01-01T00:00:00"}}'
+    rows = [(k, event % (parent % (k - 1) if k > 1 else root_run, k)) for k in range(1, 60)] + [(60, "{")]
+    writer, seen = ST.shred_batch_writer(base), []
+    update = DeadlineIndex.update
+    monkeypatch.setattr(DeadlineIndex, "update", lambda *a: seen.append(glob.glob(f"{base.removeprefix('file:')}/parsed")) or update(*a))
+    before = set(glob.glob(f"{root}/rdd-*"))
+    for b, part in enumerate((rows[30:], rows[:30])):  # the first runs wait for the second batch
+        writer(spark.createDataFrame(part, "offset long, value string").coalesce(1), b)
+    assert set(glob.glob(f"{root}/rdd-*")) <= before and seen == [[], []]
+    at = base.removeprefix("file:")
+    assert sorted(x.rsplit("/", 1)[1] for x in glob.glob(f"{at}/*")) == ["assertions", "deadlines", "exceptions", "inputs", "outputs", "run_log", "timeliness"]
+    assert not glob.glob(f"{at}/deadlines/work/*")
+    files = glob.glob(f"{at}/**/*.parquet", recursive=True)
+    assert files and all(x.endswith(".zstd.parquet") for x in files)
+    assert {(r["batch_id"], r["ol_id"]) for r in spark.read.parquet(f"{base}/timeliness").collect()} == {(1, k) for k in range(2, 31)}
+    assert [r["message"] for r in spark.read.parquet(f"{base}/exceptions").collect()] == ["{"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
