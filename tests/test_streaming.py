@@ -361,3 +361,19 @@ def test_consumer_leaves_no_intermediate_files(spark, monkeypatch):
     assert {(r["batch_id"], r["ol_id"]) for r in spark.read.parquet(f"{base}/timeliness").collect()} == {(1, k) for k in range(2, 31)}
     assert [r["message"] for r in spark.read.parquet(f"{base}/exceptions").collect()] == ["{"]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_rows_of_waves_lie_on_disk_once(spark, tmp_path):
+    """A wave's files move to the source when it comes; a wave without rows still gives the query a batch; rows of no wave stay behind."""
+    from assay.plans import q_streaming
+    rows, seen = spark.createDataFrame([(k, None if k == 7 else k % 4) for k in range(40)], "id long, w long").repartition(3), []
+    batches = []
+
+    def run(src):
+        q_streaming._drain_batches(src, str(tmp_path), lambda df, b: batches.append((b, df.count())))
+        waiting = spark.read.parquet(f"{tmp_path}/arriving").count() if list(tmp_path.glob("arriving/*/*.parquet")) else 0
+        seen.append((spark.read.schema(src.schema).parquet(f"{tmp_path}/src").count(), waiting))
+
+    q_streaming._waves(rows, F.when(F.col("w") != 2, F.col("w")), 4, str(tmp_path), run)
+    assert batches == [(0, 10), (1, 10), (2, 0), (3, 9)]
+    assert seen == [(10, 30), (20, 20), (20, 20), (29, 11)]
